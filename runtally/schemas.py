@@ -132,7 +132,7 @@ RESERVED_KEYS = (
 CHORE_FORBIDDEN = (
     ("parameters", "chores have no invocation parameters"),
     ("succeed_on_minor_errors", "chores have no minor-error tier"),
-    ("timeout", "TM1 chore execution has no timeout"),
+    ("timeout", "chore execution has no timeout"),
     ("cancel_at_timeout", "no timeout to cancel"),
 )
 
