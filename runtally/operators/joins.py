@@ -238,7 +238,7 @@ def expand_wildcards(defs: DataFrame, elements: DataFrame, keys: Sequence[str])
     Expanded tasks leave out the chore, as chores have no parameters.
     """
     keys = list(keys)
-    wild = F.array_sort(F.filter(F.map_keys("parameters"), lambda k: k.endswith("*")))
+    wild = F.filter(F.map_keys("parameters"), lambda k: k.endswith("*"))
     sizes = elements.groupBy("set_name").agg(F.count("*").alias("_size"))
     work = defs.withColumn("_wild", F.coalesce(wild, F.array().cast("array<string>")))
     plain = work.filter(F.size("_wild") == 0).withColumn("expanded_id", F.col("id"))
@@ -254,8 +254,8 @@ def expand_wildcards(defs: DataFrame, elements: DataFrame, keys: Sequence[str])
             *[c for c in todo.columns if c not in ("_no", "_total", "_base")],
             (F.col("_no") * F.col("_size") + F.col("element_no") - 1).alias("_no"),
             (F.col("_total") * F.col("_size")).alias("_total"),
-            F.map_concat(F.map_filter("_base", lambda k, v: k != F.rtrim(F.lit("*"), here)),
-                         F.map_from_arrays(F.array(F.rtrim(F.lit("*"), here)), F.array("element"))).alias("_base"))
+            F.map_concat(F.map_filter("_base", lambda k, v: k != F.rtrim(here, F.lit("*"))),
+                         F.map_from_arrays(F.array(F.rtrim(here, F.lit("*"))), F.array("element"))).alias("_base"))
         todo = done.drop("set_name").select(*grown.columns).unionByName(grown)
     new_id = F.when(F.col("_total") > 1, F.concat("id", F.lit("_"), (F.col("_no") + 1).cast("string"))) \
         .otherwise(F.col("id"))

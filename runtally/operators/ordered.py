@@ -20,7 +20,7 @@ def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
     if not keys:
         return left.join(right, F.lit(True), how)
     r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
-    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys])
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
