@@ -332,8 +332,8 @@ def expanded_summary(results: DataFrame, chunk: int = 1000) -> DataFrame:
                      keys, ["start_time", "id"], "_rn") \
         .withColumn("part", F.floor((F.col("_rn") - 1) / chunk) + 1) \
         .groupBy(*keys, "part").agg(
-            F.array_sort(F.collect_list(F.struct("_rn", "parameters", "error_message"))).alias("items"))
-    texts = F.transform("items", lambda i: json_map(i["parameters"]))
+            F.array_sort(F.collect_list(F.struct("_rn", json_map("parameters").alias("json"), "error_message"))).alias("items"))
+    texts = F.transform("items", lambda i: i["json"])
     errors = F.filter(F.transform("items", lambda i: i["error_message"]),
                       lambda e: F.coalesce(e, F.lit("")) != "")
     many = F.col("n") > 1

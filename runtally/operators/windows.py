@@ -178,7 +178,7 @@ def order_ready(tasks: DataFrame, keys: Sequence[str], estimate: str = "estimate
 
 def optimized_order(analysis: DataFrame) -> DataFrame:
     """Tasks of each workflow, longest estimate first."""
-    return numbered(analysis, ["workflow"], [F.desc("ewma"), F.col("task_signature")], "order")
+    return numbered(analysis, ["workflow"], [F.desc("ewma"), F.col("estimated"), F.col("task_signature")], "order")
 
 
 def _top(tasks: DataFrame, keys: Sequence[str], n: int) -> DataFrame:

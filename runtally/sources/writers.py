@@ -46,8 +46,8 @@ def replace_history(rows: DataFrame, path: str) -> None:
     rows.hint("rebalance", "workflow").write.mode("overwrite").partitionBy("workflow").parquet(path)
 
 
-def results_table(tasks: DataFrame) -> DataFrame:
-    """Result rows with the names and defaults of the results file."""
+def results_table(tasks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Result rows with the names and defaults of the results file; ``keep`` adds columns."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     retries = F.coalesce("retry_count", F.lit(0))
     timeout = F.when(F.col("timeout") != 0, F.col("timeout").cast("string"))
@@ -59,7 +59,7 @@ def results_table(tasks: DataFrame) -> DataFrame:
         F.coalesce(json_strings("predecessors"), F.lit("")).alias("predecessors"), text("stage"),
         *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in FLAGS[:1]],
         F.coalesce(timeout, F.lit("")).alias("timeout"),
-        *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in FLAGS[1:]])
+        *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in FLAGS[1:]], *keep)
 
 
 def export_results(tasks: DataFrame, workflow: str | None = None, run_id: str | None = None) -> DataFrame:
@@ -85,7 +85,8 @@ def export_history(tasks: DataFrame, workflow: str | None = None, run_id: str |
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+    df.write.mode("overwrite").option("header", True).option("sep", sep) \
+        .option("escape", '"').csv(path)
 
 
 def results_to_cells(results: DataFrame, order: str = "id") -> DataFrame:
