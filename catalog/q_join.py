@@ -9,7 +9,7 @@ from catalog.registry import query
 from catalog.tables import definitions, executions, results, runs, sessions, table
 from runtally.operators import joins as j
 from runtally.operators.windows import default_estimate
-from runtally.plans.estimates import _per_workflow, estimates_with_defaults, signature_history
+from runtally.plans.estimates import per_workflow, estimates_with_defaults, signature_history
 from runtally.sources import writers
 
 
@@ -57,7 +57,7 @@ def complete_run(spark, sf):
 def estimate_join(spark, sf):
     t = executions(spark, sf)
     hist = signature_history(t)
-    return j.estimate_join(t.select("id", "workflow", "task_signature"), hist, default_estimate(_per_workflow(t, hist)))
+    return j.estimate_join(t.select("id", "workflow", "task_signature"), hist, default_estimate(per_workflow(t, hist)))
 
 
 @query("latest_snapshot", "SELECT workflow, run_id, taskfile_path FROM newest")

@@ -9,7 +9,7 @@ from catalog.registry import query
 from catalog.tables import definitions, executions, faulty_definitions, results, runs
 from runtally.operators import history as h, windows as w
 from runtally.plans.contention import worker_levels
-from runtally.plans.estimates import _per_workflow, analyze_runs, signature_history
+from runtally.plans.estimates import per_workflow, analyze_runs, signature_history
 
 
 @query("latest_executions", "SELECT task_signature, rn, id, run_id, start_time, duration_seconds FROM hist", dbl="duration_seconds:3", ts="start_time")
@@ -36,7 +36,7 @@ def confidence(spark, sf):
 @query("default_estimate", "SELECT workflow, default_estimate FROM wfdefault", dbl="default_estimate")
 def default_estimate(spark, sf):
     t = executions(spark, sf)
-    return w.default_estimate(_per_workflow(t, signature_history(t)))
+    return w.default_estimate(per_workflow(t, signature_history(t)))
 
 
 @query("concurrency_timeline", """WITH g AS (SELECT run_id, start_time AS t0, unnest(range(least(floor(coalesce(duration_seconds, 0))::INTEGER + 1, 3600))) AS second FROM runs),

@@ -114,9 +114,12 @@ def key_values(tokens: Column) -> Column:
 
 def last_wins(pairs: Column) -> Column:
     """Array of key/value structs to a map; the last value of a repeated key counts."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    return F.map_from_arrays(keys, F.transform(
-        keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]))
+    def put(m: Column, p: Column) -> Column:
+        changed = F.transform_values(m, lambda k, v: F.when(k == p["key"], p["value"]).otherwise(v))
+        added = F.map_concat(m, F.map_from_arrays(F.array(p["key"]), F.array(p["value"])))
+        return F.when(F.map_contains_key(m, p["key"]), changed).otherwise(added)
+
+    return F.aggregate(pairs, empty_map(), put)
 
 
 def empty_map() -> Column:
@@ -141,7 +144,7 @@ def predecessor_list(x, cube: bool = False) -> Column:
     """``"1,2"`` to an array. Task lines treat a leading ``0`` as none; cubes trim."""
     parts = F.split(F.coalesce(_c(x), F.lit("")), ",")
     if cube:
-        return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+        return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
     none = F.element_at(parts, 1).isin("", "0")
     return F.when(none, F.array().cast("array<string>")).otherwise(parts)
 

@@ -9,6 +9,7 @@ from runtally.functions.scalars import rounded, short_label
 from runtally.operators.joins import with_defaults
 from runtally.operators.ordered import match
 from runtally.operators.windows import default_estimate, duration_lists, nonzero
+from runtally.session import cut
 
 
 def signature_history(tasks: DataFrame, n: int = 10, alpha: float = 0.3) -> DataFrame:
@@ -20,16 +21,21 @@ def signature_history(tasks: DataFrame, n: int = 10, alpha: float = 0.3) -> Data
                     folds.spread(F.col("std"), F.col("avg")).alias("cv"))
 
 
-def _per_workflow(tasks: DataFrame, history: DataFrame) -> DataFrame:
+def per_workflow(tasks: DataFrame, history: DataFrame) -> DataFrame:
+    """History statistics of every signature a workflow uses.
+
+    Checkpointed: it has one row per signature and workflow, and the reports read it
+    several times, which must not scan the history again.
+    """
     signatures = tasks.select("workflow", "task_signature").distinct()
-    return signatures.join(history, "task_signature", "left")
+    return cut(signatures.join(history, "task_signature", "left"))
 
 
 def runtime_estimates(tasks: DataFrame, n: int = 10, alpha: float = 0.3) -> DataFrame:
     """Estimate, samples and confidence per workflow and signature; the default where none are known."""
     h = signature_history(tasks, n, alpha)
     h = h.withColumn("confidence", folds.confidence(F.col("sample_count"), F.col("cv")))
-    all_ = _per_workflow(tasks, h)
+    all_ = per_workflow(tasks, h)
     known = F.coalesce(F.col("sample_count"), F.lit(0)) > 0
     defaults = default_estimate(all_.withColumn("ewma", F.when(known, F.col("ewma"))))
     return match(all_, defaults, ["workflow"], "left").select(
@@ -44,7 +50,7 @@ def analyze_runs(tasks: DataFrame, n: int = 10, alpha: float = 0.3) -> DataFrame
     A single sample counts as steady here. Signatures without any success take the
     default estimate; those whose successes all lasted zero seconds are left out.
     """
-    all_ = _per_workflow(tasks, signature_history(tasks, n, alpha))
+    all_ = per_workflow(tasks, signature_history(tasks, n, alpha))
     cv = F.when(F.col("sample_count") > 1, F.col("cv")).otherwise(F.lit(0.0))
     conf = folds.quantity_factor(F.col("history_count")) + (1 - F.least(F.lit(1.0), cv)) * 0.5
     seen = all_.filter("sample_count > 0").select(
@@ -63,7 +69,7 @@ def analyze_runs(tasks: DataFrame, n: int = 10, alpha: float = 0.3) -> DataFrame
 
 
 def estimates_with_defaults(tasks: DataFrame, n: int = 10, alpha: float = 0.3) -> DataFrame:
-    all_ = _per_workflow(tasks, signature_history(tasks, n, alpha))
+    all_ = per_workflow(tasks, signature_history(tasks, n, alpha))
     seen = all_.filter("sample_count > 0").select("workflow", "task_signature", "ewma")
     unseen = all_.filter("history_count IS NULL").select("workflow", "task_signature")
     return with_defaults(seen, unseen, default_estimate(all_.filter("sample_count > 0 OR history_count IS NULL")))
@@ -81,6 +87,7 @@ def confidence_summary(report: DataFrame) -> DataFrame:
 
 def recommendations(report: DataFrame) -> DataFrame:
     """Tasks with low confidence, without history, and above twice the mean estimate."""
+    report = cut(report)
     totals = report.groupBy("workflow").agg(
         F.count_if(~F.col("estimated") & (F.col("confidence") < 0.5)).alias("low_confidence"),
         F.count_if("estimated").alias("no_history"), F.avg("ewma").alias("mean_estimate"))
