@@ -73,7 +73,9 @@ def _lines(spark, sf):
  require_predecessor_success AND NOT noid AS require_predecessor_success, succeed_on_minor_errors AND chore IS NULL AS succeed_on_minor_errors
  FROM n LEFT JOIN s p ON p.workflow = n.workflow AND p.sequence = n.sequence - 1 WHERE NOT is_wait""")
 def read_task_lines(spark, sf):
-    return readers.parse_task_lines(_lines(spark, sf)).select(
+    path = scratch(spark)
+    _lines(spark, sf).write.parquet(path)
+    return readers.parse_task_lines(spark.read.parquet(path)).select(
         "workflow", "pos", "id", "instance", "process", "chore", json_map("parameters", sort_keys=True).alias("params"),
         F.array_join("predecessors", ",").alias("predecessors"), "sequence", "previous", "previous_size", "stage", "safe_retry", "timeout",
         "cancel_at_timeout", "require_predecessor_success", "succeed_on_minor_errors")

@@ -181,10 +181,12 @@ def run_distribution(runs: DataFrame, tasks: DataFrame) -> DataFrame:
     out = match(hist, q.select("run_id", fence.alias("fence")), ["run_id"]) \
         .filter(F.col("duration_seconds") > F.col("fence")) \
         .groupBy("run_id").agg(F.sum("c").alias("outlier_count"))
-    basic = d.groupBy("run_id").agg(
-        F.min("duration_seconds").alias("min"), F.max("duration_seconds").alias("max"),
-        F.avg("duration_seconds").alias("mean"), F.stddev_samp("duration_seconds").alias("std_dev"))
-    got = basic.join(q, "run_id").join(out, "run_id", "left") \
+    v, c, n = F.col("duration_seconds"), F.col("c"), F.sum("c")
+    basic = hist.groupBy("run_id").agg(F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v * c) / n).alias("mean"))
+    off = F.pow(v - F.col("mean"), 2) * c
+    std = match(hist, basic.select("run_id", "mean"), ["run_id"]).groupBy("run_id").agg(
+        F.when(n > 1, F.sqrt(F.sum(off) / (n - 1))).alias("std_dev"))
+    got = basic.join(q, "run_id").join(std, "run_id").join(out, "run_id", "left") \
         .withColumn("median", (F.col("mid_low") + F.col("mid_high")) / 2)
     return runs.select("run_id").join(got, "run_id", "left").select(
         "run_id", *[zero_if_null(rounded(c, 2)).alias(c)

@@ -4,54 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from runtally.functions.scalars import fan_out_key, rate, rounded, success
 from runtally.operators.history import zero_if_null
 from runtally.operators.ordered import match, numbered, running_sums
 from runtally.schemas import INPUT_EXCLUSIONS, MEASURES
+from runtally.session import cut
 
 # ---- intervals --------------------------------------------------------------
 
 
-def _sweep(rows: DataFrame, keys: Sequence[str], start: str, end: str, flag=None) -> DataFrame:
-    """Running counts of starts and ends per instant, plus what happens at the instant."""
-    n = F.lit(1) if flag is None else flag.cast("int")
-    zero = F.when(F.col(start) == F.col(end), n).otherwise(0)
-    none = F.lit(0)
-    moves = F.array(F.struct(F.col(start).alias("t"), n.alias("s"), none.alias("e"), zero.alias("z")),
-                    F.struct(F.col(end).alias("t"), none.alias("s"), n.alias("e"), none.alias("z")))
-    points = rows.filter(F.col(start).isNotNull() & F.col(end).isNotNull()) \
-        .select(*keys, F.inline(moves)).groupBy(*keys, "t") \
-        .agg(F.sum("s").alias("s"), F.sum("e").alias("e"), F.sum("z").alias("z"))
-    # A minute holds at most 6e7 distinct instants, a year half a million minutes.
-    return running_sums(points, keys, "t", F.date_trunc("minute", "t"), {"starts": "s", "ends": "e"})
-
-
-def overlaps(rows: DataFrame, keys: Sequence[str], out: str, start: str = "start_time",
-             end: str = "end_time", flag=None) -> DataFrame:
-    """Add the number of other rows of the same key whose interval overlaps.
+def overlaps(rows: DataFrame, keys: Sequence[str], counts: dict[str, Column | None],
+             start: str = "start_time", end: str = "end_time") -> DataFrame:
+    """Add how many other rows of the same key have an overlapping interval.
 
     Counted from running sums of starts and ends, never from pairs of rows: those that
-    start before my end, less those that ended by my start. ``flag`` limits which rows
-    are counted; a row never counts itself.
+    start before my end, less those that ended by my start. ``counts`` maps each new column
+    to the flag of the rows it counts (None for all); a row never counts itself.
+
+    The sums are kept per distinct instant and checkpointed, so the two look-ups share one
+    pass, and rows that start together are split by the join and not sorted in one task.
     """
-    keys = list(keys)
-    sweep = _sweep(rows, keys, start, end, flag)
-    at_end = sweep.select(*keys, F.col("t").alias(end), (F.col("starts") - F.col("s")).alias("_x"))
-    at_start = sweep.select(*keys, F.col("t").alias(start), F.col("ends").alias("_y"), F.col("z").alias("_z"))
-    both = match(match(rows, at_end, [*keys, end], "left"), at_start, [*keys, start], "left")
+    keys, names = list(keys), list(counts)
+    one = {c: F.lit(1) if f is None else F.coalesce(f, F.lit(False)).cast("int") for c, f in counts.items()}
     empty = F.col(start) == F.col(end)
-    self_counted = F.lit(1) if flag is None else flag.cast("int")
-    count = F.when(empty, F.col("_x") - F.col("_y") + F.col("_z")) \
-        .otherwise(F.col("_x") - F.col("_y") - self_counted)
-    return both.withColumn(out, F.coalesce(count, F.lit(0))).drop("_x", "_y", "_z")
+
+    def move(t: str, begins: bool) -> Column:
+        fields = [F.col(t).alias("t")]
+        for i, c in enumerate(names):
+            n, zero = one[c], F.lit(0)
+            fields += [(n if begins else zero).alias(f"s{i}"), (zero if begins else n).alias(f"e{i}"),
+                       (F.when(empty, n).otherwise(0) if begins else zero).alias(f"z{i}")]
+        return F.struct(*fields)
+
+    ids = range(len(names))
+    points = rows.filter(F.col(start).isNotNull() & F.col(end).isNotNull()) \
+        .select(*keys, F.inline(F.array(move(start, True), move(end, False)))).groupBy(*keys, "t") \
+        .agg(*[F.sum(f"{m}{i}").alias(f"{m}{i}") for i in ids for m in "sez"])
+    # A minute holds at most 6e7 distinct instants, a year half a million minutes.
+    sweep = cut(running_sums(points, keys, "t", F.date_trunc("minute", "t"),
+                             {f"{m}u{i}": f"{m}{i}" for i in ids for m in "se"}))
+    at_end = sweep.select(*keys, F.col("t").alias(end), *[(F.col(f"su{i}") - F.col(f"s{i}")).alias(f"_x{i}") for i in ids])
+    at_start = sweep.select(*keys, F.col("t").alias(start), *[F.col(f"eu{i}").alias(f"_y{i}") for i in ids],
+                            *[F.col(f"z{i}").alias(f"_z{i}") for i in ids])
+    both = match(match(rows, at_end, [*keys, end], "left"), at_start, [*keys, start], "left")
+
+    def count(i: int, c: str) -> Column:
+        gone = F.col(f"_x{i}") - F.col(f"_y{i}")
+        return F.coalesce(F.when(empty, gone + F.col(f"_z{i}")).otherwise(gone), F.lit(0)) \
+            - F.when(empty | F.col(f"_x{i}").isNull() | F.col(f"_y{i}").isNull(), 0).otherwise(one[c])
+
+    return both.select(*rows.columns, *[count(i, c).alias(c) for i, c in enumerate(names)])
 
 
 def overlap_count(tasks: DataFrame) -> DataFrame:
     """Per successful task: how many tasks of its run, of any status, ran at the same time."""
     slim = tasks.select("run_id", "id", "task_id", "status", "start_time", "end_time", "duration_seconds")
-    return overlaps(slim, ["run_id"], "concurrent_count").filter(success()).drop("status")
+    return overlaps(slim, ["run_id"], {"concurrent_count": None}).filter(success()).drop("status")
 
 
 def blocking_sessions(sessions: DataFrame) -> DataFrame:
@@ -59,10 +69,9 @@ def blocking_sessions(sessions: DataFrame) -> DataFrame:
 
     An exclusive session is blocked by any other, a normal one only by exclusive ones.
     """
-    any_ = overlaps(sessions, ["instance"], "_any")
-    excl = overlaps(any_, ["instance"], "_excl", flag=F.col("exclusive"))
+    both = overlaps(sessions, ["instance"], {"_any": None, "_excl": F.col("exclusive")})
     n = F.when(F.col("exclusive"), F.col("_any")).otherwise(F.col("_excl"))
-    return excl.withColumn("blocking", n).withColumn("must_wait", n > 0).drop("_any", "_excl")
+    return both.withColumn("blocking", n).withColumn("must_wait", n > 0).drop("_any", "_excl")
 
 
 # ---- runs and tasks ---------------------------------------------------------
@@ -218,8 +227,8 @@ def stage_edges(defs: DataFrame, keys: Sequence[str], stage_order: Sequence[str]
     """
     keys = list(keys)
     order = F.array(*[F.lit(s) for s in stage_order])
-    t = defs.filter(F.col("stage").isin(*stage_order)) \
-        .select(*keys, "id", (F.array_position(order, F.col("stage")) - 1).cast("int").alias("stage_no")).distinct()
+    t = cut(defs.filter(F.col("stage").isin(*stage_order))
+            .select(*keys, "id", (F.array_position(order, F.col("stage")) - 1).cast("int").alias("stage_no")).distinct())
     sizes = t.groupBy(*keys, "stage_no").agg(F.count("*").alias("n"))
     gates = sizes.select(*keys, (F.col("stage_no") + 1).alias("stage_no"), F.col("n").alias("before"))
     gates = match(sizes.withColumnRenamed("n", "after"), gates, [*keys, "stage_no"])
@@ -239,24 +248,27 @@ def expand_wildcards(defs: DataFrame, elements: DataFrame, keys: Sequence[str])
     """
     keys = list(keys)
     wild = F.filter(F.map_keys("parameters"), lambda k: k.endswith("*"))
-    sizes = elements.groupBy("set_name").agg(F.count("*").alias("_size"))
+    # A task with fewer wildcards than others passes the remaining joins through an empty set.
+    none = elements.sparkSession.createDataFrame([("", 1, None)], "set_name string, element_no long, element string")
+    sets = elements.select("set_name", F.col("element_no").cast("long").alias("element_no"), "element").unionByName(none)
+    sizes = sets.groupBy("set_name").agg(F.count("*").alias("_size"))
+    sets = cut(sets.join(sizes, "set_name"))
     work = defs.withColumn("_wild", F.coalesce(wild, F.array().cast("array<string>")))
     plain = work.filter(F.size("_wild") == 0).withColumn("expanded_id", F.col("id"))
     todo = work.filter(F.size("_wild") > 0).withColumn("_no", F.lit(0).cast("long")) \
         .withColumn("_total", F.lit(1).cast("long")) \
         .withColumn("_base", F.map_filter("parameters", lambda k, v: ~k.endswith("*")))
-    most = defs.select(F.max(F.size(F.filter(F.map_keys("parameters"), lambda k: k.endswith("*"))))).first()[0] or 0
-    for i in range(1, most + 1):
-        here = F.get(F.col("_wild"), F.lit(i - 1))
-        named = todo.withColumn("set_name", F.regexp_replace(F.col("parameters")[here], r"^\*", ""))
-        done, open_ = named.filter(here.isNull()), named.filter(here.isNotNull())
-        grown = open_.join(sizes, "set_name").join(elements, "set_name").select(
-            *[c for c in todo.columns if c not in ("_no", "_total", "_base")],
-            (F.col("_no") * F.col("_size") + F.col("element_no") - 1).alias("_no"),
-            (F.col("_total") * F.col("_size")).alias("_total"),
-            F.map_concat(F.map_filter("_base", lambda k, v: k != F.rtrim(here, F.lit("*"))),
-                         F.map_from_arrays(F.array(F.rtrim(here, F.lit("*"))), F.array("element"))).alias("_base"))
-        todo = done.drop("set_name").select(*grown.columns).unionByName(grown)
+    most = work.agg(F.max(F.size("_wild"))).first()[0] or 0
+    for i in range(most):
+        here = F.get(F.col("_wild"), F.lit(i))
+        name = F.rtrim(here, F.lit("*"))
+        added = F.map_concat(F.map_filter("_base", lambda k, v: k != name), F.map_from_arrays(F.array(name), F.array("element")))
+        todo = todo.withColumn("set_name", F.coalesce(F.regexp_replace(F.col("parameters")[here], r"^\*", ""), F.lit(""))) \
+            .join(sets, "set_name").select(
+                *[c for c in todo.columns if c not in ("_no", "_total", "_base")],
+                (F.col("_no") * F.col("_size") + F.col("element_no") - 1).alias("_no"),
+                (F.col("_total") * F.col("_size")).alias("_total"),
+                F.when(here.isNull(), F.col("_base")).otherwise(added).alias("_base"))
     new_id = F.when(F.col("_total") > 1, F.concat("id", F.lit("_"), (F.col("_no") + 1).cast("string"))) \
         .otherwise(F.col("id"))
     full = todo.withColumn("expanded_id", new_id).withColumn("parameters", F.col("_base")) \

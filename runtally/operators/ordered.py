@@ -50,9 +50,12 @@ def second_block(value: str) -> Column:
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Distinct values per group with count ``c`` and rows up to and including them ``upto``."""
+    """Distinct values per group with count ``c`` and rows up to and including them ``upto``.
+
+    Checkpointed: every statistic of the group is then read from this small table.
+    """
     h = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    return running_sums(h, keys, value, second_block(value), {"upto": "c"})
+    return cut(running_sums(h, keys, value, second_block(value), {"upto": "c"}))
 
 
 def order_statistics(hist: DataFrame, keys: Sequence[str], value: str,

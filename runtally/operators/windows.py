@@ -12,6 +12,7 @@ from runtally.operators.history import newest_runs, of_runs, with_target, zero_i
 from runtally.operators.ordered import (MIDDLES, QUARTILES, histogram, match, numbered,
                                         order_statistics, running_sums)
 from runtally.schemas import FALLBACK_ESTIMATE
+from runtally.session import cut
 
 
 def latest_executions(tasks: DataFrame, n: int = 10, keys: Sequence[str] = ("task_signature",)) -> DataFrame:
@@ -83,39 +84,39 @@ def concurrency_timeline(runs: DataFrame, tasks: DataFrame, longest: int = 3600)
 
     The number of samples is ``floor(duration) + 1``, at most ``longest``: that is the
     report's length. Starts and ends are first summed per second of their run, which
-    leaves at most ``longest`` rows per run.
+    leaves at most ``longest + 1`` rows per run.
     """
     samples = F.least(F.floor(F.coalesce("duration_seconds", F.lit(0.0))) + 1, F.lit(longest)).cast("int")
     grid = runs.select("run_id", F.col("start_time").alias("_t0"), samples.alias("_n")).filter("_n > 0")
+    moves = F.array(F.struct(F.col("start_time").alias("t"), F.lit(1).alias("d")),
+                    F.struct(F.col("end_time").alias("t"), F.lit(-1).alias("d")))
     at = F.ceil((F.unix_micros("t") - F.unix_micros("_t0")) / F.lit(1_000_000))
-    moves = tasks.filter(F.col("start_time").isNotNull() & F.col("end_time").isNotNull()).select(
-        "run_id", F.inline(F.array(F.struct(F.col("start_time").alias("t"), F.lit(1).alias("d")),
-                                   F.struct(F.col("end_time").alias("t"), F.lit(-1).alias("d"))))) \
-        .groupBy("run_id", "t").agg(F.sum("d").alias("d"))
-    per_second = moves.join(grid, "run_id") \
-        .withColumn("second", F.greatest(at, F.lit(0)).cast("int")) \
-        .filter(F.col("second") < F.col("_n")).groupBy("run_id", "second").agg(F.sum("d").alias("d"))
-    with_tasks = tasks.select("run_id").distinct()
-    seconds = grid.join(with_tasks, "run_id", "left_semi").select(
+    # What happens after the last sample is kept as one row per run.
+    second = F.greatest(F.least(at, F.col("_n")), F.lit(0)).cast("int")
+    per_second = cut(tasks.filter(F.col("start_time").isNotNull() & F.col("end_time").isNotNull())
+                     .select("run_id", F.inline(moves)).join(grid, "run_id")
+                     .groupBy("run_id", "_n", second.alias("second")).agg(F.sum("d").alias("d")))
+    seconds = per_second.select("run_id", "_n").distinct().select(
         "run_id", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("second"))
     w = Window.partitionBy("run_id").orderBy("second").rowsBetween(Window.unboundedPreceding, 0)
-    return seconds.join(per_second, ["run_id", "second"], "left").select(
+    return seconds.join(per_second.drop("_n"), ["run_id", "second"], "left").select(
         "run_id", "second",
         F.greatest(F.sum(F.coalesce("d", F.lit(0))).over(w), F.lit(0)).alias("count"))
 
 
 def wait_sequences(lines: DataFrame, keys: Sequence[str], pos: str, is_wait: Column,
-                   compact: bool = True, block: int = 100_000) -> DataFrame:
+                   compact: bool = True, block: int = 100_000, also: dict[str, str] | None = None) -> DataFrame:
     """Task lines with the number of the sequence they belong to.
 
     ``wait`` lines split a file into sequences; each task waits for the whole sequence
     before its own. ``sequence`` counts wait marks, so it may skip empty sequences;
     ``previous`` is the sequence waited for (NULL for the first). With ``compact`` an
-    empty sequence is passed over, without it a task behind one waits for nothing.
+    empty sequence is passed over, without it a task behind one waits for nothing. ``also``
+    names further running sums taken in the same pass.
     """
     keys = list(keys)
     marks = lines.withColumn("_w", is_wait.cast("long"))
-    seq = running_sums(marks, keys, pos, F.floor(F.col(pos) / block), {"sequence": "_w"})
+    seq = cut(running_sums(marks, keys, pos, F.floor(F.col(pos) / block), {"sequence": "_w", **(also or {})}))
     work = seq.filter(F.col("_w") == 0).drop("_w")
     sizes = work.groupBy(*keys, "sequence").agg(F.count("*").alias("size"))
     w = Window.partitionBy(*keys).orderBy("sequence")

@@ -134,11 +134,11 @@ def concurrency_correlation(tasks: DataFrame) -> DataFrame:
 def concurrency_ceiling(runs: DataFrame, tasks: DataFrame, min_correlation: float = 0.7,
                         max_efficiency: float = 0.75) -> DataFrame:
     """Too many or too few workers, from runs at several levels or from the newest run alone."""
-    newest = runs.filter(success()).groupBy("workflow").agg(F.max_by(
-        F.struct("run_id", "max_workers", "duration_seconds"), F.struct("start_time", "run_id")).alias("r")) \
+    newest = cut(runs.filter(success()).groupBy("workflow").agg(F.max_by(
+        F.struct("run_id", "max_workers", "duration_seconds"), F.struct("start_time", "run_id")).alias("r"))
         .select("workflow", F.col("r.run_id").alias("run_id"), F.col("r.max_workers").alias("now_workers"),
-                F.col("r.duration_seconds").alias("now_wall"))
-    levels = worker_levels(runs, tasks)
+                F.col("r.duration_seconds").alias("now_wall")))
+    levels = cut(worker_levels(runs, tasks))
     pair = best_worst_level(levels).filter("levels >= 2")
     row = F.struct("max_workers", "wall_clock")
     around = match(levels, pair.select("workflow", F.col("best.wall_clock").alias("_bw")), WF) \
@@ -199,19 +199,20 @@ def analyze(runs: DataFrame, tasks: DataFrame, sensitivity: float = 10.0, lookba
     """Find the driving parameter, its heavy groups and the chains between them.
 
     The newest run's tasks with their estimates are checkpointed: everything after that
-    works on this small table and not on the history again.
+    works on this small table and not on the history again. The later steps have a few
+    rows per workflow and are checkpointed too, as several others read each of them.
     """
     estimates = ewma(tasks, lookback, alpha)
     tp = cut(with_ewma(latest_task_params(runs, tasks), estimates))
-    varying = varying_parameters(tp)
+    varying = cut(varying_parameters(tp))
     by_value = cut(parameter_groups(tp, varying))
-    impact = parameter_impact(by_value)
-    drivers = contention_driver(impact, min_ratio)
-    fan = fan_out(tp, varying, drivers)
+    impact = cut(parameter_impact(by_value))
+    drivers = cut(contention_driver(impact, min_ratio))
+    fan = cut(fan_out(tp, varying, drivers))
     groups = cut(contention_groups(by_value, drivers, sensitivity))
-    workers = recommend_workers(groups, fan)
+    workers = cut(recommend_workers(groups, fan))
     enough = workers.filter("heavy_groups >= 2").select("workflow")
-    order = heavy_rank(groups, WF).join(enough, "workflow", "left_semi")
+    order = heavy_rank(groups.join(enough, "workflow", "left_semi"), WF)
     chains = chain_edges(tp, order, fan.select("workflow", "fan_out_keys"))
     return Contention(tp, estimates, varying, impact, drivers, fan, groups, order, chains, workers)
 

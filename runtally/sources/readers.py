@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from runtally.functions.scalars import (empty_map, key_values, last_wins, parse_bool, parse_params,
                                         predecessor_list, quotes_balanced, tokenize_line)
-from runtally.operators.ordered import numbered, running_sums
+from runtally.operators.ordered import numbered
 from runtally.operators.windows import wait_sequences
 from runtally.schemas import (CHECKPOINT_DOC, MEASURES, RESERVED_KEYS, RUNS, TASK_DEFS, TASKFILE_DOC, TASKS, conform)
 
@@ -148,10 +148,10 @@ def parse_task_lines(lines: DataFrame) -> DataFrame:
     known = F.transform(pairs, lambda p: F.struct(
         F.when(F.lower(p["key"]).isin(*RESERVED_KEYS), F.lower(p["key"])).otherwise(p["key"]).alias("key"),
         p["value"].alias("value")))
-    t = wait_sequences(ok, ["file"], "line_no", is_wait, compact=False).withColumn("_kv", last_wins(known))
     kv = lambda k: F.col("_kv")[k]
-    t = t.withColumn("_noid", kv("id").isNull().cast("long"))
-    t = running_sums(t, ["file"], "line_no", F.floor(F.col("line_no") / 100_000), {"_auto": "_noid"})
+    parsed = ok.select("file", "line_no", is_wait.alias("_is_wait"), last_wins(known).alias("_kv")) \
+        .withColumn("_noid", (~F.col("_is_wait") & kv("id").isNull()).cast("long"))
+    t = wait_sequences(parsed, ["file"], "line_no", F.col("_is_wait"), compact=False, also={"_auto": "_noid"})
     listed = predecessor_list(kv("predecessors"))
     name = F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1)
     return t.select(
