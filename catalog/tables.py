@@ -41,7 +41,7 @@ def executions(spark: SparkSession, sf: str) -> DataFrame:
     empty = F.create_map().cast("map<string,string>")
     out = e.select(
         F.col("event_id").alias("id"),
-        F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("_"), wf.cast("string")).alias("run_id"),
+        F.concat((F.year("ts") * 10000 + F.month("ts") * 100 + F.day("ts")).cast("string"), F.lit("_"), wf.cast("string")).alias("run_id"),
         _s("wf_", wf).alias("workflow"), u.cast("string").alias("task_id"), _s("srv", u % 3).alias("instance"),
         F.when(~chore, _s("p", u % 20)).alias("process"), F.when(chore, _s("c", u % 4)).alias("chore"),
         F.when(chore, empty).otherwise(_params(

@@ -6,9 +6,10 @@ from pyspark.sql import Column, functions as F
 
 from runtally.schemas import CONTEXT_MAX_LENGTH, TRUE_WORDS, TRUE_WORDS_LINE
 
-_QUOTED = r'"[^"]*"|' + r"'[^']*'"
-_TOKEN = r'((?:[^ \t\r\n"' + r"']|" + _QUOTED + ")+)"
-_SEGMENT = r'([^"' + r"']+|" + _QUOTED + ")"
+# Possessive runs: no backtracking, so a token of any length needs no deep recursion.
+_QUOTED = r'"[^"]*+"|' + r"'[^']*+'"
+_TOKEN = r'((?:[^ \t\r\n"' + r"']++|" + _QUOTED + ")++)"
+_SEGMENT = r'([^"' + r"']++|" + _QUOTED + ")"
 
 
 def _c(x) -> Column:
@@ -119,7 +120,8 @@ def last_wins(pairs: Column) -> Column:
         added = F.map_concat(m, F.map_from_arrays(F.array(p["key"]), F.array(p["value"])))
         return F.when(F.map_contains_key(m, p["key"]), changed).otherwise(added)
 
-    return F.aggregate(pairs, empty_map(), put)
+    unique = F.size(F.array_distinct(pairs["key"])) == F.size(pairs)
+    return F.when(unique, F.map_from_entries(pairs)).otherwise(F.aggregate(pairs, empty_map(), put))
 
 
 def empty_map() -> Column:

@@ -43,7 +43,7 @@ def overlaps(rows: DataFrame, keys: Sequence[str], counts: dict[str, Column | No
         .select(*keys, F.inline(F.array(move(start, True), move(end, False)))).groupBy(*keys, "t") \
         .agg(*[F.sum(f"{m}{i}").alias(f"{m}{i}") for i in ids for m in "sez"])
     # A minute holds at most 6e7 distinct instants, a year half a million minutes.
-    sweep = cut(running_sums(points, keys, "t", F.date_trunc("minute", "t"),
+    sweep = cut(running_sums(points, keys, "t", F.floor(F.unix_micros("t") / 60_000_000),
                              {f"{m}u{i}": f"{m}{i}" for i in ids for m in "se"}))
     at_end = sweep.select(*keys, F.col("t").alias(end), *[(F.col(f"su{i}") - F.col(f"s{i}")).alias(f"_x{i}") for i in ids])
     at_start = sweep.select(*keys, F.col("t").alias(start), *[F.col(f"eu{i}").alias(f"_y{i}") for i in ids],

@@ -11,6 +11,7 @@ from runtally.functions.scalars import (empty_map, key_values, last_wins, parse_
 from runtally.operators.ordered import numbered
 from runtally.operators.windows import wait_sequences
 from runtally.schemas import (CHECKPOINT_DOC, MEASURES, RESERVED_KEYS, RUNS, TASK_DEFS, TASKFILE_DOC, TASKS, conform)
+from runtally.session import cut
 
 
 def read_runs(spark: SparkSession, path: str, workflow: str | None = None) -> DataFrame:
@@ -114,7 +115,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _meaningful(lines: DataFrame) -> DataFrame:
-    text = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
+    text = F.trim(F.col("value"), F.lit(" \t\r\n\f\v"))
     return lines.withColumn("value", text).filter((F.col("value") != "") & ~F.col("value").startswith("#"))
 
 
@@ -149,9 +150,12 @@ def parse_task_lines(lines: DataFrame) -> DataFrame:
         F.when(F.lower(p["key"]).isin(*RESERVED_KEYS), F.lower(p["key"])).otherwise(p["key"]).alias("key"),
         p["value"].alias("value")))
     kv = lambda k: F.col("_kv")[k]
-    parsed = ok.select("file", "line_no", is_wait.alias("_is_wait"), last_wins(known).alias("_kv")) \
+    # The pairs are a column of their own: an expression used several times runs several times.
+    parsed = ok.select("file", "line_no", is_wait.alias("_is_wait"), known.alias("_pairs")) \
+        .select("file", "line_no", "_is_wait", last_wins(F.col("_pairs")).alias("_kv")) \
         .withColumn("_noid", (~F.col("_is_wait") & kv("id").isNull()).cast("long"))
-    t = wait_sequences(parsed, ["file"], "line_no", F.col("_is_wait"), compact=False, also={"_auto": "_noid"})
+    # Both steps of the running sums read the rows: parse them once.
+    t = wait_sequences(cut(parsed), ["file"], "line_no", F.col("_is_wait"), compact=False, also={"_auto": "_noid"})
     listed = predecessor_list(kv("predecessors"))
     name = F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1)
     return t.select(
