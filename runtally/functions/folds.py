@@ -20,7 +20,7 @@ def ewma(durations: Column, alpha: float = 0.3) -> Column:
 
 
 def mean(xs: Column) -> Column:
-    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
+    return F.try_divide(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), F.size(xs))
 
 
 def sample_std(xs: Column) -> Column:

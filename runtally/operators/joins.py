@@ -216,7 +216,7 @@ def dangling_predecessors(defs: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     wants = defs.select(*keys, F.col("id").alias("task_id"), F.explode("predecessors").alias("predecessor"))
     have = defs.select(*keys, F.col("id").alias("predecessor"))
-    return wants.distinct().join(have, [*keys, "predecessor"], "left_anti")
+    return wants.distinct().join(have, [*keys, "predecessor"], "left_anti").select(*keys, "task_id", "predecessor")
 
 
 def stage_edges(defs: DataFrame, keys: Sequence[str], stage_order: Sequence[str]) -> DataFrame:

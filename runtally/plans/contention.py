@@ -65,7 +65,7 @@ def contention_driver(impact: DataFrame, min_ratio: float = 5.0) -> DataFrame:
         F.max(F.when(F.col("rn") == 1, F.col("key"))).alias("widest"),
         F.max(F.when(F.col("rn") == 1, F.col("range_seconds"))).alias("range_seconds"),
         F.max(F.when(F.col("rn") == 2, F.col("range_seconds"))).alias("runner_up"))
-    unclear = (F.col("runner_up") > 0) & (F.col("range_seconds") / F.col("runner_up") < min_ratio)
+    unclear = (F.col("runner_up") > 0) & (F.try_divide("range_seconds", "runner_up") < min_ratio)
     return top.withColumn("driver", F.when(~F.coalesce(unclear, F.lit(False)), F.col("widest")))
 
 
@@ -116,19 +116,20 @@ def worker_levels(runs: DataFrame, tasks: DataFrame) -> DataFrame:
             F.max_by(F.struct("run_id", "duration_seconds"), F.struct("start_time", "run_id")).alias("r")) \
         .select("workflow", "max_workers", "r.run_id", F.col("r.duration_seconds").alias("wall_clock"))
     stats = run_task_stats(of_runs(tasks, chosen))
-    eff = F.col("total_duration") / F.nullif(F.col("wall_clock"), F.lit(0.0))
+    eff = F.try_divide("total_duration", "wall_clock")
     return chosen.join(stats, "run_id").select(
         "workflow", "max_workers", "run_id", "wall_clock", F.col("total_duration").alias("total_task_time"),
         "task_count", F.col("avg_duration").alias("avg_task_duration"),
-        rounded(eff, 1).alias("effective_parallelism"), rounded(eff / F.col("max_workers"), 3).alias("efficiency"))
+        rounded(eff, 1).alias("effective_parallelism"), rounded(F.try_divide(eff, F.col("max_workers")), 3).alias("efficiency"))
 
 
 def concurrency_correlation(tasks: DataFrame) -> DataFrame:
     """Pearson r of overlap count and duration per run, 0 for under three tasks or no variance."""
-    r = F.corr(F.col("concurrent_count").cast("double"), "duration_seconds")
+    x, y = F.col("concurrent_count").cast("double"), F.col("duration_seconds")
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(y))
     return overlap_count(tasks).groupBy("run_id").agg(
         F.count("*").alias("n"),
-        F.when(F.count("*") < 3, F.lit(0.0)).otherwise(F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0))).alias("correlation"))
+        F.when(F.count("*") < 3, F.lit(0.0)).otherwise(F.coalesce(r, F.lit(0.0))).alias("correlation"))
 
 
 def concurrency_ceiling(runs: DataFrame, tasks: DataFrame, min_correlation: float = 0.7,
@@ -157,8 +158,8 @@ def concurrency_ceiling(runs: DataFrame, tasks: DataFrame, min_correlation: floa
     fewer = best["max_workers"] < worst["max_workers"]
     up = ((best["max_workers"] > worst["max_workers"]) & (best["max_workers"] > now)
           & (F.col("sweet")["max_workers"] > now))
-    eff = F.col("total_duration") / F.col("now_wall")
-    usage = eff / now
+    eff = F.try_divide("total_duration", "now_wall")
+    usage = F.try_divide(eff, now)
     alone = ((F.col("now_wall") > 0) & (F.col("_n") >= 5) & (F.col("correlation") >= min_correlation)
              & (usage < max_efficiency) & (round_to_5(eff) < now))
     kind = F.when(fewer, "multi_run").when(up, "scale_up").when(alone, "single_run")
@@ -171,7 +172,7 @@ def concurrency_ceiling(runs: DataFrame, tasks: DataFrame, min_correlation: floa
     return t.select(
         "workflow", workers.alias("ceiling_workers"), kind.alias("confidence"),
         rounded(slow - fast, 1).alias("wall_clock_improvement"),
-        rounded((slow - fast) / slow * 100, 1).alias("wall_clock_improvement_pct"),
+        rounded(F.try_divide(slow - fast, slow) * 100, 1).alias("wall_clock_improvement_pct"),
         F.when(one, rounded("correlation", 4)).alias("correlation"),
         F.when(one, rounded(usage, 3)).alias("efficiency")).filter("confidence IS NOT NULL")
 

@@ -16,14 +16,14 @@ from runtally.session import cut
 
 def read_runs(spark: SparkSession, path: str, workflow: str | None = None) -> DataFrame:
     """Run headers, newest first."""
-    df = spark.read.schema(RUNS).parquet(path)
+    df = spark.read.schema(RUNS).parquet(path).select(*RUNS.fieldNames())
     if workflow is not None:
         df = df.filter(F.col("workflow") == workflow)
     return df.orderBy(F.desc("start_time"))
 
 
 def read_task_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TASKS).parquet(path)
+    return spark.read.schema(TASKS).parquet(path).select(*TASKS.fieldNames())
 
 
 def decode_tasks(df: DataFrame) -> DataFrame:
