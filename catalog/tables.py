@@ -84,7 +84,7 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").withColumn("ts", F.col("l_shipdate").cast("timestamp"))
     n, failed = F.col("l_linenumber"), F.col("l_returnflag") == "R"
     out = li.select(
-        ((F.col("l_partkey") * 100000 + F.col("l_suppkey")) * 10 + n).alias("id"),
+        (((F.col("l_partkey") * 100000 + F.col("l_suppkey")) * 10 + n) * 100 + F.col("l_quantity").cast("long")).alias("id"),
         F.col("l_orderkey").cast("string").alias("run_id"), _s("wf_", F.col("l_orderkey") % 5).alias("workflow"),
         n.cast("string").alias("task_id"), _s("srv", n % 3).alias("instance"), _s("p", n).alias("process"),
         _params(pPart=F.col("l_partkey").cast("string"), pSupp=F.col("l_suppkey").cast("string")).alias("parameters"),
@@ -194,7 +194,7 @@ SELECT run_id, workflow, 'archive/' || workflow || '/' || run_id || '.json' AS t
        CASE WHEN day % 4 <> 0 THEN day % 4 = 1 END AS optimize, 'longest_first' AS optimization_algorithm
 FROM runs0""",
     "res": """
-SELECT (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS id, CAST(l_orderkey AS VARCHAR) AS run_id,
+SELECT ((l_partkey * 100000 + l_suppkey) * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS id, CAST(l_orderkey AS VARCHAR) AS run_id,
        'wf_' || (l_orderkey % 5) AS workflow, CAST(l_linenumber AS VARCHAR) AS task_id, l_linenumber AS n,
        'srv' || (l_linenumber % 3) AS instance, 'p' || l_linenumber AS process,
        '{"pPart": "' || l_partkey || '", "pSupp": "' || l_suppkey || '"}' AS params,

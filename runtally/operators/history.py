@@ -12,7 +12,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from runtally.functions.scalars import json_map, rate, rounded, seconds_between, success, target_of
-from runtally.operators.ordered import MIDDLES, QUARTILES, histogram, match, order_statistics
+from runtally.operators.ordered import (MIDDLES, QUARTILES, histogram, match, numbered, order_statistics,
+                                        split_large)
 from runtally.schemas import STAGE_ORDER
 
 ok = lambda: F.count_if(success())
@@ -316,25 +317,30 @@ def checkpoint_progress(state: DataFrame, total: str = "total_tasks") -> DataFra
 def expanded_summary(results: DataFrame, chunk: int = 1000) -> DataFrame:
     """One row per (run, task id) over all its instances.
 
-    Parameter sets and error texts are lists as long as the task has instances. They
-    come in chunks of ``chunk`` instances (``part`` 1, 2, …), so a task with a huge
-    number of instances has several rows instead of one unbounded cell.
+    Parameter sets and error texts are lists as long as the task has instances. A task
+    with more than ``chunk`` instances gets them in chunks (``part`` 1, 2, …), each row
+    with the same totals, so there is never an unbounded cell and nothing is left out.
     """
-    from runtally.operators.ordered import numbered
-
     keys = ["run_id", "task_id"]
-    n, good = F.count("*"), ok()
     base = F.min_by(F.struct("instance", "process", "chore", "stage"), F.struct("start_time", "id"))
-    totals = results.groupBy(*keys).agg(
-        base.alias("b"), n.alias("n"), good.alias("good"),
-        F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"),
-        F.sum("duration_seconds").alias("_d"), F.sum("retry_count").alias("retry_count"),
-        F.max("status").alias("_status"))
-    lists = numbered(results.select(*keys, "id", "start_time", "parameters", "error_message"),
-                     keys, ["start_time", "id"], "_rn") \
-        .withColumn("part", F.floor((F.col("_rn") - 1) / chunk) + 1) \
-        .groupBy(*keys, "part").agg(
-            F.array_sort(F.collect_list(F.struct("_rn", json_map("parameters").alias("json"), "error_message"))).alias("items"))
+    totals = [base.alias("b"), F.count("*").alias("n"), ok().alias("good"), F.min("start_time").alias("start_time"),
+              F.max("end_time").alias("end_time"), F.sum("duration_seconds").alias("_d"),
+              F.sum("retry_count").alias("retry_count"), F.max("status").alias("_status")]
+
+    def items(*order: str) -> Column:
+        return F.array_sort(F.collect_list(F.struct(*order, json_map("parameters").alias("json"), "error_message")))
+
+    ordinary, large = split_large(results, keys, chunk)
+    rows = ordinary.groupBy(*keys).agg(*totals, F.transform(items("start_time", "id"), lambda i: F.struct(
+        i["json"].alias("json"), i["error_message"].alias("error_message"))).alias("items")) \
+        .withColumn("part", F.lit(1).cast("long"))
+    if large is not None:
+        lists = numbered(large.select(*keys, "id", "start_time", "parameters", "error_message"),
+                         keys, ["start_time", "id"], "_rn") \
+            .withColumn("part", F.floor((F.col("_rn") - 1) / chunk) + 1).groupBy(*keys, "part").agg(
+                F.transform(items("_rn"), lambda i: F.struct(
+                    i["json"].alias("json"), i["error_message"].alias("error_message"))).alias("items"))
+        rows = rows.unionByName(match(lists, large.groupBy(*keys).agg(*totals), keys))
     texts = F.transform("items", lambda i: i["json"])
     errors = F.filter(F.transform("items", lambda i: i["error_message"]),
                       lambda e: F.coalesce(e, F.lit("")) != "")
@@ -343,7 +349,7 @@ def expanded_summary(results: DataFrame, chunk: int = 1000) -> DataFrame:
               .when(F.col("good") == 0, "Fail")
               .otherwise(F.format_string("Partial (%d/%d Success)", F.col("good"), F.col("n"))))
     wall = rounded(seconds_between("start_time", "end_time"), 3)
-    return match(lists, totals, keys).select(
+    return rows.select(
         *keys, "part", "b.*", status.alias("status"), "start_time", "end_time",
         F.when(many, F.coalesce(wall, "_d")).otherwise(F.col("_d")).alias("duration_seconds"),
         F.when(many, F.concat(F.lit('{"expanded": '), F.col("n").cast("string"),

@@ -18,10 +18,11 @@ from runtally.session import cut
 def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equal keys where NULL equals NULL; keeps the left key columns."""
     if not keys:
-        return left.join(right, F.lit(True), how)
+        raise ValueError("at least one key")
     r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+    joined = left.join(r, cond, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
 
 
 def running_sums(points: DataFrame, keys: Sequence[str], at: str, block: Column,
@@ -85,15 +86,43 @@ MIDDLES = {
 }
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str) -> DataFrame:
-    """Number the rows of every group from 1 in ``order``.
+# Rows of one group that one task may sort.
+LARGE_GROUP = 1_000_000
 
-    Rows are range-partitioned on keys and order, so a large group spreads over many
-    tasks. The sorted pieces are checkpointed, which fixes their bounds, and each piece
-    is shifted by the sizes of the pieces before it. ``order`` should be total.
+
+def large_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """Keys with more than ``limit`` rows, from a count that is combined before its shuffle."""
+    n = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+    return cut(n.select(*keys))
+
+
+def split_large(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary groups and, if there are any, rows of groups above ``limit``."""
+    large = large_groups(df, keys, limit)
+    if large.isEmpty():
+        return df, None
+    return match(df, large, keys, "left_anti"), match(df, large, keys, "left_semi")
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str,
+             large: int | None = None) -> DataFrame:
+    """Number the rows of every group from 1 in ``order``, which should be total.
+
+    Groups of up to ``large`` rows are sorted by one task each. Larger ones are
+    range-partitioned on keys and order, so they spread over many tasks.
     """
     keys = list(keys)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
+    if not keys:
+        return _numbered_in_ranges(df, keys, order, out)
+    ordinary, hot = split_large(df, keys, large or LARGE_GROUP)
+    plain = ordinary.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    return plain if hot is None else plain.unionByName(_numbered_in_ranges(hot, keys, order, out))
+
+
+def _numbered_in_ranges(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """The sorted ranges are checkpointed, which fixes their bounds; each is then shifted by
+    the rows its groups have in the ranges before it."""
     by = [*[F.col(k) for k in keys], *order]
     placed = cut(df.repartitionByRange(*by).sortWithinPartitions(*by)
                  .withColumn("_at", F.monotonically_increasing_id()))

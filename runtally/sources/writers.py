@@ -33,17 +33,22 @@ def start_run(headers: DataFrame) -> DataFrame:
     return conform(headers.drop(*open_), RUNS)
 
 
-def append_history(rows: DataFrame, path: str) -> None:
-    """Append to a table partitioned by workflow.
+def _laid_out(rows: DataFrame) -> DataFrame:
+    """Rows placed for a table partitioned by workflow and sorted by run.
 
     The rebalance hint lets the runtime split a workflow that holds most rows and merge
-    small ones, so files are neither huge nor many.
+    small ones, so files are neither huge nor many; the sort makes the minimum and maximum
+    of a file's row groups useful for look-ups by run.
     """
-    rows.hint("rebalance", "workflow").write.mode("append").partitionBy("workflow").parquet(path)
+    return rows.hint("rebalance", "workflow").sortWithinPartitions("workflow", "run_id")
+
+
+def append_history(rows: DataFrame, path: str) -> None:
+    _laid_out(rows).write.mode("append").partitionBy("workflow").parquet(path)
 
 
 def replace_history(rows: DataFrame, path: str) -> None:
-    rows.hint("rebalance", "workflow").write.mode("overwrite").partitionBy("workflow").parquet(path)
+    _laid_out(rows).write.mode("overwrite").partitionBy("workflow").parquet(path)
 
 
 def results_table(tasks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -17,7 +17,7 @@ def test_numbered_one_hot_group_spreads_over_tasks(spark):
                                (F.col("id") * 7919 % n).alias("v"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        out = o.numbered(df, ["k"], ["v"], "rn").cache()
+        out = o.numbered(df, ["k"], ["v"], "rn", large=1000).cache()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     want = df.selectExpr("k", "v", "row_number() over (partition by k order by v) rn")
@@ -26,8 +26,9 @@ def test_numbered_one_hot_group_spreads_over_tasks(spark):
 
 def test_numbered_nulls_and_descending(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", None)], "k string, v int")
-    got = rows(o.numbered(df, ["k"], [F.desc_nulls_last("v")], "rn"), "k", "v", "rn")
-    assert got == sorted([("a", 3, 1), ("a", None, 2), (None, 2, 1), (None, 1, 2)], key=lambda t: tuple((x is None, str(x)) for x in t))
+    for large in (100, 1):
+        got = rows(o.numbered(df, ["k"], [F.desc_nulls_last("v")], "rn", large=large), "k", "v", "rn")
+        assert got == sorted([("a", 3, 1), ("a", None, 2), (None, 2, 1), (None, 1, 2)], key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
 def test_numbered_over_everything(spark):
