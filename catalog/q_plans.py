@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.tables import SENSITIVITY, definitions, executions, runs
+from catalog.tables import SENSITIVITY, definitions, executions, runs as derived_runs
 from runtally.operators import joins as j
 from runtally.plans import contention as c, estimates as e
+from runtally.session import cut
+
+
+def runs(spark, sf):
+    """Run headers are a stored table in practice; here they are derived, so keep them once."""
+    return cut(derived_runs(spark, sf))
 
 
 @query("runtime_estimates", """SELECT w.workflow, w.task_signature, CASE WHEN coalesce(sample_count, 0) > 0 THEN ewma ELSE default_estimate END AS ewma, coalesce(sample_count, 0) AS sample_count,

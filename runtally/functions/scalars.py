@@ -55,17 +55,20 @@ def json_string(x) -> Column:
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 
-def json_map(m, sort_keys: bool = False) -> Column:
-    """Map as JSON text with ", " and ": " separators; NULL or empty gives ``{}``."""
-    entries = F.map_entries(_c(m))
-    if sort_keys:
-        entries = F.array_sort(entries)
+def json_entries(entries: Column) -> Column:
+    """Array of key/value structs as a JSON object; NULL gives ``{}``."""
     pairs = F.transform(entries, lambda e: F.concat(
         json_string(e["key"]), F.lit(": "),
         F.coalesce(json_string(e["value"]), F.lit("null"))))
     return F.coalesce(F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")), F.lit("{}"))
 
 
+def json_map(m, sort_keys: bool = False) -> Column:
+    """Map as JSON text with ", " and ": " separators; NULL or empty gives ``{}``."""
+    entries = F.map_entries(_c(m))
+    return json_entries(F.array_sort(entries) if sort_keys else entries)
+
+
 def json_strings(a) -> Column:
     """Array of strings as JSON text; NULL stays NULL."""
     return F.concat(F.lit("["), F.array_join(F.transform(_c(a), json_string), ", "), F.lit("]"))

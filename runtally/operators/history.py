@@ -11,7 +11,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from runtally.functions.scalars import json_map, rate, rounded, seconds_between, success, target_of
+from runtally.functions.scalars import json_entries, rate, rounded, seconds_between, success, target_of
 from runtally.operators.ordered import (MIDDLES, QUARTILES, histogram, match, numbered, order_statistics,
                                         split_large)
 from runtally.schemas import STAGE_ORDER
@@ -177,18 +177,12 @@ def run_distribution(runs: DataFrame, tasks: DataFrame) -> DataFrame:
     d = tasks.filter(success() & F.col("duration_seconds").isNotNull()) \
         .select("run_id", "duration_seconds")
     hist = histogram(d, ["run_id"], "duration_seconds")
-    q = order_statistics(hist, ["run_id"], "duration_seconds", {**QUARTILES, **MIDDLES})
-    fence = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    out = match(hist, q.select("run_id", fence.alias("fence")), ["run_id"]) \
-        .filter(F.col("duration_seconds") > F.col("fence")) \
+    q = order_statistics(hist, ["run_id"], "duration_seconds", {**QUARTILES, **MIDDLES}, moments=True) \
+        .withColumn("median", (F.col("mid_low") + F.col("mid_high")) / 2) \
+        .withColumn("fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
+    out = hist.join(q.select("run_id", "fence"), "run_id").filter(F.col("duration_seconds") > F.col("fence")) \
         .groupBy("run_id").agg(F.sum("c").alias("outlier_count"))
-    v, c, n = F.col("duration_seconds"), F.col("c"), F.sum("c")
-    basic = hist.groupBy("run_id").agg(F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v * c) / n).alias("mean"))
-    off = F.pow(v - F.col("mean"), 2) * c
-    std = match(hist, basic.select("run_id", "mean"), ["run_id"]).groupBy("run_id").agg(
-        F.when(n > 1, F.sqrt(F.sum(off) / (n - 1))).alias("std_dev"))
-    got = basic.join(q, "run_id").join(std, "run_id").join(out, "run_id", "left") \
-        .withColumn("median", (F.col("mid_low") + F.col("mid_high")) / 2)
+    got = q.join(out, "run_id", "left")
     return runs.select("run_id").join(got, "run_id", "left").select(
         "run_id", *[zero_if_null(rounded(c, 2)).alias(c)
                     for c in ("min", "q1", "median", "q3", "max", "mean", "std_dev")],
@@ -328,20 +322,22 @@ def expanded_summary(results: DataFrame, chunk: int = 1000) -> DataFrame:
               F.sum("retry_count").alias("retry_count"), F.max("status").alias("_status")]
 
     def items(*order: str) -> Column:
-        return F.array_sort(F.collect_list(F.struct(*order, json_map("parameters").alias("json"), "error_message")))
+        # Entries and not text: the text is then made after the shuffle, spread over all tasks.
+        return F.array_sort(F.collect_list(F.struct(*order, F.map_entries("parameters").alias("entries"), "error_message")))
+
+    def kept(i: Column) -> Column:
+        return F.struct(i["entries"].alias("entries"), i["error_message"].alias("error_message"))
 
     ordinary, large = split_large(results, keys, chunk)
-    rows = ordinary.groupBy(*keys).agg(*totals, F.transform(items("start_time", "id"), lambda i: F.struct(
-        i["json"].alias("json"), i["error_message"].alias("error_message"))).alias("items")) \
+    rows = ordinary.groupBy(*keys).agg(*totals, F.transform(items("start_time", "id"), kept).alias("items")) \
         .withColumn("part", F.lit(1).cast("long"))
     if large is not None:
         lists = numbered(large.select(*keys, "id", "start_time", "parameters", "error_message"),
                          keys, ["start_time", "id"], "_rn") \
             .withColumn("part", F.floor((F.col("_rn") - 1) / chunk) + 1).groupBy(*keys, "part").agg(
-                F.transform(items("_rn"), lambda i: F.struct(
-                    i["json"].alias("json"), i["error_message"].alias("error_message"))).alias("items"))
+                F.transform(items("_rn"), kept).alias("items"))
         rows = rows.unionByName(match(lists, large.groupBy(*keys).agg(*totals), keys))
-    texts = F.transform("items", lambda i: i["json"])
+    texts = F.transform("items", lambda i: json_entries(i["entries"]))
     errors = F.filter(F.transform("items", lambda i: i["error_message"]),
                       lambda e: F.coalesce(e, F.lit("")) != "")
     many = F.col("n") > 1

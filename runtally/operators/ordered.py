@@ -60,19 +60,25 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def order_statistics(hist: DataFrame, keys: Sequence[str], value: str,
-                     positions: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """Exact i-th smallest values per group; each position is a 0-based function of n."""
-    keys = list(keys)
-    n = hist.groupBy(*keys).agg(F.sum("c").alias("n"))
-    h = match(hist, n, keys)
-
-    def holds(p: Column) -> Column:
-        return (p >= F.col("upto") - F.col("c")) & (p < F.col("upto"))
+                     positions: dict[str, Callable[[Column], Column]], moments: bool = False) -> DataFrame:
+    """Exact i-th smallest values per group; each position is a 0-based function of n.
 
-    hits = {name: holds(pos(F.col("n"))) for name, pos in positions.items()}
-    return (h.filter(reduce(lambda a, b: a | b, hits.values()))
-            .groupBy(*keys, "n")
-            .agg(*[F.max(F.when(hit, F.col(value))).alias(name) for name, hit in hits.items()]))
+    ``moments`` adds min, max, mean and the sample deviation from the same histogram.
+    """
+    keys = list(keys)
+    v, c, n = F.col(value), F.col("c"), F.col("n")
+    first, second = [F.sum(c).alias("n")], []
+    if moments:
+        first += [F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v * c) / F.sum(c)).alias("mean")]
+        second = [F.sum(F.pow(v - F.col("mean"), 2) * c).alias("_dev")]
+    totals = hist.groupBy(*keys).agg(*first)
+    h = match(hist, totals, keys)
+    hits = {name: (pos(n) >= F.col("upto") - c) & (pos(n) < F.col("upto")) for name, pos in positions.items()}
+    rows = h if moments else h.filter(reduce(lambda a, b: a | b, hits.values()))
+    out = rows.groupBy(*totals.columns).agg(*[F.max(F.when(hit, v)).alias(name) for name, hit in hits.items()], *second)
+    if moments:
+        out = out.withColumn("std_dev", F.when(n > 1, F.sqrt(F.try_divide("_dev", n - 1)))).drop("_dev")
+    return out
 
 
 # Quartile positions by index; fewer than four values use the ends.

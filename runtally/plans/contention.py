@@ -109,13 +109,21 @@ def light_slots() -> Column:
 
 # ---- concurrency ------------------------------------------------------------
 
-def worker_levels(runs: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Newest successful run at each number of workers and how well it used them."""
-    chosen = runs.filter(success() & F.col("max_workers").isNotNull() & F.col("duration_seconds").isNotNull()) \
+def _level_runs(runs: DataFrame) -> DataFrame:
+    """Newest successful run at each number of workers."""
+    return runs.filter(success() & F.col("max_workers").isNotNull() & F.col("duration_seconds").isNotNull()) \
         .groupBy("workflow", "max_workers").agg(
             F.max_by(F.struct("run_id", "duration_seconds"), F.struct("start_time", "run_id")).alias("r")) \
         .select("workflow", "max_workers", "r.run_id", F.col("r.duration_seconds").alias("wall_clock"))
-    stats = run_task_stats(of_runs(tasks, chosen))
+
+
+def worker_levels(runs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Newest successful run at each number of workers and how well it used them."""
+    chosen = _level_runs(runs)
+    return _levels(chosen, run_task_stats(of_runs(tasks, chosen)))
+
+
+def _levels(chosen: DataFrame, stats: DataFrame) -> DataFrame:
     eff = F.try_divide("total_duration", "wall_clock")
     return chosen.join(stats, "run_id").select(
         "workflow", "max_workers", "run_id", "wall_clock", F.col("total_duration").alias("total_task_time"),
@@ -139,7 +147,13 @@ def concurrency_ceiling(runs: DataFrame, tasks: DataFrame, min_correlation: floa
         F.struct("run_id", "max_workers", "duration_seconds"), F.struct("start_time", "run_id")).alias("r"))
         .select("workflow", F.col("r.run_id").alias("run_id"), F.col("r.max_workers").alias("now_workers"),
                 F.col("r.duration_seconds").alias("now_wall")))
-    levels = cut(worker_levels(runs, tasks))
+    chosen = cut(_level_runs(runs))
+    # One pass over the history brings the tasks of all runs looked at.
+    looked_at = chosen.select("run_id").unionByName(newest.select("run_id")).distinct()
+    few = cut(of_runs(tasks, looked_at).select(
+        "id", "run_id", "task_id", "status", "start_time", "end_time", "duration_seconds"))
+    stats = cut(run_task_stats(few))
+    levels = cut(_levels(chosen, stats))
     pair = best_worst_level(levels).filter("levels >= 2")
     row = F.struct("max_workers", "wall_clock")
     around = match(levels, pair.select("workflow", F.col("best.wall_clock").alias("_bw")), WF) \
@@ -148,9 +162,8 @@ def concurrency_ceiling(runs: DataFrame, tasks: DataFrame, min_correlation: floa
             F.min_by(F.when(F.col("wall_clock") <= F.col("_bw") * 1.10, row),
                      F.when(F.col("wall_clock") <= F.col("_bw") * 1.10, F.col("max_workers"))).alias("sweet"),
             F.max(F.when(F.col("run_id") == F.col("_now"), row)).alias("current"))
-    newest_tasks = of_runs(tasks, newest)
-    single = newest.join(run_task_stats(newest_tasks), "run_id", "left") \
-        .join(concurrency_correlation(newest_tasks).select("run_id", F.col("n").alias("_n"), "correlation"), "run_id", "left")
+    single = newest.join(stats, "run_id", "left") \
+        .join(concurrency_correlation(of_runs(few, newest)).select("run_id", F.col("n").alias("_n"), "correlation"), "run_id", "left")
     t = match(match(single, pair, WF, "left"), around, WF, "left")
 
     best, worst, now = F.col("best"), F.col("worst"), F.col("now_workers")
@@ -221,18 +234,18 @@ def analyze(runs: DataFrame, tasks: DataFrame, sensitivity: float = 10.0, lookba
 def contention_report(runs: DataFrame, tasks: DataFrame, sensitivity: float = 10.0, **kw) -> DataFrame:
     """One row per workflow: driver, fan-out, heavy groups, ceiling, workers and the warning."""
     a = analyze(runs, tasks, sensitivity, **kw)
-    known = tasks.select("workflow", "task_signature").distinct() \
-        .join(a.estimates.select("task_signature"), "task_signature", "left_semi") \
-        .select("workflow").distinct().withColumn("_known", F.lit(True))
+    # A workflow is known if a signature it uses has succeeded somewhere.
+    used = cut(tasks.groupBy("workflow", "task_signature").agg(F.count_if(success()).alias("good")))
+    won = used.groupBy("task_signature").agg(F.sum("good").alias("_won")).filter("_won > 0")
+    t = used.join(won, "task_signature", "left").groupBy("workflow").agg(F.bool_or(F.col("_won").isNotNull()).alias("_known"))
     has_tasks = a.task_params.groupBy("workflow").agg(F.lit(True).alias("_tasks"))
     has_keys = a.varying.groupBy("workflow").agg(F.lit(True).alias("_keys"))
     ranges = _ranked(a.impact).filter("rn <= 3").groupBy("workflow").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rn", "key", "range_seconds"))),
         lambda x: F.concat(x["key"], F.lit("="), F.format_string("%.1f", x["range_seconds"]), F.lit("s"))), ", ").alias("_ranges"))
     links = a.chains.groupBy("workflow").agg(F.count_distinct("task_id").alias("chained_tasks"))
-    t = tasks.select("workflow").distinct()
     ceiling = concurrency_ceiling(runs, tasks).select("workflow", "ceiling_workers", F.col("confidence").alias("ceiling_kind"))
-    for part in (known, has_tasks, has_keys, a.drivers.select("workflow", "driver"), a.workers, ranges, links, ceiling):
+    for part in (has_tasks, has_keys, a.drivers.select("workflow", "driver"), a.workers, ranges, links, ceiling):
         t = match(t, part, WF, "left")
 
     off = F.lit(False)
