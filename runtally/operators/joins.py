@@ -4,43 +4,87 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from runtally.functions.scalars import fan_out_key, rate, rounded, success
 from runtally.operators.history import zero_if_null
-from runtally.operators.ordered import match, numbered, running_sums
+from runtally.operators.ordered import LARGE_GROUP, match, numbered, running_sums, split_large
 from runtally.schemas import INPUT_EXCLUSIONS, MEASURES
 from runtally.session import cut
 
 # ---- intervals --------------------------------------------------------------
 
 
-def overlaps(rows: DataFrame, keys: Sequence[str], counts: dict[str, Column | None],
-             start: str = "start_time", end: str = "end_time") -> DataFrame:
+def overlaps(rows: DataFrame, keys: Sequence[str], counts: dict[str, Column | None], row_id: str = "id",
+             start: str = "start_time", end: str = "end_time", large: int | None = None) -> DataFrame:
     """Add how many other rows of the same key have an overlapping interval.
 
     Counted from running sums of starts and ends, never from pairs of rows: those that
     start before my end, less those that ended by my start. ``counts`` maps each new column
     to the flag of the rows it counts (None for all); a row never counts itself.
 
-    The sums are kept per distinct instant and checkpointed, so the two look-ups share one
-    pass, and rows that start together are split by the join and not sorted in one task.
+    Keys of up to ``large`` rows are sorted by one task each, in one shuffle; the sums of
+    larger ones are taken block by block.
     """
-    keys, names = list(keys), list(counts)
-    one = {c: F.lit(1) if f is None else F.coalesce(f, F.lit(False)).cast("int") for c, f in counts.items()}
-    empty = F.col(start) == F.col(end)
-
+    keys = list(keys)
+    flags = {c: F.lit(1) if f is None else F.coalesce(f, F.lit(False)).cast("int") for c, f in counts.items()}
+    timed = F.col(start).isNotNull() & F.col(end).isNotNull()
+    ordinary, hot = split_large(rows.filter(timed), keys, large or LARGE_GROUP)
+    out = _overlaps_in_one_sort(ordinary, keys, flags, row_id, start, end)
+    if hot is not None:
+        out = out.unionByName(_overlaps_in_blocks(hot, keys, flags, start, end))
+    alone = rows.filter(~timed).select("*", *[F.lit(0).cast("long").alias(c) for c in flags])
+    return out.unionByName(alone).select(*rows.columns, *flags)
+
+
+def _moves(flags: dict[str, Column], start: str, end: str) -> Column:
+    """A start and an end per row: instant, flags that start, flags that end, flags of empty intervals."""
     def move(t: str, begins: bool) -> Column:
-        fields = [F.col(t).alias("t")]
-        for i, c in enumerate(names):
-            n, zero = one[c], F.lit(0)
+        fields = [F.col(t).alias("t"), F.lit(begins).alias("begins")]
+        for i, n in enumerate(flags.values()):
+            zero = F.lit(0)
             fields += [(n if begins else zero).alias(f"s{i}"), (zero if begins else n).alias(f"e{i}"),
-                       (F.when(empty, n).otherwise(0) if begins else zero).alias(f"z{i}")]
+                       (F.when(F.col(start) == F.col(end), n).otherwise(0) if begins else zero).alias(f"z{i}")]
         return F.struct(*fields)
 
-    ids = range(len(names))
-    points = rows.filter(F.col(start).isNotNull() & F.col(end).isNotNull()) \
-        .select(*keys, F.inline(F.array(move(start, True), move(end, False)))).groupBy(*keys, "t") \
+    return F.array(move(start, True), move(end, False))
+
+
+def _count(x: Column, y: Column, z: Column, own: Column, start: str, end: str) -> Column:
+    """Others that overlap: started before my end ``x``, ended by my start ``y``, empty at my instant ``z``."""
+    return F.when(F.col(start) == F.col(end), x - y + z).otherwise(x - y - own).cast("long")
+
+
+def _overlaps_in_one_sort(rows: DataFrame, keys: list[str], flags: dict[str, Column], row_id: str,
+                          start: str, end: str) -> DataFrame:
+    ids = range(len(flags))
+    upto = Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    now = Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.currentRow, Window.currentRow)
+    rest = [c for c in rows.columns if c not in (*keys, row_id)]
+    moved = rows.select(*keys, row_id, F.struct(*rest).alias("_row"), F.struct(*flags.values()).alias("_own"),
+                        F.inline(_moves(flags, start, end)))
+    sums = moved.select(*keys, row_id, "_row", "_own", "begins", *[x for i in ids for x in (
+        (F.sum(f"s{i}").over(upto) - F.sum(f"s{i}").over(now)).alias(f"x{i}"),
+        F.sum(f"e{i}").over(upto).alias(f"y{i}"), F.sum(f"z{i}").over(now).alias(f"z{i}"))])
+    # Still placed by key, so bringing the two halves of a row together needs no shuffle.
+    both = sums.groupBy(*keys, row_id).agg(
+        F.first("_row").alias("_row"), F.first("_own").alias("_own"), *[x for i in ids for x in (
+            F.max(F.when(~F.col("begins"), F.col(f"x{i}"))).alias(f"x{i}"),
+            F.max(F.when(F.col("begins"), F.col(f"y{i}"))).alias(f"y{i}"),
+            F.max(F.when(F.col("begins"), F.col(f"z{i}"))).alias(f"z{i}"))])
+    own = both.schema["_own"].dataType.fieldNames()
+    flat = both.select(*keys, row_id, "_row.*", *[F.col("_own")[n].alias(f"_own{i}") for i, n in enumerate(own)],
+                       *[f"{m}{i}" for i in ids for m in "xyz"])
+    return flat.select(*rows.columns, *[
+        _count(F.col(f"x{i}"), F.col(f"y{i}"), F.col(f"z{i}"), F.col(f"_own{i}"), start, end).alias(c)
+        for i, c in enumerate(flags)])
+
+
+def _overlaps_in_blocks(rows: DataFrame, keys: list[str], flags: dict[str, Column], start: str, end: str) -> DataFrame:
+    """The sums are kept per distinct instant and checkpointed, so the two look-ups share one
+    pass, and rows that start together are split by the join and not sorted in one task."""
+    ids = range(len(flags))
+    points = rows.select(*keys, F.inline(_moves(flags, start, end))).groupBy(*keys, "t") \
         .agg(*[F.sum(f"{m}{i}").alias(f"{m}{i}") for i in ids for m in "sez"])
     # A minute holds at most 6e7 distinct instants, a year half a million minutes.
     sweep = cut(running_sums(points, keys, "t", F.floor(F.unix_micros("t") / 60_000_000),
@@ -48,14 +92,10 @@ def overlaps(rows: DataFrame, keys: Sequence[str], counts: dict[str, Column | No
     at_end = sweep.select(*keys, F.col("t").alias(end), *[(F.col(f"su{i}") - F.col(f"s{i}")).alias(f"_x{i}") for i in ids])
     at_start = sweep.select(*keys, F.col("t").alias(start), *[F.col(f"eu{i}").alias(f"_y{i}") for i in ids],
                             *[F.col(f"z{i}").alias(f"_z{i}") for i in ids])
-    both = match(match(rows, at_end, [*keys, end], "left"), at_start, [*keys, start], "left")
-
-    def count(i: int, c: str) -> Column:
-        gone = F.col(f"_x{i}") - F.col(f"_y{i}")
-        return F.coalesce(F.when(empty, gone + F.col(f"_z{i}")).otherwise(gone), F.lit(0)) \
-            - F.when(empty | F.col(f"_x{i}").isNull() | F.col(f"_y{i}").isNull(), 0).otherwise(one[c])
-
-    return both.select(*rows.columns, *[count(i, c).alias(c) for i, c in enumerate(names)])
+    both = match(match(rows, at_end, [*keys, end]), at_start, [*keys, start])
+    return both.select(*rows.columns, *[
+        _count(F.col(f"_x{i}"), F.col(f"_y{i}"), F.col(f"_z{i}"), own, start, end).alias(c)
+        for i, (c, own) in enumerate(flags.items())])
 
 
 def overlap_count(tasks: DataFrame) -> DataFrame:
@@ -64,12 +104,12 @@ def overlap_count(tasks: DataFrame) -> DataFrame:
     return overlaps(slim, ["run_id"], {"concurrent_count": None}).filter(success()).drop("status")
 
 
-def blocking_sessions(sessions: DataFrame) -> DataFrame:
+def blocking_sessions(sessions: DataFrame, large: int | None = None) -> DataFrame:
     """How many concurrent sessions on its instance block each session.
 
     An exclusive session is blocked by any other, a normal one only by exclusive ones.
     """
-    both = overlaps(sessions, ["instance"], {"_any": None, "_excl": F.col("exclusive")})
+    both = overlaps(sessions, ["instance"], {"_any": None, "_excl": F.col("exclusive")}, row_id="session", large=large)
     n = F.when(F.col("exclusive"), F.col("_any")).otherwise(F.col("_excl"))
     return both.withColumn("blocking", n).withColumn("must_wait", n > 0).drop("_any", "_excl")
 

@@ -119,13 +119,10 @@ def wait_sequences(lines: DataFrame, keys: Sequence[str], pos: str, is_wait: Col
     seq = cut(running_sums(marks, keys, pos, F.floor(F.col(pos) / block), {"sequence": "_w", **(also or {})}))
     work = seq.filter(F.col("_w") == 0).drop("_w")
     sizes = work.groupBy(*keys, "sequence").agg(F.count("*").alias("size"))
-    w = Window.partitionBy(*keys).orderBy("sequence")
-    before = F.lag("sequence").over(w), F.lag("size").over(w)
-    steps = sizes.select(*keys, "sequence", before[0].alias("previous"), before[1].alias("previous_size"))
-    if not compact:
-        next_to = F.col("previous") == F.col("sequence") - 1
-        steps = steps.select(*keys, "sequence", F.when(next_to, F.col("previous")).alias("previous"),
-                             F.when(next_to, F.col("previous_size")).alias("previous_size"))
+    place = numbered(sizes, keys, ["sequence"], "_no") if compact else sizes.withColumn("_no", F.col("sequence"))
+    ahead = place.select(*keys, (F.col("_no") + 1).alias("_no"), F.col("sequence").alias("previous"),
+                         F.col("size").alias("previous_size"))
+    steps = match(place.drop("size"), ahead, [*keys, "_no"], "left").drop("_no")
     return match(work, steps, [*keys, "sequence"])
 
 
