@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runtally.llm import piece_bpe
+from runtally.llm import language, piece_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("op10_piece_bpe")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf, "documents"))
+
+
+@query("op9_zstd_language")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(table(spark, sf, "documents"))
