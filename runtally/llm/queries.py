@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runtally.llm import language, piece_bpe
+from runtally.llm import language, packing, piece_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_zstd_language")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(table(spark, sf, "documents"))
+
+
+@query("op6_island_packing")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"))
