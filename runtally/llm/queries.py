@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runtally.llm import language, packing, piece_bpe
+from runtally.llm import language, minhash, packing, piece_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_island_packing")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
+
+
+@query("op7_hyperminhash")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents"), percent=85)
