@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runtally.llm import language, minhash, packing, piece_bpe
+from runtally.llm import embedding_pairs, language, minhash, packing, piece_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,21 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_hyperminhash")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"), percent=85)
+
+
+@query("op4_projection_collisions", """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    ), ok AS (
+      SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(e, x -> x <> 0)) > 0
+    ), pair AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+    ), reach(a, b) AS (SELECT a, b FROM pair UNION SELECT r.a, p.b FROM reach r JOIN pair p ON r.b = p.a)
+    SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(c.m, v.vec_id)) AS component_id,
+      v.vec_id = least(v.vec_id, coalesce(c.m, v.vec_id)) AS kept
+    FROM v LEFT JOIN (SELECT a, count(*) AS n FROM pair GROUP BY a) n ON n.a = v.vec_id
+      LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) c ON c.a = v.vec_id""")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_pairs.near_vectors(table(spark, sf, "embeddings"))
