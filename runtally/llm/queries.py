@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runtally.llm import embedding_pairs, language, minhash, packing, piece_bpe
+from runtally.llm import embedding_pairs, language, minhash, packing, piece_bpe, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
       LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) c ON c.a = v.vec_id""")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_pairs.near_vectors(table(spark, sf, "embeddings"))
+
+
+@query("op3_randomness_battery")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf, "documents"))
