@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runtally.llm import embedding_pairs, language, minhash, packing, piece_bpe, secret_scan
+from runtally.llm import embedding_pairs, factorisation, language, minhash, packing, piece_bpe, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,8 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_randomness_battery")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf, "documents"))
+
+
+@query("op2_factorisation_machine")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return factorisation.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
