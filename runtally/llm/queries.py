@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runtally.llm import embedding_pairs, factorisation, language, minhash, packing, piece_bpe, secret_scan
+from runtally.llm import embedding_pairs, factorisation, imatch, language, minhash, packing, piece_bpe, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_factorisation_machine")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return factorisation.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op1_imatch")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return imatch.compare_edited(table(spark, sf, "documents"))
