@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runtally.llm import embedding_pairs, factorisation, imatch, language, minhash, packing, piece_bpe, secret_scan
+from runtally.llm import (embedding_pairs, factorisation, imatch, language, line_winnow, minhash, packing, piece_bpe, secret_scan,
+                          warc)
+from runtally.llm.rows import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,8 +53,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     WITH RECURSIVE v AS (
       SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
     ), ok AS (
-      SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-        AND len(list_filter(e, x -> x <> 0)) > 0
+      SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0
+        AND len([x FOR x IN e IF x <> 0]) > 0
     ), pair AS (
       SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
       WHERE list_cosine_similarity(a.e, b.e) >= 0.98
@@ -78,3 +80,48 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_imatch")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return imatch.compare_edited(table(spark, sf, "documents"))
+
+
+@query("op8_line_winnowing", """
+    WITH line AS (
+      SELECT doc_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)
+    ), weight AS (
+      SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS u FROM line
+    ), summed AS (
+      SELECT *, sum(u) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS e, (sum(u) OVER (PARTITION BY doc_id ORDER BY pos) - u)::BIGINT AS b FROM weight
+    ), win AS (
+      SELECT doc_id, pos AS i, max(pos) OVER a AS j, md5(array_to_string(list(line) OVER a, chr(10))) AS w, sum(u) OVER a AS n FROM summed
+        WINDOW a AS (PARTITION BY doc_id ORDER BY b RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+      UNION ALL
+      SELECT doc_id, min(pos) OVER z AS i, pos AS j, md5(array_to_string(list(line) OVER z, chr(10))) AS w, sum(u) OVER z AS n FROM summed
+        WINDOW z AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
+    ), won AS (
+      SELECT DISTINCT doc_id, i, j, w FROM win WHERE n >= 50
+    ), firsts AS (
+      SELECT w, arg_min(doc_id, (doc_id, i)) AS d, arg_min(i, (doc_id, i)) AS i0, arg_min(j, (doc_id, i)) AS j0 FROM won GROUP BY w
+    ), gone AS (
+      SELECT DISTINCT doc_id, unnest(generate_series(i, j)) AS pos FROM won JOIN firsts USING (w) WHERE doc_id <> d OR i > j0
+    ), left_over AS (
+      SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS t
+      FROM line l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id
+    )
+    SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(length(t), 0) AS n_chars_left, sha256(t) AS left_sha256
+    FROM documents d LEFT JOIN left_over USING (doc_id)""")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return line_winnow.report(table(spark, sf, "documents"))
+
+
+@query("op5_content_addressed_warc", """
+    WITH p AS (
+      SELECT page_id, encode(coalesce(html, '')) AS b, unhex(sha1(encode(coalesce(html, ''))))::BIT::VARCHAR AS bits FROM pages
+    ), d AS (
+      SELECT page_id, octet_length(b) AS payload_bytes, max(page_id) OVER (PARTITION BY b) AS top,
+        array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * (substr(bits, 5 * i + 1, 1) = '1')::INT + 8 * (substr(bits, 5 * i + 2, 1) = '1')::INT
+          + 4 * (substr(bits, 5 * i + 3, 1) = '1')::INT + 2 * (substr(bits, 5 * i + 4, 1) = '1')::INT + (substr(bits, 5 * i + 5, 1) = '1')::INT, 1) FOR i IN range(32)], '') AS payload_digest FROM p
+    )
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> top THEN top END AS refers_to FROM d""")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark)
+    warc.write_archive(table(spark, sf, "pages"), path)
+    return warc.described(warc.read_archive(spark, path))

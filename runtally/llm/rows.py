@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from runtally.session import cut
+from runtally.session import cut, ensure_checkpoint_dir
 
 #: Rows that a Python step takes at a time; texts may be long.
 STEP = 256
@@ -45,3 +46,8 @@ def remainder(key: Column, of: int) -> Column:
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there."""
     return cut(df)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
