@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from runtally.llm.components import components
-from runtally.llm.rows import kept, mapped, texts
+from runtally.llm.rows import kept, mapped, steps, texts
 
 WORDS = 5
 #: Registers of a sketch (a power of two), mantissa bits of each, and registers of a band. At a similarity of 0.85 one of the 25
@@ -168,6 +168,20 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, key: str = "doc_id"
     return found.union(_linked(docs, again, classes, percent, key, text))
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """node, key (the least), regs, n_shingles of the distinct non-empty sets."""
+    usable = rows.where("key is not null and node is not null")
+    return kept(usable.groupBy("node").agg(F.min("key").alias("key"), F.first("regs").alias("regs"), F.first("n_shingles").alias("n_shingles")))
+
+
+def _components(docs: DataFrame, classes: DataFrame, percent: int, key: str, text: str) -> DataFrame:
+    """node, component_id (the least key of its component) of every class."""
+    roots = kept(components(links(docs, classes, percent, key, text)))
+    least = kept(roots.join(classes, "node").groupBy("root").agg(F.min("key").alias("least")))
+    placed = roots.join(least, "root").select("node", "least")
+    return kept(classes.select("node", "key").join(placed, "node", "left").select("node", F.coalesce("least", "key").alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row: documents linked at 100 * intersection >= percent * union.
 
@@ -176,13 +190,36 @@ def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
     class of their text. Other columns are not read; an empty table gives an empty result.
     """
     rows = kept(sketches(docs, key, text))
-    usable = rows.where("key is not null and node is not null")
-    classes = kept(usable.groupBy("node").agg(F.min("key").alias("key"), F.first("regs").alias("regs"), F.first("n_shingles").alias("n_shingles")))
-    roots = kept(components(links(docs, classes, percent, key, text)))
-    least = kept(roots.join(classes, "node").groupBy("root").agg(F.min("key").alias("least")))
-    placed = roots.join(least, "root").select("node", "least")
-    answer = kept(classes.select("node", "key").join(placed, "node", "left").select("node", F.coalesce("least", "key").alias("component_id")))
+    answer = _components(docs, _classes(rows), percent, key, text)
     loose = rows.where("node is null or key is null").withColumn("component_id", F.col("key"))
     joined = rows.where("node is not null and key is not null").join(answer, "node")
     return joined.select("key", "n_shingles", "component_id").union(loose.select("key", "n_shingles", "component_id")).select(
         F.col("key").alias("doc_id"), "n_shingles", "component_id", (F.col("key") == F.col("component_id")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, all their columns, of which no near duplicate with a smaller key is there.
+
+    Rows with a null key, and rows without words, stay. Of rows that repeat a key all stay or go that share a text: a row goes if
+    its own text belongs to a group whose smallest key is another.
+    """
+    rows = kept(sketches(docs, key, text))
+    classes = _classes(rows)
+    answer = _components(docs, classes, percent, key, text)
+    gone = rows.join(answer, "node").where(F.col("key") != F.col("component_id")).select("key", "node").distinct()
+    lost = kept(gone.withColumn("gone", F.lit(True)))
+    few = lost.groupBy("key").agg(F.collect_set("node").alias("gone_nodes"))
+    joined = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).join(few, F.col("row")[key].cast("long") == few["key"], "left")
+
+    def run(batches):
+        for part in steps(batches):
+            own = [None if g is None else set(g) for g in part.column("gone_nodes").to_pylist()]
+            doubt = [i for i, g in enumerate(own) if g]
+            found = shingle_sets([part.column("row").field(at)[i].as_py() or "" for i in doubt])
+            keep = [True] * part.num_rows
+            for i, s in zip(doubt, found):
+                keep[i] = xxhash.xxh3_128_digest(s.tobytes()) not in own[i]
+            yield pa.RecordBatch.from_arrays(part.column("row").flatten(), names=names).filter(pa.array(keep, pa.bool_()))
+
+    at, names = docs.columns.index(text), docs.columns
+    return joined.select("row", "gone_nodes").mapInArrow(run, docs.schema)
