@@ -39,10 +39,13 @@ def default_estimate(spark, sf):
     return w.default_estimate(per_workflow(t, signature_history(t)))
 
 
-@query("concurrency_timeline", """WITH g AS (SELECT run_id, start_time AS t0, unnest(range(least(floor(coalesce(duration_seconds, 0))::INTEGER + 1, 3600))) AS second FROM runs),
- m AS (SELECT run_id, start_time AS t, 1 AS d FROM ex WHERE end_time IS NOT NULL UNION ALL SELECT run_id, end_time, -1 FROM ex WHERE end_time IS NOT NULL)
- SELECT g.run_id, second, greatest(coalesce(sum(m.d), 0), 0)::BIGINT AS count FROM g LEFT JOIN m ON m.run_id = g.run_id AND m.t <= g.t0 + to_seconds(second)
- GROUP BY g.run_id, second""")
+@query("concurrency_timeline", """WITH g AS (SELECT run_id, start_time AS t0, floor(coalesce(duration_seconds, 0))::BIGINT AS last FROM runs),
+ m AS (SELECT run_id, start_time AS t, 1 AS d FROM ex WHERE end_time IS NOT NULL UNION ALL SELECT run_id, end_time, -1 FROM ex WHERE end_time IS NOT NULL),
+ c AS (SELECT g.run_id, last, greatest(ceil((epoch_us(t) - epoch_us(t0)) / 1000000.0), 0)::BIGINT AS second, d FROM g JOIN m USING (run_id)
+   UNION ALL SELECT run_id, last, 0, 0 FROM g),
+ s AS (SELECT run_id, last, second, sum(d) AS d FROM c WHERE second <= last GROUP BY ALL HAVING sum(d) <> 0 OR second = 0)
+ SELECT run_id, second, coalesce(lead(second) OVER w, last + 1) - 1 AS until, greatest(sum(d) OVER w, 0)::BIGINT AS count FROM s
+ WINDOW w AS (PARTITION BY run_id ORDER BY second)""")
 def concurrency_timeline(spark, sf):
     return w.concurrency_timeline(runs(spark, sf), executions(spark, sf))
 
@@ -139,11 +142,11 @@ def task_page(spark, sf):
 
 
 @query("natural_order", """SELECT file, pos, id, row_number() OVER (PARTITION BY file ORDER BY CASE WHEN CAST(try_cast(id AS HUGEINT) AS VARCHAR) = id THEN 0 ELSE 1 END,
- try_cast(id AS HUGEINT) NULLS FIRST, regexp_extract(id, '^(\\D*)', 1), try_cast(regexp_extract(id, '^\\D*(\\d{1,30})', 1) AS HUGEINT) NULLS FIRST, id, pos) AS position
- FROM raw WHERE id <> ''""")
+ try_cast(id AS HUGEINT) NULLS FIRST, regexp_extract(id, '^(\\D*)', 1), length(ltrim(nullif(regexp_extract(id, '^\\D*(\\d+)', 1), ''), '0')) NULLS FIRST, ltrim(regexp_extract(id, '^\\D*(\\d+)', 1), '0'), id, pos) AS position
+ FROM raw""")
 def natural_order(spark, sf):
-    d = faulty_definitions(spark, sf).filter("id <> ''").select("file", "pos", "id")
-    return w.natural_order(d, ["file"], "id")
+    d = faulty_definitions(spark, sf).select("file", "pos", "id")
+    return w.natural_order(d, ["file"], "id", ["pos"])
 
 
 @query("optimized_order", """SELECT workflow, task_signature, task_id, row_number() OVER (PARTITION BY workflow ORDER BY ewma DESC, estimated, task_signature) AS order

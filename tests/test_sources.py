@@ -59,7 +59,7 @@ def test_taskfile_round_trip(spark, tmp_path):
 
 OPT = '''# a comment
 
-id="1" predecessors="" require_predecessor_success="False" instance="srv" process="p one" pDir="F:\\Cons\\Go\\" pX=1
+id="1" predecessors="" require_predecessor_success="False" instance="srv" process="p one" pDir="D:\\stock\\in\\" pX=1
 id="2" predecessors="1" require_predecessor_success="yes" instance="srv" process="p2" timeout="30" Safe_Retry="TRUE" stage=""
 id="3" predecessors="1,2" instance="srv" chore="nightly"
 id="4" instance="broken
@@ -85,7 +85,7 @@ def test_line_files(spark, tmp_path):
     t = {(r["workflow"], r["id"]): r for r in readers.parse_task_lines(lines).collect()}
     assert set(t) == {("opt", "1"), ("opt", "2"), ("opt", "3"), ("norm", "1"), ("norm", "2"), ("norm", "3"), ("norm", "4")}
     one, two, three = (t[("opt", i)] for i in "123")
-    assert (one["process"], one["parameters"], one["predecessors"]) == ("p one", {"pDir": "F:\\Cons\\Go\\", "pX": "1"}, [])
+    assert (one["process"], one["parameters"], one["predecessors"]) == ("p one", {"pDir": "D:\\stock\\in\\", "pX": "1"}, [])
     assert (two["predecessors"], two["require_predecessor_success"], two["timeout"], two["safe_retry"], two["stage"]) == (["1"], True, 30, True, None)
     assert (three["predecessors"], three["chore"], three["process"]) == (["1", "2"], "nightly", None)
     norm = {r["process"]: (r["sequence"], r["previous"], r["previous_size"]) for k, r in t.items() if k[0] == "norm"}
