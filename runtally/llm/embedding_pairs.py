@@ -142,16 +142,19 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id",
         "label", "dim", "x", "y", "part", (F.col("x") + F.col("o.i")).alias("x2"), (F.col("y") + F.col("o.j")).alias("y2"))
     other = blocks.select("label", "dim", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("part").alias("part2"))
     pairs = kept(ahead.join(other, ["label", "dim", "x2", "y2"]).where("x <> x2 or y <> y2 or part <= part2").withColumn(
-        "pair", F.struct("label", "dim", "x", "y", "part", "x2", "y2", "part2")))
+        "pair", F.struct("label", "dim", "x", "y", "part", "x2", "y2", "part2")).withColumn("alone", F.expr("x = x2 and y = y2 and part = part2")))
     place = ["label", "dim", "x", "y", "part"]
-    held = ["node", "size", "dim", "vector"]
-    one = placed.join(pairs.select("pair", *place), place).select("pair", F.lit(0).alias("side"), *held)
-    two = placed.join(pairs.where("x <> x2 or y <> y2 or part <> part2").select("pair", "label", "dim", F.col("x2").alias("x"), F.col("y2").alias("y"), F.col("part2").alias("part")),
+    held = ["alone", "node", "size", "dim", "vector"]
+    one = placed.join(pairs.select("pair", "alone", *place), place).select("pair", F.lit(0).alias("side"), *held)
+    two = placed.join(pairs.where("not alone").select("pair", "alone", "label", "dim", F.col("x2").alias("x"), F.col("y2").alias("y"), F.col("part2").alias("part")),
                       place).select("pair", F.lit(1).alias("side"), *held)
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         left, right = group[group["side"] == 0], group[group["side"] == 1]
-        return compare(left, right if len(right) else None, cosine)
+        if group["alone"].iloc[0]:
+            return compare(left, None, cosine)
+        # A hashed part of a cell can be empty.
+        return compare(left, right, cosine) if len(left) and len(right) else pd.DataFrame({"node": [], "links": [], "root": []})
 
     found = kept(one.union(two).groupBy("pair").applyInPandas(meet, "node binary, links long, root binary"))
     links = kept(found.groupBy("node").agg(F.sum("links").alias("links")))
