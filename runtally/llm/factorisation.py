@@ -84,7 +84,7 @@ def fit(ids: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray) ->
     rng = np.random.default_rng(SEED)
     share = labels.mean() if len(labels) else 0.5
     machine = Machine(0.0, np.zeros(WIDTH), rng.normal(0, 0.05, (WIDTH, FACTORS)))
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         machine.factors[:] = 0
         machine.bias = 8.0 * (2 * share - 1)
         return machine

