@@ -255,22 +255,27 @@ def run_status_counts(spark, sf):
 
 
 SUMMARY_SQL = """
-WITH o AS (SELECT *, row_number() OVER (PARTITION BY run_id, task_id ORDER BY start_time, id) AS k FROM res)
-SELECT run_id, task_id, 1 AS part, min_by(instance, k) AS instance, min_by(process, k) AS process, CAST(NULL AS VARCHAR) AS chore,
- arg_min_null(stage, k) AS stage,
- CASE WHEN count(*) = 1 THEN max(status) WHEN count(*) FILTER (status = 'Success') = count(*) THEN 'Success'
-      WHEN count(*) FILTER (status = 'Success') = 0 THEN 'Fail'
-      ELSE 'Partial (' || count(*) FILTER (status = 'Success') || '/' || count(*) || ' Success)' END AS status,
- min(start_time) AS start_time, max(end_time) AS end_time,
- CASE WHEN count(*) > 1 THEN (epoch_us(max(end_time)) - epoch_us(min(start_time))) / 1000000.0 ELSE max(duration_seconds) END AS duration_seconds,
- CASE WHEN count(*) > 1 THEN '{"expanded": ' || count(*) || ', "parameters": [' || string_agg(params, ', ' ORDER BY k) || ']}' ELSE max(params) END AS parameters,
- coalesce(string_agg(error_message, '; ' ORDER BY k), '') AS error_message, sum(retry_count)::BIGINT AS retry_count, count(*) AS instances
-FROM o GROUP BY run_id, task_id"""
+WITH o AS (SELECT *, row_number() OVER (PARTITION BY run_id, task_id ORDER BY start_time, id) AS k FROM res),
+ t AS (SELECT run_id, task_id, count(*) AS cnt, count(*) FILTER (status = 'Success') AS good, min(start_time) AS s, max(end_time) AS e,
+   sum(retry_count)::BIGINT AS tries, arg_min(error_message, k) AS error FROM o GROUP BY run_id, task_id)
+SELECT run_id, task_id, id, workflow, instance, process, array_to_string(preds, '|') AS predecessors, stage,
+ CASE WHEN cnt = 1 THEN status WHEN good = cnt THEN 'Success' WHEN good = 0 THEN 'Fail' ELSE 'Partial (' || good || '/' || cnt || ' Success)' END AS status,
+ s AS start_time, e AS end_time, CASE WHEN cnt > 1 THEN (epoch_us(e) - epoch_us(s)) / 1000000.0 ELSE duration_seconds END AS duration_seconds,
+ CASE WHEN cnt > 1 THEN '{"expanded": ' || cnt || '}' ELSE params END AS parameters, coalesce(error, '') AS error_message, tries AS retry_count, cnt AS instances
+FROM o JOIN t USING (run_id, task_id) WHERE k = 1"""
+
+
+@query("expanded_details", """SELECT run_id, task_id, row_number() OVER (PARTITION BY run_id, task_id ORDER BY start_time, id) AS instance_no,
+ params AS parameters, coalesce(error_message, '') AS error_message FROM res""")
+def expanded_details(spark, sf):
+    return h.expanded_details(results(spark, sf))
 
 
 @query("expanded_summary", SUMMARY_SQL, dbl="duration_seconds:3", ts="start_time,end_time")
 def expanded_summary(spark, sf):
-    return h.expanded_summary(results(spark, sf))
+    return h.expanded_summary(results(spark, sf)).withColumn("predecessors", F.array_join("predecessors", "|")).select(
+        "run_id", "task_id", "id", "workflow", "instance", "process", "predecessors", "stage", "status", "start_time", "end_time",
+        "duration_seconds", "parameters", "error_message", "retry_count", "instances")
 
 
 @query("result_and", """SELECT run_id, task_id, count(*) AS instances, bool_and(status = 'Success' OR retry_count < 2) AS complete,

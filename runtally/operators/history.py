@@ -12,8 +12,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from runtally.functions.scalars import json_entries, rate, rounded, seconds_between, success, target_of
-from runtally.operators.ordered import (MIDDLES, QUARTILES, histogram, match, numbered, order_statistics,
-                                        split_large)
+from runtally.operators.ordered import MIDDLES, QUARTILES, histogram, match, numbered, order_statistics
 from runtally.schemas import STAGE_ORDER
 
 ok = lambda: F.count_if(success())
@@ -308,47 +307,37 @@ def checkpoint_progress(state: DataFrame, total: str = "total_tasks") -> DataFra
         ((n("pending") == 0) & (n("in_progress") == 0)).alias("is_complete"))
 
 
-def expanded_summary(results: DataFrame, chunk: int = 1000) -> DataFrame:
-    """One row per (run, task id) over all its instances.
+def expanded_summary(results: DataFrame) -> DataFrame:
+    """One row per (run, task id) over all its instances, whatever their number.
 
-    Parameter sets and error texts are lists as long as the task has instances. A task
-    with more than ``chunk`` instances gets them in chunks (``part`` 1, 2, …), each row
-    with the same totals, so there is never an unbounded cell and nothing is left out.
+    A task with one instance keeps its row. Of several, the first by start keeps its columns, except status, times, retries and
+    the first error there is; ``parameters`` then tells how many there are. ``expanded_details`` lists each instance.
     """
     keys = ["run_id", "task_id"]
-    base = F.min_by(F.struct("instance", "process", "chore", "stage"), F.struct("start_time", "id"))
-    totals = [base.alias("b"), F.count("*").alias("n"), ok().alias("good"), F.min("start_time").alias("start_time"),
-              F.max("end_time").alias("end_time"), F.sum("duration_seconds").alias("_d"),
-              F.sum("retry_count").alias("retry_count"), F.max("status").alias("_status")]
-
-    def items(*order: str) -> Column:
-        # Entries and not text: the text is then made after the shuffle, spread over all tasks.
-        return F.array_sort(F.collect_list(F.struct(*order, F.map_entries("parameters").alias("entries"), "error_message")))
-
-    def kept(i: Column) -> Column:
-        return F.struct(i["entries"].alias("entries"), i["error_message"].alias("error_message"))
-
-    ordinary, large = split_large(results, keys, chunk)
-    rows = ordinary.groupBy(*keys).agg(*totals, F.transform(items("start_time", "id"), kept).alias("items")) \
-        .withColumn("part", F.lit(1).cast("long"))
-    if large is not None:
-        lists = numbered(large.select(*keys, "id", "start_time", "parameters", "error_message"),
-                         keys, ["start_time", "id"], "_rn") \
-            .withColumn("part", F.floor((F.col("_rn") - 1) / chunk) + 1).groupBy(*keys, "part").agg(
-                F.transform(items("_rn"), kept).alias("items"))
-        rows = rows.unionByName(match(lists, large.groupBy(*keys).agg(*totals), keys))
-    texts = F.transform("items", lambda i: json_entries(i["entries"]))
-    errors = F.filter(F.transform("items", lambda i: i["error_message"]),
-                      lambda e: F.coalesce(e, F.lit("")) != "")
+    order = F.struct("start_time", "id")
+    replaced = ["status", "start_time", "end_time", "duration_seconds", "retry_count", "error_message", "parameters"]
+    shared = [c for c in results.columns if c not in (*keys, *replaced)]
+    failed = F.when(F.coalesce("error_message", F.lit("")) != "", order)
+    rows = results.groupBy(*keys).agg(
+        F.min_by(F.struct(*shared, F.map_entries("parameters").alias("_entries")), order).alias("b"), F.count("*").alias("n"), ok().alias("good"),
+        F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.sum("duration_seconds").alias("_d"),
+        F.sum("retry_count").alias("retry_count"), F.max("status").alias("_status"), F.min_by("error_message", failed).alias("error_message"))
     many = F.col("n") > 1
     status = (F.when(~many, F.col("_status")).when(F.col("good") == F.col("n"), "Success")
               .when(F.col("good") == 0, "Fail")
               .otherwise(F.format_string("Partial (%d/%d Success)", F.col("good"), F.col("n"))))
     wall = rounded(seconds_between("start_time", "end_time"), 3)
     return rows.select(
-        *keys, "part", "b.*", status.alias("status"), "start_time", "end_time",
+        *keys, *[F.col("b")[c].alias(c) for c in shared], status.alias("status"), "start_time", "end_time",
         F.when(many, F.coalesce(wall, "_d")).otherwise(F.col("_d")).alias("duration_seconds"),
-        F.when(many, F.concat(F.lit('{"expanded": '), F.col("n").cast("string"),
-                              F.lit(', "parameters": ['), F.array_join(texts, ", "), F.lit("]}")))
-        .otherwise(F.element_at(texts, 1)).alias("parameters"),
-        F.array_join(errors, "; ").alias("error_message"), "retry_count", F.col("n").alias("instances"))
+        F.when(many, F.concat(F.lit('{"expanded": '), F.col("n").cast("string"), F.lit("}")))
+        .otherwise(json_entries(F.col("b")["_entries"])).alias("parameters"),
+        F.coalesce("error_message", F.lit("")).alias("error_message"), "retry_count", F.col("n").alias("instances"))
+
+
+def expanded_details(results: DataFrame) -> DataFrame:
+    """Every instance of every (run, task id) in order of start: its number from 1, parameters and error."""
+    keys = ["run_id", "task_id"]
+    few = results.select(*keys, "id", "start_time", "parameters", "error_message")
+    return numbered(few, keys, ["start_time", "id"], "instance_no").select(
+        *keys, "instance_no", json_entries(F.map_entries("parameters")).alias("parameters"), F.coalesce("error_message", F.lit("")).alias("error_message"))

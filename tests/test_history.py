@@ -114,14 +114,16 @@ def test_expanded_summary(spark):
     got = {r["task_id"]: r for r in h.expanded_summary(df).collect()}
     assert (got["1"]["status"], got["1"]["parameters"], got["1"]["instances"]) == ("Success", '{"a": "1"}', 1)
     assert (got["2"]["status"], got["2"]["duration_seconds"], got["2"]["retry_count"], got["2"]["error_message"]) == ("Partial (1/2 Success)", 5.0, 3, "boom")
-    assert got["2"]["parameters"] == '{"expanded": 2, "parameters": [{"a": "1"}, {"a": "2"}]}'
-    assert (got["3"]["status"], got["3"]["error_message"]) == ("Fail", "x; y")
-    # A task with more instances than fit one list comes in parts and keeps all of them.
+    assert (got["2"]["parameters"], got["2"]["id"]) == ('{"expanded": 2}', 2) and set(TASKS.fieldNames()) <= set(got["1"].asDict())
+    assert (got["3"]["status"], got["3"]["error_message"]) == ("Fail", "x")
+    details = sorted(tuple(r) for r in h.expanded_details(df).collect())
+    assert details == [("r", "1", 1, '{"a": "1"}', ""), ("r", "2", 1, '{"a": "1"}', ""), ("r", "2", 2, '{"a": "2"}', "boom"),
+                       ("r", "3", 1, "{}", "x"), ("r", "3", 2, "{}", "y")]
+    # The grain does not depend on how many instances there are.
     many = spark.range(2500).select("id", F.lit("r").alias("run_id"), F.lit("9").alias("task_id"), F.lit("Success").alias("status"),
                                     F.lit(t).alias("start_time"), F.lit(t).alias("end_time"), F.create_map(F.lit("k"), F.col("id").cast("string")).alias("parameters"))
-    parts = h.expanded_summary(conform(many, TASKS)).orderBy("part").collect()
-    assert [p["part"] for p in parts] == [1, 2, 3] and all(p["instances"] == 2500 for p in parts)
-    assert sum(p["parameters"].count('"k"') for p in parts) == 2500
+    assert [r["instances"] for r in h.expanded_summary(conform(many, TASKS)).collect()] == [2500]
+    assert sorted(r["instance_no"] for r in h.expanded_details(conform(many, TASKS)).collect()) == list(range(1, 2501))
 
 
 def test_search_and_selection(seed):
