@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from runtally.llm.piece_bpe import byte_chars
 from runtally.llm.rows import kept, mapped, steps, texts
 from runtally.llm.tokens import Memo
 
@@ -33,7 +35,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row l
 
 
 class JsonBpe:
-    """Ids of whole texts by a tokenizer file, as little-endian 32-bit numbers."""
+    """Ids of whole texts by a tokenizer file, as unsigned 32-bit numbers (little-endian, as the machines Spark runs on)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,10 +43,25 @@ class JsonBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = Memo(self._encode)
+        self.model = self.tokenizer.model
+        self.to_chars = dict(enumerate(byte_chars()))
+        self.memo = Memo(self._pieces)
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _pieces(self, parts: list[str]) -> list[bytes]:
+        """A space and letters are one pre-token, which the merges alone encode; all else goes through the whole tokenizer."""
+        out: list[bytes | None] = [None] * len(parts)
+        rest = []
+        for i, x in enumerate(parts):
+            if x[:1] == " " and x[1:].isalpha():
+                out[i] = array("I", [t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(self.to_chars))]).tobytes()
+            else:
+                rest.append(i)
+        for i, code in zip(rest, self._encode([parts[i] for i in rest])):
+            out[i] = code
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """A text that holds the name of a special token is encoded in one go, as such a name may span pieces."""

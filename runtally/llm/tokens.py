@@ -8,7 +8,9 @@ from collections.abc import Callable
 #: Pieces longer than this are encoded each time; shorter ones are remembered.
 LONG = 48
 #: Pieces remembered by one Python worker before it starts anew.
-MEMO = 300_000
+MEMO = 600_000
+#: Signs at the end of a word that the split pattern always parts from its letters, as one run.
+SIGNS = ".,;:!?"
 
 _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?!\S)")
@@ -29,13 +31,28 @@ class Memo(dict):
     def __init__(self, encode: Callable[[list[str]], list[bytes]]):
         super().__init__()
         self.encode = encode
+        self.signs: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode pieces; letters that signs follow are encoded without them, as many words differ in those only."""
+        stems = [x.rstrip(SIGNS) for x in new]
+        alone = list({s if s != x and s.isalpha() else x for x, s in zip(new, stems)}.difference(self))
+        self.update(zip(alone, self.encode([" " + x for x in alone])))
+        for x, s in zip(new, stems):
+            if x not in self:
+                end = x[len(s):]
+                if end not in self.signs:
+                    if len(self.signs) >= MEMO:
+                        self.signs.clear()
+                    self.signs[end] = self.encode([end])[0]
+                self[x] = self[s] + self.signs[end]
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The encodings of whole texts: those of their pieces, one after the other."""
         parts = [cuts(t) for t in texts]
         heads = self.encode([p[0] for p in parts])
         new = list(set().union(*(p[1:] for p in parts)).difference(self))
-        self.update(zip(new, self.encode([" " + x for x in new])))
+        self._learn(new)
         out = [b"".join([head, *map(self.__getitem__, p[1:])]) for head, p in zip(heads, parts)]
         if len(self) > MEMO:
             self.clear()
