@@ -10,34 +10,24 @@ from runtally.llm.rows import kept
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` for every node of the edges (a, b): root is the smallest node that can be reached.
 
-    Every round replaces the edges of a node by edges to its smallest neighbour (first for the larger neighbours, then for the
-    smaller ones), until all edges are stars; that takes a number of rounds that grows with the logarithm of the longest path.
-    Hubs are pre-aggregated before their shuffle: a node needs the minimum of its neighbours, which its rows then join. Null
-    ends and loops are ignored.
+    Until every component is a star around its smallest node, a round replaces the edges of a node by edges to its smallest
+    neighbour, first for the larger neighbours, then for the smaller ones; the number of rounds grows with the logarithm of the
+    longest path. Hubs are pre-aggregated before their shuffle: a node needs the minimum of its neighbours, which its rows then
+    join. Null ends and loops are ignored.
     """
-    pairs = edges.where("a is not null and b is not null and a <> b").select(
-        F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    pairs = kept(pairs)
-    before = _state(pairs)
-    while before[0]:
-        # large star: larger neighbours of a node go to the least of the node and its neighbours
-        least = kept(pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).groupBy("u").agg(F.min("v").alias("m")))
-        up = pairs.join(least, pairs["lo"] == least["u"], "left").select("hi", F.coalesce("m", "lo").alias("lo"))
-        up = kept(up.distinct())
-        # small star: smaller neighbours of a node, and the node, go to the least of them
+    pairs = kept(edges.where("a is not null and b is not null and a <> b").select(
+        F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    while not _stars(pairs):
+        least = kept(pairs.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")))
+        up = kept(pairs.join(least, pairs["lo"] == least["u"], "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct())
         least = kept(up.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")))
-        down = up.join(least, up["hi"] == least["u"]).select(F.col("lo").alias("x"), "m").where("x <> m").union(
-            least.select(F.col("u").alias("x"), "m"))
-        pairs = kept(down.select(F.col("x").alias("hi"), F.col("m").alias("lo")).distinct())
-        after = _state(pairs)
-        if after == before:
-            break
-        before = after
-    return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
-        pairs.select(F.col("lo").alias("node"), F.col("lo").alias("root"))).distinct()
-
-
-def _state(pairs: DataFrame) -> tuple:
-    """Number of edges, of distinct upper ends, and a sum that any change of an edge changes."""
-    r = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-    return r[0], r[1]
+        down = up.join(least, up["hi"] == least["u"]).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").union(least)
+        pairs = kept(down.distinct())
+    return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(pairs.select("lo", "lo").distinct())
+
+
+def _stars(pairs: DataFrame) -> bool:
+    """Whether no node has two smaller neighbours, or smaller and larger ones."""
+    ends = pairs.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        pairs.select("lo", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return ends.where("up > 1 or (up = 1 and down > 0)").isEmpty()

@@ -139,7 +139,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int,
 
 
 def links(docs: DataFrame, classes: DataFrame, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Links (a, b) between classes of equal shingle sets, enough of them for the components of all links.
+    """Edges (a, b) between classes of equal shingle sets that have the components of all links.
 
     Classes that share a band form a group. First every member is held against the group's leader, the member whose bands are
     the most shared, as the common original of a group of copies is. Then members outside the largest component of a group are
@@ -156,8 +156,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, key: str = "doc_id"
     leaders = kept(members.join(score, "node").groupBy("band").agg(F.max(F.struct("score", "node"))["node"].alias("leader")))
     first = kept(members.join(leaders, "band").where("node <> leader").select(
         F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
-    found = kept(_linked(docs, first, classes, percent, key, text))
-    roots = kept(components(found))
+    roots = kept(components(_linked(docs, first, classes, percent, key, text)))
     placed = kept(members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
     sizes = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     split = kept(sizes.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("band", "main"))
@@ -165,7 +164,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, key: str = "doc_id"
     others = there.where("root <> main").select("band", F.col("node").alias("u"), F.col("root").alias("root_u"))
     again = others.join(there, "band").where("root <> root_u and (root = main or u < node)").select(
         F.least("node", "u").alias("a"), F.greatest("node", "u").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return found.union(_linked(docs, again, classes, percent, key, text))
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_linked(docs, again, classes, percent, key, text))
 
 
 def _classes(rows: DataFrame) -> DataFrame:
