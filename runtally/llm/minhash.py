@@ -20,6 +20,9 @@ SLACK = 5.0
 _EMPTY = 0xFFFF
 _MASK = (1 << 64) - 1
 _WEIGHTS = np.array([xxhash.xxh3_64_intdigest(b"word", seed=i) | 1 for i in range(WORDS)], np.uint64)
+BANDS = REGISTERS // BAND
+_BAND_SEEDS = np.array([xxhash.xxh3_64_intdigest(b"band", seed=i) for i in range(BANDS)], np.uint64)
+_ORDER = np.random.default_rng(7).random((REGISTERS, REGISTERS))
 _MEMO = 300_000
 _memo: dict[bytes, bytes] = {}
 
@@ -68,6 +71,20 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """A key for each band of a sketch.
+
+    An empty register takes the value of the register that comes first in an order of its own, so that a band of a short text
+    stands for as many draws from its shingles as that of a long one, and one shared line does not make texts share a band.
+    """
+    empty, full = np.flatnonzero(regs == _EMPTY), np.flatnonzero(regs != _EMPTY)
+    dense = regs.astype(np.uint64)
+    if len(empty):
+        dense[empty] = dense[full[_ORDER[np.ix_(empty, full)].argmin(1)]]
+    rows = dense[:BANDS * BAND].reshape(BANDS, BAND)
+    return _mix((rows * _WEIGHTS[:BAND]).sum(1, dtype=np.uint64) + _BAND_SEEDS).view("<i8")
+
+
 def collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Probability that a register of two unrelated sets of n and m shingles agrees: the sum over its values."""
     n, m = n / REGISTERS, m / REGISTERS
@@ -88,15 +105,17 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, node (128-bit digest of the shingle set), regs of every row; node and regs are null for empty sets."""
+    """key, n_shingles, node (128-bit digest of the shingle set), regs, bands of every row; the last three are null for empty sets."""
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(texts(part))
+        regs = [registers(s) if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays([
             part.column("key"), pa.array([len(s) for s in sets], pa.int64()),
             pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-            pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())], ["key", "n_shingles", "node", "regs"])
+            pa.array([None if r is None else r.tobytes() for r in regs], pa.binary()),
+            pa.array([None if r is None else band_keys(r) for r in regs], pa.list_(pa.int64()))], ["key", "n_shingles", "node", "regs", "bands"])
 
-    return mapped(docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")), run, "key long, n_shingles long, node binary, regs binary")
+    return mapped(docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")), run, "key long, n_shingles long, node binary, regs binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -146,10 +165,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, key: str = "doc_id"
     held against its members in other components. Pairs within one component need no check, so a large group of near copies
     costs in proportion to its size; what remains to be compared is what the leader did not join.
     """
-    width = 2 * BAND
-    band = lambda i: F.substring("regs", width * i + 1, width)
-    bands = classes.select("node", F.explode(F.filter(F.array(*[
-        F.when(band(i) != F.lit(b"\xff" * width), F.xxhash64(F.lit(i), band(i))) for i in range(REGISTERS // BAND)]), lambda x: x.isNotNull())).alias("band"))
+    bands = classes.select("node", F.explode("bands").alias("band"))
     shared = kept(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = kept(bands.join(shared, "band"))
     score = kept(members.groupBy("node").agg(F.sum(F.log("n")).alias("score")))
@@ -168,9 +184,9 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, key: str = "doc_id"
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """node, key (the least), regs, n_shingles of the distinct non-empty sets."""
+    """node, key (the least), regs, bands, n_shingles of the distinct non-empty sets."""
     usable = rows.where("key is not null and node is not null")
-    return kept(usable.groupBy("node").agg(F.min("key").alias("key"), F.first("regs").alias("regs"), F.first("n_shingles").alias("n_shingles")))
+    return kept(usable.groupBy("node").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("regs", "bands", "n_shingles")]))
 
 
 def _components(docs: DataFrame, classes: DataFrame, percent: int, key: str, text: str) -> DataFrame:
