@@ -162,10 +162,10 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, key: str = "doc_id"
 
     Classes that share a band form a group. First every member is held against the group's leader, the member whose bands are
     the most shared, as the common original of a group of copies is. Then members outside the largest component of a group are
-    held against its members in other components. Pairs within one component need no check, so a large group of near copies
+    held against its members of like size in other components. Pairs within one component need no check, so a large group of near copies
     costs in proportion to its size; what remains to be compared is what the leader did not join.
     """
-    bands = classes.select("node", F.explode("bands").alias("band"))
+    bands = classes.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
     shared = kept(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = kept(bands.join(shared, "band"))
     score = kept(members.groupBy("node").agg(F.sum(F.log("n")).alias("score")))
@@ -173,12 +173,13 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, key: str = "doc_id"
     first = kept(members.join(leaders, "band").where("node <> leader").select(
         F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
     roots = kept(components(_linked(docs, first, classes, percent, key, text)))
-    placed = kept(members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
+    placed = kept(members.join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root")))
     sizes = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    split = kept(sizes.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("band", "main"))
+    split = kept(sizes.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("all")).where("roots > 1 and all > 2").select("band", "main"))
     there = kept(placed.join(split, "band"))
-    others = there.where("root <> main").select("band", F.col("node").alias("u"), F.col("root").alias("root_u"))
-    again = others.join(there, "band").where("root <> root_u and (root = main or u < node)").select(
+    others = there.where("root <> main").select("band", F.col("node").alias("u"), F.col("root").alias("root_u"), F.col("size").alias("size_u"))
+    alike = 100 * F.least("size", "size_u") >= percent * F.greatest("size", "size_u")
+    again = others.join(there, "band").where("root <> root_u and (root = main or u < node)").where(alike).select(
         F.least("node", "u").alias("a"), F.greatest("node", "u").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_linked(docs, again, classes, percent, key, text))
 
