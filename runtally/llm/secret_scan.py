@@ -49,7 +49,9 @@ ENCODINGS = {
 #: Shortest run that is tested; share of false discoveries; level of the three tests; steps of -log10 p, and their number.
 LEAST, FALSE, LEVEL, BINS, MOST = 20, 0.01, 0.001, 10, 3000
 
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{%d,}(?![A-Za-z0-9+/_-])" % LEAST)
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}" % LEAST)
+#: Parts of a run between signs that only one of the two base64 alphabets has, and between signs of either.
+PARTS = tuple(re.compile("[A-Za-z0-9%s]{%d,}" % (signs, LEAST)) for signs in ("+/", "_-", ""))
 MASK = "[secret]"
 
 _INDEX = {}
@@ -129,16 +131,27 @@ def length_class(n: int) -> int:
     return int(2 * math.log2(n))
 
 
-def tested(text: str, ordinary: Ordinary) -> list[tuple[int, int, str, int, int]]:
-    """(start, end, encoding, class, step of -log10 p) of the runs that the three tests leave as random."""
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of every run, and of its parts between signs, as a secret may follow a path or a name."""
     found = []
     for m in RUN.finditer(text):
-        if (inferred := encoding_of(m[0])) is None:
+        found.append(m.span())
+        if not m[0].isalnum():
+            found += sorted({p.span() for form in PARTS for p in form.finditer(text, *m.span())} - {m.span()})
+    return found
+
+
+def tested(text: str, ordinary: Ordinary) -> list[tuple[int, int, str, int, int]]:
+    """(start, end, encoding, class, step of -log10 p) of the runs and parts of runs that an encoding holds; the step is 0
+    where one of the three tests speaks against randomness."""
+    found = []
+    for start, end in candidates(text):
+        if (inferred := encoding_of(text[start:end])) is None:
             continue
         name, x = inferred
         chi, *three = battery(x, len(ENCODINGS[name]))
         p = ordinary.probability(name, chi, len(x)) if min(three) >= LEVEL / 3 else 1.0
-        found.append((m.start(), m.end(), name, length_class(len(x)), min(MOST, int(-math.log10(max(p, 1e-300)) * BINS))))
+        found.append((start, end, name, length_class(len(x)), min(MOST, int(-math.log10(max(p, 1e-300)) * BINS))))
     return found
 
 
@@ -150,11 +163,15 @@ class Scan:
     least: dict[tuple[str, int], int]
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, str, int]]]:
-        """Spans of the fixed forms, and (start, kind, end) of random runs that lie in none of those."""
+        """Spans of the fixed forms, and (start, kind, end) of random runs that lie in none of those.
+
+        Of a run and its parts only those are given that lie in no other one found random; two parts may overlap.
+        """
         base = base_spans(text)
         more = []
-        for start, end, name, size, step in tested(text, self.ordinary):
-            if step >= self.least.get((name, size), MOST + 1) and not any(a <= start and end <= b for a, _, b in base):
+        hits = [(a, b, name) for a, b, name, size, step in tested(text, self.ordinary) if step >= self.least.get((name, size), MOST + 1)]
+        for start, end, name in sorted(hits, key=lambda x: (x[0], -x[1])):
+            if not any(a <= start and end <= b for a, _, b in [*base, *more[-1:]]):
                 more.append((start, f"random_{name}", end))
         return base, more
 

@@ -73,3 +73,23 @@ def test_spans_and_digest(spark):
 
 def df_schema(spark):
     return awkward(spark, "spans n_hex key").schema
+
+
+def test_secrets_behind_names_and_paths(spark):
+    rows = [r[:2] for r in planted()]
+    forms = ("auth={}", "?sig={}&x=1", "AWS_SECRET_ACCESS_KEY={}", "== {}", "my-site/some_path/{}", "assets/img/{}", "client_key-v2/{}")
+    hidden = {5000 + 100 * f + k: (form, token(5000 + 100 * f + k, 40)) for f, form in enumerate(forms) for k in range(15)}
+    rows += [(i, f"{prose(i, 20)} {form.format(s)} {prose(i + 1, 20)}") for i, (form, s) in hidden.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = secret_scan.learn(df)
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(df, learned=learned).collect()}
+    for form in forms:
+        gone = [s not in masked[i] for i, (f, s) in hidden.items() if f == form]
+        assert sum(gone) >= 13, (form, sum(gone))
+    for i, text in rows[:120]:
+        assert masked[i] == text
+
+
+def test_parts_of_a_run():
+    text = "auth=" + "a" * 20 + " b_c/" + "D" * 20 + " " + "e" * 19 + "/f"
+    assert [text[a:b] for a, b in secret_scan.candidates(text)] == ["a" * 20, "b_c/" + "D" * 20, "c/" + "D" * 20, "D" * 20, "e" * 19 + "/f"]
