@@ -1,8 +1,8 @@
 """Document fingerprints by I-Match over randomised lexicons.
 
 Terms are kept whose document frequency lies in a band. The sorted distinct terms of a document that are in the lexicon give the
-classic signature. Besides, many random lexicons are drawn, in nested sizes of which a document uses the two that leave it about one
-term each; the sorted terms left by each are hashed. Two documents agree on a lexicon of rate p with probability (1 - p)^d if d
+classic signature. Besides, many random lexicons are drawn, in nested sizes of which a document uses the three that leave it two
+terms to a quarter of one; the sorted terms left by each are hashed. Two documents agree on a lexicon of rate p with probability (1 - p)^d if d
 terms are in just one of them, so the share of agreements estimates their Jaccard similarity.
 """
 
@@ -25,6 +25,8 @@ from runtally.llm.rows import steps, texts
 LEAST_SHARE, MOST_SHARE, LEAST_DOCS = 0.001, 0.2, 2
 #: Random lexicons, and slots of the first count, which sorts out rare terms.
 LEXICONS, SLOTS = 48, 1 << 17
+#: Nested sizes of a lexicon that are hashed: numbers of terms up to a factor of 4 apart have one in common.
+LEVELS = 3
 
 _WORD = re.compile(r"\w+")
 _MEMO = 300_000
@@ -80,14 +82,17 @@ def lexicon(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 @dataclass(frozen=True)
 class Fingerprint:
-    """Number of terms, signature of all of them, first level, and a hash for each of two levels and each lexicon.
+    """Number of terms, signature of all of them, first level, and a hash for each of LEVELS levels and each lexicon.
 
     ``kind`` is b if the terms are those of the band, and a if a text has none of those and all its terms are taken.
     """
@@ -102,11 +107,18 @@ class Fingerprint:
         return f"{self.kind}:{self.n}:{self.signature}:{self.level}:{self.hashes.astype('>u2').tobytes().hex()}"
 
     def likeness(self, other: "Fingerprint") -> float:
-        """Estimated Jaccard similarity of the terms, 1 for equal signatures; 0 if the sizes are too far apart to share a level."""
-        if (self.kind, self.signature) == (other.kind, other.signature):
+        """Estimated Jaccard similarity of the terms, 1 for equal signatures.
+
+        Sizes that share no level are more than a factor of 4 apart: 0 stands for a similarity below 1/4. Terms of the band say
+        nothing of all terms, so both have to be of one kind (see ``likenesses``).
+        """
+        if self.kind != other.kind:
+            raise ValueError("one fingerprint is of the band, the other of all terms")
+        if self.signature == other.signature:
             return 1.0
-        shared = sorted({self.level, self.level + 1} & {other.level, other.level + 1})
-        if self.kind != other.kind or not shared:
+        low = max(self.level, other.level)
+        shared = range(low, min(low + 2, min(self.level, other.level) + LEVELS))
+        if not shared:
             return 0.0
         apart = []
         for level in shared:
@@ -125,24 +137,36 @@ def fingerprints(texts: list[str], band: np.ndarray) -> list[Fingerprint]:
         inside = own[band[np.minimum(at, len(band) - 1)] == own] if len(band) else own[:0]
         sets.append(inside if len(inside) else own)
         kinds.append("b" if len(inside) else "a")
-    sizes = np.array([len(s) for s in sets])
-    levels = np.array([max(0, int(math.log2(max(n, 1))) - 1) for n in sizes])
+    sizes = np.array([len(s) for s in sets], int)
+    levels = np.array([max(0, int(math.log2(max(n, 1))) - 1) for n in sizes], int)
     flat, doc = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), sizes)
-    out = np.zeros((len(sets), 2, LEXICONS), np.uint64)
+    out = np.zeros((len(sets), LEVELS, LEXICONS), np.uint64)
     masks = ((np.uint64(1) << (levels + 1).astype(np.uint64)) - np.uint64(1))[doc]
     for k, seed in enumerate(_SEEDS):
         h = _mix(flat ^ seed)
         inside = np.flatnonzero((h & masks) == 0)
-        for deep in (0, 1):
+        h, d, bit = h[inside], doc[inside], masks[inside] + np.uint64(1)
+        mixed = _mix(h + np.uint64(k))
+        for deep in range(LEVELS):
             if deep:
-                inside = inside[(h[inside] & (masks[inside] + np.uint64(1))) == 0]
-            d = doc[inside]
-            first = np.searchsorted(d, d, "left")
-            np.add.at(out[:, deep, k], d, _mix(h[inside] + np.uint64(k)) * _POWERS[(np.arange(len(d)) - first) % len(_POWERS)])
+                on = np.flatnonzero((h & bit) == 0)
+                h, d, bit, mixed = h[on], d[on], bit[on] << np.uint64(1), mixed[on]
+            if len(d):
+                first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+                rank = np.arange(len(d)) - np.repeat(first, np.diff(first, append=len(d)))
+                out[d[first], deep, k] = np.add.reduceat(mixed * _POWERS[rank % len(_POWERS)], first)
     return [Fingerprint(kind, len(s), hashlib.blake2b(s.tobytes(), digest_size=8).hexdigest(), int(level), h >> np.uint64(48))
             for kind, s, level, h in zip(kinds, sets, levels, out)]
 
 
+def likenesses(pairs: list[tuple[tuple[str, Fingerprint], tuple[str, Fingerprint]]]) -> list[float]:
+    """Likeness of each two texts by their fingerprints, and by all their terms where only one of them has terms in the band."""
+    apart = [i for i, ((_, a), (_, b)) in enumerate(pairs) if a.kind != b.kind]
+    whole = dict(zip(apart, fingerprints([next(t for t, p in pairs[i] if p.kind == "b") for i in apart], np.zeros(0, np.uint64))))
+    return [next(p for _, p in pair if p.kind == "a").likeness(whole[i]) if i in whole else pair[0][1].likeness(pair[1][1])
+            for i, pair in enumerate(pairs)]
+
+
 def in_order(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``text``, ``ahead``, one range of keys to a partition, sorted by key and text; null keys come first.
 
@@ -198,8 +222,8 @@ def compare_edited(docs: DataFrame) -> DataFrame:
             pa.array([a[0] for a, _ in pairs], pa.int64()), pa.array([len(a[1]) for a, _ in pairs], pa.int64()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
             pa.array([str(a[2]) for a, _ in pairs], pa.string()), pa.array([str(p) for p in prints], pa.string()),
-            pa.array([a[2].likeness(p) for (a, _), p in zip(pairs, prints)], pa.float64()),
-            pa.array([a[2].likeness(b[2]) for a, b in pairs], pa.float64())],
+            pa.array(likenesses([(a[1:3], x) for (a, _), x in zip(pairs, zip(changed, prints))]), pa.float64()),
+            pa.array(likenesses([(a[1:3], b[1:3]) for a, b in pairs]), pa.float64())],
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     return in_order(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

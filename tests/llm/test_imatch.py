@@ -59,3 +59,30 @@ def test_one_and_none(spark):
     assert imatch.compare_edited(empty(spark)).count() == 0
     same = one.union(one).withColumn("x", F.lit(1))
     assert [x["near_next"] for x in imatch.compare_edited(same).collect()] == [1.0, 1.0]
+
+
+def jaccard(a, b):
+    a, b = (set(map(int, x)) for x in imatch.term_sets([a, b]))
+    return len(a & b) / len(a | b)
+
+
+def test_copies_of_a_third_of_the_rows(spark):
+    rows = [(3 * i, r["text"]) for i, r in enumerate(spark.read.parquet(DATA).where("length(text) > 400").orderBy("doc_id").limit(800).collect())]
+    hot = "Zorn quibbles vex dwarfs; jumbled oxen grazed mutely by foggy wharves, hence twelve pickled lemons clanged awkwardly."
+    rows += [(3 * i + 1, hot) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by_id, order = dict(rows), sorted(x for x, _ in rows)
+    after = dict(zip(order, order[1:] + order[:1]))
+    got = {r["doc_id"]: r for r in imatch.compare_edited(df).collect()}
+    for name, other in (("near_edited", lambda i: imatch.edited(hot, by_id[after[i]])), ("near_next", lambda i: by_id[after[i]])):
+        pairs = [(got[i][name], jaccard(hot, other(i))) for i, t in rows if t == hot]
+        assert np.mean([abs(x - y) for x, y in pairs]) < 0.12, name
+    assert any(got[i]["fingerprint"][0] != got[i]["edited_fingerprint"][0] for i, t in rows if t == hot)
+    assert all(got[i]["near_edited"] > 0.3 for i, t in rows if t == hot)
+
+
+@pytest.mark.parametrize("small, large", [(7, 28), (5, 20), (15, 60), (100, 400)])
+def test_sizes_a_factor_of_four_apart(small, large):
+    words = [f"word{i}" for i in range(large)]
+    a, b = imatch.fingerprints([" ".join(words[:small]), " ".join(words)], np.zeros(0, np.uint64))
+    assert 0.1 < a.likeness(b) <= 0.25 and a.likeness(b) == b.likeness(a)
