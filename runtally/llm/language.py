@@ -8,14 +8,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from runtally.llm.rows import mapped, remainder, steps, texts
 
-#: Bound of the learning sample: distinct text openings per language, and characters of each. The expected number read to the
-#: driver is twice SAMPLE for each language.
-SAMPLE, OPENING = 300, 700
+#: Bound of the learning sample for each language: distinct texts, and SAMPLE * SHARE characters of their lines, a like number of
+#: each text. The driver reads those, and before them an expected number of twice SAMPLE hashes.
+SAMPLE, SHARE = 300, 700
 #: Compression level, shortest match, and bytes that are encoded together. Long texts are encoded in blocks, all of them.
 LEVEL, MIN_MATCH, BLOCK = 6, 3, 4096
 #: A text of at least ENOUGH bytes is rejected if the best dictionary saves less than MARGIN of the second best size.
@@ -38,25 +39,56 @@ class Languages:
     dictionaries: tuple[bytes, ...]
 
 
+def some_lines(text: str, most: int, seed: int) -> str:
+    """Distinct lines from anywhere in a whole text, with their line ends at most ``most`` characters; lines are dealt by hash.
+
+    Lines longer than SHARE are cut into several first.
+    """
+    own = list(dict.fromkeys(x[i:i + SHARE] for x in text.split("\n") for i in range(0, max(len(x), 1), SHARE)))
+    kept = []
+    for i in sorted(range(len(own)), key=lambda i: xxhash.xxh3_64_intdigest(own[i], seed=seed)):
+        if most <= 0:
+            break
+        kept.append((i, own[i][:most]))
+        most -= len(own[i]) + 1
+    return "\n".join(x for _, x in sorted(kept))
+
+
 def learn(docs: DataFrame, use: Column, lang: str = "lang", text: str = "text") -> Languages:
     """Dictionaries from the rows for which ``use`` holds and whose language and text are not null.
 
-    Counts cover all those rows. Openings are dealt by their hash, so equal texts count once and a hot text cannot fill a
-    dictionary; lines that several languages share are left out of all of them.
+    Counts cover all those rows. Distinct texts are counted and drawn by their hash, so equal texts count once whatever their
+    number; lines come from the whole of a drawn text, and those that several languages share are left out of all of them.
     """
     rows = docs.where(use).select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text <> ''")
-    counts = sorted(((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()),
-                    key=lambda x: (-x[1], x[0]))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    distinct = rows.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["lang"]: (r["n"], r["d"]) for r in distinct.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
+    counts = sorted(((name, n) for name, (n, _) in sizes.items()), key=lambda x: (-x[1], x[0]))
     if not counts:
         return Languages((), ())
-    share = F.create_map(*[F.lit(x) for name, n in counts for x in (name, min(1.0, 2 * SAMPLE / n))])
-    opening = rows.select("lang", F.substring("text", 1, OPENING).alias("opening"))
-    hashed = opening.withColumn("h", F.xxhash64("opening"))
-    few = hashed.where((F.col("h") / F.lit(2.0**64) + 0.5) <= share[F.col("lang")]).dropDuplicates(["lang", "h"])
+    share = F.create_map(*[F.lit(x) for name, (_, d) in sizes.items() for x in (name, min(1.0, 2 * SAMPLE / d))])
+    drawn: dict[str, list[int]] = {name: [] for name, _ in counts}
+    for r in distinct.where((F.col("h") / F.lit(2.0**64) + 0.5) <= share[F.col("lang")]).select("lang", "h").collect():
+        drawn[r["lang"]].append(r["h"])
+    chosen = [(name, h, SAMPLE * SHARE // min(len(own), SAMPLE)) for name, own in drawn.items() for h in sorted(own)[:SAMPLE]]
+
+    def cut(batches):
+        seen = set()
+        for part in steps(batches):
+            out = []
+            for name, h, most, t in zip(*(part.column(c).to_pylist() for c in ("lang", "h", "most", "text"))):
+                if (name, h) not in seen:
+                    seen.add((name, h))
+                    out.append((name, h, some_lines(t, most, h % 2**64)))
+            columns = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string()))], ["lang", "h", "lines"])
+
+    few = rows.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, h long, most int")), ["lang", "h"]).select("lang", "h", "most", "text")
     found: dict[str, list[tuple[int, str]]] = {name: [] for name, _ in counts}
-    for r in few.collect():
-        found[r["lang"]].append((r["h"], r["opening"]))
-    lines = {name: list(dict.fromkeys(letters(x) for _, t in sorted(found[name])[:SAMPLE] for x in t.split("\n"))) for name, _ in counts}
+    for r in few.mapInArrow(cut, "lang string, h long, lines string").dropDuplicates(["lang", "h"]).collect():
+        found[r["lang"]].append((r["h"], r["lines"]))
+    lines = {name: list(dict.fromkeys(letters(x) for _, t in sorted(found[name]) for x in t.split("\n"))) for name, _ in counts}
     seen: dict[bytes, int] = {}
     for own in lines.values():
         for x in own:
@@ -97,7 +129,7 @@ def guess(text: str, model: Languages) -> tuple[str, float, bool]:
 
 def predict(docs: DataFrame, model: Languages, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, lang_pred, score, rejected for every row by its whole text; null text is unknown, other columns are not read."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE * OPENING characters a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE * SHARE characters a language
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [guess(t, shared.value) for t in texts(batch)]
