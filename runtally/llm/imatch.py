@@ -31,7 +31,7 @@ LEVELS = 3
 _WORD = re.compile(r"\w+")
 _MEMO = 300_000
 _memo: dict[str, bytes] = {}
-_SEEDS = [np.uint64(xxhash.xxh3_64_intdigest(b"lexicon", seed=i)) for i in range(LEXICONS)]
+_FACTORS = [np.uint64(xxhash.xxh3_64_intdigest(b"lexicon", seed=i) | 1) for i in range(LEXICONS)]
 _POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 
 
@@ -141,16 +141,18 @@ def fingerprints(texts: list[str], band: np.ndarray) -> list[Fingerprint]:
     levels = np.array([max(0, int(math.log2(max(n, 1))) - 1) for n in sizes], int)
     flat, doc = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), sizes)
     out = np.zeros((len(sets), LEVELS, LEXICONS), np.uint64)
-    masks = ((np.uint64(1) << (levels + 1).astype(np.uint64)) - np.uint64(1))[doc]
-    for k, seed in enumerate(_SEEDS):
-        h = _mix(flat ^ seed)
-        inside = np.flatnonzero((h & masks) == 0)
-        h, d, bit = h[inside], doc[inside], masks[inside] + np.uint64(1)
-        mixed = _mix(h + np.uint64(k))
+    # A term, its hash being random, is in a lexicon of rate p if the product with the factor of the lexicon is below p of all numbers.
+    bound = (np.uint64(1) << (63 - levels).astype(np.uint64))[doc]
+    for k, factor in enumerate(_FACTORS):
+        h = flat * factor
+        inside = np.flatnonzero(h < bound)
+        h, d, below = h[inside], doc[inside], bound[inside]
+        mixed = _mix(h)
         for deep in range(LEVELS):
             if deep:
-                on = np.flatnonzero((h & bit) == 0)
-                h, d, bit, mixed = h[on], d[on], bit[on] << np.uint64(1), mixed[on]
+                below = below >> np.uint64(1)
+                on = np.flatnonzero(h < below)
+                h, d, below, mixed = h[on], d[on], below[on], mixed[on]
             if len(d):
                 first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
                 rank = np.arange(len(d)) - np.repeat(first, np.diff(first, append=len(d)))
