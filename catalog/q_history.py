@@ -43,20 +43,29 @@ def schema_evolve(spark, sf):
     return readers.schema_evolve(old, RUNS).select("run_id", "workflow", "status", "duration_seconds", "optimization_algorithm")
 
 
+def _item_key():
+    """The key of an item of the document store; its last part, random there, holds the id here."""
+    return F.concat_ws("#", F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "task_id", F.hex("id")).alias("task_result_id")
+
+
+def _id_of_key():
+    return F.conv(F.substring_index("task_result_id", "#", -1), 16, 10).cast("long").alias("id")
+
+
 @query("read_items", """SELECT id, run_id, task_id, task_signature, status, start_time, duration_seconds,
  CASE WHEN id % 5 = 0 THEN 0 ELSE retry_count END AS retry_count, CASE WHEN id % 7 = 0 THEN '{}' ELSE params END AS params FROM ex""",
        dbl="duration_seconds:3", ts="start_time")
 def read_items(spark, sf):
     path = scratch(spark)
     items = executions(spark, sf).select(
-        "id", "run_id", "workflow", "task_id", "task_signature", "instance", "status",
+        _item_key(), "run_id", "workflow", "task_id", "task_signature", "instance", "status",
         F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("start_time"),
         F.col("duration_seconds").cast("string").alias("duration_seconds"),
         F.when(F.col("id") % 5 != 0, F.col("retry_count").cast("string")).alias("retry_count"),
         F.when(F.col("id") % 7 != 0, F.to_json("parameters")).alias("parameters"))
     items.write.json(path)
     return readers.read_items(spark, path).select(
-        "id", "run_id", "task_id", "task_signature", "status", "start_time", "duration_seconds", "retry_count",
+        _id_of_key(), "run_id", "task_id", "task_signature", "status", "start_time", "duration_seconds", "retry_count",
         json_map("parameters").alias("params"))
 
 
@@ -332,8 +341,9 @@ def checkpoint_progress(spark, sf):
 def union_backends(spark, sf):
     t = executions(spark, sf)
     table_rows = t.filter("id % 2 = 1")
-    items = readers.normalise_items(t.filter("id % 2 = 0").drop("stage").withColumn("parameters", F.to_json("parameters")))
-    return readers.union_sources([table_rows, items]).select("run_id", "task_id", "id", "status", "stage")
+    items = readers.normalise_items(t.filter("id % 2 = 0").withColumn("task_result_id", _item_key()).drop("stage", "id").withColumn("parameters", F.to_json("parameters")))
+    return readers.union_sources([table_rows, items]).select(
+        "run_id", "task_id", F.coalesce("id", _id_of_key()).alias("id"), "status", "stage")
 
 
 assert set(EX_LIST) < set(TASKS.fieldNames())

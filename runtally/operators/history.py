@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from runtally.functions.scalars import json_entries, rate, rounded, seconds_between, success, target_of
 from runtally.operators.ordered import MIDDLES, QUARTILES, histogram, match, numbered, order_statistics
-from runtally.schemas import STAGE_ORDER
+from runtally.schemas import STAGE_ORDER, task_order
 
 ok = lambda: F.count_if(success())
 
@@ -147,7 +147,7 @@ def list_runs(runs: DataFrame, tasks: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def list_tasks(tasks: DataFrame) -> DataFrame:
-    first = F.min_by(F.struct("task_id", "instance", "process"), "id")
+    first = F.min_by(F.struct("task_id", "instance", "process"), task_order(tasks))
     return tasks.groupBy("workflow", "task_signature").agg(
         first.alias("f"), F.count("*").alias("run_count"),
         zero_if_null(rounded(F.avg("duration_seconds"), 2)).alias("avg_duration"),
@@ -189,7 +189,7 @@ def run_distribution(runs: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def _per_task(tasks: DataFrame) -> DataFrame:
-    first = F.min_by(F.struct("task_id", "instance", "process", "chore", "task_target", "task_kind"), "id")
+    first = F.min_by(F.struct("task_id", "instance", "process", "chore", "task_target", "task_kind"), task_order(tasks))
     d = F.col("duration_seconds")
     return with_target(tasks).groupBy("task_signature").agg(
         first.alias("f"), F.count("*").alias("executions"),

@@ -33,6 +33,10 @@ TASKS = _struct(
     ("succeed_on_minor_errors", _B),
 )
 
+# Task rows of all stores. The document store has no id; its key is "start time#task#random".
+TASK_KEY = "task_result_id"
+KEYED_TASKS = T.StructType([*TASKS.fields, T.StructField(TASK_KEY, _S, True)])
+
 TASK_DEFS = _struct(
     ("workflow", _S), ("run_id", _S), ("pos", T.LongType()), ("id", _S),
     ("instance", _S), ("process", _S), ("chore", _S), ("parameters", _PARAMS),
@@ -149,5 +153,11 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
         for f in schema.fields
     ])
 
+
+def task_order(df: DataFrame):
+    """Order of task rows: by id; rows of the document store, which have none, follow by start, task and key."""
+    return F.struct(F.col("id").isNull().alias("keyed"), *[c for c in ("id", "start_time", "task_id", TASK_KEY) if c in df.columns])
+
+
 # Message about a set that is not there, followed by its name.
 UNKNOWN_SET = "unknown set: "

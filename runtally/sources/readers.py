@@ -10,7 +10,8 @@ from runtally.functions.scalars import (empty_map, key_values, last_wins, parse_
                                         predecessor_list, quotes_balanced, tokenize_line)
 from runtally.operators.ordered import numbered
 from runtally.operators.windows import wait_sequences
-from runtally.schemas import (CHECKPOINT_DOC, MEASURES, RESERVED_KEYS, RUNS, TASK_DEFS, TASKFILE_DOC, TASKS, conform)
+from runtally.schemas import (CHECKPOINT_DOC, KEYED_TASKS, MEASURES, RESERVED_KEYS, RUNS, TASK_DEFS, TASKFILE_DOC, TASKS,
+                              conform)
 from runtally.session import cut
 
 
@@ -50,23 +51,23 @@ def schema_evolve(old: DataFrame, schema: T.StructType) -> DataFrame:
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """Exported document-store items, one JSON object per line."""
-    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in TASKS.fields])
+    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in KEYED_TASKS.fields])
     return normalise_items(spark.read.schema(raw).json(path))
 
 
 def normalise_items(items: DataFrame) -> DataFrame:
-    """Items to the task schema: numbers parsed, missing retries 0, missing parameters empty."""
+    """Items to the task schema and their key: numbers parsed, missing retries 0, missing parameters empty."""
     have = set(items.columns)
 
     def text(name: str) -> Column:
         return F.col(name).cast("string") if name in have else F.lit(None).cast("string")
 
-    out = {f.name: text(f.name).try_cast(f.dataType) for f in TASKS.fields
+    out = {f.name: text(f.name).try_cast(f.dataType) for f in KEYED_TASKS.fields
            if not isinstance(f.dataType, (T.MapType, T.ArrayType))}
     out["retry_count"] = F.coalesce(text("retry_count").try_cast("int"), F.lit(0))
     out["parameters"] = F.coalesce(F.from_json(text("parameters"), "map<string,string>"), empty_map())
     out["predecessors"] = F.from_json(text("predecessors"), "array<string>")
-    return items.select(*[out[f.name].alias(f.name) for f in TASKS.fields])
+    return items.select(*[out[f.name].alias(f.name) for f in KEYED_TASKS.fields])
 
 
 # ---- task files -------------------------------------------------------------
@@ -259,8 +260,8 @@ def tasks_from_wide(wide: DataFrame, mode: str = "norm", pos: str = "pos") -> tu
 
 
 def union_sources(frames: Sequence[DataFrame]) -> DataFrame:
-    """Task rows of several stores in one schema."""
-    out = conform(frames[0], TASKS)
+    """Task rows of several stores in one schema, with the key of those that have one."""
+    out = conform(frames[0], KEYED_TASKS)
     for f in frames[1:]:
-        out = out.unionByName(conform(f, TASKS))
+        out = out.unionByName(conform(f, KEYED_TASKS))
     return out

@@ -8,7 +8,7 @@ from runtally.functions.scalars import (empty_map, json_map, json_string, json_s
                                         seconds_between, success, task_signature)
 from runtally.operators.history import zero_if_null
 from runtally.operators.ordered import match
-from runtally.schemas import MEASURES, RUNS, TASKFILE_VERSION, TASKS, UPLOAD_COLUMNS, conform
+from runtally.schemas import MEASURES, RUNS, TASK_KEY, TASKFILE_VERSION, TASKS, UPLOAD_COLUMNS, conform
 
 FLAGS = ("safe_retry", "cancel_at_timeout", "require_predecessor_success", "succeed_on_minor_errors")
 
@@ -95,13 +95,14 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
 
 
 def results_to_cells(results: DataFrame, order: str = "id") -> DataFrame:
-    """Wide results to cells; of several rows of a task the last one counts."""
+    """Wide results to cells; of several rows of a task the last one counts, by ``order``, then start and key."""
     names = [m for m, _, is_result in MEASURES if is_result]
     extra = [m for m in ("retries",) if m in results.columns]
-    wide = results.select("workflow", "run_id", "task_id", order,
+    last = F.struct(*[c for c in dict.fromkeys([order, "start_time", TASK_KEY]) if c in results.columns or c == order])
+    wide = results.select("workflow", "run_id", "task_id", last.alias("_last"),
                           *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in [*names, *extra]])
     row = F.struct(*names, *extra)
-    last = wide.groupBy("workflow", "run_id", "task_id").agg(F.max_by(row, order).alias("r")) \
+    last = wide.groupBy("workflow", "run_id", "task_id").agg(F.max_by(row, "_last").alias("r")) \
         .select("workflow", "run_id", "task_id", "r.*")
     return last.unpivot(["workflow", "run_id", "task_id"], [*names, *extra], "measure", "value")
 

@@ -195,3 +195,23 @@ def test_upsert(spark):
     dim = spark.createDataFrame([("a",), ("b",)], "member string")
     new = spark.createDataFrame([("b",), ("c",), ("c",)], "member string")
     assert rows(j.upsert_members(dim, new)) == [("a", False), ("b", False), ("c", True)]
+
+
+def test_items_without_id(spark, tmp_path):
+    from runtally.operators import history
+    def item(second, task, tail, process, status="Success"):
+        start = f"2024-01-01T00:00:0{second}.000000"
+        return {"run_id": "r", "task_result_id": f"{start}#{task}#{tail}", "workflow": "w", "task_id": task, "task_signature": "s", "instance": "srv", "process": process,
+                "status": status, "start_time": start, "duration_seconds": "1.5", "parameters": "{}"}
+    items = [item(2, "1", "aa", "late"), item(1, "2", "bb", "b"), item(1, "1", "dd", "d", "Fail"), item(1, "1", "cc", "c")]
+    write(f"{tmp_path}/items.json", "\n".join(json.dumps(x) for x in items))
+    got = readers.read_items(spark, f"{tmp_path}/items.json")
+    assert sorted(r["task_result_id"] for r in got.collect()) == sorted(x["task_result_id"] for x in items)
+    every = readers.union_sources([got.limit(0), got])
+    assert rows(history.list_tasks(every), "task_id", "instance", "process", "run_count") == [("1", "srv", "c", 4)]
+    assert rows(history.task_summaries(every), "task_id", "instance", "process", "executions") == [("1", "srv", "c", 4)]
+    cells = writers.results_to_cells(writers.results_table(every, keep=("id", "task_result_id")))
+    assert rows(cells.filter("measure = 'process'"), "task_id", "value") == [("1", "late"), ("2", "b")]
+    same = every.filter("start_time < '2024-01-01 00:00:02'")
+    cells = writers.results_to_cells(writers.results_table(same, keep=("id", "task_result_id")))
+    assert rows(cells.filter("measure in ('process', 'status') and task_id = '1'"), "measure", "value") == [("process", "d"), ("status", "Fail")]
