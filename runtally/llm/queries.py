@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runtally.llm import (embedding_pairs, factorisation, imatch, language, line_winnow, minhash, packing, piece_bpe, secret_scan,
+from runtally.llm import (alignment, embedding_pairs, factorisation, imatch, language, line_winnow, minhash, packing, piece_bpe, secret_scan,
                           warc)
 from runtally.llm.rows import scratch
 
@@ -138,3 +138,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark)
     warc.write_archive(table(spark, sf, "pages"), path)
     return warc.described(warc.read_archive(spark, path))
+
+
+@query("op11_interval_coalescing")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.report(table(spark, sf, "documents"))

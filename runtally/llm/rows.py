@@ -51,3 +51,10 @@ def kept(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet, compressed, to a new folder in the shared checkpoint folder and read from there."""
+    path = scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
