@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runtally.llm import (alignment, embedding_pairs, factorisation, imatch, language, line_winnow, minhash, packing, piece_bpe, secret_scan,
-                          warc)
+from runtally.llm import (alignment, embedding_pairs, factorisation, hard_negatives, imatch, language, line_winnow, minhash, packing, piece_bpe,
+                          secret_scan, suffix_dedup, warc)
 from runtally.llm.rows import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,48 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op11_interval_coalescing")
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.report(table(spark, sf, "documents"))
+
+
+@query("op12_two_stage_suffixes", """
+    WITH d AS (
+      SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents
+    ), string AS (
+      SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(octet_length(b) - 49)) AS i FROM d)
+    ), first AS (
+      SELECT s, min(doc_id) AS m FROM string GROUP BY s HAVING count(*) > 1
+    ), gone AS (
+      SELECT doc_id, i, lag(i) OVER w AS before, lead(i) OVER w AS after FROM string JOIN first USING (s) WHERE doc_id > m WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+    ), span AS (
+      SELECT doc_id, i AS a, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM gone WHERE before IS NULL OR i - before > 50
+    ), stop AS (
+      SELECT doc_id, i + 50 AS e, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM gone WHERE after IS NULL OR after - i > 50
+    ), start AS (
+      SELECT doc_id, a, next, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS k FROM span
+    ), cut AS (
+      SELECT doc_id, sum(e - a) AS n_removed, count(*) AS n_spans, min(a) AS first_a, string_agg(substr(h, 2 * e + 1, 2 * (coalesce(next, octet_length(b)) - e)), '' ORDER BY a) AS kept
+      FROM start JOIN stop USING (doc_id, k) JOIN d USING (doc_id) GROUP BY doc_id
+    )
+    SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+      sha256(CASE WHEN first_a IS NULL THEN b ELSE unhex(substr(h, 1, 2 * first_a) || kept) END) AS kept_sha256
+    FROM d LEFT JOIN cut USING (doc_id)""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf, "documents"))
+
+
+@query("op13_hyperplane_tree", """
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding]::DOUBLE[] AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ), score AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0
+    ), positive AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM score WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positive JOIN score USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)""")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
