@@ -7,6 +7,7 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import public_tokenizers
@@ -22,9 +23,11 @@ from runtally.llm.rows import saved, steps, texts
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Chunks longer than this are aligned each time; others are remembered, this many at most in a Python worker. It starts anew as
 #: well when long chunks have left this many characters behind.
-LONG, MEMO, HELD = 64, 400_000, 64_000_000
+LONG, MEMO, HELD = 64, 400_000, 32_000_000
+#: The sign that the piece tokenizer has for a space; its own bytes do not come back.
+BLANK = "\u2581"
 #: Bytes of text whose documents share one block; a longer text is a block alone.
-BLOCK = 24_000_000
+BLOCK = 12_000_000
 
 _DOUBLE = re.compile(r"\s\s")
 
@@ -37,15 +40,23 @@ def _byte_symbols() -> dict[str, int]:
 
 
 class Chunks:
-    """Aligned chunks of text: counts, group lists and linked id pairs of each, by number."""
+    """Aligned chunks of text by number: counts (tokens of a and b, groups, links), whether they align, groups as text, linked id pairs."""
 
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
         self.held = 0
-        self.counts: list[tuple[int, int, int, int, bool]] = []
         self.groups: list[str] = []
-        self.pairs: list[np.ndarray] = []
-        self.weights: list[np.ndarray] = []
+        self.counts = np.zeros((0, 4), np.int64)
+        self.good = np.zeros(0, bool)
+        self.offsets = np.zeros(1, np.int64)
+        self.pairs, self.links = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, groups: list[str], counts: np.ndarray, good: np.ndarray, kinds: np.ndarray, pairs: np.ndarray, links: np.ndarray) -> None:
+        """More chunks; ``kinds`` is the number of distinct pairs of each."""
+        self.groups += groups
+        self.counts, self.good = np.concatenate([self.counts, counts]), np.concatenate([self.good, good])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(kinds)])
+        self.pairs, self.links = np.concatenate([self.pairs, pairs]), np.concatenate([self.links, links])
 
 
 class Aligner:
@@ -77,6 +88,8 @@ class Aligner:
         self.splits = not set(glue) & {" ", "\n"}
         self.odd = re.compile(rf"\s\s|[{held}]") if glue else _DOUBLE
         self.a_len, self.b_len = (np.array([len(x) for x in v]) for v in (self.a_bytes, self.b_bytes))
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.glue = set(glue)
         self.chunks = Chunks()
 
     def cut(self, text: str) -> list[str]:
@@ -85,73 +98,76 @@ class Aligner:
             return text.replace("\n", " \n").split(" ")
         return [c[1:] if c[0] == " " and len(c) > 1 and not c[1].isspace() else c for c in self.chunk.findall(" " + text)]
 
+    def encode(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of both tokenizers for chunks, one after the other; chunks that end in white space stand alone."""
+        parts, size = [[]], 0
+        for s in spelled:
+            if size > 20_000 or (parts[-1] and (parts[-1][-1][-1].isspace() or s[0] in self.glue)):
+                parts.append([])
+                size = 0
+            parts[-1].append(s)
+            size += len(s)
+        texts = ["".join(p) for p in parts]
+        out = []
+        for ids in ([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode(texts, num_threads=1)):
+            out.append(np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids))))
+        return out[0], out[1]
+
     def learn(self, names: list[str]) -> None:
         """Encode chunks with both tokenizers and coalesce their byte ranges."""
         own = self.chunks
         spelled = [n if n[:1].isspace() else " " + n for n in names]
-        a_ids = [e.ids for e in self.a.encode_batch_fast(spelled, add_special_tokens=False)]
-        b_ids = self.b.encode(spelled, num_threads=1)
-        raw = [s.encode() for s in spelled]
-        ok = [b"".join([self.b_bytes[i] for i in y]) == r and b"".join([self.a_bytes[i] for i in x]) == r for x, y, r in zip(a_ids, b_ids, raw)]
-        good = [k for k, fine in enumerate(ok) if fine]
-        aligned = dict(zip(good, self.coalesce([a_ids[k] for k in good], [b_ids[k] for k in good], [len(raw[k]) for k in good])))
-        none = ((0, 0, 0, 0, False), "", np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for k, name in enumerate(names):
-            counts, groups, pairs, weights = aligned.get(k, none)
-            own.number[name] = len(own.counts)
-            own.counts.append(counts)
-            own.groups.append(groups)
-            own.pairs.append(pairs)
-            own.weights.append(weights)
-
-    def coalesce(self, a_ids: list[list[int]], b_ids: list[list[int]], sizes: list[int]):
-        """Per chunk its counts, groups as text, and distinct id pairs (a * 2^32 + b) with the number of links of each.
+        good = np.array([BLANK not in s for s in spelled], bool)  # the only sign whose piece has other bytes
+        chosen = [s for s, g in zip(spelled, good.tolist()) if g]
+        raw = [s.encode() for s in chosen]
+        a, b = self.encode(chosen) if chosen else (np.zeros(0, np.int64),) * 2
+        whole = b"".join(raw)
+        if b"".join([self.a_bytes[i] for i in a.tolist()]) != whole or b"".join([self.b_bytes[i] for i in b.tolist()]) != whole:
+            raise ValueError("the vocabularies do not cover all bytes")
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        groups, counts, kinds, pairs, links = self.coalesce(a, b, sizes)
+        every, n = np.zeros((len(names), 4), np.int64), np.zeros(len(names), np.int64)
+        every[good], n[good] = counts, kinds
+        listed = iter(groups)
+        own.number.update(zip(names, range(len(own.groups), len(own.groups) + len(names))))
+        own.add([next(listed) if g else "" for g in good.tolist()], every, good, n, pairs, links)
+
+    def coalesce(self, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For chunks of these byte sizes, whose ids stand one after the other: groups as text, counts, number of distinct pairs; and
+        all pairs (a * 2^32 + b) with the number of links of each.
 
         The tokens of both sides are sorted by start. Where a start reaches the running maximum of the ends before it, a group ends.
         """
-        base = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
-        flat, owner, start, end = [], [], [], []
-        for ids, length in ((a_ids, self.a_len), (b_ids, self.b_len)):
-            n = np.array([len(x) for x in ids])
-            own = np.repeat(np.arange(len(ids)), n)
-            i = np.fromiter((t for x in ids for t in x), np.int64, int(n.sum()))
-            last = np.cumsum(length[i])  # both sides cover every chunk, so ends are running sums
-            flat.append(i), owner.append(own), end.append(last), start.append(last - length[i])
-        side = np.repeat([0, 1], [len(x) for x in flat])
-        ids, chunk, starts, ends = (np.concatenate(x) for x in (flat, owner, start, end))
-        order = np.lexsort((side, starts))
-        reach = np.maximum.accumulate(ends[order])
-        breaks = np.r_[True, starts[order][1:] >= reach[:-1]][:len(order)]
+        bounds = np.cumsum(sizes)
+        ends = [np.cumsum(length[ids]) for ids, length in ((a, self.a_len), (b, self.b_len))]
+        start, end = (np.concatenate(x) for x in zip(*((e - length[ids], e) for e, ids, length in zip(ends, (a, b), (self.a_len, self.b_len)))))
+        ids, side = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
+        order = np.lexsort((side, start))
+        reach = np.maximum.accumulate(end[order])
+        breaks = np.r_[True, start[order][1:] >= reach[:-1]][:len(order)]
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(breaks) - 1
-        n_groups = int(breaks.sum())
-        of = np.empty(n_groups, np.int64)
-        of[group] = chunk
-        sizes_a, sizes_b = (np.bincount(group[side == s], minlength=n_groups) for s in (0, 1))
+        of = np.searchsorted(bounds, start[order][breaks], "right")
+        n_groups, g_a, g_b = len(of), group[:len(a)], group[len(a):]
+        # groups as text: the ids of a, then those of b, in order
+        listed = np.lexsort((side, group))
+        before, after = listed[:-1], listed[1:]
+        same = group[before] == group[after]
+        sign = np.where(same, np.where(side[before] == side[after], 0, 1), np.where(of[group[before]] == of[group[after]], 2, 3))
+        text = "".join(chain.from_iterable(zip([self.names[i] for i in ids[listed].tolist()], [",|;\n"[k] for k in sign.tolist()] + [""])))
         # within a group every id of one side is linked to every id of the other, as often as both occur
-        keys, times = zip(*(np.unique(group[side == s] << 32 | ids[side == s], return_counts=True) for s in (0, 1)))
-        g_a, g_b = keys[0] >> 32, keys[1] >> 32
-        first_b = np.searchsorted(g_b, np.arange(n_groups))
-        kinds_b = np.diff(np.r_[first_b, len(g_b)])
-        reps = kinds_b[g_a]
-        left = np.repeat(np.arange(len(g_a)), reps)
-        right = np.arange(len(left)) - np.repeat(np.cumsum(reps) - reps, reps) + first_b[g_a[left]]
-        pair, links, at = (keys[0][left] & 0xFFFFFFFF) << 32 | keys[1][right] & 0xFFFFFFFF, times[0][left] * times[1][right], of[g_a[left]]
+        (k_a, t_a), (k_b, t_b) = (np.unique(g << 32 | i, return_counts=True) for g, i in ((g_a, a), (g_b, b)))
+        first_b = np.searchsorted(k_b >> 32, np.arange(n_groups + 1))
+        left, right = gathered_runs(first_b, k_a >> 32)
+        pair, times, at = (k_a[left] & 0xFFFFFFFF) << 32 | k_b[right] & 0xFFFFFFFF, t_a[left] * t_b[right], of[k_a[left] >> 32]
         by = np.lexsort((pair, at))
-        pair, links, at = pair[by], links[by], at[by]
+        pair, times, at = pair[by], times[by], at[by]
         new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (at[1:] != at[:-1])][:len(pair)])
-        pair, at = pair[new], at[new]
-        links = np.add.reduceat(links, new) if len(new) else links
-        ends_at = np.searchsorted(at, np.arange(len(a_ids) + 1))
-        groups_of = np.searchsorted(of, np.arange(len(a_ids) + 1))
-        cut_a, cut_b = (np.r_[0, np.cumsum(x)].tolist() for x in (sizes_a, sizes_b))
-        text_a, text_b = ([str(t) for t in x.tolist()] for x in flat)
-        listed = [",".join(text_a[cut_a[g]:cut_a[g + 1]]) + "|" + ",".join(text_b[cut_b[g]:cut_b[g + 1]]) for g in range(n_groups)]
-        both = np.r_[0, np.cumsum(sizes_a * sizes_b)]
-        for k in range(len(a_ids)):
-            g0, g1 = groups_of[k], groups_of[k + 1]
-            s = slice(ends_at[k], ends_at[k + 1])
-            yield (len(a_ids[k]), len(b_ids[k]), int(g1 - g0), int(both[g1] - both[g0]), True), ";".join(listed[g0:g1]), pair[s], links[s]
+        links = np.add.reduceat(times, new) if len(new) else times
+        n = len(sizes)
+        in_chunk = lambda g: np.bincount(of[g], minlength=n)
+        counts = np.stack([in_chunk(g_a), in_chunk(g_b), np.bincount(of, minlength=n), np.bincount(at[new], links, n).astype(np.int64)], 1)
+        return text.split("\n") if n else [], counts, np.bincount(at[new], minlength=n), pair[new], links
 
     def documents(self, batch: list[str]) -> tuple[list[np.ndarray], Chunks]:
         """The chunk numbers of every text, and what they stand for; none for texts that are empty or whose bytes do not come back."""
@@ -159,13 +175,15 @@ class Aligner:
             self.chunks = Chunks()
         own = self.chunks
         cuts = [self.cut(t) if t else [] for t in batch]
-        new = list(dict.fromkeys(n for c in cuts for n in c if n not in own.number))
-        self.learn(new)
-        number, counts = own.number, own.counts
-        out = []
-        for c in cuts:
-            at = np.fromiter(map(number.__getitem__, c), np.int64, len(c))
-            out.append(at if all(counts[k][4] for k in set(at.tolist())) else at[:0])
+        number = own.number
+        new = list(set(chain.from_iterable(cuts)).difference(number))
+        if new:
+            self.learn(new)
+        at = np.fromiter(map(number.__getitem__, chain.from_iterable(cuts)), np.int64, sum(map(len, cuts)))
+        stops = list(accumulate(map(len, cuts), initial=0))
+        out = [at[a:b] for a, b in zip(stops, stops[1:])]
+        if not own.good[at].all():
+            out = [x if own.good[x].all() else x[:0] for x in out]
         for n in new:
             if len(n) > LONG:
                 own.held += len(own.groups[number.pop(n)])
@@ -177,38 +195,32 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
     return Aligner(byte_path, piece_path)
 
 
-def gathered(offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the runs ``at`` in arrays cut by ``offsets``, one run after the other, and which run each place belongs to."""
+def gathered_runs(offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the runs ``at`` of arrays cut by ``offsets``, one after the other: which run each place belongs to, and the place."""
     n = offsets[at + 1] - offsets[at]
     run = np.repeat(np.arange(len(at)), n)
-    return np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + offsets[at][run], run
-
-
-def summed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and the sums of their values."""
-    order = np.argsort(key, kind="stable")
-    key, value = key[order], value[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
-    return key[first], np.add.reduceat(value, first) if len(first) else value
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + offsets[at][run]
 
 
 def linked_pairs(numbers: list[np.ndarray], chunks: Chunks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document (its place), pair and number of links, by document and pair, of texts given by their chunks."""
     doc = np.repeat(np.arange(len(numbers)), [len(x) for x in numbers])
-    at = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-    used, at = np.unique(at, return_inverse=True)
-    times = np.ones(len(at), np.int64)
-    seen, times = summed(doc * max(1, len(used)) + at, times)
-    doc, at = np.divmod(seen, max(1, len(used)))
-    pairs = [chunks.pairs[k] for k in used]
-    offsets = np.r_[0, np.cumsum([len(p) for p in pairs])].astype(np.int64)
-    empty = [np.zeros(0, np.int64)]
-    flat, weight = np.concatenate([*pairs, *empty]), np.concatenate([*[chunks.weights[k] for k in used], *empty])
-    kinds, code = np.unique(flat, return_inverse=True)
-    place, run = gathered(offsets, at)
-    key, links = summed(doc[run] * max(1, len(kinds)) + code[place], weight[place] * times[run])
-    doc, code = np.divmod(key, max(1, len(kinds)))
-    return doc, kinds[code], links
+    at = np.concatenate([*numbers, np.zeros(0, np.int64)])
+    used = np.flatnonzero(np.bincount(at, minlength=1))
+    place = np.zeros(len(chunks.groups) + 1, np.int64)
+    place[used] = np.arange(len(used))
+    seen = np.sort(doc * max(1, len(used)) + place[at])
+    new = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]][:len(seen)])
+    times = np.diff(np.r_[new, len(seen)])
+    doc, at = np.divmod(seen[new], max(1, len(used)))
+    run, where = gathered_runs(chunks.offsets, used[at])
+    kinds, code = np.unique(chunks.pairs[where], return_inverse=True)
+    key = doc[run] * max(1, len(kinds)) + code
+    order = np.argsort(key)
+    key, links = key[order], (chunks.links[where] * times[run])[order]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
+    doc, code = np.divmod(key[new], max(1, len(kinds)))
+    return doc, kinds[code], np.add.reduceat(links, new) if len(new) else links
 
 
 #: A block: counts of its documents, the distinct pairs of all of them with the number of documents that hold each, and per document
@@ -233,7 +245,7 @@ def blocks(docs: DataFrame, paths: tuple[str, str], key: str, text: str) -> Data
             for part in steps([batch]):
                 words = texts(part)
                 numbers, chunks = own.documents(words)
-                counts = [np.array([chunks.counts[k][:4] for k in n.tolist()], np.int64).reshape(-1, 4).sum(0) for n in numbers]
+                counts = [chunks.counts[n].sum(0) for n in numbers]
                 digests = [hashlib.sha256(";".join([chunks.groups[k] for k in n.tolist()]).encode()).hexdigest() if len(n) else "" for n in numbers]
                 doc, pair, links = linked_pairs(numbers, chunks)
                 parts.append((part.column("key").to_pylist(), counts, digests, np.bincount(doc, minlength=len(words)).tolist(), pair, links))
