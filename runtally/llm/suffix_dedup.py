@@ -9,10 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from runtally.llm.rows import saved
+
 #: Bytes of a repeated string; bytes of an anchor within it; strings of a segment at most (only periodic text reaches it).
 LENGTH, ANCHOR, RUN = 50, 16, 64
 #: Bytes of text of a block, and of segments sorted together.
-BLOCK, SORTED = 8_000_000, 4_000_000
+BLOCK, SORTED = 8_000_000, 1_000_000
 #: Bytes behind the end of a buffer that words may reach into.
 PAD = 64
 
@@ -197,25 +199,29 @@ def stretches(mask: np.ndarray) -> Iterator[tuple[int, int]]:
         yield a, b - a + LENGTH - 1
 
 
-def _block_rows(table: pa.Table) -> tuple[np.ndarray, list[int | None], list[bytes]]:
-    """Rows of a block by key and text, so that every pass numbers them alike: order, keys, texts."""
+def _block_rows(table: pa.Table, copies: pa.Table) -> tuple[list[int | None], list[bytes], list[int], set[int]]:
+    """Rows of a block by key and text, so that every pass numbers them alike: keys, texts, the places of those that are compared, and
+    the places of copies of a text that a smaller key has."""
     ids, raw = table.column("doc_id").to_pylist(), table.column("raw").to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, raw[i]))
-    return np.array(order, np.int64), [ids[i] for i in order], [raw[i] for i in order]
+    ids, raw = [ids[i] for i in order], [raw[i] for i in order]
+    known = {(i, d) for i, d in zip(copies.column("doc_id").to_pylist(), copies.column("digest").to_pylist()) if d is not None}
+    doubtful = {i for i, _ in known}
+    same = {k for k, i in enumerate(ids) if i in doubtful and (i, hashlib.sha256(raw[k]).hexdigest()) in known}
+    return ids, raw, [k for k, i in enumerate(ids) if i is not None and k not in same], same
 
 
-def _anchors(table: pa.Table) -> pa.Table:
+def _anchors(table: pa.Table, copies: pa.Table) -> pa.Table:
     """anchor, block, several (whether two documents of the block hold it) for the anchors of a block."""
-    block = table.column("block")[0].as_py() if table.num_rows else 0
-    _, ids, raw = _block_rows(table)
-    n = sum(i is not None for i in ids)
-    _, _, _, anchor, doc = segments(raw[:n])
-    owner = np.array(ids[:n], np.int64)[doc] if n else doc
+    ids, raw, own, _ = _block_rows(table, copies)
+    _, _, _, anchor, doc = segments([raw[k] for k in own])
+    owner = np.array([ids[k] for k in own], np.int64)[doc]
     order = np.argsort(anchor, kind="stable")  # documents stay in their order
     anchor, owner = anchor[order], owner[order]
     fresh = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]][:len(anchor)])
-    last = np.r_[fresh[1:], len(anchor)] - 1
-    return pa.table({"anchor": anchor[fresh].view(np.int64), "block": np.full(len(fresh), block, np.int64), "several": owner[fresh] != owner[last] if len(fresh) else np.zeros(0, bool)})
+    last = np.r_[fresh[1:], len(anchor)][:len(fresh)] - 1
+    block = table.column("block")[0].as_py() if table.num_rows else 0
+    return pa.table({"anchor": anchor[fresh].view(np.int64), "block": np.full(len(fresh), block, np.int64), "several": owner[fresh] != owner[last]})
 
 
 FOUND = pa.schema([("anchor", pa.int64()), ("segment", pa.binary()), ("doc_id", pa.int64()), ("block", pa.int64()), ("row", pa.int32()), ("at", pa.int64()), ("size", pa.int64())])
@@ -226,30 +232,29 @@ def _shared_segments(table: pa.Table, shared: pa.Table) -> pa.Table:
 
     A segment that a smaller document of the same block holds as well is covered whole, so it need not be compared any more.
     """
-    _, ids, raw = _block_rows(table)
-    n = sum(i is not None for i in ids)
-    if not n or not shared.num_rows:
+    ids, raw, own, _ = _block_rows(table, shared)
+    wanted = np.sort(shared.column("anchor").drop_null().to_numpy().view(np.uint64))
+    if not own or not len(wanted):
         return FOUND.empty_table()
     block = table.column("block")[0].as_py()
-    buf, place, strings, anchor, doc = segments(raw[:n])
-    wanted = np.sort(shared.column("anchor").to_numpy().view(np.uint64))
+    buf, place, strings, anchor, doc = segments([raw[k] for k in own])
     hit = np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)
     keep = np.flatnonzero(wanted[hit] == anchor)
-    starts = np.cumsum([0, *map(len, raw[:n])])
+    starts = np.cumsum([0, *(len(raw[k]) for k in own)])
     text = buf.tobytes()
     first: dict[bytes, int] = {}
     rows: list[tuple] = []
     done: list[list[int]] = []
     keys = anchor.view(np.int64)
     for p, s, a, d in zip(place[keep].tolist(), strings[keep].tolist(), keys[keep].tolist(), doc[keep].tolist()):
-        segment = text[p:p + s + LENGTH - 1]
-        if first.setdefault(segment, ids[d]) == ids[d]:
-            rows.append((a, segment, ids[d], block, d, p - int(starts[d]), len(segment)))
+        segment, key = text[p:p + s + LENGTH - 1], ids[own[d]]
+        if first.setdefault(segment, key) == key:
+            rows.append((a, segment, key, block, own[d], p - int(starts[d]), len(segment)))
         elif done and done[-1][0] == d and done[-1][2] >= p:
             done[-1][2] = p + len(segment)
         else:
             done.append([d, p, p + len(segment)])
-    rows += [((block * 1_000_003 + k) % 2_147_483_647, None, ids[d], block, d, p - int(starts[d]), e - p) for k, (d, p, e) in enumerate(done)]
+    rows += [((block * 1_000_003 + k) % 2_147_483_647, None, ids[own[d]], block, own[d], p - int(starts[d]), e - p) for k, (d, p, e) in enumerate(done)]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), FOUND)], schema=FOUND) if rows else FOUND.empty_table()
 
 
@@ -290,12 +295,16 @@ def union_of(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _cut(table: pa.Table, cover: pa.Table) -> Iterator[tuple[int | None, bytes, list[tuple[int, int]], bytes]]:
     """doc_id, text, removed spans and remaining bytes of every row of a block."""
-    _, ids, raw = _block_rows(table)
+    ids, raw, _, same = _block_rows(table, cover)
+    cover = cover.filter(cover.column("row").is_valid())
     row, at, size = (cover.column(c).to_numpy().astype(np.int64) for c in ("row", "at", "size"))
     order = np.argsort(row, kind="stable")
     row, at, size = row[order], at[order], size[order]
     bounds = np.searchsorted(row, np.arange(len(ids) + 1))
     for k, (i, text) in enumerate(zip(ids, raw)):
+        if k in same and len(text) >= LENGTH:
+            yield i, text, [(0, len(text))], b""
+            continue
         own = slice(bounds[k], bounds[k + 1])
         a, b = (x.tolist() for x in union_of(at[own], size[own]))
         yield i, text, list(zip(a, b)), b"".join(text[x:y] for x, y in zip([0, *b], [*a, len(text)])) if a else text
@@ -308,12 +317,21 @@ def _removals(docs: DataFrame, key: str, text: str, answer, schema: str) -> Data
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).cast("binary").alias("raw")) \
         .select(F.pmod(F.xxhash64("doc_id", "raw"), F.lit(n)).alias("block"), "doc_id", "raw")
     blocks = rows.groupBy("block")
-    anchors = blocks.applyInArrow(_anchors, "anchor long, block long, several boolean")
+    copies = saved(_copies(rows))
+    noted = lambda df: df.unionByName(copies, allowMissingColumns=True).groupBy("block")
+    anchors = blocks.cogroup(copies.groupBy("block")).applyInArrow(_anchors, "anchor long, block long, several boolean")
     same = Window.partitionBy("anchor")
     shared = anchors.select("block", "anchor", ((F.count(F.lit(1)).over(same) > 1) | F.max("several").over(same)).alias("shared")).where("shared").select("block", "anchor")
-    found = blocks.cogroup(shared.groupBy("block")).applyInArrow(_shared_segments, "anchor long, segment binary, doc_id long, block long, row int, at long, size long")
+    found = blocks.cogroup(noted(shared)).applyInArrow(_shared_segments, "anchor long, segment binary, doc_id long, block long, row int, at long, size long")
     cover = found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compared, "block long, row int, at long, size long")
-    return blocks.cogroup(cover.groupBy("block")).applyInArrow(answer, schema)
+    return blocks.cogroup(noted(cover)).applyInArrow(answer, schema)
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """block, doc_id, digest of rows whose whole text a row with a smaller key has: they need no comparison."""
+    keys = rows.where("doc_id IS NOT NULL").select("block", "doc_id", F.sha2("raw", 256).alias("digest"))
+    least = keys.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    return keys.join(least.drop("most"), "digest").where("doc_id > least").select("block", "doc_id", "digest").distinct()
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -324,7 +342,7 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     Rows that repeat a key are one document's: none covers another of them, equal or not. Texts shorter than a string stay.
     Other columns are not read; an empty table gives an empty result.
 
-    Documents are dealt into blocks of bounded size. Every string goes by the least of the anchors in it, so equal strings meet; only
+    Documents are dealt into blocks of bounded size. Copies of a whole text are known by its digest and compared no more. Every string goes by the least of the anchors in it, so equal strings meet; only
     segments whose anchor two documents share are sent on, once for each block that holds them.
     """
     def answer(table: pa.Table, cover: pa.Table) -> pa.Table:
