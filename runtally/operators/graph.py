@@ -1,21 +1,28 @@
 """Graph operators over many small dependency graphs at once.
 
-A graph is two frames, nodes ``(keys, node)`` and edges ``(keys, pred, succ)``. The
-loops run once per depth over all graphs together; the state stays distributed and is
-checkpointed every round, so lineage does not grow and a lost executor costs one round.
+A graph is two frames, nodes ``(keys, node)`` and edges ``(keys, pred, succ)``. Nodes may have a ``weight``: 1 for tasks (the
+default), 0 for the gates through which stages, wait marks and fan-outs lead, so that a path is as long as its tasks are many.
+
+The loops contract paths: a node with one open predecessor points past it, and pointers are followed to where they lead, so the
+rounds of a chain grow with the logarithm of its length. The state of a round is one frame of edges, as many as there were
+or fewer; it is checkpointed, so neither lineage nor plan grows and a lost executor costs one round.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from runtally.operators.joins import fan_out_predecessors, result_nodes, stage_edges
 from runtally.operators.ordered import match
 from runtally.session import cut
 
 FINISHED = ("completed", "failed", "skipped")
 
+#: Lengths are held at this value: no path without a cycle is longer.
+ENDLESS = 1 << 40
+
 
 def edges(defs: DataFrame, keys: Sequence[str], node: str = "id") -> DataFrame:
     """Distinct dependencies from predecessor arrays."""
@@ -26,53 +33,172 @@ def nodes_of(defs: DataFrame, keys: Sequence[str], node: str = "id") -> DataFram
     return defs.select(*keys, F.col(node).alias("node")).distinct()
 
 
-def _inner_edges(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Edges whose predecessor is a real node."""
-    return edge.join(nodes.withColumnRenamed("node", "pred"), [*keys, "pred"], "left_semi")
+# ---- graphs with gates ---------------------------------------------------------
 
+def _gated(tasks: DataFrame, gate_edges: DataFrame, gates: Column, keys: list[str], *more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with weights and edges of tasks and of the gates that ``gates`` names in ``gate_edges(keys, pred, succ, gate)``."""
+    names = gate_edges.select(*keys, gates.alias("node")).distinct()
+    nodes = tasks.select(*keys, "node", F.lit(1).alias("weight")).unionByName(names.withColumn("weight", F.lit(0)))
+    edge = gate_edges.select(*keys, "pred", "succ")
+    for e in more:
+        edge = edge.unionByName(e.select(*keys, "pred", "succ"))
+    return nodes, edge.distinct()
 
-def peel(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Take away nodes without open predecessors round by round.
 
-    Returns the nodes with the round they left in, which is their longest path from a
-    root, and the nodes that never leave: those on or behind a cycle.
-    """
+def stage_graph(defs: DataFrame, keys: Sequence[str], stage_order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Tasks with their predecessors, and a gate between each stage and the next: nodes ``(keys, node, weight)``, edges."""
+    keys = list(keys)
+    through = stage_edges(defs, keys, stage_order)
+    inward = F.col("succ").startswith("gate:")
+    return _gated(nodes_of(defs, keys), through, F.when(inward, F.col("succ")).otherwise(F.col("pred")), keys, edges(defs, keys))
+
+
+def wait_graph(sequences: DataFrame, keys: Sequence[str], node: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Tasks of ``wait_sequences`` and a gate before each sequence that waits for another, with an edge for each task and side."""
     keys = list(keys)
-    edge = _inner_edges(nodes, edge, keys)
-    degree = edge.groupBy(*keys, F.col("succ").alias("node")).agg(F.count("*").alias("open"))
-    state = cut(match(nodes, degree, [*keys, "node"], "left").withColumn("open", F.coalesce("open", F.lit(0))))
-    # Hash-placed once by predecessor; the checkpoint keeps that placement for every round.
-    edge = cut(edge.repartition(*keys, "pred"))
-    done, level = [], 0
+    tasks = sequences.select(*keys, F.col(node).alias("node"), "sequence", "previous")
+    waits = tasks.where("previous IS NOT NULL").select(*keys, F.concat(F.lit("wait:"), F.col("sequence").cast("string")).alias("gate"), "sequence", "previous", "node")
+    ahead = waits.select(*keys, "gate", F.col("previous").alias("sequence")).distinct()
+    into = match(tasks.select(*keys, "node", "sequence"), ahead, [*keys, "sequence"]).select(*keys, F.col("node").alias("pred"), F.col("gate").alias("succ"), "gate")
+    out = waits.select(*keys, F.col("gate").alias("pred"), F.col("node").alias("succ"), "gate")
+    return _gated(tasks.select(*keys, "node").distinct(), into.unionByName(out), F.col("gate"), keys)
+
+
+def fan_out_graph(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Executed rows of a run; a predecessor with several instances is a gate ``all:id`` behind all of them."""
+    keys = ["run_id"]
+    tasks = result_nodes(results).select("run_id", F.col("node_id").alias("node"), "task_id", "instances")
+    gate = F.concat(F.lit("all:"), F.col("task_id"))
+    into = tasks.where("instances > 1").select("run_id", F.col("node").alias("pred"), gate.alias("succ"), gate.alias("gate"))
+    wants = fan_out_predecessors(results)
+    many = F.col("predecessor_instances") > 1
+    direct = wants.select("run_id", F.when(many, F.concat(F.lit("all:"), F.col("predecessor"))).otherwise(F.col("predecessor")).alias("pred"), F.col("node_id").alias("succ"))
+    return _gated(tasks, into, F.col("gate"), keys, direct)
+
+
+# ---- paths ----------------------------------------------------------------------
+
+def _id(keys: Sequence[str], node: str) -> Column:
+    """Graph and node as one value; two of them are equal where nulls in the keys are."""
+    return F.struct(*[F.col(k).alias(k) for k in keys], F.col(node).alias("node"))
+
+
+def _weighted(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    weight = F.col("weight").cast("long") if "weight" in nodes.columns else F.lit(1).cast("long")
+    return nodes.groupBy(_id(keys, "node").alias("v")).agg(F.max(weight).alias("weight"))
+
+
+def _open(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(v, p, dist) of every node: a row for each predecessor that is a node, with its weight; p is null for a node without."""
+    n = _weighted(nodes, keys)
+    e = edge.select(_id(keys, "succ").alias("v"), _id(keys, "pred").alias("p")).distinct()
+    inner = e.join(n.select(F.col("v").alias("p"), F.col("weight").alias("dist")), "p")
+    return n.select("v").join(inner, "v", "left").select("v", "p", F.coalesce("dist", F.lit(0).cast("long")).alias("dist"))
+
+
+def _longest(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(v, p, dist): where p is null, dist is the node's longest path; nodes that keep a predecessor are on or behind a cycle.
+
+    A row says that the node is ``dist`` behind p, or, where p is null, behind a start. Each round a node with one row left is passed
+    over: rows that lead to it go on to where its own row leads. A start that is no farther than a predecessor does not matter.
+    The round ends when nothing is left to follow, or when no further node came down to a start: the rest hang on cycles.
+    """
+    state, before = cut(_open(nodes, edge, keys)), -1
     while True:
-        front = state.filter("open = 0").select(*keys, "node")
-        rest = state.filter("open > 0")
-        done.append(front.withColumn("level", F.lit(level)))
-        if front.isEmpty() or rest.isEmpty():
-            break
-        freed = edge.join(front.withColumnRenamed("node", "pred"), [*keys, "pred"], "left_semi") \
-            .groupBy(*keys, F.col("succ").alias("node")).agg(F.count("*").alias("_freed"))
-        state = cut(match(rest, freed, [*keys, "node"], "left").select(
-            *keys, "node", (F.col("open") - F.coalesce("_freed", F.lit(0))).alias("open")))
-        level += 1
-    leveled = done[0]
-    for d in done[1:]:
-        leveled = leveled.unionByName(d)
-    return leveled, rest.select(*keys, "node")
+        sums = state.groupBy("v").agg(
+            F.count("p").alias("others"), F.max(F.when(F.col("p").isNotNull(), F.col("dist"))).alias("top"),
+            F.max(F.when(F.col("p").isNull(), F.col("dist"))).alias("base"))
+        behind = F.col("base") <= F.col("top")
+        rows = state.join(sums, "v").where(F.col("p").isNotNull() | ~F.coalesce(behind, F.lit(False)))
+        alone = (F.col("others") == 0) | ((F.col("others") == 1) & F.coalesce(behind, F.col("base").isNull()))
+        rows = rows.select("v", "p", "dist", alone.alias("alone"), (F.col("others") == 0).alias("settled"))
+        past = rows.where("alone").select(F.col("v").alias("p"), F.col("p").alias("q"), F.col("dist").alias("more"), F.lit(True).alias("over"))
+        state, n, settled = _kept(_moved(rows.drop("alone").join(past, "p", "left")), F.max)
+        if settled in (n, before):
+            return state
+        before = settled
+
+
+def _moved(rows: DataFrame) -> DataFrame:
+    """Rows (v, p, dist, settled) with where the one row of p leads (q, more, over), led past it."""
+    return rows.select("v", F.when(F.col("over"), F.col("q")).otherwise(F.col("p")).alias("p"),
+                       F.least(F.col("dist") + F.coalesce("more", F.lit(0)), F.lit(ENDLESS)).alias("dist"), "settled")
+
+
+def _kept(rows: DataFrame, best) -> tuple[DataFrame, int, int]:
+    """The next state: the best row for each node and predecessor. With it the number of rows, and of those that were settled before."""
+    state = cut(rows.groupBy("v", "p").agg(best("dist").alias("dist"), F.bool_and("settled").alias("settled")))
+    n, settled = state.agg(F.count(F.lit(1)), F.count_if("settled")).first()
+    return state.drop("settled"), n, settled
 
 
 def levels(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Longest-path depth of every node that is not held by a cycle."""
-    return peel(nodes, edge, keys)[0]
+    """Longest-path depth, in tasks, of every task that is not held by a cycle; gates have none. Predecessors that are no node count nothing."""
+    keys = list(keys)
+    free = _longest(nodes, edge, keys).groupBy("v").agg(F.count("p").alias("_open"), F.max("dist").alias("level")).where("_open = 0")
+    tasks = _weighted(nodes, keys).where("weight > 0").select("v")
+    return free.join(tasks, "v", "left_semi").select("v.*", F.col("level").cast("int").alias("level"))
+
+
+def held(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The nodes on or behind a cycle, gates included, and whether a cycle is still ahead of them (``ahead``).
+
+    Held nodes are those that never come down to a start; those from which a cycle can be reached never do on the turned edges either.
+    """
+    return _held(nodes, edge, list(keys)).select("v.*", "ahead")
+
+
+def _held(nodes: DataFrame, edge: DataFrame, keys: list[str]) -> DataFrame:
+    stuck = cut(_longest(nodes, edge, keys).where("p IS NOT NULL").select("v").distinct())
+    some = stuck.select("v.*")
+    e = _between(edge, stuck, keys)
+    turned = e.select(*keys, F.col("succ").alias("pred"), F.col("pred").alias("succ"))
+    core = _longest(some, turned, keys).where("p IS NOT NULL").select("v").distinct().withColumn("ahead", F.lit(True))
+    return cut(stuck.join(core, "v", "left").select("v", F.coalesce("ahead", F.lit(False)).alias("ahead")))
+
+
+def _between(edge: DataFrame, some: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The edges both of whose ends are in ``some`` (v)."""
+    e = edge.select("*", _id(keys, "pred").alias("_p"), _id(keys, "succ").alias("_s"))
+    for end in ("_p", "_s"):
+        e = e.join(some.select(F.col("v").alias(end)), end, "left_semi")
+    return e.drop("_p", "_s")
+
+
+def cycles(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One cycle of every graph that has some: (keys, step, node), each node a predecessor of the next, the last one of the first.
+
+    Every node with a cycle on both sides follows its least such predecessor. Pointers are doubled until they have passed all nodes: what
+    they then point at lies on a cycle. The one that holds the least node of its graph's cycles is given, from that node on; gates are nodes.
+    """
+    keys = list(keys)
+    core = _held(nodes, edge, keys).where("ahead").select("v")
+    step = cut(_between(edge, core, keys).groupBy(_id(keys, "succ").alias("v")).agg(F.min("pred").alias("node"))
+               .select("v", F.col("v").withField("node", F.col("node")).alias("to")))
+    most = step.groupBy(*[F.col(f"v.{k}") for k in keys]).count().agg(F.max("count")).first()[0] or 0
+    # least: the smallest node among those passed
+    far = step.select("v", "to", F.col("to").alias("least"))
+    for _ in range(int(most).bit_length()):
+        ahead = far.select(F.col("v").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"))
+        far = cut(far.join(ahead, "to").select("v", F.col("_to").alias("to"), F.least("least", "_least").alias("least")))
+    on = far.select(F.col("to").alias("v")).distinct()
+    ring = far.join(on, "v", "left_semi").select("v", "least")
+    first = ring.groupBy(*[F.col(f"v.{k}").alias(f"_{k}") for k in keys]).agg(F.min("least").alias("least")).select("least")
+    chosen = cut(ring.join(first, "least", "left_semi").join(step, "v"))
+    # Backwards along the predecessors to the least node: the steps to it are the place behind it.
+    walk = chosen.select("v", F.when(F.col("v") != F.col("least"), F.col("to")).alias("to"), F.when(F.col("v") != F.col("least"), 1).otherwise(0).cast("long").alias("step"))
+    for _ in range(int(most).bit_length()):
+        ahead = walk.select(F.col("v").alias("to"), F.col("to").alias("_to"), F.col("step").alias("_step"))
+        walk = cut(walk.join(ahead, "to", "left").select("v", F.col("_to").alias("to"), (F.col("step") + F.coalesce("_step", F.lit(0))).alias("step")))
+    return walk.select(*[F.col(f"v.{k}").alias(k) for k in keys], "step", F.col("v.node").alias("node"))
 
 
 def acyclic(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per graph whether it is free of cycles, and how many nodes a cycle holds."""
     keys = list(keys)
-    held = peel(nodes, edge, keys)[1].groupBy(*keys).agg(F.count("*").alias("_held"))
-    sizes = nodes.groupBy(*keys).agg(F.count("*").alias("nodes"))
-    return match(sizes, held, keys, "left").select(
-        *keys, "nodes", F.coalesce("_held", F.lit(0)).alias("held"), F.col("_held").isNull().alias("is_acyclic"))
+    stuck = _longest(nodes, edge, keys).groupBy("v").agg((F.count("p") > 0).alias("_held"))
+    return stuck.groupBy(*[F.col(f"v.{k}").alias(k) for k in keys]).agg(
+        F.count("*").alias("nodes"), F.count_if("_held").alias("held"), (F.count_if("_held") == 0).alias("is_acyclic"))
 
 
 def task_status(instances: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -89,19 +215,37 @@ def task_status(instances: DataFrame, keys: Sequence[str]) -> DataFrame:
     return instances.groupBy(*keys, "task_id").agg(status.alias("status"))
 
 
-def ready_tasks(instances: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
+def ready_tasks(instances: DataFrame, edge: DataFrame, keys: Sequence[str], gates: DataFrame | None = None) -> DataFrame:
     """Instances that may start: all predecessors finished, or the task is already running.
 
-    A predecessor that names no task never finishes.
+    A predecessor that names no task never finishes. A gate ``gates(keys, node)`` is finished when all its predecessors are.
     """
     keys = list(keys)
     status = task_status(instances, keys)
-    ahead = status.select(*keys, F.col("task_id").alias("pred"), F.col("status").isin(*FINISHED).alias("_fin"))
-    blocked = match(edge, ahead, [*keys, "pred"], "left").groupBy(*keys, F.col("succ").alias("task_id")).agg(
-        F.bool_and(F.coalesce("_fin", F.lit(False))).alias("_free"))
-    t = match(match(instances, status, [*keys, "task_id"]), blocked, [*keys, "task_id"], "left")
-    may = (F.col("status") == "running") | ((F.col("status") == "pending") & F.coalesce("_free", F.lit(True)))
-    return t.filter(may & (F.col("state") == "pending")).select(*keys, "task_id", "instance_no")
+    done = status.filter(F.col("status").isin(*FINISHED)).select(*keys, F.col("task_id").alias("pred"))
+    if gates is not None:
+        done = done.unionByName(_passed(done, edge, keys, gates))
+    e = edge.select("*", _id(keys, "pred").alias("_p"))
+    waiting = e.join(done.select(_id(keys, "pred").alias("_p")).distinct(), "_p", "left_anti").select(_id(keys, "succ").alias("_v")).distinct()
+    state = status.select(_id(keys, "task_id").alias("_v"), "status")
+    free = state.join(waiting.withColumn("_wait", F.lit(True)), "_v", "left")
+    may = free.where((F.col("status") == "running") | ((F.col("status") == "pending") & F.col("_wait").isNull())).select("_v")
+    return instances.filter(F.col("state") == "pending").withColumn("_v", _id(keys, "task_id")).join(may, "_v", "left_semi") \
+        .select(*keys, "task_id", "instance_no")
+
+
+def _passed(done: DataFrame, edge: DataFrame, keys: list[str], gates: DataFrame) -> DataFrame:
+    """(keys, pred) of the gates behind which nothing is open: neither an unfinished task nor, through other gates, one further off."""
+    all_gates = gates.select(_id(keys, "node").alias("v")).distinct()
+    into = edge.select(_id(keys, "pred").alias("p"), _id(keys, "succ").alias("v")).join(all_gates, "v", "left_semi")
+    of_gates = cut(into.join(all_gates.select(F.col("v").alias("p")), "p", "left_semi"))
+    tasks = into.join(all_gates.select(F.col("v").alias("p")), "p", "left_anti")
+    shut = tasks.join(done.select(_id(keys, "pred").alias("p")), "p", "left_anti").select("v").distinct()
+    if not of_gates.isEmpty():
+        names = all_gates.select("v.*")
+        reached = skip_closure(shut.select("v.*"), of_gates.select(*[F.col(f"v.{k}").alias(k) for k in keys], F.col("p.node").alias("pred"), F.col("v.node").alias("succ")), names, keys)
+        shut = shut.union(reached.select(_id(keys, "node")))
+    return all_gates.join(shut, "v", "left_anti").select(*[F.col(f"v.{k}").alias(k) for k in keys], F.col("v.node").alias("pred"))
 
 
 def predecessor_check(defs: DataFrame, results: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -124,20 +268,35 @@ def predecessor_check(defs: DataFrame, results: DataFrame, keys: Sequence[str])
 def skip_closure(failed: DataFrame, edge: DataFrame, strict: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Tasks that cannot succeed after ``failed(keys, node)``, through tasks that require it.
 
-    ``strict(keys, node)`` lists the tasks that require predecessor success. Returns the
-    tasks reached with the round they were reached in.
+    ``strict(keys, node)`` lists the tasks that require predecessor success, and gates with ``weight`` 0, which hand on what
+    fails before them. Returns the tasks reached with the round they were reached in, counted in tasks.
+
+    As in ``levels``, a node with one row left is passed over. A predecessor no nearer than the node's own start does not matter, and
+    the least distance of a graph is final, so nodes on a cycle come down to a start as well; what no failure reaches is left out.
     """
     keys = list(keys)
-    hard = cut(edge.join(strict.withColumnRenamed("node", "succ"), [*keys, "succ"], "left_semi")
-               .repartition(*keys, "pred"))
-    front = cut(failed.select(*keys, "node").distinct().withColumn("round", F.lit(0)))
-    seen, n = front, 0
+    n = _weighted(strict, keys)
+    start = failed.select(_id(keys, "node").alias("v")).distinct()
+    into = edge.select(_id(keys, "succ").alias("v"), _id(keys, "pred").alias("p")).distinct().join(n, "v").join(start, "v", "left_anti")
+    none = F.lit(None).cast(start.schema["v"].dataType)
+    state = cut(start.select("v", none.alias("p"), F.lit(0).cast("long").alias("dist")).unionByName(into.select("v", "p", F.col("weight").alias("dist"))))
+    before = [-1, -1]
     while True:
-        n += 1
-        reached = hard.join(front.select(*keys, F.col("node").alias("pred")), [*keys, "pred"], "left_semi") \
-            .select(*keys, F.col("succ").alias("node")).distinct() \
-            .join(seen.select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("round", F.lit(n))
-        front = cut(reached)
-        if front.isEmpty():
-            return seen.filter("round > 0")
-        seen = seen.unionByName(front)
+        sums = state.groupBy("v").agg(F.min(F.when(F.col("p").isNull(), F.col("dist"))).alias("base"), F.min(F.when(F.col("p").isNotNull(), F.col("dist"))).alias("near"))
+        graph = F.struct(*[F.col(f"v.{k}").alias(k) for k in keys])
+        sums = sums.withColumn("g", graph)
+        least = sums.where("near < base").groupBy("g").agg(F.min("base").alias("least"))
+        sums = sums.join(least, "g", "left").withColumn("base_final", F.col("base").isNotNull() & (F.col("near").isNull() | (F.col("near") >= F.col("base")) | (F.col("base") <= F.col("least"))))
+        rows = state.join(sums.select("v", "base", "base_final"), "v")
+        rows = rows.where(F.col("p").isNull() | (~F.col("base_final") & (F.col("dist") < F.coalesce("base", F.lit(ENDLESS))) & (F.col("p") != F.col("v"))))
+        left = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.join(left, "v").select("v", "p", "dist", (F.col("n") == 1).alias("alone"), F.col("base_final").alias("settled"))
+        past = rows.where("alone").select(F.col("v").alias("p"), F.col("p").alias("q"), F.col("dist").alias("more"), F.lit(True).alias("over")) \
+            .unionByName(rows.where("not alone").select(F.col("v").alias("p"), none.alias("q"), F.lit(0).cast("long").alias("more"), F.lit(False).alias("over")).distinct())
+        ends, open_ = rows.where("p IS NULL"), rows.where("p IS NOT NULL")
+        state, n_rows, settled = _kept(ends.select("v", "p", "dist", "settled").unionByName(_moved(open_.drop("alone").join(past, "p"))), F.min)
+        if settled == n_rows or before == [settled, settled]:
+            break
+        before = [before[1], settled]
+    tasks = n.where("weight > 0").select("v")
+    return state.where("p IS NULL AND dist > 0").join(tasks, "v", "left_semi").select("v.*", F.col("dist").cast("int").alias("round"))

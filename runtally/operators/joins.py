@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from runtally.functions.scalars import fan_out_key, rate, rounded, success
 from runtally.operators.history import zero_if_null
-from runtally.operators.ordered import match, numbered, running_sums
+from runtally.operators.ordered import match, numbered, scanned
 from runtally.schemas import INPUT_EXCLUSIONS, MEASURES, UNKNOWN_SET
 from runtally.session import cut
 
@@ -51,18 +51,18 @@ def _count(x: Column, y: Column, z: Column, own: Column, start: str, end: str) -
 
 
 def _overlaps_in_blocks(rows: DataFrame, keys: list[str], flags: dict[str, Column], start: str, end: str) -> DataFrame:
-    """The sums are kept per distinct instant and checkpointed, so the two look-ups share one
-    pass, and rows that start together are split by the join and not sorted in one task."""
+    """The sums are kept per distinct instant, however many there are in a stretch of time, and looked up by group and instant, so
+    that rows that start together are split by the join and not sorted in one task."""
     ids = range(len(flags))
     points = rows.select(*keys, F.inline(_moves(flags, start, end))).groupBy(*keys, "t") \
         .agg(*[F.sum(f"{m}{i}").alias(f"{m}{i}") for i in ids for m in "sez"])
-    # A minute holds at most 6e7 distinct instants, a year half a million minutes.
-    sweep = cut(running_sums(points, keys, "t", F.floor(F.unix_micros("t") / 60_000_000),
-                             {f"{m}u{i}": f"{m}{i}" for i in ids for m in "se"}))
-    at_end = sweep.select(*keys, F.col("t").alias(end), *[(F.col(f"su{i}") - F.col(f"s{i}")).alias(f"_x{i}") for i in ids])
-    at_start = sweep.select(*keys, F.col("t").alias(start), *[F.col(f"eu{i}").alias(f"_y{i}") for i in ids],
-                            *[F.col(f"z{i}").alias(f"_z{i}") for i in ids])
-    both = match(match(rows, at_end, [*keys, end]), at_start, [*keys, start])
+    sweep = scanned(points, keys, ["t"], sums={f"{m}u{i}": f"{m}{i}" for i in ids for m in "se"})
+    place = F.struct(*[F.col(k) for k in keys])
+    sweep = sweep.select(place.alias("_group"), "t", *[(F.col(f"su{i}") - F.col(f"s{i}")).alias(f"_x{i}") for i in ids],
+                         *[F.col(f"eu{i}").alias(f"_y{i}") for i in ids], *[F.col(f"z{i}").alias(f"_z{i}") for i in ids])
+    at_end = sweep.select("_group", F.col("t").alias(end), *[f"_x{i}" for i in ids])
+    at_start = sweep.select("_group", F.col("t").alias(start), *[c for i in ids for c in (f"_y{i}", f"_z{i}")])
+    both = rows.withColumn("_group", place).join(at_end, ["_group", end]).join(at_start, ["_group", start])
     return both.select(*rows.columns, *[
         _count(F.col(f"_x{i}"), F.col(f"_y{i}"), F.col(f"_z{i}"), own, start, end).alias(c)
         for i, (c, own) in enumerate(flags.items())])

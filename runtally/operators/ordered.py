@@ -33,30 +33,26 @@ def running_sums(points: DataFrame, keys: Sequence[str], at: str, block: Column,
     a large group into pieces that are summed apart and then shifted.
     """
     keys = list(keys)
-    pts = points.withColumn("_block", block)
-    totals = pts.groupBy(*keys, "_block").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums.values()])
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = totals.select(*keys, "_block", *[
+    pts = points.withColumn("_block", block).withColumn("_group", F.struct(*[F.col(k) for k in keys]))
+    totals = pts.groupBy("_group", "_block").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums.values()])
+    earlier = Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select("_group", "_block", *[
         F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_s_{c}") for c in sums.values()])
-    inside = (Window.partitionBy(*keys, "_block").orderBy(at)
+    inside = (Window.partitionBy("_group", "_block").orderBy(at)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = match(pts, shifts, [*keys, "_block"])
-    return out.select(*points.columns, *[
-        (F.col(f"_s_{c}") + F.sum(c).over(inside)).alias(name) for name, c in sums.items()])
-
-
-def second_block(value: str) -> Column:
-    """Blocks of one unit; durations kept to the millisecond give at most 1000 values each."""
-    return F.floor(F.col(value))
+    summed = pts.select("*", *[F.sum(c).over(inside).alias(f"_i_{name}") for name, c in sums.items()])
+    return summed.join(shifts, ["_group", "_block"]).select(*points.columns, *[
+        (F.col(f"_s_{c}") + F.col(f"_i_{name}")).alias(name) for name, c in sums.items()])
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values per group with count ``c`` and rows up to and including them ``upto``.
 
-    Checkpointed: every statistic of the group is then read from this small table.
+    Blocks are cut at sampled quantiles of (group, value), so no group and no stretch of near values is one task's alone, however many
+    distinct values lie close together. Checkpointed: every statistic of the group is then read from this small table.
     """
     h = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    return cut(running_sums(h, keys, value, second_block(value), {"upto": "c"}))
+    return cut(scanned(h, keys, [value], sums={"upto": "c"}))
 
 
 def order_statistics(hist: DataFrame, keys: Sequence[str], value: str,
@@ -92,51 +88,31 @@ MIDDLES = {
 }
 
 
-# Rows of one group that one task may sort.
-LARGE_GROUP = 1_000_000
-
-
-def large_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Keys with more than ``limit`` rows, from a count that is combined before its shuffle."""
-    n = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
-    return cut(n.select(*keys))
-
-
-def split_large(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary groups and, if there are any, rows of groups above ``limit``."""
-    large = large_groups(df, keys, limit)
-    if large.isEmpty():
-        return df, None
-    return match(df, large, keys, "left_anti"), match(df, large, keys, "left_semi")
+# ---- one scan for row numbers and running sums --------------------------------------
 
+def scanned(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], number: str | None = None,
+            sums: dict[str, str] | None = None) -> DataFrame:
+    """Number the rows of every group from 1 in ``order``, which should be total, and add inclusive running sums of columns.
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str,
-             large: int | None = None) -> DataFrame:
-    """Number the rows of every group from 1 in ``order``, which should be total.
-
-    Groups of up to ``large`` rows are sorted by one task each. Larger ones are
-    range-partitioned on keys and order, so they spread over many tasks.
+    Groups of every size take one way: rows are range-partitioned on keys and order, numbered and summed within their piece of a group, and
+    shifted by the totals of the pieces before. The placed rows are checkpointed, which fixes the ranges.
     """
-    keys = list(keys)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    if not keys:
-        return _numbered_in_ranges(df, keys, order, out)
-    ordinary, hot = split_large(df, keys, large or LARGE_GROUP)
-    plain = ordinary.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    return plain if hot is None else plain.unionByName(_numbered_in_ranges(hot, keys, order, out))
-
-
-def _numbered_in_ranges(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
-    """The sorted ranges are checkpointed, which fixes their bounds; each is then shifted by
-    the rows its groups have in the ranges before it."""
+    sums = dict(sums or {})
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0))
     by = [*[F.col(k) for k in keys], *order]
-    placed = cut(df.repartitionByRange(*by).sortWithinPartitions(*by)
-                 .withColumn("_at", F.monotonically_increasing_id()))
-    placed = placed.withColumn("_piece", F.shiftright("_at", 33))
-    pieces = placed.groupBy(*keys, "_piece").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = pieces.select(*keys, "_piece", (
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
-    return (match(placed, shifts, [*keys, "_piece"])
-            .withColumn(out, F.col("_at") + F.col("_shift"))
-            .drop("_at", "_piece", "_shift"))
+    placed = cut(df.repartitionByRange(*by).withColumn("_piece", F.spark_partition_id()).withColumn("_group", group))
+    inside = Window.partitionBy("_group", "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = placed.groupBy("_group", "_piece").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_t_{name}") for name, c in sums.items()])
+    earlier = Window.partitionBy("_group").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_group", "_piece", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_n", *[f"_t_{name}" for name in sums])])
+    here = [F.row_number().over(inside).alias("_no")] if number else []
+    here += [F.sum(c).over(inside).alias(f"_s_{name}") for name, c in sums.items()]
+    out = placed.select("*", *here).join(before, ["_group", "_piece"])
+    added = [(F.col("_no") + F.col("_n")).cast("long").alias(number)] if number else []
+    return out.select(*df.columns, *added, *[(F.col(f"_s_{name}") + F.col(f"_t_{name}")).alias(name) for name in sums])
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str) -> DataFrame:
+    """Number the rows of every group from 1 in ``order``, which should be total."""
+    return scanned(df, keys, order, number=out)

@@ -11,19 +11,24 @@ from runtally.functions.scalars import natural_key, rounded, success
 from runtally.operators.history import newest_runs, of_runs, with_target, zero_if_null
 from runtally.operators.ordered import (MIDDLES, QUARTILES, histogram, match, numbered,
                                         order_statistics, running_sums)
-from runtally.schemas import FALLBACK_ESTIMATE
+from runtally.schemas import FALLBACK_ESTIMATE, TASK_KEY, task_order
 from runtally.session import cut
 
 
+def newest_ties(tasks: DataFrame) -> list[Column]:
+    """Order of rows that started together, newest first: by id, and rows of the document store by their key."""
+    return [F.desc(c) for c in ("id", TASK_KEY) if c in tasks.columns]
+
+
 def latest_executions(tasks: DataFrame, n: int = 10, keys: Sequence[str] = ("task_signature",)) -> DataFrame:
     """Newest ``n`` successful executions per signature, ``rn`` 1 being the newest."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("start_time"), F.desc("id"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("start_time"), *newest_ties(tasks))
     return tasks.filter(success()).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 
 
 def task_history(tasks: DataFrame, n: int = 20) -> DataFrame:
     """Newest ``n`` executions of any status per signature."""
-    w = Window.partitionBy("task_signature").orderBy(F.desc("start_time"), F.desc("id"))
+    w = Window.partitionBy("task_signature").orderBy(F.desc("start_time"), *newest_ties(tasks))
     return tasks.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).select(
         "task_signature", "rn", "task_id", "instance", "process", "run_id", "start_time", "end_time",
         zero_if_null(rounded("duration_seconds", 2)).alias("duration"), "status")
@@ -126,7 +131,7 @@ def wait_sequences(lines: DataFrame, keys: Sequence[str], pos: str, is_wait: Col
 def renumber_results(results: DataFrame) -> DataFrame:
     """Gap-free task ids per run, by numeric original id and start; the original id is kept."""
     number = F.col("task_id").try_cast("double")
-    order = [F.asc_nulls_last(number), F.asc_nulls_last("start_time"), F.col("id")]
+    order = [F.asc_nulls_last(number), F.asc_nulls_last("start_time"), task_order(results)]
     return numbered(results, ["run_id"], order, "_n") \
         .withColumnRenamed("task_id", "original_task_id") \
         .withColumn("task_id", F.col("_n").cast("string")).drop("_n")
@@ -177,7 +182,7 @@ def optimized_order(analysis: DataFrame) -> DataFrame:
 
 
 def _top(tasks: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc("duration_seconds"), F.col("id"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("duration_seconds"), task_order(tasks))
     return tasks.filter(F.col("duration_seconds").isNotNull()) \
         .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 

@@ -40,6 +40,132 @@ def test_levels_of_random_graphs(spark):
             assert got[(r, node)] == level[node]
 
 
+def test_chain_of_thousands_in_few_rounds(spark, monkeypatch):
+    """A chain of 5,000 tasks, beside a ladder whose steps have two predecessors each, a star and a tree."""
+    calls = []
+    real = g._kept
+    monkeypatch.setattr(g, "_kept", lambda *a: calls.append(1) or real(*a))
+    chain = {str(i): [str(i - 1)] if i else [] for i in range(5000)}
+    ladder = {f"{s}{i}": [f"a{i - 1}", f"b{i - 1}"] if i else [] for i in range(7) for s in "ab"}
+    diamonds = {f"{s}{i}": {"m": [f"x{i - 1}", f"y{i - 1}"] if i else [], "x": [f"m{i}"], "y": [f"m{i}"]}[s] for i in range(300) for s in "mxy"}
+    n, e = graph(spark, chain=chain, diamonds=diamonds)
+    got = {(r["run_id"], r["node"]): r["level"] for r in g.levels(n, e, K).collect()}
+    assert len(calls) <= 20
+    assert all(got["chain", str(i)] == i for i in range(5000))
+    assert all(got["diamonds", f"{s}{i}"] == 2 * i + (s != "m") for i in range(300) for s in "mxy")
+    n, e = graph(spark, ladder=ladder)
+    assert {r["node"]: r["level"] for r in g.levels(n, e, K).collect()} == {f"{s}{i}": i for i in range(7) for s in "ab"}
+
+
+def test_skip_chain_in_few_rounds(spark, monkeypatch):
+    calls = []
+    real = g._kept
+    monkeypatch.setattr(g, "_kept", lambda *a: calls.append(1) or real(*a))
+    n, e = graph(spark, r={str(i): [str(i - 1)] if i else [] for i in range(500)})
+    got = {r["node"]: r["round"] for r in g.skip_closure(spark.createDataFrame([("r", "10")], "run_id string, node string"), e, n, K).collect()}
+    assert got == {str(i): i - 10 for i in range(11, 500)} and len(calls) <= 13
+
+
+def plain_skip(preds, failed, strict):
+    dist = {f: 0 for f in failed}
+    front, n = set(failed), 0
+    while front:
+        n += 1
+        front = {v for v, ps in preds.items() if v in strict and v not in dist and front & set(ps)}
+        dist.update(dict.fromkeys(front, n))
+    return {v: d for v, d in dist.items() if d}
+
+
+def test_random_graphs_with_cycles(spark):
+    """Levels, held nodes, cycles and closures of random graphs, also with cycles, against plain searches."""
+    random.seed(11)
+    runs = {f"r{i}": {str(v): sorted({str(random.randrange(14 if i % 2 else max(v, 1))) for _ in range(random.randint(0, 2))} - ({str(v)} if i % 4 else set())) for v in range(14)} for i in range(12)}
+    n, e = graph(spark, **runs)
+    level = {(r["run_id"], r["node"]): r["level"] for r in g.levels(n, e, K).collect()}
+    held = {(r["run_id"], r["node"]): r["ahead"] for r in g.held(n, e, K).collect()}
+    rings = {}
+    for r in g.cycles(n, e, K).collect():
+        rings.setdefault(r["run_id"], {})[r["step"]] = r["node"]
+    failed = {(r, "3") for r in runs}
+    skipped = {(r["run_id"], r["node"]): r["round"] for r in g.skip_closure(spark.createDataFrame(sorted(failed), "run_id string, node string"), e, n.where("node <> '5'"), K).collect()}
+    want_skip = {}
+    for r, d in runs.items():
+        free = {}
+        while True:
+            new = [v for v in d if v not in free and all(p in free for p in d[v])]
+            if not new:
+                break
+            free.update((v, max([free[p] + 1 for p in d[v]], default=0)) for v in new)
+        assert {v: level[r, v] for v in d if (r, v) in level} == free
+        stuck = set(d) - set(free)
+        assert {v for x, v in held if x == r} == stuck
+        succ = {v: {s for s in stuck if v in d[s]} for v in stuck}
+
+        def after(v):
+            seen, todo = set(), [v]
+            while todo:
+                for s in succ[todo.pop()] - seen:
+                    seen.add(s)
+                    todo.append(s)
+            return seen
+
+        ring = {v for v in stuck if v in after(v)}
+        assert {v for v in stuck if held[r, v]} == {v for v in stuck if v in ring or after(v) & ring}
+        assert (r in rings) == bool(stuck)
+        if stuck:
+            path = [rings[r][i] for i in range(len(rings[r]))]
+            assert len(set(path)) == len(path) and path[0] == min(path) and all(a in d[b] for a, b in zip(path, path[1:] + path[:1]))
+        want_skip |= {(r, v): k for v, k in plain_skip(d, {"3"}, set(d) - {"5"}).items()}
+    assert skipped == want_skip
+
+
+def test_null_keys_are_a_graph(spark):
+    n, e = graph(spark, r={"1": [], "2": ["1"]})
+    blank = lambda df: df.withColumn("run_id", F.lit(None).cast("string"))
+    got = {(r["run_id"], r["node"]): r["level"] for r in g.levels(n.union(blank(n)), e.union(blank(e)), K).collect()}
+    assert got == {("r", "1"): 0, ("r", "2"): 1, (None, "1"): 0, (None, "2"): 1}
+    none = n.limit(0)
+    assert g.levels(none, e.limit(0), K).count() == 0 and g.held(none, e.limit(0), K).count() == 0 and g.cycles(none, e.limit(0), K).count() == 0
+
+
+def test_stages_and_waits_act(spark):
+    """Stage 2 lies behind stage 1 and becomes ready when all of it has finished; a wait file behaves alike; gates hand failure on."""
+    defs = spark.createDataFrame([("r", "1", "a", []), ("r", "2", "a", ["1"]), ("r", "3", "b", []), ("r", "4", "b", ["3"]), ("r", "5", "c", []), ("r", "6", None, [])],
+                                 "run_id string, id string, stage string, predecessors array<string>")
+    nodes, e = g.stage_graph(defs, K, ("a", "b", "c"))
+    assert {r["node"]: r["level"] for r in g.levels(nodes, e, K).collect()} == {"1": 0, "2": 1, "3": 2, "4": 3, "5": 4, "6": 0}
+    gates = nodes.where("weight = 0")
+    pending = [("3", 1, "pending"), ("4", 1, "pending"), ("5", 1, "pending"), ("6", 1, "completed")]
+    assert rows(g.ready_tasks(instances(spark, [("1", 1, "completed"), ("2", 1, "running")] + pending), e, K, gates), "task_id") == []
+    assert rows(g.ready_tasks(instances(spark, [("1", 1, "completed"), ("2", 1, "failed")] + pending), e, K, gates), "task_id") == [("3",)]
+    failed = spark.createDataFrame([("r", "2")], "run_id string, node string")
+    assert rows(g.skip_closure(failed, e, nodes, K), "node", "round") == [("3", 1), ("4", 1), ("5", 2)]
+    lines = spark.createDataFrame([("r", i, v) for i, v in enumerate(["a", "b", "wait", "c", "d", "wait", "wait", "e"])], "run_id string, pos int, id string")
+    seq = w.wait_sequences(lines, K, "pos", F.col("id") == "wait", block=3)
+    nodes, e = g.wait_graph(seq, K)
+    assert {r["node"]: r["level"] for r in g.levels(nodes, e, K).collect()} == {"a": 0, "b": 0, "c": 1, "d": 1, "e": 2}
+    assert g.held(nodes, e, K).count() == 0
+    inst = instances(spark, [("a", 1, "completed"), ("b", 1, "completed"), ("c", 1, "pending"), ("d", 1, "completed"), ("e", 1, "pending")])
+    assert rows(g.ready_tasks(inst, e, K, nodes.where("weight = 0")), "task_id") == [("c",)]
+
+
+def test_gates_before_gates(spark):
+    """A gate behind a gate is shut while anything before either is open."""
+    nodes = spark.createDataFrame([("r", "1", 1), ("r", "g", 0), ("r", "h", 0), ("r", "2", 1)], "run_id string, node string, weight int")
+    e = spark.createDataFrame([("r", "1", "g"), ("r", "g", "h"), ("r", "h", "2")], "run_id string, pred string, succ string")
+    gates = nodes.where("weight = 0")
+    assert rows(g.ready_tasks(instances(spark, [("1", 1, "running"), ("2", 1, "pending")]), e, K, gates)) == []
+    assert rows(g.ready_tasks(instances(spark, [("1", 1, "completed"), ("2", 1, "pending")]), e, K, gates)) == [("r", "2", 1)]
+    assert {r["node"]: r["level"] for r in g.levels(nodes, e, K).collect()} == {"1": 0, "2": 1}
+
+
+def test_fan_out_graph(spark):
+    data = [("r", i, t, p) for i, (t, p) in enumerate([("1", None), ("1", None), ("2", ["1"]), ("2", ["1"]), ("3", ["2", "4"]), ("4", None)])]
+    df = spark.createDataFrame(data, "run_id string, id long, task_id string, predecessors array<string>")
+    nodes, e = g.fan_out_graph(df)
+    assert {r["node"]: r["level"] for r in g.levels(nodes, e, K).collect()} == {"1.1": 0, "1.2": 0, "2.1": 1, "2.2": 1, "3": 2, "4": 0}
+
+
 def instances(spark, data):
     return spark.createDataFrame([("r", t, i, s, {"completed": True, "failed": False}.get(s)) for t, i, s in data],
                                  "run_id string, task_id string, instance_no int, state string, success boolean")

@@ -18,7 +18,7 @@ def test_numbered_one_hot_group_spreads_over_tasks(spark):
                                (F.col("id") * 7919 % n).alias("v"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        out = o.numbered(df, ["k"], ["v"], "rn", large=1000).cache()
+        out = o.numbered(df, ["k"], ["v"], "rn").cache()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     want = df.selectExpr("k", "v", "row_number() over (partition by k order by v) rn")
@@ -27,9 +27,39 @@ def test_numbered_one_hot_group_spreads_over_tasks(spark):
 
 def test_numbered_nulls_and_descending(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", None)], "k string, v int")
-    for large in (100, 1):
-        got = rows(o.numbered(df, ["k"], [F.desc_nulls_last("v")], "rn", large=large), "k", "v", "rn")
-        assert got == sorted([("a", 3, 1), ("a", None, 2), (None, 2, 1), (None, 1, 2)], key=lambda t: tuple((x is None, str(x)) for x in t))
+    got = rows(o.numbered(df, ["k"], [F.desc_nulls_last("v")], "rn"), "k", "v", "rn")
+    assert got == sorted([("a", 3, 1), ("a", None, 2), (None, 2, 1), (None, 1, 2)], key=lambda t: tuple((x is None, str(x)) for x in t))
+    assert o.numbered(df.limit(0), ["k"], ["v"], "rn").count() == 0
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 50), st.integers(-3, 9)), max_size=50, unique_by=lambda t: t[:2]))
+def test_scan_numbers_and_sums_in_one_pass(spark, data):
+    df = spark.createDataFrame(data, "k string, at int, x int").repartition(3)
+    got = {(r["k"], r["at"]): (r["no"], r["s"]) for r in o.scanned(df, ["k"], ["at"], number="no", sums={"s": "x"}).collect()}
+    assert got == {(k, at): (sum(j == k and b <= at for j, b, _ in data), sum(y for j, b, y in data if j == k and b <= at)) for k, at, _ in data}
+
+
+def test_near_values_are_spread_over_tasks(spark, monkeypatch):
+    """One key with 300,000 distinct values within one second: no piece above twice its share, and the statistics are exact."""
+    n, pieces = 300_000, []
+    real = o.cut
+
+    def spy(df):
+        out = real(df)
+        if "_piece" in out.columns:
+            pieces.extend(r["count"] for r in out.groupBy("_piece").count().collect())
+        return out
+
+    monkeypatch.setattr(o, "cut", spy)
+    df = spark.range(n).select(F.lit("hot").alias("k"), (1 + (F.col("id") * 7919 % n) / n).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = o.order_statistics(o.histogram(df, ["k"], "v"), ["k"], "v", {**o.QUARTILES, **o.MIDDLES}).first()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(pieces) == 4 and max(pieces) < 2 * n / 4
+    assert [got[c] for c in ("n", "q1", "q3", "mid_low", "mid_high")] == [n, *(1 + k / n for k in (n // 4, 3 * n // 4, (n - 1) // 2, n // 2))]
 
 
 def test_numbered_over_everything(spark):
