@@ -99,37 +99,51 @@ def _open(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _longest(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(v, p, dist): where p is null, dist is the node's longest path; nodes that keep a predecessor are on or behind a cycle.
 
-    A row says that the node is ``dist`` behind p, or, where p is null, behind a start. Each round a node with one row left is passed
-    over: rows that lead to it go on to where its own row leads. A start that is no farther than a predecessor does not matter.
-    The round ends when nothing is left to follow, or when no further node came down to a start: the rest hang on cycles.
+    A row says that the node is ``dist`` behind p, or, where p is null, behind a start; a start no farther than a predecessor does not
+    matter. Each round rows that lead to a node with one row left go on to where that leads, and nodes that have come down to a start
+    leave. When none has, the rest hang on cycles.
     """
-    state, before = cut(_open(nodes, edge, keys)), -1
-    while True:
-        sums = state.groupBy("v").agg(
+    def flagged(rows: DataFrame) -> DataFrame:
+        sums = rows.groupBy("v").agg(
             F.count("p").alias("others"), F.max(F.when(F.col("p").isNotNull(), F.col("dist"))).alias("top"),
             F.max(F.when(F.col("p").isNull(), F.col("dist"))).alias("base"))
-        behind = F.col("base") <= F.col("top")
-        rows = state.join(sums, "v").where(F.col("p").isNotNull() | ~F.coalesce(behind, F.lit(False)))
-        alone = (F.col("others") == 0) | ((F.col("others") == 1) & F.coalesce(behind, F.col("base").isNull()))
-        rows = rows.select("v", "p", "dist", alone.alias("alone"), (F.col("others") == 0).alias("settled"))
-        past = rows.where("alone").select(F.col("v").alias("p"), F.col("p").alias("q"), F.col("dist").alias("more"), F.lit(True).alias("over"))
-        state, n, settled = _kept(_moved(rows.drop("alone").join(past, "p", "left")), F.max)
-        if settled in (n, before):
-            return state
-        before = settled
+        behind = F.coalesce(F.col("base") <= F.col("top"), F.lit(False))
+        alone = (F.col("others") == 1) & (behind | F.col("base").isNull())
+        return cut(rows.join(sums, "v").where(F.col("p").isNotNull() | ~behind).select("v", "p", "dist", alone.alias("alone"), (F.col("others") == 0).alias("settled")))
 
+    state, done = flagged(_open(nodes, edge, keys)), []
+    while True:
+        n, settled = _counted(state)
+        done.append(state.where("settled"))
+        if settled in (0, n):
+            break
+        state = flagged(_followed(state, "left").groupBy("v", "p").agg(F.max("dist").alias("dist")))
+    out = state.where("not settled")
+    for part in done:
+        out = out.unionByName(part)
+    return out.select("v", "p", "dist")
 
-def _moved(rows: DataFrame) -> DataFrame:
-    """Rows (v, p, dist, settled) with where the one row of p leads (q, more, over), led past it."""
-    return rows.select("v", F.when(F.col("over"), F.col("q")).otherwise(F.col("p")).alias("p"),
-                       F.least(F.col("dist") + F.coalesce("more", F.lit(0)), F.lit(ENDLESS)).alias("dist"), "settled")
 
+def _counted(state: DataFrame) -> tuple[int, int]:
+    """Rows of a round, and how many of them have settled."""
+    return tuple(state.agg(F.count(F.lit(1)), F.count_if("settled")).first())
 
-def _kept(rows: DataFrame, best) -> tuple[DataFrame, int, int]:
-    """The next state: the best row for each node and predecessor. With it the number of rows, and of those that were settled before."""
-    state = cut(rows.groupBy("v", "p").agg(best("dist").alias("dist"), F.bool_and("settled").alias("settled")))
-    n, settled = state.agg(F.count(F.lit(1)), F.count_if("settled")).first()
-    return state.drop("settled"), n, settled
+
+def _followed(state: DataFrame, how: str) -> DataFrame:
+    """(v, p, dist) of the nodes that have not settled, led past predecessors that have settled or have one row left.
+
+    No row leads to a settled node afterwards. With ``inner``, rows that lead to no node of the round go.
+    """
+    ends, rows = state.where("settled").select("v", "dist"), state.where("not settled")
+    lone = rows.where("alone").select(F.col("v").alias("_p"), "p", "dist").join(ends.select(F.col("v").alias("p"), F.col("dist").alias("_end")), "p", "left")
+    known = lone.select("_p", F.when(F.col("_end").isNull(), F.col("p")).alias("_q"), (F.col("dist") + F.coalesce("_end", F.lit(0))).alias("_more"), F.lit(True).alias("_over"))
+    none = F.lit(None).cast(state.schema["v"].dataType)
+    known = known.unionByName(ends.select(F.col("v").alias("_p"), none.alias("_q"), F.col("dist").alias("_more"), F.lit(True).alias("_over")))
+    if how == "inner":
+        known = known.unionByName(rows.where("not alone").select(F.col("v").alias("_p"), none.alias("_q"), F.lit(0).cast("long").alias("_more"), F.lit(False).alias("_over")).distinct())
+    led = rows.where("p IS NOT NULL").join(known, F.col("p") == F.col("_p"), how).select(
+        "v", F.when(F.col("_over"), F.col("_q")).otherwise(F.col("p")).alias("p"), F.least(F.col("dist") + F.coalesce("_more", F.lit(0)), F.lit(ENDLESS)).alias("dist"))
+    return rows.where("p IS NULL").select("v", "p", "dist").unionByName(led)
 
 
 def levels(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -279,24 +293,28 @@ def skip_closure(failed: DataFrame, edge: DataFrame, strict: DataFrame, keys: Se
     start = failed.select(_id(keys, "node").alias("v")).distinct()
     into = edge.select(_id(keys, "succ").alias("v"), _id(keys, "pred").alias("p")).distinct().join(n, "v").join(start, "v", "left_anti")
     none = F.lit(None).cast(start.schema["v"].dataType)
-    state = cut(start.select("v", none.alias("p"), F.lit(0).cast("long").alias("dist")).unionByName(into.select("v", "p", F.col("weight").alias("dist"))))
-    before = [-1, -1]
-    while True:
-        sums = state.groupBy("v").agg(F.min(F.when(F.col("p").isNull(), F.col("dist"))).alias("base"), F.min(F.when(F.col("p").isNotNull(), F.col("dist"))).alias("near"))
-        graph = F.struct(*[F.col(f"v.{k}").alias(k) for k in keys])
-        sums = sums.withColumn("g", graph)
+    def flagged(rows: DataFrame) -> DataFrame:
+        rows = rows.where("p IS NULL OR p <> v")
+        sums = rows.groupBy("v").agg(F.count("p").alias("others"), F.min(F.when(F.col("p").isNull(), F.col("dist"))).alias("base"),
+                                     F.min(F.when(F.col("p").isNotNull(), F.col("dist"))).alias("near"))
+        sums = sums.withColumn("g", F.struct(*[F.col(f"v.{k}").alias(k) for k in keys]))
         least = sums.where("near < base").groupBy("g").agg(F.min("base").alias("least"))
-        sums = sums.join(least, "g", "left").withColumn("base_final", F.col("base").isNotNull() & (F.col("near").isNull() | (F.col("near") >= F.col("base")) | (F.col("base") <= F.col("least"))))
-        rows = state.join(sums.select("v", "base", "base_final"), "v")
-        rows = rows.where(F.col("p").isNull() | (~F.col("base_final") & (F.col("dist") < F.coalesce("base", F.lit(ENDLESS))) & (F.col("p") != F.col("v"))))
-        left = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        rows = rows.join(left, "v").select("v", "p", "dist", (F.col("n") == 1).alias("alone"), F.col("base_final").alias("settled"))
-        past = rows.where("alone").select(F.col("v").alias("p"), F.col("p").alias("q"), F.col("dist").alias("more"), F.lit(True).alias("over")) \
-            .unionByName(rows.where("not alone").select(F.col("v").alias("p"), none.alias("q"), F.lit(0).cast("long").alias("more"), F.lit(False).alias("over")).distinct())
-        ends, open_ = rows.where("p IS NULL"), rows.where("p IS NOT NULL")
-        state, n_rows, settled = _kept(ends.select("v", "p", "dist", "settled").unionByName(_moved(open_.drop("alone").join(past, "p"))), F.min)
-        if settled == n_rows or before == [settled, settled]:
+        final = F.coalesce((F.col("others") == 0) | (F.col("near") >= F.col("base")) | (F.col("base") <= F.col("least")), F.lit(False))
+        sums = sums.join(least, "g", "left").select("v", "others", "base", final.alias("settled"))
+        return cut(rows.join(sums, "v").where(F.col("p").isNull() | (~F.col("settled") & (F.col("dist") < F.coalesce("base", F.lit(ENDLESS))))).select(
+            "v", "p", "dist", ((F.col("others") == 1) & F.col("base").isNull()).alias("alone"), "settled"))
+
+    state = flagged(start.select("v", none.alias("p"), F.lit(0).cast("long").alias("dist")).unionByName(into.select("v", "p", F.col("weight").alias("dist"))))
+    done, idle = [], 0
+    while True:
+        rows, settled = _counted(state)
+        done.append(state.where("settled").select("v", "dist"))
+        idle = 0 if settled else idle + 1
+        if settled == rows or idle == 2:
             break
-        before = [before[1], settled]
+        state = flagged(_followed(state, "inner").groupBy("v", "p").agg(F.min("dist").alias("dist")))
+    reached = done[0]
+    for part in done[1:]:
+        reached = reached.unionByName(part)
     tasks = n.where("weight > 0").select("v")
-    return state.where("p IS NULL AND dist > 0").join(tasks, "v", "left_semi").select("v.*", F.col("dist").cast("int").alias("round"))
+    return reached.where("dist > 0").join(tasks, "v", "left_semi").select("v.*", F.col("dist").cast("int").alias("round"))

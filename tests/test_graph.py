@@ -43,8 +43,8 @@ def test_levels_of_random_graphs(spark):
 def test_chain_of_thousands_in_few_rounds(spark, monkeypatch):
     """A chain of 5,000 tasks, beside a ladder whose steps have two predecessors each, a star and a tree."""
     calls = []
-    real = g._kept
-    monkeypatch.setattr(g, "_kept", lambda *a: calls.append(1) or real(*a))
+    real = g._counted
+    monkeypatch.setattr(g, "_counted", lambda *a: calls.append(1) or real(*a))
     chain = {str(i): [str(i - 1)] if i else [] for i in range(5000)}
     ladder = {f"{s}{i}": [f"a{i - 1}", f"b{i - 1}"] if i else [] for i in range(7) for s in "ab"}
     diamonds = {f"{s}{i}": {"m": [f"x{i - 1}", f"y{i - 1}"] if i else [], "x": [f"m{i}"], "y": [f"m{i}"]}[s] for i in range(300) for s in "mxy"}
@@ -59,8 +59,8 @@ def test_chain_of_thousands_in_few_rounds(spark, monkeypatch):
 
 def test_skip_chain_in_few_rounds(spark, monkeypatch):
     calls = []
-    real = g._kept
-    monkeypatch.setattr(g, "_kept", lambda *a: calls.append(1) or real(*a))
+    real = g._counted
+    monkeypatch.setattr(g, "_counted", lambda *a: calls.append(1) or real(*a))
     n, e = graph(spark, r={str(i): [str(i - 1)] if i else [] for i in range(500)})
     got = {r["node"]: r["round"] for r in g.skip_closure(spark.createDataFrame([("r", "10")], "run_id string, node string"), e, n, K).collect()}
     assert got == {str(i): i - 10 for i in range(11, 500)} and len(calls) <= 13
