@@ -34,6 +34,34 @@ def test_late_older_events_change_nothing(spark, tmp_path):
     assert rows(table, "task_id", "state", "success") == got
 
 
+def test_bursts_settle_once_and_their_state_goes(spark, tmp_path):
+    """Repeated and late events change nothing; a burst is given when it is over, and what is kept of it is dropped."""
+    path, out, mark = (f"{tmp_path}/{n}" for n in ("events", "out", "mark"))
+    first = [ev("1", "start", 0), ev("1", "done", 5, True), ev("2", "start", 1), ev("2", "done", 30, False)]
+    batches = [first, first[:2] + [ev("1", "done", 5, True)], [ev("3", "start", 4000)], [ev("1", "done", 2, False), ev("3", "start", 4000)], [ev("4", "start", 20_000)], []]
+    spark.createDataFrame([], EVENTS).write.parquet(path)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    kept, settled = [], []
+    try:
+        q = live.settle(live.read_records(spark, path, spark.createDataFrame([], EVENTS).schema), out, mark, "10 minutes", "1 minute", once=False)
+        try:
+            for b in batches:
+                if b:
+                    spark.createDataFrame(b, EVENTS).coalesce(1).write.mode("append").parquet(path)
+                q.processAllAvailable()
+                kept.append(sum(o["numRowsTotal"] for o in q.lastProgress["stateOperators"]))
+                settled.append(spark.read.schema("task_id string, state string, success boolean, events long").parquet(out).count())
+        finally:
+            q.stop()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = rows(spark.read.parquet(out), "task_id", "state", "success", "events")
+    assert got == [("1", "completed", True, 2), ("2", "completed", False, 2), ("3", "in_progress", None, 1)]
+    assert settled[-1] == 3 and settled[1] == 0 and kept[-1] < kept[0]
+    table = live.settled_states(spark.createDataFrame([e for e in batches[0] + batches[1]], EVENTS), "10 minutes")
+    assert rows(table, "task_id", "state", "success", "events") == got[:2]
+
+
 def test_append_equals_batch_and_resumes(spark, tmp_path):
     raw = spark.range(100).select(
         "id", F.lit("r").alias("run_id"), F.concat(F.lit("w"), (F.col("id") % 3).cast("string")).alias("workflow"), F.col("id").cast("string").alias("task_id"),
