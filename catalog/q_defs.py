@@ -62,7 +62,7 @@ def _lines(spark, sf):
     return d.select(F.concat("workflow", F.lit(".txt")).alias("file"), (k + 1).alias("line_no"), text.alias("value"))
 
 
-@query("read_task_lines", """WITH l AS (SELECT *, pos + 1 AS line_no, pos % 53 = 0 AS is_wait, pos % 43 = 0 AS noid FROM defs
+TASK_LINES = """WITH l AS (SELECT *, pos + 1 AS line_no, pos % 53 = 0 AS is_wait, pos % 43 = 0 AS noid FROM defs
    WHERE pos % 97 <> 0 AND (pos % 53 = 0 OR (pos % 59 <> 0 AND pos % 61 <> 0))),
  n AS (SELECT *, sum(is_wait::INTEGER) OVER w AS sequence, sum((noid AND NOT is_wait)::INTEGER) OVER w AS auto FROM l WINDOW w AS (PARTITION BY workflow ORDER BY pos)),
  s AS (SELECT workflow, sequence, count(*) AS size FROM n WHERE NOT is_wait GROUP BY workflow, sequence)
@@ -71,16 +71,54 @@ def _lines(spark, sf):
  CASE WHEN noid THEN '' ELSE array_to_string(preds, ',') END AS predecessors, n.sequence::BIGINT AS sequence, p.sequence::BIGINT AS previous, p.size AS previous_size, stage,
  safe_retry, CASE WHEN chore IS NULL THEN timeout END AS timeout, cancel_at_timeout AND chore IS NULL AS cancel_at_timeout,
  require_predecessor_success AND NOT noid AS require_predecessor_success, succeed_on_minor_errors AND chore IS NULL AS succeed_on_minor_errors
- FROM n LEFT JOIN s p ON p.workflow = n.workflow AND p.sequence = n.sequence - 1 WHERE NOT is_wait""")
+ FROM n LEFT JOIN s p ON p.workflow = n.workflow AND p.sequence = n.sequence - 1 WHERE NOT is_wait"""
+
+
+@query("read_task_lines", TASK_LINES)
 def read_task_lines(spark, sf):
     path = scratch(spark)
     _lines(spark, sf).write.parquet(path)
-    return readers.parse_task_lines(spark.read.parquet(path)).select(
+    return _task_columns(readers.parse_task_lines(spark.read.parquet(path)))
+
+
+def _task_columns(tasks):
+    return tasks.select(
         "workflow", "pos", "id", "instance", "process", "chore", json_map("parameters", sort_keys=True).alias("params"),
         F.array_join("predecessors", ",").alias("predecessors"), "sequence", "previous", "previous_size", "stage", "safe_retry", "timeout",
         "cancel_at_timeout", "require_predecessor_success", "succeed_on_minor_errors")
 
 
+def _text_files(spark, lines):
+    """``lines(file, line_no, value)`` as text files, one a folder ``file=…``, read back as lines with those names."""
+    path = scratch(spark)
+    lines.repartition("file").sortWithinPartitions("file", "line_no").select("file", "value").write.partitionBy("file").text(path)
+    return readers.read_lines(spark, path).withColumn("file", F.regexp_extract("file", "file=([^/]+)/", 1))
+
+
+# Lines that a workflow lacks between its own positions are not in its file, so numbers in a file run without gaps.
+@query("read_task_text", TASK_LINES.replace("SELECT n.workflow, line_no AS pos,", "SELECT n.workflow, text_no AS pos,").replace(
+    "FROM defs\n", "FROM (SELECT *, row_number() OVER (PARTITION BY workflow ORDER BY pos) AS text_no FROM defs)\n"))
+def read_task_text(spark, sf):
+    """Task lines written as text files and read from them."""
+    return _task_columns(readers.parse_task_lines(_text_files(spark, _lines(spark, sf))))
+
+
+@query("detect_text_mode", """WITH l AS (SELECT coalesce(lang, 'none') || '-' || (doc_id % 16) || CASE WHEN doc_id % 16 > 11 THEN '.json' ELSE '.txt' END AS file, doc_id, generate_subscripts(s, 1) AS k, unnest(s) AS line
+   FROM (SELECT *, string_split(replace(coalesce(text, ''), chr(13), ' '), chr(10)) AS s FROM documents)),
+ m AS (SELECT file, doc_id, k, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS v FROM l),
+ f AS (SELECT file, arg_min(v, (doc_id, k)) FILTER (v <> '' AND v NOT LIKE '#%') AS v FROM m GROUP BY file),
+ t AS (SELECT *, CASE WHEN file LIKE '%.json' OR (file NOT LIKE '%.txt' AND v LIKE '{%') THEN 'json' ELSE 'txt' END AS file_type FROM f),
+ d AS (SELECT *, CASE WHEN lower(v) = 'wait' OR starts_with(v, 'instance=') THEN 'norm' WHEN starts_with(v, 'id=') THEN 'opt' END AS mode FROM t)
+ SELECT file, file_type, CASE WHEN file_type = 'txt' THEN mode END AS mode,
+   CASE WHEN file_type = 'txt' THEN CASE WHEN v IS NULL THEN 'file contains no task definitions' WHEN mode IS NULL THEN 'Cannot determine execution mode: ' || substr(v, 1, 50) END END AS error FROM d""")
+def detect_text_mode(spark, sf):
+    """The texts of all documents as text files: what stands in them decides."""
+    i = F.col("doc_id")
+    file = F.concat(F.coalesce("lang", F.lit("none")), F.lit("-"), (i % 16).cast("string"), F.when(i % 16 > 11, ".json").otherwise(".txt"))
+    line = table(spark, sf, "documents").select(file.alias("file"), "doc_id", F.posexplode(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(" ")), "\n", -1)).alias("k", "value"))
+    return readers.detect_line_mode(_text_files(spark, line.withColumn("line_no", F.struct("doc_id", "k"))))
+
+
 @query("detect_line_mode", """SELECT 'd' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.json' ELSE '' END AS file,
  CASE WHEN doc_id % 3 = 1 THEN 'json' ELSE 'txt' END AS file_type,
  CASE WHEN doc_id % 3 <> 1 THEN CASE doc_id % 5 WHEN 0 THEN 'norm' WHEN 1 THEN 'opt' WHEN 2 THEN 'norm' END END AS mode,
@@ -95,12 +133,34 @@ def detect_line_mode(spark, sf):
     return readers.detect_line_mode(lines)
 
 
-@query("read_checkpoints", f"""WITH s AS (SELECT run_id, task_id, id, status, duration_seconds, retry_count, {CKPT_STATE} AS s FROM ex),
+CHECKPOINTS = f"""WITH s AS (SELECT run_id, task_id, id, status, duration_seconds, retry_count, {CKPT_STATE} AS s FROM ex),
  k AS (SELECT run_id, task_id, max_by(s, id) AS state, max_by(duration_seconds, id) AS d, max(id) AS id FROM s GROUP BY run_id, task_id)
  SELECT 'ckpt_' || run_id || '.json' AS checkpoint, 'wf_' || substr(run_id, 10) AS workflow, task_id, state, CASE WHEN state = 'completed' THEN id % 3 > 0 END AS success, NULL AS error
  FROM k WHERE CAST(substr(run_id, 7, 2) AS INTEGER) % 10 <> 0
- UNION ALL SELECT DISTINCT 'ckpt_' || run_id || '.json', NULL, NULL, NULL, NULL::BOOLEAN, 'Checkpoint missing required field: run_started' FROM k WHERE CAST(substr(run_id, 7, 2) AS INTEGER) % 10 = 0""")
+ UNION ALL SELECT DISTINCT 'ckpt_' || run_id || '.json', NULL, NULL, NULL, NULL::BOOLEAN, 'Checkpoint missing required field: run_started' FROM k WHERE CAST(substr(run_id, 7, 2) AS INTEGER) % 10 = 0"""
+
+
+@query("read_checkpoints", CHECKPOINTS)
 def read_checkpoints(spark, sf):
+    parsed = _checkpoint_docs(spark, sf).select("checkpoint", F.from_json("text", CHECKPOINT_DOC).alias("d")).select("checkpoint", "d.*")
+    return _checkpoint_rows(*readers.checkpoint_tables(parsed))
+
+
+@query("read_checkpoint_files", CHECKPOINTS)
+def read_checkpoint_files(spark, sf):
+    """The documents as JSON files, one a ``folder=…``, read from there."""
+    path = scratch(spark)
+    _checkpoint_docs(spark, sf).repartition("checkpoint").select(F.col("checkpoint").alias("folder"), "text").write.partitionBy("folder").text(path)
+    named = F.regexp_extract("checkpoint", "folder=([^/]+)/", 1)
+    return _checkpoint_rows(*[df.withColumn("checkpoint", named) for df in readers.read_checkpoints(spark, path)])
+
+
+def _checkpoint_rows(good, bad):
+    return good.select("checkpoint", "workflow", "task_id", "state", "success", F.lit(None).cast("string").alias("error")) \
+        .unionByName(bad, allowMissingColumns=True)
+
+
+def _checkpoint_docs(spark, sf):
     t = state_of(executions(spark, sf)).groupBy("run_id", "task_id").agg(F.max_by("state", "id").alias("state"), F.max("id").alias("id"))
     day = F.substring("run_id", 7, 2).cast("int")
 
@@ -116,10 +176,7 @@ def read_checkpoints(spark, sf):
         F.concat(F.lit("wf_"), F.substring("run_id", 10, 9)).alias("workflow"),
         F.when(day % 10 != 0, F.lit("2024-01-01T00:00:00")).alias("run_started"), F.lit(400).alias("total_tasks"),
         "completed_tasks", "in_progress_tasks", "pending_tasks", "failed_tasks", "skipped_tasks"))
-    parsed = docs.select(F.concat(F.lit("ckpt_"), "run_id", F.lit(".json")).alias("checkpoint"), F.from_json(text, CHECKPOINT_DOC).alias("d")).select("checkpoint", "d.*")
-    good, bad = readers.checkpoint_tables(parsed)
-    return good.select("checkpoint", "workflow", "task_id", "state", "success", F.lit(None).cast("string").alias("error")) \
-        .unionByName(bad, allowMissingColumns=True)
+    return docs.select(F.concat(F.lit("ckpt_"), "run_id", F.lit(".json")).alias("checkpoint"), text.alias("text"))
 
 
 def _input_cells(spark, sf):

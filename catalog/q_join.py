@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.q_history import CKPT_STATE, state_of
-from catalog.registry import query
+from catalog.registry import query, scratch
 from catalog.tables import definitions, executions, results, runs, sessions, table
 from runtally.operators import joins as j
 from runtally.operators.windows import default_estimate
 from runtally.plans.estimates import per_workflow, estimates_with_defaults, signature_history
-from runtally.sources import writers
+from runtally.sources import readers, writers
 
 
 @query("overlap_count", "SELECT run_id, id, task_id, concurrent_count, duration_seconds FROM overl", dbl="duration_seconds:3")
@@ -77,6 +77,25 @@ def checkpoint_match(spark, sf):
     return j.checkpoint_match(saved, now)
 
 
+@query("checkpoint_files_match", """WITH f AS (SELECT run_id, string_agg(task_id || ' ' || id || chr(10), '' ORDER BY id) AS v1, CAST(substr(run_id, 7, 2) AS INTEGER) % 3 = 0 AS edited FROM ex GROUP BY run_id)
+ SELECT 'ckpt_' || run_id AS checkpoint, run_id AS taskfile_path, edited AS changed, NOT edited AS valid, CASE WHEN edited THEN 'ERROR: task file changed since checkpoint, was '
+   || substr(sha256(v1), 1, 8) || ' now ' || substr(sha256(v1 || 'edited' || chr(10)), 1, 8) END AS message FROM f""")
+def checkpoint_files_match(spark, sf):
+    """Task files are written, hashed for their checkpoints, every third day's written again with a line more, and hashed again."""
+    t = executions(spark, sf)
+    line = t.select("run_id", "id", F.concat_ws(" ", "task_id", F.col("id").cast("string")).alias("value"))
+    edited = F.substring("run_id", 7, 2).cast("int") % 3 == 0
+    more = line.where(edited).select("run_id").distinct().select("run_id", F.lit(1 << 60).alias("id"), F.lit("edited").alias("value"))
+
+    def hashed(lines):
+        path = scratch(spark)
+        lines.repartition("run_id").sortWithinPartitions("run_id", "id").select("run_id", "value").write.partitionBy("run_id").text(path)
+        return readers.file_hashes(spark, path).withColumn("taskfile_path", F.regexp_extract("taskfile_path", "run_id=([^/]+)/", 1))
+
+    then = hashed(line).select(F.concat(F.lit("ckpt_"), "taskfile_path").alias("checkpoint"), "taskfile_path", F.col("current_hash").alias("taskfile_hash"))
+    return j.checkpoint_match(then, hashed(line.unionByName(more)))
+
+
 @query("blocking_sessions", """SELECT a.session, a.instance, a.start_time, a.end_time, a.exclusive, count(b.session) AS blocking, count(b.session) > 0 AS must_wait
  FROM sess a LEFT JOIN sess b ON a.instance = b.instance AND a.session <> b.session AND b.start_time < a.end_time AND b.end_time > a.start_time
  AND (a.exclusive OR b.exclusive) GROUP BY ALL""", ts="start_time,end_time")

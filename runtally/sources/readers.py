@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from runtally.functions.scalars import (empty_map, key_values, last_wins, parse_bool, parse_params,
                                         predecessor_list, quotes_balanced, tokenize_line)
-from runtally.operators.ordered import numbered
 from runtally.operators.windows import wait_sequences
 from runtally.schemas import (CHECKPOINT_DOC, KEYED_TASKS, MEASURES, RESERVED_KEYS, RUNS, TASK_DEFS, TASKFILE_DOC, TASKS,
                               conform)
@@ -108,11 +107,18 @@ def task_defaults(tasks: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text files as ``(file, line_no, value)``; large files stay split."""
+    """Text files as ``(file, line_no, value)``; large files stay split.
+
+    A first scan counts the lines of every split of a file. A line's number is the number of lines in the splits before its own, and
+    its place in that: the second scan neither sorts nor writes the text, and meets a table of one row for each split.
+    """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"), "value")
-    return numbered(raw, ["file"], ["_block", "_row"], "line_no").select("file", "line_no", "value")
+    splits = raw.groupBy("file", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = splits.select("file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return raw.join(shifts, ["file", "_block"]).select("file", (F.col("_row") + F.col("_shift")).alias("line_no"), "value")
 
 
 def _meaningful(lines: DataFrame) -> DataFrame:

@@ -215,3 +215,22 @@ def test_items_without_id(spark, tmp_path):
     same = every.filter("start_time < '2024-01-01 00:00:02'")
     cells = writers.results_to_cells(writers.results_table(same, keep=("id", "task_result_id")))
     assert rows(cells.filter("measure in ('process', 'status') and task_id = '1'"), "measure", "value") == [("process", "d"), ("status", "Fail")]
+
+
+def test_line_numbers_of_split_files(spark, tmp_path):
+    """Files cut into many splits, some within a line, are numbered as they stand, without a sort of their text."""
+    texts = {"a.txt": [f"line {i} " + "x" * (i % 90) for i in range(3000)], "b.txt": ["", "only", ""], "c.txt": ["y" * 40_000, "end"]}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        df = readers.read_lines(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 10
+        got = {}
+        for r in df.collect():
+            got.setdefault(r["file"].rsplit("/", 1)[1], {})[r["line_no"]] = r["value"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {name: dict(enumerate(lines, 1)) for name, lines in texts.items()}
