@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query, scratch
 from catalog.tables import executions, results, runs
 from runtally.functions.scalars import json_map
-from runtally.operators import history as h
+from runtally.operators import history as h, summaries
 from runtally.schemas import RUNS, TASKS
 from runtally.sources import readers, writers
 
@@ -156,6 +156,26 @@ def workflow_stats(spark, sf):
     return h.workflow_stats(executions(spark, sf))
 
 
+def _states(spark, sf):
+    """States of three batches, appended one after the other and read as one."""
+    path, t = scratch(spark), executions(spark, sf)
+    for k in range(3):
+        summaries.append_state(t.where(F.col("id") % 3 == k), path)
+    return summaries.read_states(spark, path)
+
+
+@query("merged_history_stats", f"SELECT {TOTALS}, count(DISTINCT workflow) AS workflow_count FROM ex", dbl="success_rate:1", ts="first_start,last_start")
+def merged_history_stats(spark, sf):
+    return summaries.history_stats(_states(spark, sf))
+
+
+@query("merged_workflow_stats", f"""SELECT workflow, {TOTALS}, avg(duration_seconds) FILTER (status = 'Success') AS avg_duration,
+ min(duration_seconds) FILTER (status = 'Success') AS min_duration, max(duration_seconds) FILTER (status = 'Success') AS max_duration
+ FROM ex GROUP BY workflow""", dbl="success_rate:1,avg_duration:2,min_duration:2,max_duration:2", ts="first_start,last_start")
+def merged_workflow_stats(spark, sf):
+    return summaries.workflow_stats(_states(spark, sf))
+
+
 @query("list_workflows", """SELECT workflow, count(*) AS record_count, count(DISTINCT run_id) AS run_count,
  count(DISTINCT task_signature) AS task_count, max(start_time) AS last_run FROM ex GROUP BY workflow ORDER BY last_run DESC""", ts="last_run")
 def list_workflows(spark, sf):

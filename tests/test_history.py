@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from runtally.operators import history as h, joins as j, windows as w
+from runtally.operators import history as h, joins as j, summaries, windows as w
 from runtally.schemas import RUNS, TASKS, conform
 from tests.conftest import rows
 
@@ -150,3 +150,19 @@ def test_complete_run(seed):
     got = {r["run_id"]: r for r in j.complete_run(runs, tasks, raised).collect()}
     assert {k: v["status"] for k, v in got.items()} == {"run1": "Partial", "run2": "Failed", "run3": "Success"}
     assert got["run1"]["duration_seconds"] == 3.5 and got["run1"]["success_count"] == 2
+
+
+def test_states_equal_the_full_scan_after_each_append(spark, seed, tmp_path):
+    """Batches in any cut, with nulls, an empty one and a run that goes on over two, give what a scan of the history gives."""
+    _, tasks = seed
+    more = tasks.where("id = 3").withColumn("id", F.lit(9).cast("long")).withColumn("duration_seconds", F.lit(None).cast("double"))
+    blank = tasks.where("id = 4").withColumn("workflow", F.lit(None).cast("string")).withColumn("task_signature", F.lit(None).cast("string"))
+    seen, path = tasks.limit(0), str(tmp_path / "states")
+    for batch in (tasks.limit(0), tasks.where("id % 2 = 1"), tasks.where("id % 2 = 0"), more, blank):
+        summaries.append_state(batch, path)
+        seen = seen.unionByName(batch)
+        state = summaries.read_states(spark, path)
+        assert rows(summaries.history_stats(state)) == rows(h.history_stats(seen))
+        assert rows(summaries.workflow_stats(state)) == rows(h.workflow_stats(seen))
+    twice = summaries.merged(summaries.merged(summaries.states(tasks.where("id < 3"))).unionByName(summaries.states(tasks.where("id >= 3"))))
+    assert rows(summaries.history_stats(twice)) == rows(h.history_stats(tasks))
