@@ -168,10 +168,13 @@ class Scan:
         Of a run and its parts only those are given that lie in no other one found random; two parts may overlap.
         """
         base = base_spans(text)
-        more = []
+        ahead, reach, more = sorted((a, b) for a, _, b in base), -1, []
+        ahead.reverse()
         hits = [(a, b, name) for a, b, name, size, step in tested(text, self.ordinary) if step >= self.least.get((name, size), MOST + 1)]
         for start, end, name in sorted(hits, key=lambda x: (x[0], -x[1])):
-            if not any(a <= start and end <= b for a, _, b in [*base, *more[-1:]]):
+            while ahead and ahead[-1][0] <= start:
+                reach = max(reach, ahead.pop()[1])
+            if end > reach and not (more and end <= more[-1][2]):
                 more.append((start, f"random_{name}", end))
         return base, more
 

@@ -93,3 +93,41 @@ def test_secrets_behind_names_and_paths(spark):
 def test_parts_of_a_run():
     text = "auth=" + "a" * 20 + " b_c/" + "D" * 20 + " " + "e" * 19 + "/f"
     assert [text[a:b] for a, b in secret_scan.candidates(text)] == ["a" * 20, "b_c/" + "D" * 20, "c/" + "D" * 20, "D" * 20, "e" * 19 + "/f"]
+
+
+class _Any(dict):
+    def get(self, key, default=None):
+        return 0
+
+
+def plain_spans(scan, text):
+    """Every hit held against every span of the fixed forms."""
+    base, more = secret_scan.base_spans(text), []
+    hits = [(a, b, n) for a, b, n, _, _ in secret_scan.tested(text, scan.ordinary)]
+    for start, end, name in sorted(hits, key=lambda x: (x[0], -x[1])):
+        if not any(a <= start and end <= b for a, _, b in [*base, *more[-1:]]):
+            more.append((start, f"random_{name}", end))
+    return base, more
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([token(1, 20), token(2, 24, "0123456789abcdef"), "AKIA" + token(3, 20, "ABCDEF0123456789"), "password=" + token(4, 30), "a/b_c-" + token(5, 30), "x", "key: ", "=", "/"]), max_size=25),
+       st.sampled_from(["", " ", "/", "="]))
+def test_spans_in_one_pass_equal_all_comparisons(parts, between):
+    scan = secret_scan.Scan(secret_scan.Ordinary(tuple([1] * 128)), _Any())
+    text = between.join(parts)
+    assert scan.spans(text) == plain_spans(scan, text)
+
+
+def test_a_long_text_with_many_spans_takes_linear_time():
+    import time
+
+    scan = secret_scan.Scan(secret_scan.Ordinary(tuple([1] * 128)), _Any())
+    took = []
+    for n in (1000, 4000):
+        text = " ".join(token(i, 24, "0123456789abcdef") + " " + token(i, 22) for i in range(n))
+        t = time.process_time()
+        base, more = scan.spans(text)
+        took.append(time.process_time() - t)
+        assert len(base) >= n and len(more) >= 0.9 * n
+    assert took[1] < 8 * took[0]
