@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from runtally.functions.scalars import positive_int_id
-from runtally.schemas import CHORE_FORBIDDEN, UPLOAD_COLUMNS
+from runtally.schemas import CHORE_FORBIDDEN, TASKFILE_FAULTS, UPLOAD_COLUMNS
 
 
 def _blank(c: str) -> Column:
@@ -59,10 +59,10 @@ def validate_taskfiles(files: DataFrame, defs: DataFrame, key: str = "file") ->
         return F.when(cond, F.lit(text))
 
     of_file = f.select(key, F.explode(F.array_compact(F.array(
-        row(F.col("version").isNull(), "Missing 'version' field"),
-        row(F.col("_n").isNull(), "'tasks' array cannot be empty"),
-        row(F.coalesce(F.col("max_workers") < 1, F.lit(False)), "settings.max_workers must be a positive integer"),
-        row(F.coalesce(F.col("retries") < 0, F.lit(False)), "settings.retries must be a non-negative integer"),
+        row(F.col("version").isNull(), TASKFILE_FAULTS["version"]),
+        row(F.col("_n").isNull(), TASKFILE_FAULTS["tasks"]),
+        row(F.coalesce(F.col("max_workers") < 1, F.lit(False)), TASKFILE_FAULTS["max_workers"]),
+        row(F.coalesce(F.col("retries") < 0, F.lit(False)), TASKFILE_FAULTS["retries"]),
     ))).alias("message"))
     ids = defs.filter(F.col("id").isNotNull())
     first = ids.groupBy(key, "id").agg(F.min("pos").alias("_first"), F.count("*").alias("_m")).filter("_m > 1")

@@ -11,6 +11,7 @@ from runtally.operators.history import of_runs, run_task_stats
 from runtally.operators.joins import chain_edges, latest_snapshot, overlap_count
 from runtally.operators.ordered import match
 from runtally.operators.windows import best_worst_level, ewma, heavy_outliers, heavy_rank
+from runtally.schemas import CONTENTION_WARNINGS
 from runtally.session import cut
 
 WF = ["workflow"]
@@ -259,14 +260,13 @@ def contention_report(runs: DataFrame, tasks: DataFrame, sensitivity: float = 10
     workers = (F.when(F.col("_case") == "chains", F.when(kind == "scale_up", F.greatest(own, top))
                       .when(kind.isNotNull(), F.least(own, top)).otherwise(own))
                .when(F.col("_case") == "few_heavy", own).otherwise(F.coalesce(top, F.lit(0))))
-    unclear = F.lit("Could not identify a clear contention-driving parameter")
-    warning = (F.when(F.col("_case") == "no_history", "No historical data found for workflow")
-               .when(F.col("_case") == "no_tasks", "No task data found for workflow")
-               .when(F.col("_case") == "no_varying", "No varying parameters found — all tasks have identical parameters")
+    text = CONTENTION_WARNINGS
+    unclear = F.lit(text["no_driver"])
+    warning = (F.when(F.col("_case").isin("no_history", "no_tasks", "no_varying"), F.create_map(*[
+                   F.lit(x) for k in ("no_history", "no_tasks", "no_varying") for x in (k, text[k])])[F.col("_case")])
                .when(F.col("_case") == "no_driver", F.when(F.col("_ranges").isNotNull(), F.concat(
                    unclear, F.lit(" (ranges: "), F.col("_ranges"), F.lit(")"))).otherwise(unclear))
-               .when(F.col("_case") == "few_heavy", F.format_string(
-                   "Only %d heavy group(s) detected — chaining requires at least 2", F.col("heavy_groups"))))
+               .when(F.col("_case") == "few_heavy", F.format_string(text["few_heavy"], F.col("heavy_groups"))))
     zero = F.lit(0)
     return t.withColumn("_case", case).select(
         "workflow", F.col("driver").alias("contention_driver"),

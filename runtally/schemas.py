@@ -140,6 +140,28 @@ CHORE_FORBIDDEN = (
     ("cancel_at_timeout", "no timeout to cancel"),
 )
 
+# Warnings of the contention report.
+CONTENTION_WARNINGS = {
+    "no_history": "No historical data found for workflow",
+    "no_tasks": "No task data found for workflow",
+    "no_varying": "No varying parameters found — all tasks have identical parameters",
+    "no_driver": "Could not identify a clear contention-driving parameter",
+    "few_heavy": "Only %d heavy group(s) detected — chaining requires at least 2",
+}
+
+# Faults of a task file as a whole.
+TASKFILE_FAULTS = {
+    "version": "Missing 'version' field",
+    "tasks": "'tasks' array cannot be empty",
+    "max_workers": "settings.max_workers must be a positive integer",
+    "retries": "settings.retries must be a non-negative integer",
+}
+
+# Errors of readers; the first two are followed by what they are about.
+UNKNOWN_MODE = "Cannot determine execution mode: "
+CHECKPOINT_LACKS = "Checkpoint missing required field: "
+NO_TASKS = "file contains no task definitions"
+
 TASKFILE_VERSION = "2.0"
 FALLBACK_ESTIMATE = 10.0
 CONTEXT_MAX_LENGTH = 64

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from runtally.functions.scalars import (empty_map, key_values, last_wins, parse_bool, parse_params,
                                         predecessor_list, quotes_balanced, tokenize_line)
 from runtally.operators.windows import wait_sequences
-from runtally.schemas import (CHECKPOINT_DOC, KEYED_TASKS, MEASURES, RESERVED_KEYS, RUNS, TASK_DEFS, TASKFILE_DOC, TASKS,
-                              conform)
+from runtally.schemas import (CHECKPOINT_DOC, CHECKPOINT_LACKS, KEYED_TASKS, MEASURES, NO_TASKS, RESERVED_KEYS, RUNS, TASK_DEFS, TASKFILE_DOC, TASKS,
+                              UNKNOWN_MODE, conform)
 from runtally.session import cut
 
 
@@ -135,8 +135,8 @@ def detect_line_mode(lines: DataFrame) -> DataFrame:
         .when(v.startswith("{"), "json").otherwise("txt")
     mode = (F.when(F.lower(v) == "wait", "norm").when(v.startswith("id="), "opt")
             .when(v.startswith("instance="), "norm"))
-    error = F.when(v.isNull(), "file contains no task definitions") \
-        .when(mode.isNull(), F.concat(F.lit("Cannot determine execution mode: "), F.substring(v, 1, 50)))
+    error = F.when(v.isNull(), NO_TASKS) \
+        .when(mode.isNull(), F.concat(F.lit(UNKNOWN_MODE), F.substring(v, 1, 50)))
     is_txt = F.col("file_type") == "txt"
     return lines.select("file").distinct().join(first, "file", "left").withColumn("file_type", kind).select(
         "file", "file_type", F.when(is_txt, mode).alias("mode"), F.when(is_txt, error).alias("error"))
@@ -198,7 +198,7 @@ def checkpoint_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents to one row per task and state, and the documents that lack a required field."""
     absent = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED_CHECKPOINT_FIELDS]))
     bad = docs.filter(F.size(absent) > 0).select(
-        "checkpoint", F.concat(F.lit("Checkpoint missing required field: "), F.element_at(absent, 1)).alias("error"))
+        "checkpoint", F.concat(F.lit(CHECKPOINT_LACKS), F.element_at(absent, 1)).alias("error"))
     good = docs.filter(F.size(absent) == 0)
 
     def listed(column: str, state: str) -> Column:
