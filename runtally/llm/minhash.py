@@ -16,6 +16,8 @@ WORDS = 5
 REGISTERS, MANTISSA, BAND = 128, 10, 5
 #: Standard errors below the threshold at which an estimate still asks for a check.
 SLACK = 5.0
+#: Sets and shingles of a block that one task holds against another block, and shingles counted at a time.
+BLOCK, HASHES, COLUMNS = 128, 500_000, 8192
 
 _EMPTY = 0xFFFF
 _MASK = (1 << 64) - 1
@@ -144,44 +146,122 @@ def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(run, "a binary, b binary")
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, key: str, text: str) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
-    pairs = kept(_promising(pairs, classes, percent))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(classes, "node").select("node", F.col("key"))
+def _links_of(u_regs: np.ndarray, v_regs: np.ndarray, u_sets: list[np.ndarray], v_sets: list[np.ndarray], open_: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the open pairs (rows u, columns v) are links: estimates first, then whole intersections of those left."""
+    n, m = (np.array([len(s) for s in sets], float) for sets in (u_sets, v_sets))
+    least = percent / 100
+    open_ = open_ & (100 * np.minimum.outer(n, m) >= percent * np.maximum.outer(n, m))
+    for i in np.flatnonzero(open_.any(1)):
+        at = np.flatnonzero(open_[i])
+        found, used = estimate(u_regs[i][None, :], v_regs[at], np.full(len(at), n[i]), m[at])
+        open_[i, at] = found >= least - SLACK * np.sqrt(least * (1 - least) / np.maximum(used, 1))
+    us, vs = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+    common = np.zeros(open_.shape)
+    if len(us):
+        x, y = (np.concatenate([sets[i] for i in rows]) for sets, rows in ((u_sets, us), (v_sets, vs)))
+        x_row, y_row = (np.repeat(rows, [len(sets[i]) for i in rows]) for sets, rows in ((u_sets, us), (v_sets, vs)))
+        both = np.intersect1d(x, y)
+        sides = []
+        for h, row in ((x, x_row), (y, y_row)):
+            at = np.searchsorted(both, h)
+            hit = both[np.minimum(at, len(both) - 1)] == h if len(both) else np.zeros(len(h), bool)
+            order = np.argsort(at[hit], kind="stable")
+            sides.append((at[hit][order], row[hit][order]))
+        for low in range(0, len(both), COLUMNS):
+            dense = []
+            for (at, row), size in zip(sides, open_.shape):
+                a, b = np.searchsorted(at, (low, low + COLUMNS))
+                part = np.zeros((size, COLUMNS), np.float32)
+                part[row[a:b], at[a:b] - low] = 1
+                dense.append(part)
+            common += dense[0] @ dense[1].T
+    return open_ & (100 * common >= percent * (n[:, None] + m[None, :] - common))
+
+
+def _spanning(ends: list[tuple[bytes, bytes]], roots: dict[bytes, bytes]) -> list[tuple[bytes, bytes]]:
+    """Those of the links that join what the links before them, and the roots, leave apart."""
+    above: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while x in above:
+            x = above[x]
+        return x
+
+    out = []
+    for a, b in ends:
+        ra, rb = top(roots[a]), top(roots[b])
+        if ra != rb:
+            above[max(ra, rb)] = min(ra, rb)
+            out.append((a, b))
+    return out
+
+
+def _linked(docs: DataFrame, members: DataFrame, classes: DataFrame, percent: int, key: str, text: str) -> DataFrame:
+    """Links (a, b) between members (group, node, root, u, v) of a group, one marked u and one v, that have the components of all such
+    links whose roots differ: those of full sets with 100 * intersection >= percent * union.
+
+    The u and the v of a group are dealt to blocks of about ``BLOCK`` sets or ``HASHES`` shingles. A task holds a block of u against
+    a block of v and returns the edges that join something, so neither pairs nor copies of a set for each pair are written.
+    """
+    members = kept(members)
+    wanted = members.select("node").distinct().join(classes, "node").select("node", "key")
     sets = kept(_sets(docs, wanted, key, text))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    counted = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s"))
-    return counted.where(100 * F.col("c") >= percent * (F.col("s") - F.col("c"))).select("a", "b")
+    facts = classes.select("node", "regs", "n_shingles")
+    sized = members.join(facts.select("node", "n_shingles"), "node")
+    count = lambda side: F.greatest(
+        F.ceil(F.count(F.when(F.col(side), 1)) / BLOCK), F.ceil(F.sum(F.when(F.col(side), F.col("n_shingles"))) / HASHES)).cast("int")
+    blocks = kept(sized.groupBy("group").agg(count("u").alias("n_u"), count("v").alias("n_v")).where("n_u > 0 and n_v > 0"))
+    dealt = members.join(blocks, "group").join(sets, "node").join(facts.select("node", "regs"), "node")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["node", "root", "regs", "hashes"]
+    u = dealt.where("u").select("group", own("n_u").alias("b_u"), every("n_v").alias("b_v"), F.lit(True).alias("u"), *cols)
+    v = dealt.where("v").select("group", every("n_u").alias("b_u"), own("n_v").alias("b_v"), F.lit(False).alias("u"), *cols)
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        mark = part.column("u").to_numpy().astype(bool)
+        nodes, roots = (np.array(part.column(c).to_pylist(), object) for c in ("node", "root"))
+        regs = np.frombuffer(b"".join(part.column("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
+        lists = part.column("hashes").chunk(0) if part.num_rows else None
+        sets_ = [lists[i].values.to_numpy().view("<u8") for i in range(part.num_rows)]
+        us, vs = np.flatnonzero(mark), np.flatnonzero(~mark)
+        found = np.zeros((0, 2), int)
+        if len(us) and len(vs):
+            open_ = roots[us][:, None] != roots[vs][None, :]
+            found = np.argwhere(_links_of(regs[us], regs[vs], [sets_[i] for i in us], [sets_[i] for i in vs], open_, percent))
+        ends = _spanning([(nodes[us[i]], nodes[vs[j]]) for i, j in found], dict(zip(nodes, roots)))
+        return pa.table({"a": pa.array([a for a, _ in ends], pa.binary()), "b": pa.array([b for _, b in ends], pa.binary())})
+
+    return u.union(v).groupBy("group", "b_u", "b_v").applyInArrow(run, "a binary, b binary")
 
 
 def links(docs: DataFrame, classes: DataFrame, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Edges (a, b) between classes of equal shingle sets that have the components of all links.
 
-    Classes that share a band form a group. First every member is held against the group's leader, the member whose bands are
-    the most shared, as the common original of a group of copies is. Then members outside the largest component of a group are
-    held against its members of like size in other components. Pairs within one component need no check, so a large group of near copies
-    costs in proportion to its size; what remains to be compared is what the leader did not join.
+    Classes that share a band meet under the band's leader, the member whose bands are the most shared, as the common original
+    of a group of copies is; bands of one leader are one group. First every member is held against the leader. Then the members
+    outside the largest component of a group are held, in blocks, against its members in other components. Pairs within one
+    component need no check, so a large group of near copies costs in proportion to its size; what remains to be compared is what
+    the leader did not join.
     """
-    bands = classes.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
+    bands = classes.select("node", F.explode("bands").alias("band"))
     shared = kept(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = kept(bands.join(shared, "band"))
     score = kept(members.groupBy("node").agg(F.sum(F.log("n")).alias("score")))
-    leaders = kept(members.join(score, "node").groupBy("band").agg(F.max(F.struct("score", "node"))["node"].alias("leader")))
-    first = kept(members.join(leaders, "band").where("node <> leader").select(
-        F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
-    roots = kept(components(_linked(docs, first, classes, percent, key, text)))
-    placed = kept(members.join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root")))
-    sizes = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    split = kept(sizes.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("all")).where("roots > 1 and all > 2").select("band", "main"))
-    there = kept(placed.join(split, "band"))
-    others = there.where("root <> main").select("band", F.col("node").alias("u"), F.col("root").alias("root_u"), F.col("size").alias("size_u"))
-    alike = 100 * F.least("size", "size_u") >= percent * F.greatest("size", "size_u")
-    again = others.join(there, "band").where("root <> root_u and (root = main or u < node)").where(alike).select(
-        F.least("node", "u").alias("a"), F.greatest("node", "u").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_linked(docs, again, classes, percent, key, text))
+    leaders = members.join(score, "node").groupBy("band").agg(F.max(F.struct("score", "node"))["node"].alias("group"))
+    met = kept(members.join(leaders, "band").select("group", "node").distinct())
+    near = _promising(met.where("node <> group").select(F.col("group").alias("a"), F.col("node").alias("b")), classes, percent)
+    near = kept(near.select(F.col("a").alias("group"), F.col("b").alias("node")))
+    first = near.select("group", "node", F.lit(False).alias("u"), F.lit(True).alias("v")).union(
+        near.select("group", F.col("group").alias("node"), F.lit(True), F.lit(False)).distinct())
+    roots = kept(components(_linked(docs, first.select("group", "node", F.col("node").alias("root"), "u", "v"), classes, percent, key, text)))
+    placed = kept(met.join(roots, "node", "left").select("group", "node", F.coalesce("root", "node").alias("root")))
+    sizes = placed.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
+    split = sizes.groupBy("group").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("all")) \
+        .where("roots > 1 and all > 2").select("group", "main")
+    rest = placed.join(split, "group").select("group", "node", "root", (F.col("root") != F.col("main")).alias("u"), F.lit(True).alias("v"))
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_linked(docs, rest, classes, percent, key, text))
 
 
 def _classes(rows: DataFrame) -> DataFrame:

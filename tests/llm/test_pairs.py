@@ -89,6 +89,29 @@ def test_members_that_the_leader_does_not_join(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_group_of_many_variants_in_small_blocks(spark, monkeypatch):
+    """Copies of one text on both sides of the threshold, dealt to many blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    base = prose(3, 150)
+    rows = [(i, edit(base, i, i % 9)) for i in range(70)]
+    rows += [(100 + i, edit(edit(base, 1000 + i % 3, 9), i, 1)) for i in range(20)]
+    _, want = brute_documents(rows, 85)
+    assert 4 < len(set(want.values())) < 80
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_blocks_against_sets(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 16)
+    texts = [edit(prose(5, 120), i, i % 7) for i in range(30)] + [prose(6, 80), "a b c", ""]
+    sets = minhash.shingle_sets(texts)
+    regs = np.array([minhash.registers(s) for s in sets])
+    got = minhash._links_of(regs[:12], regs[12:], sets[:12], sets[12:], np.ones((12, len(sets) - 12), bool), 85)
+    own = [set(s.tolist()) for s in sets]
+    assert got.tolist() == [[bool(b) and 100 * len(a & b) >= 85 * len(a | b) for b in own[12:]] for a in own[:12]]
+    assert minhash._spanning([(b"a", b"b"), (b"b", b"a"), (b"b", b"c")], {b"a": b"a", b"b": b"b", b"c": b"a"}) == [(b"a", b"b")]
+
+
 def test_sketch_estimates():
     rng = random.Random(3)
     pool = np.array([rng.getrandbits(64) for _ in range(3000)], np.uint64)
