@@ -249,46 +249,54 @@ def stage_edges(defs: DataFrame, keys: Sequence[str], stage_order: Sequence[str]
         .unionByName(match(t, out, [*keys, "stage_no"]).select(*keys, gate.alias("pred"), F.col("id").alias("succ")))
 
 
+#: Combinations that are listed at a time.
+COMBINATIONS = 65_536
+
+
 def expand_wildcards(defs: DataFrame, elements: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Tasks whose ``name*`` parameters are replaced by every element of their set.
 
-    ``elements(set_name, element_no, element)``. Sets are joined one parameter at a time;
-    several give all combinations, numbered in product order as ``id_1``, ``id_2``, …
-    Expanded tasks leave out the chore, as chores have no parameters. A task that names a set
-    which is not there stays as it is; ``unknown_sets`` lists what it names.
+    ``elements(set_name, element_no, element)``. Several sets give all combinations, numbered in product order as ``id_1``, ``id_2``, …:
+    every list of sets that tasks name is put together once, and each combination's elements are the digits of its number. A task
+    carries the arrays of its sets, which are no longer than what it expands to. Expanded tasks leave out the chore, as
+    chores have no parameters. A task that names a set which is not there stays as it is; ``unknown_sets`` lists what it names.
     """
-    keys = list(keys)
     wild = F.filter(F.map_keys("parameters"), lambda k: k.endswith("*"))
-    # A task with fewer wildcards than others passes the remaining joins through an empty set.
+    named = lambda k: F.coalesce(F.regexp_replace(F.col("parameters")[k], r"^\*", ""), F.lit(""))
+    work = defs.withColumn("_wild", F.when(F.size(wild) > 0, wild)).withColumn("_sets", F.transform("_wild", named))
+    combined = work.withColumnRenamed("_sets", "_list").join(_combined(work.select("_sets"), elements), F.col("_list").eqNullSafe(F.col("_sets")), "left")
+    first = F.explode_outer(F.when(F.col("_total").isNotNull(), F.sequence(F.lit(0).cast("long"), F.col("_total") - 1, F.lit(COMBINATIONS))))
+    here = F.explode_outer(F.when(F.col("_from").isNotNull(), F.sequence("_from", F.least(F.col("_from") + (COMBINATIONS - 1), F.col("_total") - 1))))
+    rows = combined.select("*", first.alias("_from")).select("*", here.alias("_no"))
+
+    names = F.transform("_wild", lambda k: F.rtrim(k, F.lit("*")))
+    found = F.transform("_arrays", lambda s, i: F.get(s["elements"], F.try_mod(
+        F.floor(F.col("_no") / F.get("_strides", i)), F.size(s["elements"])).cast("int")))
+    # Of wildcards that differ in their stars only, the last counts.
+    pairs = F.filter(F.arrays_zip(names.alias("name"), found.alias("element"), F.sequence(F.lit(2), F.size("_wild") + 1).alias("next")),
+                     lambda x: ~F.array_contains(F.slice(names, x["next"], F.size("_wild")), x["name"]))
+    base = F.map_filter("parameters", lambda k, v: ~k.endswith("*") & ~F.array_contains(names, k))
+    full = F.map_concat(base, F.map_from_arrays(F.transform(pairs, lambda x: x["name"]), F.transform(pairs, lambda x: x["element"])))
+    new = {"parameters": F.when(F.col("_no").isNull(), F.col("parameters")).otherwise(full), "chore": F.when(F.col("_no").isNull(), F.col("chore"))}
+    new_id = F.when(F.col("_total") > 1, F.concat("id", F.lit("_"), (F.col("_no") + 1).cast("string"))).otherwise(F.col("id"))
+    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in defs.columns], new_id.alias("expanded_id"))
+
+
+def _combined(wanted: DataFrame, elements: DataFrame) -> DataFrame:
+    """For every distinct list ``_sets`` of known sets: their ``_arrays``, the ``_strides`` of a combination's number and the ``_total``."""
+    # A wildcard without a set's name stands for one null.
     none = elements.sparkSession.createDataFrame([("", 1, None)], "set_name string, element_no long, element string")
-    sets = elements.select("set_name", F.col("element_no").cast("long").alias("element_no"), "element").unionByName(none)
-    sizes = sets.groupBy("set_name").agg(F.count("*").alias("_size"))
-    sets = cut(sets.join(sizes, "set_name"))
-    work = defs.withColumn("_wild", F.coalesce(wild, F.array().cast("array<string>")))
-    plain = work.filter(F.size("_wild") == 0).withColumn("expanded_id", F.col("id"))
-    unknown = unknown_sets(defs, elements, keys).select(*keys, "id").distinct()
-    wilds = work.filter(F.size("_wild") > 0)
-    plain = plain.unionByName(match(wilds, unknown, [*keys, "id"], "left_semi").withColumn("expanded_id", F.col("id")))
-    todo = match(wilds, unknown, [*keys, "id"], "left_anti").withColumn("_no", F.lit(0).cast("long")) \
-        .withColumn("_total", F.lit(1).cast("long")) \
-        .withColumn("_base", F.map_filter("parameters", lambda k, v: ~k.endswith("*")))
-    most = work.agg(F.max(F.size("_wild"))).first()[0] or 0
-    for i in range(most):
-        here = F.get(F.col("_wild"), F.lit(i))
-        name = F.rtrim(here, F.lit("*"))
-        added = F.map_concat(F.map_filter("_base", lambda k, v: k != name), F.map_from_arrays(F.array(name), F.array("element")))
-        todo = todo.withColumn("set_name", F.coalesce(F.regexp_replace(F.col("parameters")[here], r"^\*", ""), F.lit(""))) \
-            .join(sets, "set_name").select(
-                *[c for c in todo.columns if c not in ("_no", "_total", "_base")],
-                (F.col("_no") * F.col("_size") + F.col("element_no") - 1).alias("_no"),
-                (F.col("_total") * F.col("_size")).alias("_total"),
-                F.when(here.isNull(), F.col("_base")).otherwise(added).alias("_base"))
-    new_id = F.when(F.col("_total") > 1, F.concat("id", F.lit("_"), (F.col("_no") + 1).cast("string"))) \
-        .otherwise(F.col("id"))
-    full = todo.withColumn("expanded_id", new_id).withColumn("parameters", F.col("_base")) \
-        .withColumn("chore", F.lit(None).cast("string"))
-    cols = [*defs.columns, "expanded_id"]
-    return plain.select(*cols).unionByName(full.select(*cols))
+    rows = elements.select("set_name", F.col("element_no").cast("long").alias("element_no"), "element").unionByName(none)
+    sets = rows.groupBy("set_name").agg(F.sort_array(F.collect_list(F.struct("element_no", "element"))).alias("_e")) \
+        .select("set_name", F.transform("_e", lambda e: e["element"]).alias("elements"))
+    lists = wanted.filter("_sets IS NOT NULL").distinct()
+    named = lists.select("_sets", F.posexplode("_sets").alias("set_no", "set_name")).join(sets, "set_name")
+    whole = named.groupBy("_sets").agg(F.sort_array(F.collect_list(F.struct("set_no", "elements"))).alias("_arrays")) \
+        .filter(F.size("_arrays") == F.size("_sets"))
+    sizes = F.transform("_arrays", lambda s: F.size(s["elements"]).cast("long"))
+    product = lambda xs: F.aggregate(xs, F.lit(1).cast("long"), lambda x, y: x * y)
+    strides = F.transform("_arrays", lambda s, i: product(F.slice(sizes, i + 2, F.size("_arrays"))))
+    return whole.select("_sets", "_arrays", strides.alias("_strides"), product(sizes).alias("_total"))
 
 
 def unknown_sets(defs: DataFrame, elements: DataFrame, keys: Sequence[str]) -> DataFrame:

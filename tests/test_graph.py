@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import json
 import random
 
@@ -322,3 +323,32 @@ def test_task_with_an_unknown_set_stays(spark):
     got = sorted((r["id"], r["expanded_id"], tuple(sorted(r["parameters"].items()))) for r in j.expand_wildcards(d, elements, ["workflow"]).collect())
     assert got == [("1", "1_1", (("p", "a"), ("q", "x"))), ("1", "1_2", (("p", "b"), ("q", "x"))), ("2", "2", (("p*", "*unknown"), ("r*", "*known"))), ("3", "3", (("q", "y"),))]
     assert [tuple(r) for r in j.unknown_sets(d, elements, ["workflow"]).collect()] == [("w", "2", "p*", "unknown", "unknown set: unknown")]
+
+
+def test_wildcards_are_numbered_as_a_product(spark, monkeypatch):
+    """Any number of parameters, in chunks; stars that differ name one parameter; a null set name gives null."""
+    monkeypatch.setattr(j, "COMBINATIONS", 4)
+    sets = {"x": ["a", "b", "c"], "y": ["u"], "z": ["p", "q"]}
+    elements = spark.createDataFrame([(s, i + 1, e) for s, es in sets.items() for i, e in enumerate(es)][::-1], "set_name string, element_no int, element string")
+    tasks = [("1", {"k": "v", "m*": "*x", "n*": "*z", "o*": "x"}), ("2", {"m*": "*y"}), ("2", {"m*": "*z", "m": "old"}), ("3", {"m*": "*x", "n*": "*none"}),
+             ("4", {}), ("5", None), ("6", {"m*": None, "n*": "*z"}), ("7", {"m*": "*x", "m**": "*z"})]
+    pairs = [("f", i, None if p is None else list(p), None if p is None else list(p.values()), "ch") for i, p in tasks]
+    defs = spark.createDataFrame(pairs, "workflow string, id string, k array<string>, v array<string>, chore string").select(
+        "workflow", "id", F.when(F.col("k").isNotNull(), F.map_from_arrays("k", "v")).alias("parameters"), "chore")
+    want = []
+    for i, p in tasks:
+        wild = [k for k in p or {} if k.endswith("*")]
+        lists = [[None] if p[k] is None else sets.get(p[k].removeprefix("*")) for k in wild]
+        if not wild or None in lists:
+            want.append((i, i, "ch", p))
+            continue
+        combos = list(itertools.product(*lists))
+        for no, combo in enumerate(combos, 1):
+            names = [k.rstrip("*") for k in wild]
+            rest = {k: v for k, v in p.items() if not k.endswith("*") and k not in names}
+            want.append((i, f"{i}_{no}" if len(combos) > 1 else i, None, rest | dict(zip(names, combo))))
+    got = [(r["id"], r["expanded_id"], r["chore"], r["parameters"]) for r in j.expand_wildcards(defs, elements, ["workflow"]).collect()]
+    show = lambda rows: sorted(str((i, e, c, p if p is None else sorted(p.items()))) for i, e, c, p in rows)
+    assert show(got) == show(want)
+    assert j.expand_wildcards(defs.limit(0), elements, ["workflow"]).count() == 0
+    assert j.expand_wildcards(defs, elements.limit(0), ["workflow"]).where("id = '1'").count() == 1
