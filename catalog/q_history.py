@@ -11,7 +11,7 @@ from catalog.tables import executions, results, runs
 from runtally.functions.scalars import json_map
 from runtally.operators import history as h, summaries
 from runtally.schemas import RUNS, TASKS
-from runtally.sources import readers, writers
+from runtally.sources import commits, readers, writers
 
 NOW = datetime(2024, 1, 31)
 EX_COLS = """id, run_id, workflow, task_id, task_signature, instance, process, chore, status, start_time, end_time,
@@ -125,6 +125,46 @@ def purge_all(spark, sf):
     return _left(spark, sf)
 
 
+def _on_disk(rows):
+    """A committed table of the rows, its folder and schema."""
+    path = scratch(rows.sparkSession)
+    commits.create(rows, path)
+    return path, rows.schema
+
+
+def _left_files(spark, sf, **kw):
+    path, schema = _on_disk(executions(spark, sf))
+    commits.purge_files(spark, path, schema, **kw)
+    return commits.current(spark, path, schema).groupBy("workflow", "run_id").agg(F.count("*").alias("left"))
+
+
+def _left_files_sql(cond):
+    return f"SELECT workflow, run_id, count(*) AS left FROM ex WHERE NOT ({cond}) GROUP BY workflow, run_id"
+
+
+@query("purge_run_files", _left_files_sql("run_id = '20240105_1'"))
+def purge_run_files(spark, sf):
+    return _left_files(spark, sf, run_id="20240105_1")
+
+
+@query("purge_before_files", _left_files_sql("start_time < TIMESTAMP '2024-01-11'"))
+def purge_before_files(spark, sf):
+    return _left_files(spark, sf, before=CUT)
+
+
+@query("complete_run_files", """WITH seen AS (SELECT run_id, max(end_time) AS last, min(start_time) AS first, count(*) AS n, count(*) FILTER (status = 'Success') AS good
+   FROM ex WHERE workflow IN ('wf_1', 'wf_3') GROUP BY run_id)
+ SELECT run_id, last AS end_time, CAST(epoch_us(last) - epoch_us(first) AS DOUBLE) / 1000000 AS duration_seconds,
+ CASE WHEN n IS NOT NULL THEN 'Success' END AS status, good AS success_count, n - good AS failure_count FROM runs LEFT JOIN seen USING (run_id)""",
+       dbl="duration_seconds:3", ts="end_time")
+def complete_run_files(spark, sf):
+    """Two workflows' runs are closed on disk; the others stay open."""
+    path, schema = _on_disk(writers.start_run(runs(spark, sf)))
+    done = executions(spark, sf).filter(F.col("workflow").isin("wf_1", "wf_3"))
+    commits.complete_runs(spark, path, schema, done)
+    return commits.current(spark, path, schema).select("run_id", "end_time", "duration_seconds", "status", "success_count", "failure_count")
+
+
 @query("search_tasks", """SELECT id, task_id FROM ex WHERE coalesce(stage, '') <> 'load' AND
  contains(lower(concat_ws(' ', task_id, task_target, instance, stage, CASE WHEN p_seg IS NOT NULL THEN 'psegment ' || p_seg || ' pperiod ' || p_per || ' pmode full' END)), 'srv1 extract')""")
 def search_tasks(spark, sf):
