@@ -18,6 +18,8 @@ REGISTERS, MANTISSA, BAND = 128, 10, 5
 SLACK = 5.0
 #: Sets and shingles of a block that one task holds against another block, and shingles counted at a time.
 BLOCK, HASHES, COLUMNS = 128, 500_000, 8192
+#: Parts of a group in joins with a row for the group.
+PARTS = 32
 
 _EMPTY = 0xFFFF
 _MASK = (1 << 64) - 1
@@ -196,6 +198,12 @@ def _spanning(ends: list[tuple[bytes, bytes]], roots: dict[bytes, bytes]) -> lis
     return out
 
 
+def _with_group(members: DataFrame, groups: DataFrame, on: str = "group") -> DataFrame:
+    """Members joined with their group's row, every group in ``PARTS`` parts, so that a large one is not one task's alone."""
+    part = F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int").alias("part")
+    return members.select("*", part).join(groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")), [on, "part"]).drop("part")
+
+
 def _linked(docs: DataFrame, members: DataFrame, classes: DataFrame, percent: int, key: str, text: str) -> DataFrame:
     """Links (a, b) between members (group, node, root, u, v) of a group, one marked u and one v, that have the components of all such
     links whose roots differ: those of full sets with 100 * intersection >= percent * union.
@@ -211,7 +219,7 @@ def _linked(docs: DataFrame, members: DataFrame, classes: DataFrame, percent: in
     count = lambda side: F.greatest(
         F.ceil(F.count(F.when(F.col(side), 1)) / BLOCK), F.ceil(F.sum(F.when(F.col(side), F.col("n_shingles"))) / HASHES)).cast("int")
     blocks = kept(sized.groupBy("group").agg(count("u").alias("n_u"), count("v").alias("n_v")).where("n_u > 0 and n_v > 0"))
-    dealt = members.join(blocks, "group").join(sets, "node").join(facts.select("node", "regs"), "node")
+    dealt = _with_group(members, blocks).join(sets, "node").join(facts.select("node", "regs"), "node")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     cols = ["node", "root", "regs", "hashes"]
@@ -247,10 +255,10 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, key: str = "doc_id"
     """
     bands = classes.select("node", F.explode("bands").alias("band"))
     shared = kept(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    members = kept(bands.join(shared, "band"))
+    members = kept(_with_group(bands, shared, "band"))
     score = kept(members.groupBy("node").agg(F.sum(F.log("n")).alias("score")))
     leaders = members.join(score, "node").groupBy("band").agg(F.max(F.struct("score", "node"))["node"].alias("group"))
-    met = kept(members.join(leaders, "band").select("group", "node").distinct())
+    met = kept(_with_group(members, leaders, "band").select("group", "node").distinct())
     near = _promising(met.where("node <> group").select(F.col("group").alias("a"), F.col("node").alias("b")), classes, percent)
     near = kept(near.select(F.col("a").alias("group"), F.col("b").alias("node")))
     first = near.select("group", "node", F.lit(False).alias("u"), F.lit(True).alias("v")).union(
@@ -260,7 +268,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, key: str = "doc_id"
     sizes = placed.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
     split = sizes.groupBy("group").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("all")) \
         .where("roots > 1 and all > 2").select("group", "main")
-    rest = placed.join(split, "group").select("group", "node", "root", (F.col("root") != F.col("main")).alias("u"), F.lit(True).alias("v"))
+    rest = _with_group(placed, split).select("group", "node", "root", (F.col("root") != F.col("main")).alias("u"), F.lit(True).alias("v"))
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_linked(docs, rest, classes, percent, key, text))
 
 
