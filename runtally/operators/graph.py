@@ -3,9 +3,10 @@
 A graph is two frames, nodes ``(keys, node)`` and edges ``(keys, pred, succ)``. Nodes may have a ``weight``: 1 for tasks (the
 default), 0 for the gates through which stages, wait marks and fan-outs lead, so that a path is as long as its tasks are many.
 
-The loops contract paths: a node with one open predecessor points past it, and pointers are followed to where they lead, so the
-rounds of a chain grow with the logarithm of its length. The state of a round is one frame of edges, as many as there were
-or fewer; it is checkpointed, so neither lineage nor plan grows and a lost executor costs one round.
+Graphs of at most ``SMALL`` rows become one row each and are worked out in arrays. In larger ones loops contract paths: a node with one
+open predecessor points past it, and pointers are followed to where they lead, so the rounds of a chain grow with the logarithm of its
+length. The state of a round is one frame of edges, as many as there were or fewer; it is kept as a table, so neither lineage nor plan
+grows and a lost executor costs one round.
 """
 
 from __future__ import annotations
@@ -16,13 +17,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runtally.operators.joins import fan_out_predecessors, result_nodes, stage_edges
 from runtally.operators.ordered import match
-from runtally.session import cut
+from runtally.session import cut, kept
 
 FINISHED = ("completed", "failed", "skipped")
 
 #: Lengths are held at this value: no path without a cycle is longer.
 ENDLESS = 1 << 40
 
+#: Rows of nodes and edges up to which a graph is taken as one row; its rounds then need no join.
+SMALL = 64
+
 
 def edges(defs: DataFrame, keys: Sequence[str], node: str = "id") -> DataFrame:
     """Distinct dependencies from predecessor arrays."""
@@ -83,25 +87,141 @@ def _id(keys: Sequence[str], node: str) -> Column:
     return F.struct(*[F.col(k).alias(k) for k in keys], F.col(node).alias("node"))
 
 
-def _weighted(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    weight = F.col("weight").cast("long") if "weight" in nodes.columns else F.lit(1).cast("long")
-    return nodes.groupBy(_id(keys, "node").alias("v")).agg(F.max(weight).alias("weight"))
+def _weight(nodes: DataFrame) -> Column:
+    return F.col("weight").cast("long") if "weight" in nodes.columns else F.lit(1).cast("long")
+
+
+def _parts(nodes: DataFrame, edge: DataFrame, keys: Sequence[str], start: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The graphs of at most ``SMALL`` rows, one a row, and the rows of the others (None without any).
+
+    A small graph is (g, ns, es, st): nodes with weights, edges ``s`` behind ``p``, and the nodes of ``start``.
+    """
+    g = F.struct(*([F.col(k).alias(k) for k in keys] or [F.lit(0).alias("_")])).alias("g")
+    none, kind = F.lit(None).cast(edge.schema["pred"].dataType).alias("pred"), lambda x: F.lit(x).alias("kind")
+    rows = nodes.select(g, "node", none, _weight(nodes).alias("weight"), kind("n"))
+    rows = rows.unionByName(edge.select(g, F.col("succ").alias("node"), "pred", F.lit(None).cast("long").alias("weight"), kind("e")))
+    if start is not None:
+        rows = rows.unionByName(start.select(g, "node", none, F.lit(None).cast("long").alias("weight"), kind("s")))
+    rows = kept(rows)
+    big = kept(rows.groupBy("g").count().where(F.col("count") > SMALL).select("g", F.monotonically_increasing_id().alias("k")))
+    large = None
+    small = rows
+    if not big.isEmpty():
+        small, large = rows.join(big, "g", "left_anti"), rows.join(big, "g")
+    of = lambda x, value: F.collect_list(F.when(F.col("kind") == x, value))
+    node, pred = F.struct(F.col("node").alias("node")), F.struct(F.col("pred").alias("node"))
+    return small.groupBy("g").agg(of("n", F.struct(node.alias("id"), "weight")).alias("ns"), of("e", F.struct(node.alias("s"), pred.alias("p"))).alias("es"), of("s", node).alias("st")), large
+
+
+def _keys(keys: Sequence[str]) -> list[Column]:
+    return [F.col(f"g.{k}").alias(k) for k in keys]
+
+
+# ---- small graphs: rounds over the arrays of a row -----------------------------------
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _places(ids: Column) -> Column:
+    """Edges between nodes as the places of their ends in ``ids``."""
+    at = lambda x: F.array_position(ids, x) - 1
+    return F.filter(F.transform("es", lambda e: F.struct(at(e["s"]).cast("int").alias("s"), at(e["p"]).cast("int").alias("p"))), lambda e: (e["s"] >= 0) & (e["p"] >= 0))
+
+
+def _weights(ids: Column) -> Column:
+    return F.transform(ids, lambda v: F.array_max(F.transform(F.filter("ns", lambda n: n["id"] == v), lambda n: n["weight"])))
+
+
+def _rounds(ids: Column, first: Column, each) -> Column:
+    """As many rounds as there are nodes over one value a node."""
+    return F.aggregate(F.sequence(F.lit(1), F.size(ids)), first, lambda known, _: each(known))
+
+
+def _depths(ids: Column, weights: Column, ahead: Column) -> Column:
+    """The longest way to every node, null on and behind cycles; ``ahead`` lists the places of those before each."""
+    def longest(known: Column, places: Column) -> Column:
+        return F.aggregate(places, F.lit(0).cast("long"), lambda top, p: F.when(top.isNotNull() & F.get(known, p).isNotNull(), F.greatest(top, F.get(known, p) + F.get(weights, p))))
+    none = F.transform(ids, lambda _: F.lit(None).cast("long"))
+    return _rounds(ids, none, lambda known: F.transform(ahead, lambda places, i: F.coalesce(F.get(known, i), longest(known, places))))
+
+
+def _before(ids: Column, places: Column) -> Column:
+    return F.transform(ids, lambda _, i: F.transform(F.filter(places, lambda e: e["s"] == i), lambda e: e["p"]))
+
+
+def _small_levels(small: DataFrame) -> DataFrame:
+    """Small graphs (g, found, places): every node with weight and level, and the edges between nodes."""
+    ids = F.array_distinct(F.transform("ns", lambda n: n["id"]))
+
+    def found(ids: Column, places: Column) -> Column:
+        return _let(_weights(ids), lambda weights: _let(_depths(ids, weights, _before(ids, places)), lambda known: F.struct(F.transform(ids, lambda v, i: F.struct(
+            v["node"].alias("node"), F.get(weights, i).alias("weight"), F.get(known, i).alias("level"))).alias("found"), places.alias("places"))))
+    return small.select("g", _let(ids, lambda ids: _let(_places(ids), lambda places: found(ids, places))).alias("o")).select("g", "o.found", "o.places")
+
+
+def _small_held(small: DataFrame) -> DataFrame:
+    """The small graphs with cycles (g, places, found): every node with whether it is held and whether a cycle is still ahead of it."""
+    stuck = _small_levels(small).where(F.exists("found", lambda x: x["level"].isNull()))
+    still = lambda i: F.get("found", i)["level"].isNull()
+    after = F.transform("found", lambda _, i: F.transform(F.filter("places", lambda e: (e["p"] == i) & still(e["s"])), lambda e: e["s"]))
+    level = _let(F.transform("found", lambda _: F.lit(0).cast("long")), lambda zero: _let(after, lambda after: _depths(F.col("found"), zero, after)))
+    return stuck.select("g", "places", _let(level, lambda level: F.transform("found", lambda x, i: F.struct(
+        x["node"].alias("node"), x["level"].isNull().alias("held"), (x["level"].isNull() & F.get(level, i).isNull()).alias("ahead")))).alias("found"))
+
+
+def _small_cycles(small: DataFrame) -> DataFrame:
+    """(g, step, node) of the chosen cycle of every small graph with one: see ``cycles``."""
+    core = lambda i: F.get("found", i)["ahead"]
+    name = lambda i: F.get("found", i)["node"]
+
+    def least_before(i: Column) -> Column:
+        near = F.transform(F.filter("places", lambda e: (e["s"] == i) & core(e["p"])), lambda e: e["p"])
+        return _let(near, lambda near: _let(F.array_min(F.transform(near, name)), lambda low: F.get(F.filter(near, lambda p: name(p).eqNullSafe(low)), F.lit(0))))
+    to = F.transform("found", lambda _, i: F.when(core(i), least_before(i)))
+    far = lambda to: _rounds(F.col("found"), F.transform("found", lambda _, i: F.when(core(i), i)), lambda at: F.transform(at, lambda p: F.get(to, p)))
+    first = lambda to: F.array_min(F.transform(F.filter(far(to), lambda p: p.isNotNull()), lambda p: F.struct(name(p).alias("node"), p.alias("at"))))["at"]
+    # From the least node along the predecessors until it comes again.
+    walk = lambda to, start: _rounds(F.col("found"), F.array(start), lambda way: _let(
+        F.get(to, F.element_at(way, -1)), lambda p: F.when(p == start, way).otherwise(F.concat(way, F.array(p)))))
+    ring = _let(to, lambda to: _let(first(to), lambda start: walk(to, start)))
+    steps = _let(ring, lambda ring: F.transform(ring, lambda p, i: F.struct(F.when(i == 0, 0).otherwise(F.size(ring) - i).cast("long").alias("step"), name(p).alias("node"))))
+    return _small_held(small).select("g", F.inline(steps))
 
 
-def _open(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(v, p, dist) of every node: a row for each predecessor that is a node, with its weight; p is null for a node without."""
-    n = _weighted(nodes, keys)
-    e = edge.select(_id(keys, "succ").alias("v"), _id(keys, "pred").alias("p")).distinct()
-    inner = e.join(n.select(F.col("v").alias("p"), F.col("weight").alias("dist")), "p")
-    return n.select("v").join(inner, "v", "left").select("v", "p", F.coalesce("dist", F.lit(0).cast("long")).alias("dist"))
+def _small_closure(small: DataFrame) -> DataFrame:
+    """(g, node, weight, dist) of the nodes reached in small graphs: the nearest start, ``dist`` 0 for a start."""
+    ids = F.array_distinct(F.concat(F.transform("ns", lambda n: n["id"]), "st"))
 
+    def found(ids: Column, weights: Column, before: Column) -> Column:
+        first = F.transform(ids, lambda v: F.when(F.array_contains("st", v), F.lit(0).cast("long")))
+        near = lambda known, i, places: F.array_min(F.transform(places, lambda p: F.get(known, p) + F.get(weights, i)))
+        known = _let(first, lambda first: _rounds(ids, first, lambda known: F.transform(before, lambda places, i: F.when(
+            F.get(first, i).isNotNull(), F.get(first, i)).otherwise(near(known, i, places)))))
+        return _let(known, lambda known: F.transform(ids, lambda v, i: F.struct(v["node"].alias("node"), F.get(weights, i).alias("weight"), F.get(known, i).alias("dist"))))
+    out = _let(ids, lambda ids: _let(_places(ids), lambda places: _let(_weights(ids), lambda weights: _let(_before(ids, places), lambda before: found(ids, weights, before)))))
+    return small.where(F.size("st") > 0).select("g", F.inline(out)).where("dist IS NOT NULL")
 
-def _longest(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(v, p, dist): where p is null, dist is the node's longest path; nodes that keep a predecessor are on or behind a cycle.
 
-    A row says that the node is ``dist`` behind p, or, where p is null, behind a start; a start no farther than a predecessor does not
-    matter. Each round rows that lead to a node with one row left go on to where that leads, and nodes that have come down to a start
-    leave. When none has, the rest hang on cycles.
+# ---- large graphs: rounds of joins ----------------------------------------------------
+
+def _numbered(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Names (g, node, weight, v) of the nodes, and edges (v, p) between them: ``v`` and ``p`` are the numbers of a graph and a node."""
+    names = large.where("kind <> 'e'").groupBy("g", "k", "node").agg(F.max("weight").alias("weight"), F.max(F.col("kind") == "s").alias("start"))
+    names = kept(names.select("g", "node", "weight", "start", F.struct("k", F.monotonically_increasing_id().alias("n")).alias("v")))
+    to = lambda end, out: names.select(F.struct("g", F.col("node").alias("node")).alias(end), F.col("v").alias(out))
+    e = large.where("kind = 'e'").select(F.struct("g", F.col("node").alias("node")).alias("_s"), F.struct("g", F.col("pred").alias("node")).alias("_p"))
+    return names, kept(e.join(to("_s", "v"), "_s").join(to("_p", "p"), "_p").select("v", "p").distinct())
+
+
+def _longest(names: DataFrame, e: DataFrame) -> DataFrame:
+    """(g, node, weight, level) of every node of large graphs; the level of nodes on or behind a cycle is null.
+
+    A row (v, p, dist) says that the node is ``dist`` behind p, or, where p is null, behind a start; a start no farther than a predecessor
+    does not matter. Each round rows that lead to a node with one row left go on to where that leads, and nodes that have come down to a
+    start leave. Nodes to which no row leads any more are in nobody's way: once they hold half of the rows they wait until the others are
+    known. When no node has come down, the rest hang on cycles.
     """
     def flagged(rows: DataFrame) -> DataFrame:
         sums = rows.groupBy("v").agg(
@@ -109,24 +229,49 @@ def _longest(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFram
             F.max(F.when(F.col("p").isNull(), F.col("dist"))).alias("base"))
         behind = F.coalesce(F.col("base") <= F.col("top"), F.lit(False))
         alone = (F.col("others") == 1) & (behind | F.col("base").isNull())
-        return cut(rows.join(sums, "v").where(F.col("p").isNotNull() | ~behind).select("v", "p", "dist", alone.alias("alone"), (F.col("others") == 0).alias("settled")))
+        return kept(rows.join(_wanted(sums, rows), "v").where(F.col("p").isNotNull() | ~behind).select("v", "p", "dist", alone.alias("alone"), (F.col("others") == 0).alias("settled"), "wanted"))
 
-    state, done = flagged(_open(nodes, edge, keys)), []
+    inner = e.join(names.select(F.col("v").alias("p"), F.col("weight").alias("dist")), "p")
+    state = flagged(names.select("v").join(inner, "v", "left").select("v", "p", F.coalesce("dist", F.lit(0).cast("long")).alias("dist")))
+    done, parked = [], []
     while True:
-        n, settled = _counted(state)
-        done.append(state.where("settled"))
+        n, settled, idle = _counted(state)
+        done.append(state.where("settled").select("v", "dist"))
         if settled in (0, n):
             break
+        if 2 * idle >= n - settled:
+            parked.append(state.where(IDLE).select("v", "p", "dist"))
+            state = state.where(f"NOT ({IDLE})")
         state = flagged(_followed(state, "left").groupBy("v", "p").agg(F.max("dist").alias("dist")))
-    out = state.where("not settled")
-    for part in done:
-        out = out.unionByName(part)
-    return out.select("v", "p", "dist")
+    known = _settled(done, parked, lambda x: F.when(F.count(x) == F.count(F.lit(1)), F.max(x)))
+    return names.join(known.withColumnRenamed("dist", "level"), "v", "left").select("g", "node", "weight", "level")
+
+
+#: Rows of nodes that are still open and to which no row leads.
+IDLE = "NOT settled AND NOT wanted"
 
 
-def _counted(state: DataFrame) -> tuple[int, int]:
-    """Rows of a round, and how many of them have settled."""
-    return tuple(state.agg(F.count(F.lit(1)), F.count_if("settled")).first())
+def _wanted(sums: DataFrame, rows: DataFrame) -> DataFrame:
+    """Whether some row leads to the node."""
+    ends = rows.where("p IS NOT NULL").select(F.col("p").alias("v")).distinct().withColumn("_end", F.lit(True))
+    return sums.join(ends, "v", "left").withColumn("wanted", F.coalesce("_end", F.lit(False))).drop("_end")
+
+
+def _settled(done: list[DataFrame], parked: list[DataFrame], of) -> DataFrame:
+    """(v, dist) of the nodes that came down to a start, then of those that waited, last ones first, from all ways ``of`` their rows."""
+    known = done[0]
+    for part in done[1:]:
+        known = known.unionByName(part)
+    for part in reversed(parked):
+        ends = known.select(F.col("v").alias("p"), F.col("dist").alias("_end"))
+        way = F.when(F.col("p").isNull(), F.col("dist")).otherwise(F.col("dist") + F.col("_end"))
+        known = kept(known.unionByName(part.join(ends, "p", "left").groupBy("v").agg(of(way).alias("dist")).where("dist IS NOT NULL")))
+    return known
+
+
+def _counted(state: DataFrame) -> tuple[int, int, int]:
+    """Rows of a round, how many of them have settled and how many of the others are idle."""
+    return tuple(state.agg(F.count(F.lit(1)), F.count_if("settled"), F.count_if(F.expr(IDLE))).first())
 
 
 def _followed(state: DataFrame, how: str) -> DataFrame:
@@ -146,12 +291,16 @@ def _followed(state: DataFrame, how: str) -> DataFrame:
     return rows.where("p IS NULL").select("v", "p", "dist").unionByName(led)
 
 
+def _levels(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(g, node, weight, level) of every node; the level of held ones is null."""
+    small, large = _parts(nodes, edge, keys)
+    found = _small_levels(small).select("g", F.inline("found"))
+    return found if large is None else found.unionByName(_longest(*_numbered(large)))
+
+
 def levels(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Longest-path depth, in tasks, of every task that is not held by a cycle; gates have none. Predecessors that are no node count nothing."""
-    keys = list(keys)
-    free = _longest(nodes, edge, keys).groupBy("v").agg(F.count("p").alias("_open"), F.max("dist").alias("level")).where("_open = 0")
-    tasks = _weighted(nodes, keys).where("weight > 0").select("v")
-    return free.join(tasks, "v", "left_semi").select("v.*", F.col("level").cast("int").alias("level"))
+    return _levels(nodes, edge, keys).where("weight > 0 AND level IS NOT NULL").select(*_keys(keys), "node", F.col("level").cast("int").alias("level"))
 
 
 def held(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -159,24 +308,26 @@ def held(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Held nodes are those that never come down to a start; those from which a cycle can be reached never do on the turned edges either.
     """
-    return _held(nodes, edge, list(keys)).select("v.*", "ahead")
-
-
-def _held(nodes: DataFrame, edge: DataFrame, keys: list[str]) -> DataFrame:
-    stuck = cut(_longest(nodes, edge, keys).where("p IS NOT NULL").select("v").distinct())
-    some = stuck.select("v.*")
-    e = _between(edge, stuck, keys)
-    turned = e.select(*keys, F.col("succ").alias("pred"), F.col("pred").alias("succ"))
-    core = _longest(some, turned, keys).where("p IS NOT NULL").select("v").distinct().withColumn("ahead", F.lit(True))
-    return cut(stuck.join(core, "v", "left").select("v", F.coalesce("ahead", F.lit(False)).alias("ahead")))
-
-
-def _between(edge: DataFrame, some: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The edges both of whose ends are in ``some`` (v)."""
-    e = edge.select("*", _id(keys, "pred").alias("_p"), _id(keys, "succ").alias("_s"))
-    for end in ("_p", "_s"):
-        e = e.join(some.select(F.col("v").alias(end)), end, "left_semi")
-    return e.drop("_p", "_s")
+    small, large = _parts(nodes, edge, keys)
+    found = _small_held(small).select("g", F.inline("found")).where("held").select(*_keys(keys), "node", "ahead")
+    if large is None:
+        return found
+    names, e = _numbered(large)
+    return found.unionByName(_large_held(names, e)[0].select(*_keys(keys), "node", "ahead"))
+
+
+def _large_held(names: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g, node, v, ahead) of the held nodes of large graphs, and the edges between them."""
+    known = _longest(names, e)
+    stuck = kept(known.where("level IS NULL").select(F.struct("g", "node").alias("_i")).join(names.select(F.struct("g", "node").alias("_i"), "v"), "_i").select("_i.*", "v"))
+    some = e
+    for end in ("v", "p"):
+        some = some.join(stuck.select(F.col("v").alias(end)), end, "left_semi")
+    some = kept(some.select("v", "p"))
+    turned = _longest(stuck.select("g", "node", F.lit(1).cast("long").alias("weight"), "v"), some.select(F.col("p").alias("v"), F.col("v").alias("p")))
+    core = turned.where("level IS NULL").select(F.struct("g", "node").alias("_i")).withColumn("ahead", F.lit(True))
+    both = stuck.withColumn("_i", F.struct("g", "node")).join(core, "_i", "left")
+    return kept(both.select("g", "node", "v", F.coalesce("ahead", F.lit(False)).alias("ahead"))), some
 
 
 def cycles(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -185,34 +336,43 @@ def cycles(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
     Every node with a cycle on both sides follows its least such predecessor. Pointers are doubled until they have passed all nodes: what
     they then point at lies on a cycle. The one that holds the least node of its graph's cycles is given, from that node on; gates are nodes.
     """
-    keys = list(keys)
-    core = _held(nodes, edge, keys).where("ahead").select("v")
-    step = cut(_between(edge, core, keys).groupBy(_id(keys, "succ").alias("v")).agg(F.min("pred").alias("node"))
-               .select("v", F.col("v").withField("node", F.col("node")).alias("to")))
-    most = step.groupBy(*[F.col(f"v.{k}") for k in keys]).count().agg(F.max("count")).first()[0] or 0
+    small, large = _parts(nodes, edge, keys)
+    found = _small_cycles(small).select(*_keys(keys), "step", "node")
+    return found if large is None else found.unionByName(_large_cycles(*_numbered(large)).select(*_keys(keys), "step", "node"))
+
+
+def _large_cycles(names: DataFrame, e: DataFrame) -> DataFrame:
+    held_nodes, some = _large_held(names, e)
+    core = held_nodes.where("ahead")
+    of = core.select("v", F.struct("g", "node").alias("i"))
+    between = some.join(of.withColumnRenamed("i", "s"), "v").join(of.select(F.col("v").alias("p"), F.col("i").alias("t")), "p")
+    step = kept(between.groupBy(F.col("s").alias("v")).agg(F.min("t.node").alias("node")).select("v", F.col("v").withField("node", F.col("node")).alias("to")))
+    most = step.groupBy("v.g").count().agg(F.max("count")).first()[0] or 0
     # least: the smallest node among those passed
     far = step.select("v", "to", F.col("to").alias("least"))
     for _ in range(int(most).bit_length()):
         ahead = far.select(F.col("v").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"))
-        far = cut(far.join(ahead, "to").select("v", F.col("_to").alias("to"), F.least("least", "_least").alias("least")))
+        far = kept(far.join(ahead, "to").select("v", F.col("_to").alias("to"), F.least("least", "_least").alias("least")))
     on = far.select(F.col("to").alias("v")).distinct()
     ring = far.join(on, "v", "left_semi").select("v", "least")
-    first = ring.groupBy(*[F.col(f"v.{k}").alias(f"_{k}") for k in keys]).agg(F.min("least").alias("least")).select("least")
-    chosen = cut(ring.join(first, "least", "left_semi").join(step, "v"))
+    first = ring.groupBy(F.col("v.g").alias("_g")).agg(F.min("least").alias("least")).select("least")
+    chosen = kept(ring.join(first, "least", "left_semi").join(step, "v"))
     # Backwards along the predecessors to the least node: the steps to it are the place behind it.
     walk = chosen.select("v", F.when(F.col("v") != F.col("least"), F.col("to")).alias("to"), F.when(F.col("v") != F.col("least"), 1).otherwise(0).cast("long").alias("step"))
     for _ in range(int(most).bit_length()):
         ahead = walk.select(F.col("v").alias("to"), F.col("to").alias("_to"), F.col("step").alias("_step"))
-        walk = cut(walk.join(ahead, "to", "left").select("v", F.col("_to").alias("to"), (F.col("step") + F.coalesce("_step", F.lit(0))).alias("step")))
-    return walk.select(*[F.col(f"v.{k}").alias(k) for k in keys], "step", F.col("v.node").alias("node"))
+        walk = kept(walk.join(ahead, "to", "left").select("v", F.col("_to").alias("to"), (F.col("step") + F.coalesce("_step", F.lit(0))).alias("step")))
+    return walk.select("v.g", "step", "v.node")
 
 
 def acyclic(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per graph whether it is free of cycles, and how many nodes a cycle holds."""
-    keys = list(keys)
-    stuck = _longest(nodes, edge, keys).groupBy("v").agg((F.count("p") > 0).alias("_held"))
-    return stuck.groupBy(*[F.col(f"v.{k}").alias(k) for k in keys]).agg(
-        F.count("*").alias("nodes"), F.count_if("_held").alias("held"), (F.count_if("_held") == 0).alias("is_acyclic"))
+    small, large = _parts(nodes, edge, keys)
+    count = F.size(F.filter("found", lambda x: x["level"].isNull())).cast("long")
+    found = _small_levels(small).where(F.size("found") > 0).select("g", F.size("found").cast("long").alias("nodes"), count.alias("held"))
+    if large is not None:
+        found = found.unionByName(_longest(*_numbered(large)).groupBy("g").agg(F.count("*").alias("nodes"), F.count_if(F.col("level").isNull()).alias("held")))
+    return found.select(*_keys(keys), "nodes", "held", (F.col("held") == 0).alias("is_acyclic"))
 
 
 def task_status(instances: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -284,37 +444,46 @@ def skip_closure(failed: DataFrame, edge: DataFrame, strict: DataFrame, keys: Se
 
     ``strict(keys, node)`` lists the tasks that require predecessor success, and gates with ``weight`` 0, which hand on what
     fails before them. Returns the tasks reached with the round they were reached in, counted in tasks.
+    """
+    small, large = _parts(strict, edge, keys, failed)
+    found = _small_closure(small)
+    if large is not None:
+        found = found.unionByName(_nearest(*_numbered(large)))
+    return found.where("dist > 0 AND weight > 0").select(*_keys(keys), "node", F.col("dist").cast("int").alias("round"))
+
+
+def _nearest(names: DataFrame, e: DataFrame) -> DataFrame:
+    """(g, node, weight, dist) of the nodes of large graphs that a start reaches.
 
-    As in ``levels``, a node with one row left is passed over. A predecessor no nearer than the node's own start does not matter, and
-    the least distance of a graph is final, so nodes on a cycle come down to a start as well; what no failure reaches is left out.
+    As in ``levels``, a node with one row left is passed over, and nodes to which no row leads wait. A predecessor no nearer than the
+    node's own start does not matter, and the least distance of a graph is final, so nodes on a cycle come down to a start as well; what
+    no failure reaches is left out.
     """
-    keys = list(keys)
-    n = _weighted(strict, keys)
-    start = failed.select(_id(keys, "node").alias("v")).distinct()
-    into = edge.select(_id(keys, "succ").alias("v"), _id(keys, "pred").alias("p")).distinct().join(n, "v").join(start, "v", "left_anti")
+    start = names.where("start").select("v")
+    into = e.join(names.where("NOT start").select("v", F.col("weight").alias("dist")), "v").select("v", "p", "dist")
     none = F.lit(None).cast(start.schema["v"].dataType)
+
     def flagged(rows: DataFrame) -> DataFrame:
         rows = rows.where("p IS NULL OR p <> v")
         sums = rows.groupBy("v").agg(F.count("p").alias("others"), F.min(F.when(F.col("p").isNull(), F.col("dist"))).alias("base"),
                                      F.min(F.when(F.col("p").isNotNull(), F.col("dist"))).alias("near"))
-        sums = sums.withColumn("g", F.struct(*[F.col(f"v.{k}").alias(k) for k in keys]))
-        least = sums.where("near < base").groupBy("g").agg(F.min("base").alias("least"))
+        sums = sums.withColumn("_k", F.col("v.k"))
+        least = sums.where("near < base").groupBy("_k").agg(F.min("base").alias("least"))
         final = F.coalesce((F.col("others") == 0) | (F.col("near") >= F.col("base")) | (F.col("base") <= F.col("least")), F.lit(False))
-        sums = sums.join(least, "g", "left").select("v", "others", "base", final.alias("settled"))
-        return cut(rows.join(sums, "v").where(F.col("p").isNull() | (~F.col("settled") & (F.col("dist") < F.coalesce("base", F.lit(ENDLESS))))).select(
-            "v", "p", "dist", ((F.col("others") == 1) & F.col("base").isNull()).alias("alone"), "settled"))
+        sums = _wanted(sums.join(least, "_k", "left").select("v", "others", "base", final.alias("settled")), rows)
+        return kept(rows.join(sums, "v").where(F.col("p").isNull() | (~F.col("settled") & (F.col("dist") < F.coalesce("base", F.lit(ENDLESS))))).select(
+            "v", "p", "dist", ((F.col("others") == 1) & F.col("base").isNull()).alias("alone"), "settled", "wanted"))
 
-    state = flagged(start.select("v", none.alias("p"), F.lit(0).cast("long").alias("dist")).unionByName(into.select("v", "p", F.col("weight").alias("dist"))))
-    done, idle = [], 0
+    state = flagged(start.select("v", none.alias("p"), F.lit(0).cast("long").alias("dist")).unionByName(into))
+    done, parked, quiet = [], [], 0
     while True:
-        rows, settled = _counted(state)
+        rows, settled, idle = _counted(state)
         done.append(state.where("settled").select("v", "dist"))
-        idle = 0 if settled else idle + 1
-        if settled == rows or idle == 2:
+        quiet = 0 if settled else quiet + 1
+        if settled == rows or quiet == 2:
             break
+        if 2 * idle >= rows - settled:
+            parked.append(state.where(IDLE).select("v", "p", "dist"))
+            state = state.where(f"NOT ({IDLE})")
         state = flagged(_followed(state, "inner").groupBy("v", "p").agg(F.min("dist").alias("dist")))
-    reached = done[0]
-    for part in done[1:]:
-        reached = reached.unionByName(part)
-    tasks = n.where("weight > 0").select("v")
-    return reached.where("dist > 0").join(tasks, "v", "left_semi").select("v.*", F.col("dist").cast("int").alias("round"))
+    return names.join(_settled(done, parked, F.min), "v").select("g", "node", "weight", "dist")

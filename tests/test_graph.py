@@ -352,3 +352,39 @@ def test_wildcards_are_numbered_as_a_product(spark, monkeypatch):
     assert show(got) == show(want)
     assert j.expand_wildcards(defs.limit(0), elements, ["workflow"]).count() == 0
     assert j.expand_wildcards(defs, elements.limit(0), ["workflow"]).where("id = '1'").count() == 1
+
+
+# ---- graphs of all sizes --------------------------------------------------------
+
+def test_large_graphs_by_joins(spark, monkeypatch):
+    """What rounds over arrays give, rounds of joins give as well."""
+    monkeypatch.setattr(g, "SMALL", 0)
+    test_levels_and_cycles(spark)
+    test_random_graphs_with_cycles(spark)
+    test_null_keys_are_a_graph(spark)
+
+
+def test_small_graphs_need_no_round(spark, monkeypatch):
+    monkeypatch.setattr(g, "_counted", None)
+    n, e = graph(spark, a={"1": [], "2": ["1"], "3": ["2"]}, b={"1": ["3"], "2": ["1"], "3": ["2"], "4": ["3"]})
+    assert rows(g.levels(n, e, K)) == [("a", "1", 0), ("a", "2", 1), ("a", "3", 2)]
+    assert rows(g.held(n, e, K)) == [("b", "1", True), ("b", "2", True), ("b", "3", True), ("b", "4", False)]
+    assert rows(g.cycles(n, e, K)) == [("b", 0, "1"), ("b", 1, "2"), ("b", 2, "3")]
+    assert rows(g.acyclic(n, e, K)) == [("a", 3, 0, True), ("b", 4, 4, False)]
+    failed = spark.createDataFrame([("b", "3")], "run_id string, node string")
+    assert rows(g.skip_closure(failed, e, n, K)) == [("b", "1", 1), ("b", "2", 2), ("b", "4", 1)]
+
+
+def test_tasks_nobody_waits_for_leave_the_rounds(spark, monkeypatch):
+    seen = []
+    real = g._counted
+    monkeypatch.setattr(g, "_counted", lambda *a: seen.append(real(*a)) or seen[-1])
+    seq = spark.createDataFrame([("r", f"{s}.{i}", s, s - 1 if s else None) for s in range(60) for i in range(20)], "run_id string, id string, sequence long, previous long")
+    nodes, e = g.wait_graph(seq, K)
+    assert {r["node"]: r["level"] for r in g.levels(nodes, e, K).collect()} == {f"{s}.{i}": s for s in range(60) for i in range(20)}
+    assert max(x[0] for x in seen[2:]) < 200
+    del seen[:]
+    failed = spark.createDataFrame([("r", "3.1")], "run_id string, node string")
+    got = {r["node"]: r["round"] for r in g.skip_closure(failed, e, nodes, K).collect()}
+    assert got == {f"{s}.{i}": s - 3 for s in range(4, 60) for i in range(20)}
+    assert max(x[0] for x in seen[2:]) < 200
