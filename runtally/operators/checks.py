@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runtally.functions.scalars import positive_int_id
 from runtally.schemas import CHORE_FORBIDDEN, TASKFILE_FAULTS, UPLOAD_COLUMNS
+from runtally.session import kept
 
 
 def _blank(c: str) -> Column:
@@ -52,6 +53,7 @@ def validate_taskfiles(files: DataFrame, defs: DataFrame, key: str = "file") ->
 
     ``files(file, version, max_workers, retries)``, ``defs(file, pos, id)``.
     """
+    defs = kept(defs.select(key, "pos", "id"))
     n = defs.groupBy(key).agg(F.count("*").alias("_n"))
     f = files.join(n, key, "left")
 

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runtally.operators.joins import fan_out_predecessors, result_nodes, stage_edges
+from runtally.operators.joins import node_predecessors, result_nodes, stage_edges
 from runtally.operators.ordered import match
 from runtally.session import cut, kept
 
@@ -71,10 +71,11 @@ def wait_graph(sequences: DataFrame, keys: Sequence[str], node: str = "id") -> t
 def fan_out_graph(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Executed rows of a run; a predecessor with several instances is a gate ``all:id`` behind all of them."""
     keys = ["run_id"]
-    tasks = result_nodes(results).select("run_id", F.col("node_id").alias("node"), "task_id", "instances")
+    placed = kept(result_nodes(results.select("run_id", "task_id", "id", "predecessors")))
+    tasks = placed.select("run_id", F.col("node_id").alias("node"), "task_id", "instances")
     gate = F.concat(F.lit("all:"), F.col("task_id"))
     into = tasks.where("instances > 1").select("run_id", F.col("node").alias("pred"), gate.alias("succ"), gate.alias("gate"))
-    wants = fan_out_predecessors(results)
+    wants = node_predecessors(placed)
     many = F.col("predecessor_instances") > 1
     direct = wants.select("run_id", F.when(many, F.concat(F.lit("all:"), F.col("predecessor"))).otherwise(F.col("predecessor")).alias("pred"), F.col("node_id").alias("succ"))
     return _gated(tasks, into, F.col("gate"), keys, direct)
@@ -108,9 +109,12 @@ def _parts(nodes: DataFrame, edge: DataFrame, keys: Sequence[str], start: DataFr
     small = rows
     if not big.isEmpty():
         small, large = rows.join(big, "g", "left_anti"), rows.join(big, "g")
-    of = lambda x, value: F.collect_list(F.when(F.col("kind") == x, value))
-    node, pred = F.struct(F.col("node").alias("node")), F.struct(F.col("pred").alias("node"))
-    return small.groupBy("g").agg(of("n", F.struct(node.alias("id"), "weight")).alias("ns"), of("e", F.struct(node.alias("s"), pred.alias("p"))).alias("es"), of("s", node).alias("st")), large
+    # One list: each list of an aggregate has its own buffer to write and sort.
+    row = F.struct("kind", F.struct(F.col("node").alias("node")).alias("s"), F.struct(F.col("pred").alias("node")).alias("p"), "weight")
+    of = lambda x, value: F.transform(F.filter("rows", lambda r: r["kind"] == x), value)
+    return small.groupBy("g").agg(F.collect_list(row).alias("rows")).select(
+        "g", of("n", lambda r: F.struct(r["s"].alias("id"), r["weight"].alias("weight"))).alias("ns"),
+        of("e", lambda r: F.struct(r["s"].alias("s"), r["p"].alias("p"))).alias("es"), of("s", lambda r: r["s"]).alias("st")), large
 
 
 def _keys(keys: Sequence[str]) -> list[Column]:
@@ -394,7 +398,7 @@ def ready_tasks(instances: DataFrame, edge: DataFrame, keys: Sequence[str], gate
 
     A predecessor that names no task never finishes. A gate ``gates(keys, node)`` is finished when all its predecessors are.
     """
-    keys = list(keys)
+    keys, instances = list(keys), kept(instances)
     status = task_status(instances, keys)
     done = status.filter(F.col("status").isin(*FINISHED)).select(*keys, F.col("task_id").alias("pred"))
     if gates is not None:

@@ -140,3 +140,17 @@ def test_running_sums_many_blocks(spark):
     for _, at, n in data:
         total += n
         assert got[at] == total
+
+
+def test_small_groups_need_no_piece_and_large_ones_do(spark, monkeypatch):
+    """Numbers, sums and sizes of groups on both sides of the bound; groups below it are not range-partitioned."""
+    df = spark.range(400).select(F.when(F.col("id") < 300, None).otherwise((F.col("id") % 7).cast("string")).alias("k"), (F.col("id") * 37 % 400).alias("v"), F.lit(2).alias("x"))
+    want = rows(df.selectExpr("k", "v", "row_number() over (partition by k order by v)", "2 * row_number() over (partition by k order by v)", "count(*) over (partition by k)"))
+    scan = lambda: rows(o.scanned(df, ["k"], ["v"], number="no", sums={"s": "x"}, size="n"), "k", "v", "no", "s", "n")
+    with monkeypatch.context() as m:
+        m.setattr(o, "cut", None)
+        assert scan() == want
+    monkeypatch.setattr(o, "WHOLE", 50)
+    assert scan() == want
+    monkeypatch.setattr(o, "WHOLE", 0)
+    assert scan() == want
