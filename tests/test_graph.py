@@ -388,3 +388,22 @@ def test_tasks_nobody_waits_for_leave_the_rounds(spark, monkeypatch):
     got = {r["node"]: r["round"] for r in g.skip_closure(failed, e, nodes, K).collect()}
     assert got == {f"{s}.{i}": s - 3 for s in range(4, 60) for i in range(20)}
     assert max(x[0] for x in seen[2:]) < 200
+
+
+def test_fan_outs_of_usual_size_take_one_window(spark, monkeypatch):
+    from runtally.operators import ordered
+    monkeypatch.setattr(ordered, "cut", None)
+    df = conform(spark.createDataFrame([(1, "r", "1", None), (2, "r", "1", None), (3, "r", "2", ["1"])], "id long, run_id string, task_id string, predecessors array<string>"), TASKS)
+    assert rows(j.fan_out_predecessors(df), "node_id", "first_node", "last_node", "predecessor_instances") == [("2", "1.1", "1.2", 2)]
+
+
+def test_definitions_are_dealt_before_they_expand(spark):
+    """One split of definitions expands in several tasks."""
+    defs = spark.range(200).selectExpr("'w' workflow", "cast(id AS string) id", "map('a*', '*s') parameters", "cast(null AS string) chore").coalesce(1)
+    elements = spark.range(50).selectExpr("'s' set_name", "id element_no", "cast(id AS string) element")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [r["p"] for r in j.expand_wildcards(defs, elements, ["workflow"]).select(F.spark_partition_id().alias("p")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(got) == 10_000 and len(set(got)) > 1
