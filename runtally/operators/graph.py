@@ -3,9 +3,9 @@
 A graph is two frames, nodes ``(keys, node)`` and edges ``(keys, pred, succ)``. Nodes may have a ``weight``: 1 for tasks (the
 default), 0 for the gates through which stages, wait marks and fan-outs lead, so that a path is as long as its tasks are many.
 
-Graphs of at most ``SMALL`` rows become one row each and are worked out in arrays. In larger ones loops contract paths: a node with one
-open predecessor points past it, and pointers are followed to where they lead, so the rounds of a chain grow with the logarithm of its
-length. The state of a round is one frame of edges, as many as there were or fewer; it is kept as a table, so neither lineage nor plan
+Graphs of at most ``SMALL`` rows are worked out in the arrays of a batch of graphs (``small_graphs``). In larger ones loops contract paths: a
+node with one open predecessor points past it, and pointers are followed to where they lead, so the rounds of a chain grow with the
+logarithm of its length. The state of a round is one frame of edges, as many as there were or fewer; it is kept as a table, so neither lineage nor plan
 grows and a lost executor costs one round.
 """
 
@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from runtally.operators import small_graphs as few
 from runtally.operators.joins import node_predecessors, result_nodes, stage_edges
 from runtally.operators.ordered import match
 from runtally.session import cut, kept
@@ -24,8 +25,8 @@ FINISHED = ("completed", "failed", "skipped")
 #: Lengths are held at this value: no path without a cycle is longer.
 ENDLESS = 1 << 40
 
-#: Rows of nodes and edges up to which a graph is taken as one row; its rounds then need no join.
-SMALL = 64
+#: Rows of nodes and edges up to which a graph lies in one task; its rounds then need no join.
+SMALL = 512
 
 
 def edges(defs: DataFrame, keys: Sequence[str], node: str = "id") -> DataFrame:
@@ -40,13 +41,13 @@ def nodes_of(defs: DataFrame, keys: Sequence[str], node: str = "id") -> DataFram
 # ---- graphs with gates ---------------------------------------------------------
 
 def _gated(tasks: DataFrame, gate_edges: DataFrame, gates: Column, keys: list[str], *more: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes with weights and edges of tasks and of the gates that ``gates`` names in ``gate_edges(keys, pred, succ, gate)``."""
+    """Nodes with weights and edges of tasks and of the gates that ``gates`` names in ``gate_edges(keys, pred, succ, gate)``; an edge may come twice."""
     names = gate_edges.select(*keys, gates.alias("node")).distinct()
     nodes = tasks.select(*keys, "node", F.lit(1).alias("weight")).unionByName(names.withColumn("weight", F.lit(0)))
     edge = gate_edges.select(*keys, "pred", "succ")
     for e in more:
         edge = edge.unionByName(e.select(*keys, "pred", "succ"))
-    return nodes, edge.distinct()
+    return nodes, edge
 
 
 def stage_graph(defs: DataFrame, keys: Sequence[str], stage_order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -60,7 +61,7 @@ def stage_graph(defs: DataFrame, keys: Sequence[str], stage_order: Sequence[str]
 def wait_graph(sequences: DataFrame, keys: Sequence[str], node: str = "id") -> tuple[DataFrame, DataFrame]:
     """Tasks of ``wait_sequences`` and a gate before each sequence that waits for another, with an edge for each task and side."""
     keys = list(keys)
-    tasks = sequences.select(*keys, F.col(node).alias("node"), "sequence", "previous")
+    tasks = kept(sequences.select(*keys, F.col(node).alias("node"), "sequence", "previous"))
     waits = tasks.where("previous IS NOT NULL").select(*keys, F.concat(F.lit("wait:"), F.col("sequence").cast("string")).alias("gate"), "sequence", "previous", "node")
     ahead = waits.select(*keys, "gate", F.col("previous").alias("sequence")).distinct()
     into = match(tasks.select(*keys, "node", "sequence"), ahead, [*keys, "sequence"]).select(*keys, F.col("node").alias("pred"), F.col("gate").alias("succ"), "gate")
@@ -70,15 +71,15 @@ def wait_graph(sequences: DataFrame, keys: Sequence[str], node: str = "id") -> t
 
 def fan_out_graph(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Executed rows of a run; a predecessor with several instances is a gate ``all:id`` behind all of them."""
-    keys = ["run_id"]
-    placed = kept(result_nodes(results.select("run_id", "task_id", "id", "predecessors")))
-    tasks = placed.select("run_id", F.col("node_id").alias("node"), "task_id", "instances")
-    gate = F.concat(F.lit("all:"), F.col("task_id"))
-    into = tasks.where("instances > 1").select("run_id", F.col("node").alias("pred"), gate.alias("succ"), gate.alias("gate"))
-    wants = node_predecessors(placed)
+    placed = kept(result_nodes(results.select("run_id", "task_id", "id", F.array_distinct("predecessors").alias("predecessors"))))
+    gate, several = F.concat(F.lit("all:"), F.col("task_id")), placed.where("instances > 1")
+    gates = several.where("instance_no = 1").select("run_id", gate.alias("node"), F.lit(0).alias("weight"))
+    nodes = placed.select("run_id", F.col("node_id").alias("node"), F.lit(1).alias("weight")).unionByName(gates)
+    into = several.select("run_id", F.col("node_id").alias("pred"), gate.alias("succ"))
     many = F.col("predecessor_instances") > 1
-    direct = wants.select("run_id", F.when(many, F.concat(F.lit("all:"), F.col("predecessor"))).otherwise(F.col("predecessor")).alias("pred"), F.col("node_id").alias("succ"))
-    return _gated(tasks, into, F.col("gate"), keys, direct)
+    direct = node_predecessors(placed).select(
+        "run_id", F.when(many, F.concat(F.lit("all:"), F.col("predecessor"))).otherwise(F.col("predecessor")).alias("pred"), F.col("node_id").alias("succ"))
+    return nodes, into.unionByName(direct)
 
 
 # ---- paths ----------------------------------------------------------------------
@@ -93,130 +94,38 @@ def _weight(nodes: DataFrame) -> Column:
 
 
 def _parts(nodes: DataFrame, edge: DataFrame, keys: Sequence[str], start: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """The graphs of at most ``SMALL`` rows, one a row, and the rows of the others (None without any).
+    """Rows of the graphs of at most ``SMALL`` rows, and of the others (None without any), which have a number ``k`` for each graph.
 
-    A small graph is (g, ns, es, st): nodes with weights, edges ``s`` behind ``p``, and the nodes of ``start``.
+    A row (g, node, pred, weight, kind) is a node with its weight, an edge ``node`` behind ``pred``, or a node of ``start``.
     """
     g = F.struct(*([F.col(k).alias(k) for k in keys] or [F.lit(0).alias("_")])).alias("g")
-    none, kind = F.lit(None).cast(edge.schema["pred"].dataType).alias("pred"), lambda x: F.lit(x).alias("kind")
-    rows = nodes.select(g, "node", none, _weight(nodes).alias("weight"), kind("n"))
-    rows = rows.unionByName(edge.select(g, F.col("succ").alias("node"), "pred", F.lit(None).cast("long").alias("weight"), kind("e")))
+    none, no_weight = F.lit(None).cast(edge.schema["pred"].dataType).alias("pred"), F.lit(None).cast("long").alias("weight")
+    kind = lambda x: F.lit(x).cast("byte").alias("kind")
+    rows = nodes.select(g, "node", none, _weight(nodes).alias("weight"), kind(few.NODE))
+    rows = rows.unionByName(edge.select(g, F.col("succ").alias("node"), "pred", no_weight, kind(few.EDGE)))
     if start is not None:
-        rows = rows.unionByName(start.select(g, "node", none, F.lit(None).cast("long").alias("weight"), kind("s")))
+        rows = rows.unionByName(start.select(g, "node", none, no_weight, kind(few.START)))
     rows = kept(rows)
     big = kept(rows.groupBy("g").count().where(F.col("count") > SMALL).select("g", F.monotonically_increasing_id().alias("k")))
-    large = None
-    small = rows
-    if not big.isEmpty():
-        small, large = rows.join(big, "g", "left_anti"), rows.join(big, "g")
-    # One list: each list of an aggregate has its own buffer to write and sort.
-    row = F.struct("kind", F.struct(F.col("node").alias("node")).alias("s"), F.struct(F.col("pred").alias("node")).alias("p"), "weight")
-    of = lambda x, value: F.transform(F.filter("rows", lambda r: r["kind"] == x), value)
-    return small.groupBy("g").agg(F.collect_list(row).alias("rows")).select(
-        "g", of("n", lambda r: F.struct(r["s"].alias("id"), r["weight"].alias("weight"))).alias("ns"),
-        of("e", lambda r: F.struct(r["s"].alias("s"), r["p"].alias("p"))).alias("es"), of("s", lambda r: r["s"]).alias("st")), large
+    if big.isEmpty():
+        return rows, None
+    return rows.join(big, "g", "left_anti"), rows.join(big, "g")
 
 
 def _keys(keys: Sequence[str]) -> list[Column]:
     return [F.col(f"g.{k}").alias(k) for k in keys]
 
 
-# ---- small graphs: rounds over the arrays of a row -----------------------------------
-
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _places(ids: Column) -> Column:
-    """Edges between nodes as the places of their ends in ``ids``."""
-    at = lambda x: F.array_position(ids, x) - 1
-    return F.filter(F.transform("es", lambda e: F.struct(at(e["s"]).cast("int").alias("s"), at(e["p"]).cast("int").alias("p"))), lambda e: (e["s"] >= 0) & (e["p"] >= 0))
-
-
-def _weights(ids: Column) -> Column:
-    return F.transform(ids, lambda v: F.array_max(F.transform(F.filter("ns", lambda n: n["id"] == v), lambda n: n["weight"])))
-
-
-def _rounds(ids: Column, first: Column, each) -> Column:
-    """As many rounds as there are nodes over one value a node."""
-    return F.aggregate(F.sequence(F.lit(1), F.size(ids)), first, lambda known, _: each(known))
-
-
-def _depths(ids: Column, weights: Column, ahead: Column) -> Column:
-    """The longest way to every node, null on and behind cycles; ``ahead`` lists the places of those before each."""
-    def longest(known: Column, places: Column) -> Column:
-        return F.aggregate(places, F.lit(0).cast("long"), lambda top, p: F.when(top.isNotNull() & F.get(known, p).isNotNull(), F.greatest(top, F.get(known, p) + F.get(weights, p))))
-    none = F.transform(ids, lambda _: F.lit(None).cast("long"))
-    return _rounds(ids, none, lambda known: F.transform(ahead, lambda places, i: F.coalesce(F.get(known, i), longest(known, places))))
-
-
-def _before(ids: Column, places: Column) -> Column:
-    return F.transform(ids, lambda _, i: F.transform(F.filter(places, lambda e: e["s"] == i), lambda e: e["p"]))
-
-
-def _small_levels(small: DataFrame) -> DataFrame:
-    """Small graphs (g, found, places): every node with weight and level, and the edges between nodes."""
-    ids = F.array_distinct(F.transform("ns", lambda n: n["id"]))
-
-    def found(ids: Column, places: Column) -> Column:
-        return _let(_weights(ids), lambda weights: _let(_depths(ids, weights, _before(ids, places)), lambda known: F.struct(F.transform(ids, lambda v, i: F.struct(
-            v["node"].alias("node"), F.get(weights, i).alias("weight"), F.get(known, i).alias("level"))).alias("found"), places.alias("places"))))
-    return small.select("g", _let(ids, lambda ids: _let(_places(ids), lambda places: found(ids, places))).alias("o")).select("g", "o.found", "o.places")
-
-
-def _small_held(small: DataFrame) -> DataFrame:
-    """The small graphs with cycles (g, places, found): every node with whether it is held and whether a cycle is still ahead of it."""
-    stuck = _small_levels(small).where(F.exists("found", lambda x: x["level"].isNull()))
-    still = lambda i: F.get("found", i)["level"].isNull()
-    after = F.transform("found", lambda _, i: F.transform(F.filter("places", lambda e: (e["p"] == i) & still(e["s"])), lambda e: e["s"]))
-    level = _let(F.transform("found", lambda _: F.lit(0).cast("long")), lambda zero: _let(after, lambda after: _depths(F.col("found"), zero, after)))
-    return stuck.select("g", "places", _let(level, lambda level: F.transform("found", lambda x, i: F.struct(
-        x["node"].alias("node"), x["level"].isNull().alias("held"), (x["level"].isNull() & F.get(level, i).isNull()).alias("ahead")))).alias("found"))
-
-
-def _small_cycles(small: DataFrame) -> DataFrame:
-    """(g, step, node) of the chosen cycle of every small graph with one: see ``cycles``."""
-    core = lambda i: F.get("found", i)["ahead"]
-    name = lambda i: F.get("found", i)["node"]
-
-    def least_before(i: Column) -> Column:
-        near = F.transform(F.filter("places", lambda e: (e["s"] == i) & core(e["p"])), lambda e: e["p"])
-        return _let(near, lambda near: _let(F.array_min(F.transform(near, name)), lambda low: F.get(F.filter(near, lambda p: name(p).eqNullSafe(low)), F.lit(0))))
-    to = F.transform("found", lambda _, i: F.when(core(i), least_before(i)))
-    far = lambda to: _rounds(F.col("found"), F.transform("found", lambda _, i: F.when(core(i), i)), lambda at: F.transform(at, lambda p: F.get(to, p)))
-    first = lambda to: F.array_min(F.transform(F.filter(far(to), lambda p: p.isNotNull()), lambda p: F.struct(name(p).alias("node"), p.alias("at"))))["at"]
-    # From the least node along the predecessors until it comes again.
-    walk = lambda to, start: _rounds(F.col("found"), F.array(start), lambda way: _let(
-        F.get(to, F.element_at(way, -1)), lambda p: F.when(p == start, way).otherwise(F.concat(way, F.array(p)))))
-    ring = _let(to, lambda to: _let(first(to), lambda start: walk(to, start)))
-    steps = _let(ring, lambda ring: F.transform(ring, lambda p, i: F.struct(F.when(i == 0, 0).otherwise(F.size(ring) - i).cast("long").alias("step"), name(p).alias("node"))))
-    return _small_held(small).select("g", F.inline(steps))
-
-
-def _small_closure(small: DataFrame) -> DataFrame:
-    """(g, node, weight, dist) of the nodes reached in small graphs: the nearest start, ``dist`` 0 for a start."""
-    ids = F.array_distinct(F.concat(F.transform("ns", lambda n: n["id"]), "st"))
-
-    def found(ids: Column, weights: Column, before: Column) -> Column:
-        first = F.transform(ids, lambda v: F.when(F.array_contains("st", v), F.lit(0).cast("long")))
-        near = lambda known, i, places: F.array_min(F.transform(places, lambda p: F.get(known, p) + F.get(weights, i)))
-        known = _let(first, lambda first: _rounds(ids, first, lambda known: F.transform(before, lambda places, i: F.when(
-            F.get(first, i).isNotNull(), F.get(first, i)).otherwise(near(known, i, places)))))
-        return _let(known, lambda known: F.transform(ids, lambda v, i: F.struct(v["node"].alias("node"), F.get(weights, i).alias("weight"), F.get(known, i).alias("dist"))))
-    out = _let(ids, lambda ids: _let(_places(ids), lambda places: _let(_weights(ids), lambda weights: _let(_before(ids, places), lambda before: found(ids, weights, before)))))
-    return small.where(F.size("st") > 0).select("g", F.inline(out)).where("dist IS NOT NULL")
-
-
 # ---- large graphs: rounds of joins ----------------------------------------------------
 
 def _numbered(large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Names (g, node, weight, v) of the nodes, and edges (v, p) between them: ``v`` and ``p`` are the numbers of a graph and a node."""
-    names = large.where("kind <> 'e'").groupBy("g", "k", "node").agg(F.max("weight").alias("weight"), F.max(F.col("kind") == "s").alias("start"))
-    names = kept(names.select("g", "node", "weight", "start", F.struct("k", F.monotonically_increasing_id().alias("n")).alias("v")))
-    to = lambda end, out: names.select(F.struct("g", F.col("node").alias("node")).alias(end), F.col("v").alias(out))
-    e = large.where("kind = 'e'").select(F.struct("g", F.col("node").alias("node")).alias("_s"), F.struct("g", F.col("pred").alias("node")).alias("_p"))
-    return names, kept(e.join(to("_s", "v"), "_s").join(to("_p", "p"), "_p").select("v", "p").distinct())
+    """Names (g, k, node, weight, v) of the nodes, and edges (k, v, p) between them: ``v`` and ``p`` are numbers of nodes, ``k`` of a graph."""
+    names = large.where(F.col("kind") != few.EDGE).groupBy("g", "k", "node").agg(F.max("weight").alias("weight"), F.max(F.col("kind") == few.START).alias("start"))
+    names = kept(names.withColumn("v", F.monotonically_increasing_id()))
+    e = large.where(F.col("kind") == few.EDGE).select("k", F.col("node").alias("_s"), F.col("pred").alias("_p"))
+    for end, out in (("_s", "v"), ("_p", "p")):
+        e = match(e, names.select("k", F.col("node").alias(end), F.col("v").alias(out)), ["k", end]).drop(end)
+    return names, kept(e.select("k", "v", "p").distinct())
 
 
 def _longest(names: DataFrame, e: DataFrame) -> DataFrame:
@@ -279,26 +188,27 @@ def _counted(state: DataFrame) -> tuple[int, int, int]:
 
 
 def _followed(state: DataFrame, how: str) -> DataFrame:
-    """(v, p, dist) of the nodes that have not settled, led past predecessors that have settled or have one row left.
+    """(v, p, dist), and ``k`` if there, of the nodes that have not settled, led past predecessors that have settled or have one row left.
 
     No row leads to a settled node afterwards. With ``inner``, rows that lead to no node of the round go.
     """
+    own = [c for c in ("k", "v") if c in state.columns]
     ends, rows = state.where("settled").select("v", "dist"), state.where("not settled")
     lone = rows.where("alone").select(F.col("v").alias("_p"), "p", "dist").join(ends.select(F.col("v").alias("p"), F.col("dist").alias("_end")), "p", "left")
     known = lone.select("_p", F.when(F.col("_end").isNull(), F.col("p")).alias("_q"), (F.col("dist") + F.coalesce("_end", F.lit(0))).alias("_more"), F.lit(True).alias("_over"))
-    none = F.lit(None).cast(state.schema["v"].dataType)
+    none = F.lit(None).cast("long")
     known = known.unionByName(ends.select(F.col("v").alias("_p"), none.alias("_q"), F.col("dist").alias("_more"), F.lit(True).alias("_over")))
     if how == "inner":
         known = known.unionByName(rows.where("not alone").select(F.col("v").alias("_p"), none.alias("_q"), F.lit(0).cast("long").alias("_more"), F.lit(False).alias("_over")).distinct())
     led = rows.where("p IS NOT NULL").join(known, F.col("p") == F.col("_p"), how).select(
-        "v", F.when(F.col("_over"), F.col("_q")).otherwise(F.col("p")).alias("p"), F.least(F.col("dist") + F.coalesce("_more", F.lit(0)), F.lit(ENDLESS)).alias("dist"))
-    return rows.where("p IS NULL").select("v", "p", "dist").unionByName(led)
+        *own, F.when(F.col("_over"), F.col("_q")).otherwise(F.col("p")).alias("p"), F.least(F.col("dist") + F.coalesce("_more", F.lit(0)), F.lit(ENDLESS)).alias("dist"))
+    return rows.where("p IS NULL").select(*own, "p", "dist").unionByName(led)
 
 
 def _levels(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(g, node, weight, level) of every node; the level of held ones is null."""
     small, large = _parts(nodes, edge, keys)
-    found = _small_levels(small).select("g", F.inline("found"))
+    found = few.levels(small)
     return found if large is None else found.unionByName(_longest(*_numbered(large)))
 
 
@@ -313,7 +223,7 @@ def held(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
     Held nodes are those that never come down to a start; those from which a cycle can be reached never do on the turned edges either.
     """
     small, large = _parts(nodes, edge, keys)
-    found = _small_held(small).select("g", F.inline("found")).where("held").select(*_keys(keys), "node", "ahead")
+    found = few.held(small).select(*_keys(keys), "node", "ahead")
     if large is None:
         return found
     names, e = _numbered(large)
@@ -341,7 +251,7 @@ def cycles(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
     they then point at lies on a cycle. The one that holds the least node of its graph's cycles is given, from that node on; gates are nodes.
     """
     small, large = _parts(nodes, edge, keys)
-    found = _small_cycles(small).select(*_keys(keys), "step", "node")
+    found = few.cycles(small).select(*_keys(keys), "step", "node")
     return found if large is None else found.unionByName(_large_cycles(*_numbered(large)).select(*_keys(keys), "step", "node"))
 
 
@@ -372,8 +282,7 @@ def _large_cycles(names: DataFrame, e: DataFrame) -> DataFrame:
 def acyclic(nodes: DataFrame, edge: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per graph whether it is free of cycles, and how many nodes a cycle holds."""
     small, large = _parts(nodes, edge, keys)
-    count = F.size(F.filter("found", lambda x: x["level"].isNull())).cast("long")
-    found = _small_levels(small).where(F.size("found") > 0).select("g", F.size("found").cast("long").alias("nodes"), count.alias("held"))
+    found = few.counts(small)
     if large is not None:
         found = found.unionByName(_longest(*_numbered(large)).groupBy("g").agg(F.count("*").alias("nodes"), F.count_if(F.col("level").isNull()).alias("held")))
     return found.select(*_keys(keys), "nodes", "held", (F.col("held") == 0).alias("is_acyclic"))
@@ -450,7 +359,7 @@ def skip_closure(failed: DataFrame, edge: DataFrame, strict: DataFrame, keys: Se
     fails before them. Returns the tasks reached with the round they were reached in, counted in tasks.
     """
     small, large = _parts(strict, edge, keys, failed)
-    found = _small_closure(small)
+    found = few.closure(small)
     if large is not None:
         found = found.unionByName(_nearest(*_numbered(large)))
     return found.where("dist > 0 AND weight > 0").select(*_keys(keys), "node", F.col("dist").cast("int").alias("round"))
@@ -463,22 +372,20 @@ def _nearest(names: DataFrame, e: DataFrame) -> DataFrame:
     node's own start does not matter, and the least distance of a graph is final, so nodes on a cycle come down to a start as well; what
     no failure reaches is left out.
     """
-    start = names.where("start").select("v")
-    into = e.join(names.where("NOT start").select("v", F.col("weight").alias("dist")), "v").select("v", "p", "dist")
-    none = F.lit(None).cast(start.schema["v"].dataType)
+    start = names.where("start").select("k", "v", F.lit(None).cast("long").alias("p"), F.lit(0).cast("long").alias("dist"))
+    into = e.join(names.where("NOT start").select("v", F.col("weight").alias("dist")), "v").select("k", "v", "p", "dist")
 
     def flagged(rows: DataFrame) -> DataFrame:
         rows = rows.where("p IS NULL OR p <> v")
-        sums = rows.groupBy("v").agg(F.count("p").alias("others"), F.min(F.when(F.col("p").isNull(), F.col("dist"))).alias("base"),
-                                     F.min(F.when(F.col("p").isNotNull(), F.col("dist"))).alias("near"))
-        sums = sums.withColumn("_k", F.col("v.k"))
+        sums = rows.groupBy("v", F.col("k").alias("_k")).agg(F.count("p").alias("others"), F.min(F.when(F.col("p").isNull(), F.col("dist"))).alias("base"),
+                                                             F.min(F.when(F.col("p").isNotNull(), F.col("dist"))).alias("near"))
         least = sums.where("near < base").groupBy("_k").agg(F.min("base").alias("least"))
         final = F.coalesce((F.col("others") == 0) | (F.col("near") >= F.col("base")) | (F.col("base") <= F.col("least")), F.lit(False))
         sums = _wanted(sums.join(least, "_k", "left").select("v", "others", "base", final.alias("settled")), rows)
         return kept(rows.join(sums, "v").where(F.col("p").isNull() | (~F.col("settled") & (F.col("dist") < F.coalesce("base", F.lit(ENDLESS))))).select(
-            "v", "p", "dist", ((F.col("others") == 1) & F.col("base").isNull()).alias("alone"), "settled", "wanted"))
+            "k", "v", "p", "dist", ((F.col("others") == 1) & F.col("base").isNull()).alias("alone"), "settled", "wanted"))
 
-    state = flagged(start.select("v", none.alias("p"), F.lit(0).cast("long").alias("dist")).unionByName(into))
+    state = flagged(start.unionByName(into))
     done, parked, quiet = [], [], 0
     while True:
         rows, settled, idle = _counted(state)
@@ -489,5 +396,5 @@ def _nearest(names: DataFrame, e: DataFrame) -> DataFrame:
         if 2 * idle >= rows - settled:
             parked.append(state.where(IDLE).select("v", "p", "dist"))
             state = state.where(f"NOT ({IDLE})")
-        state = flagged(_followed(state, "inner").groupBy("v", "p").agg(F.min("dist").alias("dist")))
+        state = flagged(_followed(state, "inner").groupBy("k", "v", "p").agg(F.min("dist").alias("dist")))
     return names.join(_settled(done, parked, F.min), "v").select("g", "node", "weight", "dist")
