@@ -167,8 +167,9 @@ def levels_waits(spark, sf):
  WHERE pos % 1000 <> 501 GROUP BY wt.workflow, id, wt.level""")
 def skip_waits(spark, sf):
     """Behind a failed task everything in later sequences fails, if all of it requires success."""
-    nodes, edge = g.wait_graph(_waits(spark, sf), W)
-    failed = _waits(spark, sf).where("pos % 1000 = 501").select("workflow", F.col("id").alias("node"))
+    sequences = _waits(spark, sf)
+    nodes, edge = g.wait_graph(sequences, W)
+    failed = sequences.where("pos % 1000 = 501").select("workflow", F.col("id").alias("node"))
     return g.skip_closure(failed, edge, nodes, W)
 
 
