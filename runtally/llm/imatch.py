@@ -29,21 +29,21 @@ LEXICONS, SLOTS = 48, 1 << 17
 LEVELS = 3
 
 _WORD = re.compile(r"\w+")
-_MEMO = 300_000
-_memo: dict[str, bytes] = {}
 _FACTORS = [np.uint64(xxhash.xxh3_64_intdigest(b"lexicon", seed=i) | 1) for i in range(LEXICONS)]
 _POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 
 
 def term_sets(texts: list[str]) -> list[np.ndarray]:
-    """The sorted distinct 64-bit hashes of the lower-case words of whole texts."""
-    words = [set(_WORD.findall(t.lower())) for t in texts]
-    new = set().union(*words).difference(_memo)
-    if len(_memo) + len(new) > _MEMO:
-        _memo.clear()
-        new = set().union(*words)
-    _memo.update((w, xxhash.xxh3_64_digest(w)[::-1]) for w in new)
-    return [np.unique(np.frombuffer(b"".join(map(_memo.__getitem__, own)), "<u8")) for own in words]
+    """The sorted distinct 64-bit hashes of the lower-case words of whole texts.
+
+    No word is remembered: its hash takes less time than a look-up among very many words.
+    """
+    sets = []
+    for t in texts:
+        own = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, set(_WORD.findall(t.lower())))), ">u8").astype("<u8")
+        own.sort()
+        sets.append(own if (own[1:] != own[:-1]).all() else np.unique(own))
+    return sets
 
 
 def lexicon(docs: DataFrame, text: str = "text") -> np.ndarray:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from runtally.llm import imatch
@@ -52,6 +54,18 @@ def test_lexicon_counts_documents(spark):
     assert [names[int(x)] for x in imatch.lexicon(docs)] == ["some"]
 
 
+def test_terms_are_hashed_and_not_remembered():
+    tracemalloc.start()
+    for at in range(0, 40_000, 4000):
+        texts = [" ".join(f"Once{i} É{i}" for i in range(j, j + 200)) + " once" for j in range(at, at + 4000, 200)] + ["", " .\n"]
+        got = imatch.term_sets(texts)
+        assert [x.tolist() for x in got] == [sorted({xxhash.xxh3_64_intdigest(w) for w in t.lower().replace(".", "").split()}) for t in texts]
+    del texts, got
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1_000_000
+
+
 def test_one_and_none(spark):
     one = spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")
     r = imatch.compare_edited(one).collect()
