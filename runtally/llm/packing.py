@@ -8,6 +8,7 @@ dissolved, and the pieces displaced go where they fit best. After each epoch the
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -18,9 +19,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from runtally.llm import tokens
 from runtally.llm.piece_bpe import byte_chars
 from runtally.llm.rows import kept, mapped, steps, texts
-from runtally.llm.tokens import Memo
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 2048
@@ -31,9 +32,17 @@ SHARD, ISLANDS, EPOCHS, GENERATIONS, PEOPLE = 4096, 2, 2, 8, 4
 #: Free share of a well-filled bin, and the share of the well-filled bins that one crossing injects.
 WELL_FILLED, INJECTED = 0.01, 0.5
 
+#: Words that the merges encode in one go.
+JOINED = 128
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 
 
+#: Runs of letters and digits with the space before them; a line end before such a run; all between. The split pattern of byte-level BPE
+#: parts a text at all of these places. A run behind anything but a plain sign (an apostrophe may begin a contraction) stays with that.
+_PIECE = re.compile(r" ?[^\W_]+|\n(?=[^\W_])|(?:[^\w \n]|_|[ \n](?![^\W_]))+(?:(?<![!-&(-/:-@\[-`{-~])[^\W_]+)?")
+
+
 class JsonBpe:
     """Ids of whole texts by a tokenizer file, as unsigned 32-bit numbers (little-endian, as the machines Spark runs on)."""
 
@@ -43,31 +52,52 @@ class JsonBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model = self.tokenizer.model
-        self.to_chars = dict(enumerate(byte_chars()))
-        self.memo = Memo(self._pieces)
+        self.merges = Tokenizer(self.tokenizer.model)
+        chars = byte_chars()
+        self.to_chars = dict(enumerate(chars))
+        to_bytes = {c: b for b, c in enumerate(chars)}
+        names = {i: bytes(map(to_bytes.get, t)) for t, i in self.tokenizer.get_vocab(False).items() if to_bytes.keys() >= set(t)}
+        self.starts = np.zeros(max(names) + 1, bool)
+        self.starts[[i for i, t in names.items() if t[:1] == b" "]] = True
+        # Words can be joined unless a token has a space behind a letter, or behind what may be the end of one.
+        within = [t.decode(errors="replace").lstrip(" ") for t in names.values() if b" " in t.lstrip(b" ")]
+        self.joined = 1 if any(x.isalpha() or x == "\ufffd" for t in within for x, after in zip(t, t[1:]) if after == " ") else JOINED
+        self.memo: dict[str, bytes] = {}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _pieces(self, parts: list[str]) -> list[bytes]:
-        """A space and letters are one pre-token, which the merges alone encode; all else goes through the whole tokenizer."""
-        out: list[bytes | None] = [None] * len(parts)
-        rest = []
-        for i, x in enumerate(parts):
-            if x[:1] == " " and x[1:].isalpha():
-                out[i] = array("I", [t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(self.to_chars))]).tobytes()
-            else:
-                rest.append(i)
-        for i, code in zip(rest, self._encode([parts[i] for i in rest])):
-            out[i] = code
+    def _learn(self, new: list[str]) -> None:
+        """A space and letters are one pre-token, which the merges alone encode; all else goes through the whole tokenizer.
+
+        Many such words are encoded as one string, as no merge joins a letter with a space; each begins at the token with its space.
+        """
+        words = [x for x in new if x[0] == " " and x[1:].isalpha()]
+        rest = list(set(new).difference(words))
+        self.memo.update(zip(rest, self._encode(rest)))
+        joined = ["".join(words[at:at + self.joined]).encode().decode("latin-1").translate(self.to_chars) for at in range(0, len(words), self.joined)]
+        ids = array("I", [i for x in self.merges.encode_batch_fast(joined, add_special_tokens=False) for i in x.ids]).tobytes()
+        first = (4 * np.flatnonzero(self.starts[np.frombuffer(ids, "<u4")])).tolist()
+        self.memo.update(zip(words, map(ids.__getitem__, map(slice, first, [*first[1:], len(ids)])), strict=True))
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
+        parts = [_PIECE.findall(t) for t in texts]
+        new = list(set().union(*parts).difference(self.memo))
+        self._learn(new)
+        out = [b"".join(map(self.memo.__getitem__, p)) for p in parts]
+        if len(self.memo) > tokens.MEMO:
+            self.memo.clear()
+        else:
+            for x in new:
+                if len(x) > tokens.LONG:
+                    del self.memo[x]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """A text that holds the name of a special token is encoded in one go, as such a name may span pieces."""
         if any(s in t for s in self.special for t in texts):
-            return [self._encode([t])[0] if any(s in t for s in self.special) else self.memo.texts([t])[0] for t in texts]
-        return self.memo.texts(texts)
+            return [self._encode([t])[0] if any(s in t for s in self.special) else self._texts([t])[0] for t in texts]
+        return self._texts(texts)
 
 
 @lru_cache(maxsize=2)

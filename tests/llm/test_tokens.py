@@ -8,9 +8,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from runtally.llm import packing, piece_bpe, tokens
 from tests.llm.cases import awkward, empty
@@ -42,6 +43,39 @@ def test_memo_is_bounded(monkeypatch):
         assert len(CODEC.memo) <= 50 and not any(len(x) > tokens.LONG for x in CODEC.memo)
 
 
+def test_words_are_learned_once_whatever_signs_and_line_ends_are_around():
+    own, words = packing.JsonBpe(public_tokenizers.path(packing.VOCABULARY)), [f"w{chr(97 + i % 26)}x{'yz'[i // 26]}" for i in range(40)]
+    texts = [f"x {a}{sign}{b} it's ({a}) {b}!?" for a in words for b in words for sign in (".\n", ", ", "-", "\n\n", " \n ", "'", "\t")]
+    for at in range(0, len(texts), 256):
+        part = texts[at:at + 256]
+        assert own.encode(part) == own._encode(part)
+    assert len(own.memo) < 300
+
+
+@pytest.mark.parametrize("token, apart", [("aĠ", True), ("©Ġ", True), ("ĠÂłĠ", False)])
+def test_words_are_not_joined_if_a_merge_could_join_them(tmp_path, token, apart):
+    vocabulary, merges = {c: i for i, c in enumerate(piece_bpe.byte_chars())}, []
+    for end in range(2, len(token) + 1):
+        vocabulary[token[:end]] = len(vocabulary)
+        merges.append((token[:end - 1], token[end - 1]))
+    tokenizer = Tokenizer(models.BPE(vocabulary, merges))
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    tokenizer.save(str(tmp_path / "t.json"))
+    own = packing.JsonBpe(str(tmp_path / "t.json"))
+    texts = ["x a b a é a b é c", " \xa0 \xa0 a à b"]
+    assert (own.joined == 1) == apart
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_json_memo_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 50)
+    own = packing.JsonBpe(public_tokenizers.path(packing.VOCABULARY))
+    texts = [f"w word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwx'[i // 100]}, " + "y" * 100 for i in range(400)]
+    for at in range(0, 400, 8):
+        assert own.encode(texts[at:at + 8]) == own._encode(texts[at:at + 8])
+        assert len(own.memo) <= 50 and not any(len(x) > tokens.LONG for x in own.memo)
+
+
 def test_digests(spark):
     df = awkward(spark, "ids key n_tokens")
     got = sorted(((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in piece_bpe.digests(df).collect()), key=str)
