@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = [n for n in entry.queries() if n[:2] == "op" and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n[:2] == "op" and n[2].isdigit()))
