@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import glob
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from runtally.llm.rows import CLEANUP, kept
 from tests.llm.cases import awkward, prose, token
 from tests.oracle_check import compare, connect
 
@@ -55,3 +60,18 @@ def test_awkward_stages(spark):
         if name != "packing":
             assert out.columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_kept_frames_leave_no_shuffle_files(spark):
+    def files():
+        dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {p for d in dirs for p in glob.glob(f"{d}/*/shuffle_*")}
+
+    before, setting = files(), spark.conf.get(CLEANUP, None)
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    found = kept(counts)
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(CLEANUP, None) == setting
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, counts.collect())) == [(k, 143 if k < 6 else 142) for k in range(7)]
