@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -42,6 +43,12 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row l
 #: parts a text at all of these places. A run behind anything but a plain sign (an apostrophe may begin a contraction) stays with that.
 _PIECE = re.compile(r" ?[^\W_]+|\n(?=[^\W_])|(?:[^\w \n]|_|[ \n](?![^\W_]))+(?:(?<![!-&(-/:-@\[-`{-~])[^\W_]+)?")
 
+#: A letter or digit and the sign behind it, between which the split pattern always parts; spaces that no non-space follows.
+_SIGN = r"([\pL\pN])([.,;:!?])"
+_ODD = re.compile(r" (?!\S)")
+#: Marks a part without a space before it; stands for a space within a part. A text with either is not cut.
+MARK, SPACE = "\x00", "\x01"
+
 
 class JsonBpe:
     """Ids of whole texts by a tokenizer file, as unsigned 32-bit numbers (little-endian, as the machines Spark runs on)."""
@@ -62,7 +69,9 @@ class JsonBpe:
         # Words can be joined unless a token has a space behind a letter, or behind what may be the end of one.
         within = [t.decode(errors="replace").lstrip(" ") for t in names.values() if b" " in t.lstrip(b" ")]
         self.joined = 1 if any(x.isalpha() or x == "\ufffd" for t in within for x, after in zip(t, t[1:]) if after == " ") else JOINED
+        #: Ids of pieces, and of parts of a text.
         self.memo: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -75,28 +84,64 @@ class JsonBpe:
         words = [x for x in new if x[0] == " " and x[1:].isalpha()]
         rest = list(set(new).difference(words))
         self.memo.update(zip(rest, self._encode(rest)))
+        self.memo.update(zip(words, self._words(words)))
+
+    def _words(self, words: list[str]) -> list[bytes]:
         joined = ["".join(words[at:at + self.joined]).encode().decode("latin-1").translate(self.to_chars) for at in range(0, len(words), self.joined)]
         ids = array("I", [i for x in self.merges.encode_batch_fast(joined, add_special_tokens=False) for i in x.ids]).tobytes()
         first = (4 * np.flatnonzero(self.starts[np.frombuffer(ids, "<u4")])).tolist()
-        self.memo.update(zip(words, map(ids.__getitem__, map(slice, first, [*first[1:], len(ids)])), strict=True))
+        return list(map(ids.__getitem__, map(slice, first, [*first[1:], len(ids)])))
+
+    def _learn_parts(self, new: list[str]) -> list[str]:
+        """Words are encoded as they are, other parts by their pieces; the pieces that the memo did not hold are returned."""
+        words = [x for x in new if x.isalpha()]
+        self.words.update(zip(words, self._words([" " + x for x in words]), strict=True))
+        cut = {x: _PIECE.findall((x[1:] if x[:1] == MARK else " " + x).replace(SPACE, " ")) for x in new if not x.isalpha()}
+        pieces = list(set().union(*cut.values()).difference(self.memo))
+        known = {x: self.words[x[1:]] for x in pieces if x[0] == " " and x[1:] in self.words}
+        self.memo.update(known)
+        self._learn([x for x in pieces if x not in known])
+        ids = self.memo.__getitem__
+        self.words.update((x, b"".join(map(ids, c))) for x, c in cut.items())
+        return pieces
 
     def _texts(self, texts: list[str]) -> list[bytes]:
-        parts = [_PIECE.findall(t) for t in texts]
-        new = list(set().union(*parts).difference(self.memo))
-        self._learn(new)
-        out = [b"".join(map(self.memo.__getitem__, p)) for p in parts]
+        """Texts are cut at spaces and before signs that end a word, and every different part of a batch is looked up once.
+
+        A part without a space before it, and the first of a text, begins with ``MARK``; ``SPACE`` stands for a space that is no cut.
+        """
+        plain = [MARK + (_ODD.sub(SPACE, t) if _ODD.search(t) else t) for t in texts]
+        cuts = pc.split_pattern(pc.replace_substring_regex(pa.array(plain, pa.large_string()), _SIGN, rf"\1 {MARK}\2"), " ")
+        parts = cuts.flatten().dictionary_encode()
+        different = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.words.get, different))
+        open_ = [i for i, f in enumerate(found) if f is None]
+        new = [different[i] for i in open_]
+        pieces = self._learn_parts(new)
+        for i, x in zip(open_, new):
+            found[i] = self.words[x]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = parts.indices.to_numpy()
+        ends = np.cumsum(lengths[at])
+        shift = (np.cumsum(lengths) - lengths)[at] - ends + lengths[at]
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(shift, lengths[at]) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.r_[0, ends][cuts.offsets.to_numpy()].tolist()
         if len(self.memo) > tokens.MEMO:
             self.memo.clear()
-        else:
-            for x in new:
+        if len(self.words) > tokens.MEMO:  # what the latest texts hold is what the next ones hold most
+            self.words = dict(zip(different, found)) if len(different) <= tokens.MEMO // 2 else {}
+        for memo, added in ((self.memo, pieces), (self.words, new)):
+            for x in added:
                 if len(x) > tokens.LONG:
-                    del self.memo[x]
-        return out
+                    memo.pop(x, None)
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """A text that holds the name of a special token is encoded in one go, as such a name may span pieces."""
-        if any(s in t for s in self.special for t in texts):
-            return [self._encode([t])[0] if any(s in t for s in self.special) else self._texts([t])[0] for t in texts]
+        """A text that holds the name of a special token is encoded in one go, as such a name may span pieces; so is one with a mark."""
+        whole = [any(s in t for s in (*self.special, MARK, SPACE)) for t in texts]
+        if any(whole):
+            found = iter(self._texts([t for t, w in zip(texts, whole) if not w]))
+            return [self._encode([t])[0] if w else next(found) for t, w in zip(texts, whole)]
         return self._texts(texts)
 
 

@@ -76,6 +76,22 @@ def test_json_memo_is_bounded(monkeypatch):
         assert len(own.memo) <= 50 and not any(len(x) > tokens.LONG for x in own.memo)
 
 
+def test_parts_are_learned_once_and_the_latest_stay(monkeypatch):
+    own, learned = packing.JsonBpe(public_tokenizers.path(packing.VOCABULARY)), []
+    learn = own._learn_parts
+    monkeypatch.setattr(own, "_learn_parts", lambda new: learned.extend(new) or learn(new))
+    texts = ["the cat, the dog", "the dog.the cat  x \n y", "a\x00 b.", "\x01 c", "", " the"]
+    for _ in range(2):
+        assert own.encode(texts) == own._encode(texts)
+    assert len(learned) == len(set(learned))
+    monkeypatch.setattr(tokens, "MEMO", 50)
+    for i in range(60):
+        part = [f"the cat, n{'abcdefgh'[i % 8]}{'klmnopqr'[i // 8]}x"]
+        assert own.encode(part) == own._encode(part)
+        assert len(own.words) <= 50
+    assert learned.count("the") == 1
+
+
 def test_digests(spark):
     df = awkward(spark, "ids key n_tokens")
     got = sorted(((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in piece_bpe.digests(df).collect()), key=str)
